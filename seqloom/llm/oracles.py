@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.llm import quality_rules
+from seqloom.llm import quality_rules, secrets, url_filter
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = "[^\\x20\\x09-\\x0D]+"
@@ -42,5 +42,50 @@ FROM f
 """
 
 
+def secret_scans() -> str:
+    quoted = lambda x: x.replace("'", "''")
+    parts = []
+    for k, (kind, (test, pattern, group, least)) in enumerate(secrets.KINDS.items()):
+        get = lambda g: f"regexp_extract_all(t, '(?s)(.*?)({quoted(pattern)})', {g})"  # noqa: B023, E731
+        parts.append(f"SELECT *, {k} AS k, '{kind}' AS kind, {least} AS least FROM (SELECT row, owner, repo, unnest({get(1)}) AS gap, unnest({get(2)}) AS hit, unnest({get(2 + group if group else 2)}) AS value, generate_subscripts({get(1)}, 1) AS i FROM d WHERE regexp_matches(t, '{quoted(test)}'))")
+    count = lambda kind: f"count(*) FILTER (kind = '{kind}') AS n_{kind}"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source AS owner, lang AS repo, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+e AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY row, kind ORDER BY i)::BIGINT AS z FROM m),
+b AS (SELECT row, owner, k, kind, z - length(hit) AS a, z, value FROM e WHERE length(value) >= least),
+o AS (SELECT value, count(DISTINCT coalesce(owner, chr(0))) AS owners FROM b GROUP BY value),
+v AS (SELECT DISTINCT row, {len(secrets.KINDS)} AS k, 'live' AS kind, z - length(value) AS a, z FROM b JOIN o USING (value)
+  WHERE owners < 3 AND length(value) >= 16 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= 8 AND NOT regexp_matches(value, '{secrets.PLACEHOLDERS}')),
+s AS (SELECT row, k, kind, a, z, kind || ':' || a || ':' || z AS said FROM b UNION ALL SELECT row, k, kind, a, z, kind || ':' || a || ':' || z FROM v),
+g AS (SELECT row, {", ".join(map(count, secrets.KINDS))}, string_agg(said, ',' ORDER BY a, k) FILTER (kind <> 'live') AS base, string_agg(said, ',' ORDER BY a, k, z) AS spans FROM s GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in secrets.KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (row)
+"""
+
+
+def url_filters() -> str:
+    parts = "regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)\\??([^#]*)', {})"
+    fits = lambda h, p: f"(host = '{h}' OR suffix(host, '.{h}')) AND prefix(path, '{p}')"
+    rules = sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in rules)
+    says = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in rules)
+    return f"""
+WITH u AS (SELECT page_id, url, translate({parts.format(1)}, '{UPPER}', '{LOWER}') AS host, {parts.format(2)} AS path, {parts.format(3)} AS query FROM pages),
+t AS (SELECT *, CASE {rule} END AS rule, CASE {says} END AS says, list_sort(list_distinct(list_concat(
+  list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x),
+  list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'p:' || regexp_replace(x, '[0-9]+', '#', 'g')),
+  list_transform(list_filter(list_transform(string_split(query, '&'), lambda x: regexp_replace(x, '(?s)=.*', '')), lambda x: x <> ''), lambda x: 'q:' || x)))) AS items FROM u),
+b AS (SELECT doc_id AS page_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels WHERE quality = 0 OR toxic = 1 OR quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
+l AS (SELECT row_number() OVER () AS row, items, bad FROM t JOIN b USING (page_id)),
+k AS (SELECT row, bad, items, unnest(range(1, (1 << len(items))::BIGINT)) AS mask FROM l),
+f AS (SELECT list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS antecedent, count(*) FILTER (bad) AS uses, count(*) AS n FROM k GROUP BY 1),
+r AS (SELECT antecedent, list_aggregate(antecedent, 'string_agg', ' ') AS name, uses / n AS confidence FROM f WHERE uses >= greatest(20, 0.005 * (SELECT count(*) FROM l)) AND uses / n >= 0.8),
+x AS (SELECT items, arg_min(name, (-confidence, name)) AS mined_rule FROM (SELECT DISTINCT items FROM t) JOIN r ON list_has_all(items, antecedent) GROUP BY items)
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN mined_rule IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, mined_rule
+FROM t LEFT JOIN x USING (items)
+"""
+
+
 def sql() -> dict[str, str]:
-    return {"op5_exact_dedup": EXACT_DEDUP, "op8_quality_rules": quality()}
+    return {"op1_url_filters": url_filters(), "op5_exact_dedup": EXACT_DEDUP, "op8_quality_rules": quality(), "op10_secret_scans": secret_scans()}

@@ -5,21 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seqloom.llm import exact_dedup, quality_rules
-from seqloom.llm.common import table
+from seqloom.llm import exact_dedup, quality_rules, secrets, sharding, url_filter
+from seqloom.llm.common import stored, table
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")).filter("bad is not null")
+    return url_filter.judge(table(spark, sf_dir, "pages"), labels)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stored(sharding.document_rows(table(spark, sf_dir, "documents")), "shard-rows")
+    out = sharding.hilbert_shards(rows, ["size", "source", "lang", "doc_id"], ["doc_id", "text_crc32", "size"], shards=24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.NUMBERS, "base_failed", "kept")
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_exact_dedup, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_url_filters, op5_exact_dedup, op7_sharding, op8_quality_rules, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
