@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import exact_dedup, quality_rules, secrets, sharding, url_filter
+from seqloom.llm import exact_dedup, jaccard_join, quality_rules, secrets, sharding, url_filter
 from seqloom.llm.common import stored, table
 
 
@@ -30,12 +30,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.NUMBERS, "base_failed", "kept")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op5_exact_dedup, op7_sharding, op8_quality_rules, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_url_filters, op5_exact_dedup, op7_sharding, op8_quality_rules, op9_jaccard_join, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
