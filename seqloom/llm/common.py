@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,46 @@ def list_array(flat: np.ndarray, sizes, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, kind))
 
 
+def summed(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], length: int, pieces: int = 64) -> np.ndarray:
+    """The sum over all tasks of the integer array of fixed length that count makes of a task's batches.
+
+    Tasks send the pieces that aren't zero, packed; pieces are summed on the executors, in two steps where there are
+    many tasks, and the sum, whose size doesn't depend on the data, comes to the driver.
+    """
+    import zstandard
+
+    kind, salts, size = "piece int, salt int, cells binary", max(1, rows.rdd.getNumPartitions() // 128), -(-length // pieces)
+
+    def packed(piece: int, salt: int, cells: np.ndarray) -> tuple:
+        return piece, salt, zstandard.ZstdCompressor(1).compress(cells.astype(np.int64).tobytes())
+
+    def table(found: list[tuple]) -> list[pa.Array]:
+        return [pa.array([x[i] for x in found], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = count(batches)
+        cells = [total[i * size : (i + 1) * size] for i in range(pieces)]
+        salt = TaskContext.get().partitionId() % salts
+        yield pa.RecordBatch.from_arrays(table([packed(i, salt, c) for i, c in enumerate(cells) if c.any()]), ["piece", "salt", "cells"])
+
+    def add(t: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
+        total: np.ndarray | int = 0
+        for x in t.column("cells"):
+            total = total + np.frombuffer(unpack(x.as_py()), np.int64)
+        return pa.table(table([packed(t.column("piece")[0].as_py(), 0, total)]), names=["piece", "salt", "cells"])
+
+    parts = rows.mapInArrow(send, kind)
+    if salts > 1:
+        parts = parts.groupBy("piece", "salt").applyInArrow(add, kind)
+    out, unpack = np.zeros(length, np.int64), zstandard.ZstdDecompressor().decompress
+    for piece, _, cells in parts.groupBy("piece").applyInArrow(add, kind).collect():
+        out[piece * size : (piece + 1) * size] = np.frombuffer(unpack(cells), np.int64)
+    return out
+
+
 class Bloom:
     """A Bloom filter over 64-bit hashes. Its size is fixed when it is made and is at most 2**28 bits (32 MB)."""
 

@@ -26,11 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Bloom, list_array, mixed, stored, utf8
+from seqloom.llm.common import Bloom, list_array, mixed, stored, summed, utf8
 from seqloom.llm.components import components
 
 BASE = 0x9E3779B97F4A7C15 | 1  # odd, so that it has an inverse modulo 2**64
@@ -204,14 +203,11 @@ def block_links(sets: list[np.ndarray], hub: int, percent: int) -> list[tuple[in
 def sketch(rows: DataFrame, n: int) -> tuple[np.ndarray, int]:
     """How many distinct shingles of documents fell into each of 2**CELL_BITS cells, and their sum."""
     cells = 1 << CELL_BITS
-    salts = max(1, rows.rdd.getNumPartitions() // 128)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total, held, size, seen = np.zeros(cells, np.uint32), [], 0, set()
 
-        def add():
+        def add() -> None:
             nonlocal held, size
             if held:
                 total[:] += np.bincount((np.concatenate(held) & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint32)
@@ -226,28 +222,10 @@ def sketch(rows: DataFrame, n: int) -> tuple[np.ndarray, int]:
             if size > 2_000_000:
                 add()
         add()
-        pack = zstandard.ZstdCompressor(1).compress
-        pieces = np.split(total, PIECES)
-        found = [i for i in range(PIECES) if pieces[i].any()]
-        salt = TaskContext.get().partitionId() % salts
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([salt] * len(found), pa.int32()), pa.array([pack(pieces[i].tobytes()) for i in found], pa.binary())], ["piece", "salt", "cells"])
-
-    def total(t: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor().decompress
-        cells = np.zeros((1 << CELL_BITS) // PIECES, np.uint64)
-        for x in t.column("cells"):
-            cells += np.frombuffer(unpack(x.as_py()), np.uint32)
-        packed = zstandard.ZstdCompressor(1).compress(np.minimum(cells, 2**32 - 1).astype(np.uint32).tobytes())
-        return pa.table([t.column("piece").slice(0, 1), pa.array([0], pa.int32()), pa.array([packed], pa.binary())], names=["piece", "salt", "cells"])
-
-    kind = "piece int, salt int, cells binary"
-    parts = rows.mapInArrow(count, kind)
-    if salts > 1:
-        parts = parts.groupBy("piece", "salt").applyInArrow(total, kind)
-    out, unpack = np.zeros((PIECES, cells // PIECES), np.uint32), zstandard.ZstdDecompressor().decompress
-    for piece, _, packed in parts.groupBy("piece").applyInArrow(total, kind).collect():
-        out[piece] = np.frombuffer(unpack(packed), np.uint32)
-    return out.ravel(), int(out.sum(dtype=np.uint64))
+        return total
+
+    out = summed(rows, count, cells, PIECES)
+    return out, int(out.sum())
 
 
 def bands(counts: np.ndarray, total: int) -> np.ndarray:
