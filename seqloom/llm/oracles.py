@@ -15,6 +15,15 @@ FROM d JOIN g USING (norm)
 """
 
 
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS keep, strlen(html)::BIGINT AS n FROM p)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN n >= 1000 AND keep <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND keep <> page_id THEN keep END AS refers_to
+FROM g
+"""
+
+
 def quality() -> str:
     forms = [list(dict.fromkeys((w, w.capitalize(), w.upper()))) for w in quality_rules.COMMON_WORDS]
     common = ", ".join(f"len(list_filter(words, lambda w: w IN ({', '.join(repr(f) for f in fs)})))" for fs in forms)
@@ -88,4 +97,4 @@ FROM t LEFT JOIN x USING (items)
 
 
 def sql() -> dict[str, str]:
-    return {"op1_url_filters": url_filters(), "op5_exact_dedup": EXACT_DEDUP, "op8_quality_rules": quality(), "op10_secret_scans": secret_scans()}
+    return {"op1_url_filters": url_filters(), "op3_warc": WARC, "op5_exact_dedup": EXACT_DEDUP, "op8_quality_rules": quality(), "op10_secret_scans": secret_scans()}

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import exact_dedup, jaccard_join, quality_model, quality_rules, secrets, sharding, url_filter
-from seqloom.llm.common import stored, table
+from seqloom.llm import exact_dedup, jaccard_join, quality_model, quality_rules, secrets, sharding, url_filter, warc
+from seqloom.llm.common import new_path, stored, table
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    warc.write(table(spark, sf_dir, "pages"), path := new_path(spark, "warc"))
+    return warc.digests(warc.read(spark, path))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(table(spark, sf_dir, "documents"))
 
@@ -46,7 +51,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op5_exact_dedup, op7_sharding, op8_quality_rules, op9_jaccard_join, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_warc, op5_exact_dedup, op7_sharding, op8_quality_rules, op9_jaccard_join, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
