@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import exact_dedup, jaccard_join, quality_model, quality_rules, secrets, sharding, url_filter, warc
+from seqloom.llm import exact_dedup, jaccard_join, mixing, quality_model, quality_rules, secrets, sharding, url_filter, warc
 from seqloom.llm.common import new_path, stored, table
 
 
@@ -32,6 +32,20 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(table(spark, sf_dir, "documents"))
 
 
+#: The shares of tokens that the mixture aims at, by domain of the labelled table.
+WEIGHTS = {"good": 0.93, "good toxic": 0.04, "poor": 0.02, "poor toxic": 0.01}
+
+
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, domain) of the labelled documents."""
+    domain = F.concat(F.when(F.col("quality") > 0, "good").otherwise("poor"), F.when(F.col("toxic") > 0, " toxic").otherwise(""))
+    return table(spark, sf_dir, "labels").filter("quality is not null and toxic is not null").select("doc_id", domain.alias("domain"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.weigh(table(spark, sf_dir, "documents"), domain_labels(spark, sf_dir), WEIGHTS)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored(sharding.document_rows(table(spark, sf_dir, "documents")), "shard-rows")
     out = sharding.hilbert_shards(rows, ["size", "source", "lang", "doc_id"], ["doc_id", "text_crc32", "size"], shards=24)
@@ -51,7 +65,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_warc, op5_exact_dedup, op7_sharding, op8_quality_rules, op9_jaccard_join, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_warc, op5_exact_dedup, op6_mixing, op7_sharding, op8_quality_rules, op9_jaccard_join, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
