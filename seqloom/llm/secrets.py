@@ -40,7 +40,7 @@ def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owne
     t = F.coalesce(F.col(text), F.lit(""))
     parts = []
     for k, (kind, (test, pattern, group, _)) in enumerate(KINDS.items()):
-        whole = F.lit("(?s)(.*?)(" + pattern + ")")
+        whole = F.lit(r"\G(?s)(.*?)(" + pattern + ")")  # \G: no search begins anew behind the last match
         get = lambda g: F.regexp_extract_all(F.col("t"), whole, F.lit(g))  # noqa: E731, B023
         value = get(2 + group) if group else get(2)
         zipped = F.arrays_zip(F.transform(get(1), F.length).alias("gap"), F.transform(get(2), F.length).alias("len"), value.alias("value"))
