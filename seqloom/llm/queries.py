@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import exact_dedup, jaccard_join, mixing, quality_model, quality_rules, secrets, sharding, url_filter, warc
+from seqloom.llm import exact_dedup, jaccard_join, mixing, piece_sampling, quality_model, quality_rules, secrets, sharding, url_filter, warc
 from seqloom.llm.common import new_path, stored, table
 
 
@@ -28,6 +29,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(warc.read(spark, path))
 
 
+#: A model file that every executor has.
+PIECE_MODEL = os.environ.get("SEQLOOM_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.sampled(table(spark, sf_dir, "documents"), PIECE_MODEL, k=2, with_ids=False)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(table(spark, sf_dir, "documents"))
 
@@ -65,7 +74,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_warc, op5_exact_dedup, op6_mixing, op7_sharding, op8_quality_rules, op9_jaccard_join, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_warc, op4_sentencepiece, op5_exact_dedup, op6_mixing, op7_sharding, op8_quality_rules, op9_jaccard_join, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
