@@ -41,14 +41,28 @@ def hilbert_index(axes: Column, dims: int, bits: int) -> Column:
         swapped = F.transform(xs, lambda x, j: F.when((j == 0) | (j == step["i"]), x.bitwiseXOR(differ)).otherwise(x))
         return F.when(at.bitwiseAND(step["q"]) != 0, inverted).when(step["i"] == 0, xs).otherwise(swapped)
 
-    undone = F.aggregate(steps, axes, undo)
-    gray = F.transform(undone, lambda x, i: F.aggregate(F.slice(undone, 1, i + 1), F.lit(0).cast("bigint"), lambda a, y: a.bitwiseXOR(y)))
-    powers = F.array(*(F.lit(1 << b).cast("bigint") for b in range(bits - 1, 0, -1))) if bits > 1 else F.array().cast("array<bigint>")
-    out = F.struct(gray.alias("g"))
-    folded = F.transform(F.array(out), lambda o: F.struct(o["g"].alias("g"), F.aggregate(powers, F.lit(0).cast("bigint"), lambda t, q: F.when(o["g"][dims - 1].bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t)).alias("t")))[0]
-    last = F.transform(folded["g"], lambda x: x.bitwiseXOR(folded["t"]))
+    zero, powers = F.lit(0).cast("bigint"), [1 << b for b in range(bits - 1, 0, -1)]
+    powers = F.array(*(F.lit(q).cast("bigint") for q in powers)) if powers else F.array().cast("array<bigint>")
     levels = F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1))
-    return F.aggregate(levels, F.lit(0).cast("bigint"), lambda h, b: F.aggregate(last, h, lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.call_function("shiftright", x, b).bitwiseAND(F.lit(1).cast("bigint")))))
+
+    def interleaved(xs: Column) -> Column:
+        return F.aggregate(levels, zero, lambda h, b: F.aggregate(xs, h, lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.call_function("shiftright", x, b).bitwiseAND(F.lit(1).cast("bigint")))))
+
+    def folded(g: Column) -> Column:
+        return F.aggregate(powers, zero, lambda t, q: F.when(g[dims - 1].bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))
+
+    def last(g: Column) -> Column:
+        return _let(folded(g), lambda t: F.transform(g, lambda x: x.bitwiseXOR(t)))
+
+    def gray(xs: Column) -> Column:
+        return F.transform(xs, lambda _, i: F.aggregate(F.slice(xs, 1, i + 1), zero, lambda a, y: a.bitwiseXOR(y)))
+
+    return _let(F.aggregate(steps, axes, undo), lambda xs: _let(gray(xs), lambda g: _let(last(g), interleaved)))
+
+
+def _let(value: Column, of) -> Column:
+    """of(value), with value evaluated once however often `of` names it."""
+    return F.transform(F.array(value), of)[0]
 
 
 def bins(rows: DataFrame, dims: list[str], bits: int) -> Column:
