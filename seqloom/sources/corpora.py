@@ -20,7 +20,7 @@ def audio_files(spark: SparkSession, root: str, extensions=("flac", "wav")) -> D
 def speakers(spark: SparkSession, path: str) -> DataFrame:
     """(speaker, gender, subset) of a list parted by | with ; before comments, gender lower-cased."""
     lines = spark.read.text(path).filter(~F.col("value").startswith(";") & (F.trim("value") != ""))
-    parts = F.transform(F.split("value", "\\|"), F.trim)
+    parts = F.transform(F.split("value", "\\|"), lambda x: F.trim(x))
     return lines.select(parts[0].alias("speaker"), F.lower(parts[1]).alias("gender"), parts[2].alias("subset")).filter("gender is not null")
 
 
