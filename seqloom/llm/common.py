@@ -144,3 +144,24 @@ class Bloom:
         for p in self._places(keys):
             found &= (self.bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return found
+
+
+def bloom_of(keys: DataFrame, piece: int = 1 << 16) -> Bloom:
+    """A filter over the longs of a column, sized by their number. Each task sends the pieces that it has set; their union, 32 MB at most, comes to the driver."""
+    n_bits = Bloom.bits_for(keys.count())
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = Bloom(n_bits)
+        for b in batches:
+            f.add(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+        found = [(i, x.tobytes()) for i in range(-(-len(f.bits) // piece)) if (x := f.bits[i * piece : (i + 1) * piece]).any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["i", "bits"])
+
+    def union(t: pa.Table) -> pa.Table:
+        bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t.column("bits").to_pylist()])
+        return pa.table([t.column("i").slice(0, 1), pa.array([bits.tobytes()], pa.binary())], names=["i", "bits"])
+
+    out = Bloom(n_bits)
+    for i, bits in keys.mapInArrow(pieces, "i int, bits binary").groupBy("i").applyInArrow(union, "i int, bits binary").collect():
+        out.bits[i * piece : i * piece + len(bits)] = np.frombuffer(bits, np.uint8)
+    return out

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Bloom, stored, utf8
+from seqloom.llm.common import Bloom, bloom_of, stored, utf8
 
 NO_ID = -(2**63)
 
@@ -54,15 +54,53 @@ def _fold(keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, largest: bool):
     return keys[at], best, np.add.reduceat(counts, at)
 
 
+def _segments(parts: list[tuple]) -> pa.RecordBatch:
+    """Runs as rows, each with a filter over its digests: (range, name, digests, identifiers, counts)."""
+    out = []
+    for bucket, name, keys, ids, counts in parts:
+        f = Bloom(Bloom.bits_for(len(keys)))
+        f.add(keys)
+        out.append((bucket, name, keys.tobytes(), ids.tobytes(), counts.tobytes(), f.bits.tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int32(), pa.string(), *[pa.binary()] * 4))], ["bucket", "run", "keys", "ids", "counts", "filter"])
+
+
+def _merged(t: pa.Table, largest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The digests of all runs of a table, sorted, with their best identifiers and counts. Digests that no other run's filter admits aren't compared."""
+    parts = [(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["ids"], np.int64), np.frombuffer(r["counts"], np.int64), Bloom(8 * len(r["filter"]), np.frombuffer(r["filter"], np.uint8))) for r in t.to_pylist()]
+    through, meet = [], []
+    for k, (keys, ids, counts, _) in enumerate(parts):
+        hit = np.zeros(len(keys), dtype=bool)
+        for j, other in enumerate(parts):
+            if j != k:
+                hit |= other[3].has(keys)
+        through.append((keys[~hit], ids[~hit], counts[~hit]))
+        meet.append((keys[hit], ids[hit], counts[hit]))
+    merged = [np.concatenate(x) for x in zip(*meet)]
+    if len(merged[0]):
+        through.append(_fold(*merged, largest))
+    keys, ids, counts = (np.concatenate(x) for x in zip(*through))
+    order = np.argsort(keys, kind="stable")
+    return keys[order], ids[order], counts[order]
+
+
+def _larger(level: int, largest: bool):
+    """The runs of (range, part) as one run of a level."""
+
+    def merge(key: tuple, t: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_segments([(key[0].as_py(), f"L{level}-{key[1].as_py()}", *_merged(t, largest))])])
+
+    return merge
+
+
 class LsmIndex:
     """The index. digest_bits: leading bits of the SHA-256 that it stores; what collides, byte verification parts."""
 
     RUN = "bucket int, run string, keys binary, ids binary, counts binary, filter binary"
 
-    def __init__(self, keep: str = "largest", digest_bits: int = 64, memtable_rows: int = 200_000, range_rows: int = 200_000):
+    def __init__(self, keep: str = "largest", digest_bits: int = 64, memtable_rows: int = 200_000, range_rows: int = 200_000, fan: int = 32):
         if keep not in ("largest", "smallest"):
             raise ValueError(keep)
-        self.largest, self.bits, self.memtable_rows, self.range_rows = keep == "largest", digest_bits, memtable_rows, range_rows
+        self.largest, self.bits, self.memtable_rows, self.range_rows, self.fan = keep == "largest", digest_bits, memtable_rows, range_rows, fan
 
     def key(self, shas: list[str]) -> np.ndarray:
         return np.array([int(x[:16], 16) >> (64 - self.bits) << (64 - self.bits) for x in shas], dtype=np.uint64)
@@ -75,12 +113,7 @@ class LsmIndex:
             keys, ids, counts = _fold(*(np.concatenate(x) for x in zip(*mem)), index.largest)
             bucket = ((keys >> np.uint64(48)) * np.uint64(ranges) >> np.uint64(16)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            out = []
-            for a, z in zip(cuts, [*cuts[1:], len(keys)]):
-                f = Bloom(Bloom.bits_for(z - a))
-                f.add(keys[a:z])
-                out.append((int(bucket[a]), f"{task}-{made}", *(x[a:z].tobytes() for x in (keys, ids, counts)), f.bits.tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out), (pa.int32(), pa.string(), *[pa.binary()] * 4))], ["bucket", "run", "keys", "ids", "counts", "filter"])
+            return _segments([(int(bucket[a]), f"{task}-{made}", keys[a:z], ids[a:z], counts[a:z]) for a, z in zip(cuts, [*cuts[1:], len(keys)])])
 
         def memtables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
@@ -100,47 +133,29 @@ class LsmIndex:
         return rows.select("doc_id", "sha").mapInArrow(memtables, self.RUN)
 
     def compact(self, runs: DataFrame) -> DataFrame:
-        """(digest, keep_id, n) for each digest of all runs. One task merges the runs of one digest range."""
-        largest = self.largest
-
-        def merge(t: pa.Table) -> pa.Table:
-            parts = [(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["ids"], np.int64), np.frombuffer(r["counts"], np.int64), Bloom(8 * len(r["filter"]), np.frombuffer(r["filter"], np.uint8))) for r in t.to_pylist()]
-            through, meet = [], []
-            for k, (keys, ids, counts, _) in enumerate(parts):
-                hit = np.zeros(len(keys), dtype=bool)
-                for j, other in enumerate(parts):
-                    if j != k:
-                        hit |= other[3].has(keys)
-                through.append((keys[~hit], ids[~hit], counts[~hit]))
-                meet.append((keys[hit], ids[hit], counts[hit]))
-            merged = [np.concatenate(x) for x in zip(*meet)]
-            if len(merged[0]):
-                through.append(_fold(*merged, largest))
-            keys, ids, counts = (np.concatenate(x) for x in zip(*through))
+        """(digest, keep_id, n) for each digest of all runs.
+
+        A task merges `fan` runs of one digest range at most. While a range may have more, levels of larger runs are
+        written, so neither a range's runs nor the comparisons between them pile up in one task.
+        """
+        largest, level = self.largest, 0
+
+        most = runs.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
+        while most > self.fan:
+            groups, level = -(-most // self.fan), level + 1
+            larger = _larger(level, largest)
+            runs = stored(runs.withColumn("part", F.pmod(F.xxhash64(F.lit(level), "run"), F.lit(groups))).groupBy("bucket", "part").applyInArrow(larger, self.RUN), f"level{level}")
+            most = groups if groups < most else 0
+
+        def last(t: pa.Table) -> pa.Table:
+            keys, ids, counts = _merged(t, largest)
             return pa.table([pa.array(keys.view(np.int64)), pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(counts)], names=["digest", "keep_id", "n"])
 
-        return runs.groupBy("bucket").applyInArrow(merge, "digest bigint, keep_id bigint, n bigint")
+        return runs.groupBy("bucket").applyInArrow(last, "digest bigint, keep_id bigint, n bigint")
 
     def hit_filter(self, compacted: DataFrame) -> Bloom:
-        """A filter over the digests that several rows have. Each task sends the 64 KB pieces that it has set; their union comes to the driver, 32 MB at most."""
-        hits = compacted.filter("n > 1").select("digest")
-        n_bits, piece = Bloom.bits_for(hits.count()), 1 << 16
-
-        def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            f = Bloom(n_bits)
-            for b in batches:
-                f.add(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-            found = [(i, x.tobytes()) for i in range(-(-len(f.bits) // piece)) if (x := f.bits[i * piece : (i + 1) * piece]).any()]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["i", "bits"])
-
-        def union(t: pa.Table) -> pa.Table:
-            bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t.column("bits").to_pylist()])
-            return pa.table([t.column("i").slice(0, 1), pa.array([bits.tobytes()], pa.binary())], names=["i", "bits"])
-
-        out = Bloom(n_bits)
-        for i, bits in hits.mapInArrow(pieces, "i int, bits binary").groupBy("i").applyInArrow(union, "i int, bits binary").collect():
-            out.bits[i * piece : i * piece + len(bits)] = np.frombuffer(bits, np.uint8)
-        return out
+        """A filter over the digests that several rows have, of 32 MB at most."""
+        return bloom_of(compacted.filter("n > 1").select("digest"))
 
     def verified(self, docs: DataFrame, hits: Bloom, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
         """(sha, keep_id, group_size) of each group of texts that are equal byte for byte, from the rows that the filter admits. Grouping by the bytes themselves collapses copies before the shuffle."""
@@ -157,9 +172,9 @@ class LsmIndex:
         return rows.groupBy("sha", "norm").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size")).drop("norm").filter("group_size > 1")
 
 
-def verdicts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "largest", digest_bits: int = 64, memtable_rows: int = 200_000) -> DataFrame:
+def verdicts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "largest", digest_bits: int = 64, memtable_rows: int = 200_000, fan: int = 32) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    index = LsmIndex(keep, digest_bits, memtable_rows)
+    index = LsmIndex(keep, digest_bits, memtable_rows, fan=fan)
     rows = stored(digests(docs, text, doc_id), "digests")
     runs = stored(index.flush(rows, rows.count()), "runs")
     compacted = stored(index.compact(runs), "compacted")

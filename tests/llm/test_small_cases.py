@@ -47,14 +47,14 @@ def words(t):
     return re.findall(r"[^\x20\x09-\x0d]+", t or "")
 
 
-@pytest.mark.parametrize("bits", [64, 3])
-def test_exact_dedup(docs, bits):
+@pytest.mark.parametrize(("bits", "fan"), [(64, 2), (3, 32)])
+def test_exact_dedup(docs, bits, fan):
     rows = [(r["doc_id"], lower(r["text"])) for r in docs.collect()]
     groups = collections.defaultdict(list)
     for i, t in rows:
         groups[t].append(i)
     want = sorted(((i, max((x for x in groups[t] if x is not None), default=None), len(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows), key=str)
-    got = exact_dedup.verdicts(docs, digest_bits=bits, memtable_rows=7).collect()
+    got = exact_dedup.verdicts(docs, digest_bits=bits, memtable_rows=7, fan=fan).collect()
     assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got), key=str) == want
     assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got)
 
