@@ -41,8 +41,9 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(table(spark, sf_dir, "documents"))
 
 
-#: The shares of tokens that the mixture aims at, by domain of the labelled table.
-WEIGHTS = {"good": 0.93, "good toxic": 0.04, "poor": 0.02, "poor toxic": 0.01}
+#: The shares of tokens that the mixture aims at, by domain of the labelled table. Poor texts get so little that what the
+#: pipeline's filters leave of them isn't repeated.
+WEIGHTS = {"good": 0.95, "good toxic": 0.045, "poor": 0.004, "poor toxic": 0.001}
 
 
 def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
