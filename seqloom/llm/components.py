@@ -16,6 +16,8 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 50
     repeated edges and edges with a null are left out; nodes without other edges don't appear.
     """
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
+    if not now.limit(1).count():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for turn in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -24,9 +26,9 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 50
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
         new = stored(small, f"{name}-small{turn}")
-        tops = new.groupBy("a").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        chained = new.join(new.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
         now = new
-        if tops <= 1 and not chained:
+        # done when each node has one edge and that leads to a node that has none
+        below = new.select(F.col("a").alias("x"), F.lit(1).alias("n"), F.lit(0).alias("top")).unionByName(new.select(F.col("b").alias("x"), F.lit(0).alias("n"), F.lit(1).alias("top")))
+        if not below.groupBy("x").agg(F.sum("n").alias("n"), F.max("top").alias("top")).filter("n > 1 or n = 1 and top = 1").limit(1).count():
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     raise RuntimeError("no end after the most rounds")

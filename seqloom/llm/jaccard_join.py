@@ -1,16 +1,16 @@
 """N-gram Jaccard join with a prefix tree.
 
-A document's set holds its distinct n-word shingles as 64-bit hashes. One global order puts shingles that a fixed-size
-count sketch finds frequent behind the others, each band by hash, so a set's prefix (size - needed overlap + 1
-shingles; two sets that link share one) holds its rare shingles. Prefix shingles that two sets or more have are found
-by counting; documents without one link with nothing.
-
-Sets that share a prefix shingle form a group under the shingle's smallest node. A group's sets, in blocks of bounded
-size, are stored in a path-compressed tree in the global order. A probe traverses it, sharing the overlap counted so far
-among all sets below a node, and leaves a subtree when what remains of both cannot reach the threshold any more. Each
-block probes the group's hub first; only sets that the hub's component hasn't taken in probe again. Where a group
-has several blocks, its sets outside of its largest component are then compared with the other blocks, so every link
-between two components is found. Sets are compared exactly; equal sets are one node.
+A document's set holds its distinct n-word shingles as 64-bit hashes. One global order puts
+shingles that a fixed-size count sketch finds frequent behind the others, each band by hash, so a set's prefix (size -
+needed overlap + 1 shingles; two sets that link share one) holds its rare shingles. Shingles that two sets or more have
+are found by counting all of them; a document links with nothing unless that share of its shingles is shared.
+
+Sets that a chain of shared prefix shingles joins make a cluster. The sets of a cluster, or for large ones those around each
+hub, in blocks of bounded size, are stored in a path-compressed tree in the global order. A probe traverses it, sharing
+the overlap counted so far among all sets below a node, and leaves a subtree when what remains of both cannot reach the
+threshold any more. Each block probes its hub first; only sets that the hub's component hasn't taken in probe again.
+Where a hub has several blocks, its sets outside of its largest component are then compared with the other blocks, so
+every link between two components is found. Sets are compared exactly; equal sets are one node.
 
 Bounds: the sketch has 2**23 cells, the filter of shared shingles 2**28 bits at most; both only steer the work.
 
@@ -24,12 +24,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Bloom, list_array, mixed, stored, summed, utf8
+from seqloom.llm.common import Bloom, bloom_of, list_array, mixed, stored, summed, utf8
 from seqloom.llm.components import components
 
 BASE = 0x9E3779B97F4A7C15 | 1  # odd, so that it has an inverse modulo 2**64
@@ -112,16 +114,18 @@ def _batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Arr
 
 
 class PrefixTree:
-    """Sorted sets in a path-compressed tree. A node: its run of shingles, children, sets that end here, depth behind the run, least and most size below."""
+    """Sorted sets in a path-compressed tree. A node: its run of shingles, children, sets that end here, depth behind the run, and below it the least and greatest size of a set and the greatest length of what is stored of one."""
 
-    __slots__ = ("run", "children", "ends", "depth", "least", "most")
+    __slots__ = ("run", "children", "ends", "depth", "least", "most", "longest")
 
     def __init__(self, run, depth):
         self.run, self.depth, self.children, self.ends = run, depth, [], []
 
     @classmethod
-    def of(cls, sets: list[np.ndarray]) -> PrefixTree:
+    def of(cls, sets: list[np.ndarray], sizes: list[int]) -> PrefixTree:
+        """sizes: of the whole sets; shingles that no other set has needn't be stored."""
         order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
+        stack: list[tuple] = []
 
         def build(lo: int, hi: int, depth: int) -> PrefixTree:
             a, z = sets[order[lo]], sets[order[hi - 1]]
@@ -130,7 +134,7 @@ class PrefixTree:
             end = depth + int(differ[0]) if len(differ) else m
             node = cls(a[depth:end], end)
             while lo < hi and len(sets[order[lo]]) == end:
-                node.ends.append(order[lo])
+                node.ends.append((order[lo], sizes[order[lo]]))
                 lo += 1
             while lo < hi:
                 lead, cut = sets[order[lo]][end], lo + 1
@@ -140,26 +144,29 @@ class PrefixTree:
                 lo = cut
             return node
 
-        stack: list[tuple] = []
-        root = build(0, len(sets), 0)
-        made = [root]
+        made = [root := build(0, len(sets), 0)]
         while stack:
             parent, lo, hi, depth = stack.pop()
             parent.children.append(node := build(lo, hi, depth))
             made.append(node)
         for node in reversed(made):  # children come behind their parents
-            sizes = [node.depth] * bool(node.ends) + [c.least for c in node.children] + [c.most for c in node.children]
-            node.least, node.most = min(sizes), max(sizes)
+            own = [size for _, size in node.ends]
+            node.least = min(own + [c.least for c in node.children])
+            node.most = max(own + [c.most for c in node.children])
+            node.longest = max([node.depth] * bool(own) + [c.longest for c in node.children])
         return root
 
-    def search(self, probe: np.ndarray, percent: int) -> Iterator[int]:
+    def search(self, probe: np.ndarray, size: int, percent: int) -> Iterator[int]:
         """The sets whose Jaccard similarity with the probe is at least percent / 100."""
         n, stack = len(probe), [(self, 0)]
-        lowest, highest = -(-percent * n // 100), 100 * n // percent
+        lowest, highest = -(-percent * size // 100), 100 * size // percent
         while stack:
             node, shared = stack.pop()
             if node.most < lowest or node.least > highest:
                 continue
+            needed = percent * (size + max(node.least, lowest))
+            if (100 + percent) * (shared + min(n, node.longest - node.depth + len(node.run))) < needed:
+                continue
             left = n
             if len(node.run):
                 at = np.searchsorted(probe, node.run)
@@ -167,12 +174,11 @@ class PrefixTree:
                 found[found] = probe[at[found]] == node.run[found]
                 shared += int(found.sum())
                 left = n - int(at[-1]) - int(found[-1])
-            best = min(max(node.depth + left, node.least), node.most)  # the size below for which the threshold is nearest
-            reach = shared + min(left, best - node.depth)
-            if (100 + percent) * reach < percent * (n + best):
+            if (100 + percent) * (shared + min(left, node.longest - node.depth)) < needed:
                 continue
-            if node.ends and (100 + percent) * shared >= percent * (n + node.depth):
-                yield from node.ends
+            for i, other in node.ends:
+                if (100 + percent) * shared >= percent * (size + other):
+                    yield i
             stack.extend((c, shared) for c in node.children)
 
 
@@ -191,15 +197,26 @@ class Union:
         return i != j
 
 
-def block_links(sets: list[np.ndarray], hub: int, percent: int) -> list[tuple[int, int]]:
+def block_links(sets: list[np.ndarray], sizes: list[int], hub: int, percent: int) -> list[tuple[int, int]]:
     """Links that join all sets of a block into the components that all its links make."""
-    tree, joined, links = PrefixTree.of(sets), Union(len(sets)), []
+    tree, joined, links = PrefixTree.of(sets, sizes), Union(len(sets)), []
     for i in [hub, *(i for i in range(len(sets)) if i != hub)]:
         if i == hub or joined.find(i) != joined.find(hub):
-            links += [(i, j) for j in tree.search(sets[i], percent) if joined.join(i, j)]
+            links += [(i, j) for j in tree.search(sets[i], sizes[i], percent) if joined.join(i, j)]
     return links
 
 
+def packed_tokens(tokens: np.ndarray) -> bytes:
+    """Six bytes a shingle."""
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpacked_tokens(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def sketch(rows: DataFrame, n: int) -> tuple[np.ndarray, int]:
     """How many distinct shingles of documents fell into each of 2**CELL_BITS cells, and their sum."""
     cells = 1 << CELL_BITS
@@ -229,134 +246,167 @@ def sketch(rows: DataFrame, n: int) -> tuple[np.ndarray, int]:
 
 
 def bands(counts: np.ndarray, total: int) -> np.ndarray:
-    """The band of each cell in the global order: 0 up to 64 and thrice the mean, then four bands for each doubling."""
+    """The band of each cell in the global order: 0 up to 64 and thrice the mean, then one for each doubling, 15 at most."""
     base = 64 + 3 * total / len(counts)
-    return np.clip(np.ceil(4 * np.log2(np.maximum(counts, 1) / base)), 0, 127).astype(np.uint8)
+    return np.clip(np.ceil(np.log2(np.maximum(counts, 1) / base)), 0, 15).astype(np.uint8)
 
 
-def ordered(hashes: np.ndarray, band: np.ndarray) -> np.ndarray:
-    """Shingles as integers whose natural order is the global one: the band, then 56 bits of the hash."""
+def ordered(hashes: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles as integers whose natural order is the global one: four bits of the band, then 44 of the hash; and that order."""
     level = band[(hashes & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)].astype(np.uint64)
-    return np.sort(level << np.uint64(56) | hashes >> np.uint64(8))
+    tokens = level << np.uint64(44) | hashes >> np.uint64(20)
+    order = np.argsort(tokens)
+    return tokens[order], order
+
+
+class SharedFilter:
+    """A Bloom filter for each of 2**ranges ranges of mixed shingles, over those that two sets or more have."""
+
+    def __init__(self, ranges: int, bits: int):
+        self.ranges, self.bits, self.filters = ranges, bits, np.zeros((1 << ranges, bits >> 3), np.uint8)
+
+    @staticmethod
+    def keys(tokens: np.ndarray, ranges: int) -> np.ndarray:
+        """Of the mixed shingle, the bits of the range and 32 behind it."""
+        return mixed(tokens ^ np.uint64(0x5BD1E9955BD1E995)) >> np.uint64(32 - ranges)
+
+    def has(self, tokens: np.ndarray) -> np.ndarray:
+        keys = self.keys(tokens, self.ranges)
+        place = (keys >> np.uint64(32)).astype(np.int64)
+        found = np.ones(len(tokens), dtype=bool)
+        for p in Bloom(self.bits, self.filters[0])._places(mixed(keys)):
+            found &= (self.filters[place, (p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return found
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted numbers as the bytes of their differences, plane by plane, compressed."""
+    return zstandard.ZstdCompressor(1).compress(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _runs(once: np.ndarray, more: np.ndarray, shift: int) -> pa.RecordBatch:
+    """Sorted keys, those met once and those met more often, as a row for each range: keys >> shift."""
+    cut = [{int(r): k for r, k in zip((x >> np.uint64(shift))[at], np.split(x, at[1:]))} if len(x) else {} for x in (once, more) for at in [np.flatnonzero(np.diff(x >> np.uint64(shift), prepend=np.uint64(2**64 - 1)))]]
+    ranges = sorted(cut[0].keys() | cut[1].keys())
+    columns = [[_packed(part[r]) if r in part else None for r in ranges] for part in cut]
+    return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["range", "once", "more"])
 
 
-def shared_filter(rows: DataFrame, n: int, percent: int, band, total: int) -> tuple[np.ndarray, int]:
-    """A Bloom filter for each of `buckets` buckets of shingles over the prefix shingles that two sets or more have."""
-    expected = total // 3 + 1
-    buckets = 1 << max(4, (expected // 1_000_000).bit_length())
-    bits = 1 << min(28 - buckets.bit_length() + 1, max(13, (10 * expected // buckets // 2).bit_length()))
+def shared_filter(rows: DataFrame, n: int, total: int, range_tokens: int = 2_000_000, most_ranges: int = 12) -> SharedFilter:
+    """Counts each shingle by the sets that have it, copies in a batch once, and keeps those of two or more.
+
+    Tasks send sorted runs for 2**most_ranges ranges at most; where the data need finer ones, a second pass parts the
+    ranges again, so no task holds more than about range_tokens shingles of distinct sets.
+    """
+    fine = max(4, (total // range_tokens).bit_length())
+    coarse = min(fine, most_ranges)
+    bits = 1 << min(28 - fine, max(13, (4 * total >> fine).bit_length()))
+    kind = "range int, once binary, more binary"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            tokens, times = np.unique(np.concatenate(held), return_counts=True)
-            place = bucket_of(tokens, buckets)
-            order = np.argsort(place, kind="stable")
-            tokens, times, place = tokens[order], times[order], place[order]
-            cuts = np.searchsorted(place, np.arange(buckets + 1))
-            once = [tokens[a:z][times[a:z] == 1].tobytes() for a, z in zip(cuts, cuts[1:])]
-            more = [tokens[a:z][times[a:z] > 1].tobytes() for a, z in zip(cuts, cuts[1:])]
-            return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], ["bucket", "once", "more"])
+            keys, times = np.unique(SharedFilter.keys(np.concatenate(held), fine), return_counts=True)
+            return _runs(keys[times == 1], keys[times > 1], 32 + fine - coarse)
 
         for _, sets in _batches(batches, n):
-            fresh = {len(s).to_bytes(8, "little") + s.tobytes(): s for s in sets if len(s)}  # copies in a batch count once
-            for s in fresh.values():
-                held.append(ordered(s, band.value)[: prefix_length(len(s), percent)])
-                size += len(held[-1])
-            if size > 1_500_000:
+            fresh = {xxhash.xxh3_128_digest(s.tobytes()): s for s in sets if len(s)}
+            held += fresh.values()
+            size += sum(map(len, fresh.values()))
+            if size > 4_000_000:
                 yield out()
                 held, size = [], 0
         if held:
             yield out()
 
-    def find(t: pa.Table) -> pa.Table:
-        read = lambda name: np.frombuffer(b"".join(t.column(name).to_pylist()), np.uint64)
-        once, more = read("once"), read("more")
-        tokens, times = np.unique(once, return_counts=True)
-        f = Bloom(bits)
-        f.add(mixed(tokens[times > 1]))
-        f.add(mixed(more))
-        return pa.table([t.column("bucket").slice(0, 1), pa.array([f.bits.tobytes()], pa.binary())], names=["bucket", "bits"])
-
-    out = np.zeros((buckets, bits >> 3), np.uint8)
-    for bucket, found in rows.mapInArrow(emit, "bucket int, once binary, more binary").groupBy("bucket").applyInArrow(find, "bucket int, bits binary").collect():
-        out[bucket] = np.frombuffer(found, np.uint8)
-    return out, bits
+    def merged(once: list, more: list) -> tuple[np.ndarray, np.ndarray]:
+        parts = [_unpacked(x) for x in once if x is not None]
+        keys, times = np.unique(np.concatenate(parts or [np.zeros(0, np.uint64)]), return_counts=True)
+        twice = [_unpacked(x) for x in more if x is not None]
+        return keys[times == 1], np.unique(np.concatenate([keys[times > 1], *twice]))
 
+    def part_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, len(b), 256):
+                yield _runs(*merged(b.column(1)[a : a + 256].to_pylist(), b.column(2)[a : a + 256].to_pylist()), 32)
 
-def bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
-    return (mixed(tokens ^ np.uint64(0x5BD1E995)) & np.uint64(buckets - 1)).astype(np.int64)
-
+    def find(t: pa.Table) -> pa.Table:
+        _, shared = merged(t.column("once").to_pylist(), t.column("more").to_pylist())
+        f = Bloom(bits)
+        f.add(mixed(shared))
+        return pa.table([t.column("range").slice(0, 1), pa.array([f.bits.tobytes()], pa.binary())], names=["range", "bits"])
+
+    runs = rows.mapInArrow(emit, kind)
+    if fine > coarse:
+        runs = runs.repartition("range").mapInArrow(part_again, kind)
+    out = SharedFilter(fine, bits)
+    for r, found in runs.groupBy("range").applyInArrow(find, "range int, bits binary").collect():
+        out.filters[r] = np.frombuffer(found, np.uint8)
+    return out
 
-def is_shared(tokens: np.ndarray, filters: np.ndarray, bits: int) -> np.ndarray:
-    keys, place = mixed(tokens), bucket_of(tokens, len(filters))
-    found = np.ones(len(tokens), dtype=bool)
-    for p in Bloom(bits, filters[0])._places(keys):
-        found &= (filters[place, (p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-    return found
 
+def set_rows(rows: DataFrame, n: int, percent: int, band, shared) -> DataFrame:
+    """A row per document: doc_id, n_shingles, digest of the set, and for sets that may link, once a task for equal sets, their shared prefix shingles and all shared shingles, packed."""
 
-def set_rows(rows: DataFrame, n: int, percent: int, band, filters, bits: int) -> DataFrame:
-    """A row per document: doc_id, n_shingles, digest of the set, and for sets that may link their shared prefix shingles and all shingles (once a batch for equal sets)."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
         for ids, sets in _batches(batches, n):
             digests = [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]
-            prefixes, wholes, may, seen = [], [], [], {}
-            none = np.zeros(0, np.uint64)
+            prefixes, wholes = [], []
             for s, d in zip(sets, digests):
-                if d in seen or not len(s):
-                    may.append(seen.get(d, False))
-                    prefixes.append(none)
-                    wholes.append(none)
-                    continue
-                tokens = ordered(s, band.value)
-                prefix = tokens[: prefix_length(len(s), percent)]
-                prefix = prefix[is_shared(prefix, filters.value, bits)]
-                seen[d] = bool(len(prefix))
-                may.append(seen[d])
+                prefix, whole = np.zeros(0, np.uint64), None
+                if d not in seen and len(s):
+                    seen.add(d)
+                    if (met := shared.value.has(s)).sum() * 100 >= percent * len(s):
+                        tokens, order = ordered(s, band.value)
+                        met, size = met[order], prefix_length(len(s), percent)
+                        prefix = tokens[:size][met[:size]]
+                        whole = packed_tokens(tokens[met]) if len(prefix) else None
                 prefixes.append(prefix)
-                wholes.append(tokens if len(prefix) else none)
-            lists = [list_array(np.concatenate(x).view(np.int64), [len(y) for y in x], pa.int64()) for x in (prefixes, wholes)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests), pa.array(may), *lists], ["doc_id", "n_shingles", "digest", "may_link", "prefix", "tokens"])
+                wholes.append(whole)
+            prefix_lists = list_array(np.concatenate(prefixes).view(np.int64), [len(y) for y in prefixes], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests), prefix_lists, pa.array(wholes, pa.binary())], ["doc_id", "n_shingles", "digest", "prefix", "tokens"])
 
-    return rows.mapInArrow(make, "doc_id bigint, n_shingles bigint, digest string, may_link boolean, prefix array<bigint>, tokens array<bigint>")
+    return rows.mapInArrow(make, "doc_id bigint, n_shingles bigint, digest string, prefix array<bigint>, tokens binary")
 
 
 def block_join(members: DataFrame, percent: int, across: bool) -> DataFrame:
-    """Links (a, b) within each (hub, block) of rows (hub, block, probe, node, component, tokens), which come sorted by it.
+    """Links (a, b) within each (hub, block) of rows (hub, block, probe, node, component, size, tokens).
 
     Not across: all links of the block, as a forest. Across: each probe's links with sets of other components.
     """
 
     def links(rows: list[tuple]) -> list[tuple[int, int]]:
-        hub = rows[0][0]
+        node, component, size, tokens = range(3, 7)
         if across:
             base = [r for r in rows if not r[2]]
             if not base:
                 return []
-            tree, out = PrefixTree.of([r[5] for r in base]), {}
+            tree, out = PrefixTree.of([r[tokens] for r in base], [r[size] for r in base]), {}
             for r in rows:
                 if r[2]:
-                    for j in tree.search(r[5], percent):
-                        if base[j][4] != r[4]:
-                            out.setdefault((r[4], base[j][4]), (r[3], base[j][3]))
+                    for j in tree.search(r[tokens], r[size], percent):
+                        if base[j][component] != r[component]:
+                            out.setdefault((r[component], base[j][component]), (r[node], base[j][node]))
             return list(out.values())
-        at = next((i for i, r in enumerate(rows) if r[3] == hub), 0)
-        return [(rows[i][3], rows[j][3]) for i, j in block_links([r[5] for r in rows], at, percent)]
+        at = next((i for i, r in enumerate(rows) if r[node] == r[0]), 0)
+        return [(rows[i][node], rows[j][node]) for i, j in block_links([r[tokens] for r in rows], [r[size] for r in rows], at, percent)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key, out = [], None, []
         for b in batches:
-            hub, block, probe, node, component = (b.column(i).to_pylist() for i in range(5))
-            lists = b.column(5)
-            flat, offsets = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy(zero_copy_only=False)
-            for i in range(len(b)):
-                if (hub[i], block[i]) != key:
+            for *row, data in zip(*(c.to_pylist() for c in b.columns)):
+                if (row[0], row[1]) != key:
                     if len(held) > 1:
                         out += links(held)
-                    held, key = [], (hub[i], block[i])
-                held.append((hub[i], block[i], probe[i], node[i], component[i], flat[offsets[i] : offsets[i + 1]].copy()))
+                    held, key = [], (row[0], row[1])
+                held.append((*row, unpacked_tokens(data)))
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out)], ["a", "b"])
                 out = []
@@ -365,47 +415,71 @@ def block_join(members: DataFrame, percent: int, across: bool) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out)], ["a", "b"])
 
-    dealt = members.select("hub", "block", "probe", "node", "component", "tokens")
+    dealt = members.select("hub", "block", "probe", "node", "component", "size", "tokens")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(parts, "hub", "block").sortWithinPartitions("hub", "block").mapInArrow(run, "a bigint, b bigint")
 
 
-def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, percent: int = 75, block_rows: int = 400) -> DataFrame:
+def _with_tokens(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """blocks with size and tokens of their nodes. A filter of the nodes that are in blocks goes over the sets first, so others aren't moved."""
+    wanted = blocks.sparkSession.sparkContext.broadcast(bloom_of(blocks.select("node").distinct()))
+
+    @F.pandas_udf("boolean")
+    def may_be(ids: pd.Series) -> pd.Series:
+        return pd.Series(wanted.value.has(ids.to_numpy(dtype=np.int64).view(np.uint64)), dtype=bool)
+
+    return blocks.join(nodes.select("node", "size", "tokens").filter(may_be("node")), "node")
+
+
+def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, percent: int = 75, block_rows: int = 600) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach). block_rows: sets in a block."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), utf8(text).alias("text"))
     counts, total = sketch(rows, n)
     band = spark.sparkContext.broadcast(bands(counts, total))
-    found, bits = shared_filter(rows, n, percent, band, total)
-    filters = spark.sparkContext.broadcast(found)
-    sets = stored(set_rows(rows, n, percent, band, filters, bits), "sets")
-
-    wide = F.size("tokens") > 0
-    nodes = sets.filter("may_link").groupBy("digest").agg(F.min("doc_id").alias("node"), F.max(F.when(wide, F.col("prefix"))).alias("prefix"), F.max(F.when(wide, F.col("tokens"))).alias("tokens"))
-    nodes = stored(nodes.drop("digest"), "nodes")
-    links = _links(nodes, percent, block_rows)
-    same = sets.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
-    joined = same.join(links, "node", "left").select("digest", F.coalesce("component", "node").alias("component"), "n").filter("n > 1 or component is not null")
+    shared = spark.sparkContext.broadcast(shared_filter(rows, n, total))
+    sets = stored(set_rows(rows, n, percent, band, shared), "sets")
+
+    full = sets.filter("tokens is not null")
+    first = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))  # a set's node: the least of the rows that carry it
+    nodes = full.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), "digest", "prefix", "tokens")
+    links = _links(nodes, first, percent, block_rows)
+    named = first.join(links, first["doc_id"] == links["node"]).select("digest", "component")
+    # a component's id is the least doc_id of all rows of its sets
+    same = sets.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    joined = stored(same.join(named, "digest", "left").filter("n > 1 or component is not null"), "named")
+    tops = joined.filter("component is not null").groupBy("component").agg(F.min("least").alias("top"))
+    joined = joined.join(tops, "component", "left").select("digest", F.coalesce("top", "least").alias("component"))
     least = sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
     out = least.join(joined, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return out.select(null("doc_id"), "n_shingles", null("component_id"))
 
 
-def _links(nodes: DataFrame, percent: int, block_rows: int) -> DataFrame:
-    """(node, component) of the nodes that link."""
-    by_token = nodes.select("node", F.explode("prefix").alias("token")).distinct()
+def _links(nodes: DataFrame, first: DataFrame, percent: int, block_rows: int) -> DataFrame:
+    """(node, component) of the nodes that link.
+
+    Nodes that a chain of shared prefix shingles joins are one block if they are few enough, so each set is moved once.
+    Larger clusters are dealt by hub, in blocks.
+    """
+    chosen = nodes.select("node", "digest", "prefix").join(first.withColumnRenamed("doc_id", "node"), ["node", "digest"], "left_semi")
+    by_token = stored(chosen.select("node", F.explode("prefix").alias("token")).distinct(), "by-token")
     hubs = by_token.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = by_token.join(hubs, "token").select("hub", "node").distinct()
-    members = stored(members, "members")
-    sizes = members.groupBy("hub").agg(F.count("*").alias("n")).filter("n > 1").select("hub", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
-    in_blocks = members.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    hub_rows = sizes.filter("blocks > 1").select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("node"))
-    in_blocks = stored(in_blocks.filter("blocks = 1 or node <> hub").select("hub", "block", "node", "blocks").unionByName(hub_rows.withColumn("blocks", F.lit(2))), "blocks")
+    members = stored(by_token.join(hubs, "token").select("hub", "node").distinct(), "members")
+    clusters = stored(components(members.select(F.col("node").alias("a"), F.col("hub").alias("b")), "clusters"), "clusters")
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
+    large = sizes.filter(F.col("n") > block_rows).select("component")
+    small = clusters.join(large, "component", "left_anti").select(F.col("component").alias("hub"), F.lit(0).alias("block"), "node", F.lit(1).alias("blocks"))
+
+    apart = members.join(clusters.join(large, "component", "left_semi").select("node"), "node", "left_semi")
+    counts = stored(apart.groupBy("hub").agg(F.count("*").alias("n")).filter("n > 1").select("hub", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")), "hubs")
+    dealt = apart.join(counts, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).filter("blocks = 1 or node <> hub")
+    hub_rows = counts.filter("blocks > 1").select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("node"), "blocks")
+    in_blocks = stored(small.unionByName(dealt.select("hub", "block", "node", "blocks")).unionByName(hub_rows), "blocks")
 
     none = F.lit(None).cast("bigint")
-    full = in_blocks.withColumns({"probe": F.lit(False), "component": none}).join(nodes.select("node", "tokens"), "node")
-    edges = stored(block_join(full, percent, False), "links")
+    full = in_blocks.withColumns({"probe": F.lit(False), "component": none})
+    edges = stored(block_join(_with_tokens(full, nodes), percent, False), "links")
     found = components(edges)
     several = in_blocks.filter("blocks > 1")
     if several.limit(1).count():
@@ -413,10 +487,10 @@ def _links(nodes: DataFrame, percent: int, block_rows: int) -> DataFrame:
         known = stored(known.select("hub", "block", "node", "component"), "known")
         main = known.groupBy("hub", "component").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).filter("parts > 1")
         base = known.join(main.select("hub", "main"), "hub")
-        rest = base.filter("component <> main").select("hub", F.col("block").alias("own"), "node", "component").join(sizes, "hub")
+        rest = base.filter("component <> main").select("hub", F.col("block").alias("own"), "node", "component").join(counts, "hub")
         probes = rest.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "own", "node", "component").filter("block <> own")
         both = base.select("hub", "block", F.lit(False).alias("probe"), "node", "component").unionByName(probes.select("hub", "block", F.lit(True).alias("probe"), "node", "component"))
-        more = stored(block_join(both.join(nodes.select("node", "tokens"), "node"), percent, True), "more-links")
+        more = stored(block_join(_with_tokens(both, nodes), percent, True), "more-links")
         found = components(edges.unionByName(more), "components-again")
     return found
 
