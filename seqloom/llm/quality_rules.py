@@ -1,7 +1,7 @@
 """Quality rules by distribution divergence.
 
-A document's histogram of character classes and its histogram of common words are compared with the references of
-its language by the Jensen-Shannon distance (square root of the divergence with logarithms to base 2; 0 to 1). The
+A document's histograms of character classes, of common words and of marks (words without a letter or digit, such as
+the separators of a link list, against all others) are compared with the references of its language by the Jensen-Shannon distance (square root of the divergence with logarithms to base 2; 0 to 1). The
 references are the means of the histograms of all documents of that language that are long enough. Guards: a
 histogram is only judged if the document has at least min_chars letters, signs and digits or min_words words, and
 only if the language's reference has min_reference documents behind it; else it doesn't speak against the document.
@@ -16,6 +16,7 @@ space and 0x09 to 0x0D.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ COMMON_WORDS = (
 ).split()
 #: Character classes: a name and the bytes in it. What is left of each multi-byte character is its lead byte, in "wide".
 CLASSES = ("lower", "upper", "digit", "white", "stop", "symbol", "other", "wide")
+#: The bytes of a mark: those of ASCII but for letters and digits.
+MARKS = bytes(c for c in range(0x80) if not chr(c).isalnum())
 
 
 def _class_table() -> np.ndarray:
@@ -85,19 +88,19 @@ def measures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang:
             if line.strip():
                 dup += line in seen
                 seen.add(line)
-        n = len(words)
-        return n, int(raw.sum() - raw[CLASSES.index("white")]), sum(map(t.count, symbols)), dup, repeated_words(ids, max(1, len(places))), raw, [*common, n - sum(common)]
+        n, marks = len(words), sum(int(times[i]) for w, i in places.items() if not w.strip(MARKS))
+        return n, int(raw.sum() - raw[CLASSES.index("white")]), sum(map(t.count, symbols)), dup, repeated_words(ids, max(1, len(places))), raw, [*common, n - sum(common)], [marks, n - marks]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
                 continue
-            *counts, raw, common = zip(*map(one, b.column(2).to_pylist()))
-            lists = [list_array(np.concatenate(x).astype(np.int64), [len(x[0])] * len(b), pa.int64()) for x in (raw, common)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in counts), *lists], ["doc_id", "lang", *NUMBERS, "chars", "common"])
+            *counts, raw, common, marks = zip(*map(one, b.column(2).to_pylist()))
+            lists = [list_array(np.concatenate(x).astype(np.int64), [len(x[0])] * len(b), pa.int64()) for x in (raw, common, marks)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in counts), *lists], ["doc_id", "lang", *NUMBERS, "chars", "common", "marks"])
 
     found = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(lang).cast("string").alias("lang"), utf8(text).alias("text"))
-    return found.mapInArrow(rows, f"doc_id bigint, lang string, {', '.join(f'{c} bigint' for c in NUMBERS)}, chars array<bigint>, common array<bigint>")
+    return found.mapInArrow(rows, f"doc_id bigint, lang string, {', '.join(f'{c} bigint' for c in NUMBERS)}, chars array<bigint>, common array<bigint>, marks array<bigint>")
 
 
 NUMBERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -125,14 +128,14 @@ def references(measured: DataFrame, name: str, least: Column) -> DataFrame:
     return bins.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias(f"{name}_ref"), F.max("n").alias(f"{name}_docs"))
 
 
-def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", base_words: int = 50, base_repeats: int = 50, max_chars_distance: tuple[float, float] = (0.22, 2.0), max_common_distance: tuple[float, float] = (0.30, 1.2), min_chars: int = 200, min_words: int = 50, min_reference: int = 20) -> DataFrame:
-    """One row per document: the counts, base_failed, the two distances (null where a guard holds) and kept.
+def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", base_words: int = 50, base_repeats: int = 50, max_chars_distance: tuple[float, float] = (0.22, 2.0), max_common_distance: tuple[float, float] = (0.30, 1.2), max_marks_distance: tuple[float, float] | None = (0.20, 0.6), min_chars: int = 200, min_words: int = 50, min_reference: int = 20) -> DataFrame:
+    """One row per document: the counts, base_failed, the three distances (null where a guard holds) and kept.
 
     A distance speaks against a document above least + slack / sqrt(n), n its characters in words or its words: a
-    histogram of few of them is far from any reference by chance.
+    histogram of few of them is far from any reference by chance. max_marks_distance None leaves marks out of kept.
     """
     measured = stored(measures(docs, text, doc_id, lang), "measures")
-    guards = {"chars": F.col("word_chars") >= min_chars, "common": F.col("n_words") >= min_words}
+    guards = {"chars": F.col("word_chars") >= min_chars, "common": F.col("n_words") >= min_words, "marks": F.col("n_words") >= min_words}
     out = measured
     for name, least in guards.items():
         ref = references(measured, name, least).withColumnRenamed("lang", f"{name}_lang")
@@ -140,9 +143,10 @@ def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str
         out = out.withColumn(f"{name}_distance", F.when(least & (F.col(f"{name}_docs") >= min_reference), js_distance(_share(F.col(name)), F.col(f"{name}_ref"))))
     failed = (F.col("n_words") < base_words) | (100 * F.col("n_repeat_words") > base_repeats * F.col("n_words"))
     limits = [("chars_distance", "word_chars", max_chars_distance), ("common_distance", "n_words", max_common_distance)]
+    limits += [("marks_distance", "n_words", max_marks_distance)] if max_marks_distance else []
     far = [F.coalesce(F.col(d) > F.lit(least) + F.lit(slack) / F.sqrt(n), F.lit(False)) for d, n, (least, slack) in limits]
-    out = out.withColumn("base_failed", failed).withColumn("kept", ~(failed | far[0] | far[1]))
-    return out.select("doc_id", *NUMBERS, "base_failed", "kept", "chars_distance", "common_distance")
+    out = out.withColumn("base_failed", failed).withColumn("kept", ~reduce(lambda a, b: a | b, far, failed))
+    return out.select("doc_id", *NUMBERS, "base_failed", "kept", "chars_distance", "common_distance", "marks_distance")
 
 
 def keep(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", **rules) -> DataFrame:

@@ -139,6 +139,18 @@ def test_divergence_speaks_against_odd_texts(spark):
     assert all(kept[i] for i in range(60)) and not kept[60] and not kept[61]
 
 
+def test_marks_speak_against_separator_lists(spark):
+    rng = np.random.default_rng(7)
+    common, names = "the of and to in is that it for on".split(), ["".join(rng.choice(list("aeiorstln"), 12)) for _ in range(400)]
+    plain = [" ".join(rng.choice(common) if rng.random() < 0.15 else rng.choice(names) for _ in range(80)) + " - end." for _ in range(300)]
+    lists = [" | ".join(rng.choice(common) if rng.random() < 0.15 else rng.choice(names) for _ in range(40)) + "." for _ in range(6)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(plain + lists)], "doc_id bigint, text string, lang string")
+    rows = {r["doc_id"]: r for r in quality_rules.judge(df).collect()}
+    assert all(rows[i]["kept"] for i in range(300)) and not any(rows[i]["kept"] for i in range(300, 306))
+    without = {r["doc_id"]: r["kept"] for r in quality_rules.judge(df, max_marks_distance=None).collect()}
+    assert all(without.values()) and not any(rows[i]["base_failed"] for i in rows)
+
+
 def test_secrets(spark, empty):
     live, known = "k3Jq9zTt7Lw2Xv8Bn4Rd", "A1b2C3d4E5f6G7h8I9j0"
     said = ["x password = ab, TOKEN: '" + live + "' 😀 secret=" + known, "api_key=" + known, "apikey :" + known + " AKIA" + "Q7" * 9, "AKIA" + "Z" * 15 + " " + "0a" * 11 + " " + "0a" * 13, None, "", "token=token=abcdef", "password = secret = longenough1"]
