@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqloom.functions import vec
 from seqloom.operators import stats
 from seqloom.operators.linalg import _matrix, _summed
-from seqloom.storage import stored
+from seqloom.storage import positioned, stored
 
 #: Rows that one group's k-means is fitted on in a single task; larger groups are fitted by distributed steps.
 GROUP_ROWS = 50_000
@@ -82,15 +86,79 @@ def _kmeans(x: np.ndarray, k: int, steps: int) -> np.ndarray:
     return centers
 
 
+def _large_groups(rows: DataFrame, keys: list[str], sizes: DataFrame, fit_rows: int) -> tuple[list, DataFrame, DataFrame]:
+    """The groups of more than fit_rows rows as (keys, n and what else sizes has), the rows of all others, and the large groups' rows with __g, the group's place in the list.
+
+    There is one large group for fit_rows rows of the table at most; the list of them comes to the driver.
+    """
+    found = sizes.filter(F.col("n") > fit_rows).collect()
+    if not found:
+        return [], rows, rows.limit(0).withColumn("__g", F.lit(0))
+    schema = T.StructType([T.StructField(f"__k{i}", rows.schema[c].dataType) for i, c in enumerate(keys)] + [T.StructField("__g", T.IntegerType())])
+    numbers = F.broadcast(rows.sparkSession.createDataFrame([(*(r[c] for c in keys), g) for g, r in enumerate(found)], schema))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)))
+    return found, rows.join(numbers, same, "left_anti"), rows.join(numbers, same).drop(*schema.names[:-1])
+
+
+def _large_kmeans(rows: DataFrame, sizes: dict[int, tuple[int, int]], steps: int) -> dict[int, np.ndarray]:
+    """_kmeans of whole groups by distributed steps: the centers of each group. rows: (__g, __id, __v); sizes: its rows and its centers.
+
+    Sums by group and code are made on the executors. A group ends where it doesn't move any more. What comes to the
+    driver and is broadcast are the centers of the large groups. They agree with _kmeans but for the rounding of sums.
+    """
+    spark = rows.sparkSession
+    starts = {g: np.linspace(0, n - 1, k).astype(int) for g, (n, k) in sizes.items()}
+    places = spark.createDataFrame([(g, int(p)) for g, ps in starts.items() for p in sorted(set(ps))], "__g int, pos bigint")
+    first = positioned(rows.select("__g", "__id"), "__g", ["__id"]).join(F.broadcast(places), ["__g", "pos"])
+    found = rows.join(F.broadcast(first), ["__g", "__id"]).groupBy("__g", "pos").agg(F.first("__v")).collect()
+    at = {(g, p): np.array(v, dtype=np.float64) for g, p, v in found}
+    centers = {g: np.stack([at[g, int(p)] for p in ps]) for g, ps in starts.items()}
+    active = dict(centers)
+    for _ in range(steps):
+        shared = spark.sparkContext.broadcast(active)
+
+        def partial(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for b in batches:
+                group, x = b.column(0).to_numpy(), _matrix(b.column(1))
+                for g in np.unique(group).tolist():
+                    if g not in shared.value:
+                        continue
+                    c, own = shared.value[g], x[group == g]
+                    code = _nearest(own, c)
+                    sums = np.zeros((len(c), c.shape[1] + 1))
+                    np.add.at(sums[:, 1:], code, own)
+                    sums[:, 0] = np.bincount(code, minlength=len(c))
+                    total[g] = total.get(g, 0) + sums
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["__g", "sums"])
+
+        def add(t: pa.Table) -> pa.Table:
+            x = sum(np.frombuffer(v, np.float64) for v in t.column("sums").to_pylist())
+            return pa.table([t.column("__g").slice(0, 1), pa.array([x.tobytes()], pa.binary())], names=["__g", "sums"])
+
+        moved = {}
+        for g, raw in rows.select("__g", "__v").mapInArrow(partial, "__g int, sums binary").groupBy("__g").applyInArrow(add, "__g int, sums binary").collect():
+            c = active[g]
+            sums = np.frombuffer(raw, np.float64).reshape(len(c), -1)
+            new = np.where(sums[:, :1] > 0, sums[:, 1:] / np.maximum(sums[:, :1], 1), c)
+            if np.abs(new - c).max() >= 1e-9:
+                moved[g] = centers[g] = new
+        shared.unpersist()
+        active = moved
+        if not active:
+            break
+    return centers
+
+
 def group_centers(df: DataFrame, keys: list[str], k: int, vector: str = "feature", id: str = "frame_id", steps: int = 20, least: int | None = None, few: str = "skip", fit_rows: int = GROUP_ROWS) -> DataFrame:
     """(keys, center_id, center, n): k-means in each group of at least `least` rows (k by default). few: 'skip' smaller groups, give their rows 'raw', or 'shrink' k to half their rows.
 
-    A group is fitted in one task on its fit_rows rows of smallest hash at most, which Spark cuts before the shuffle.
+    All rows of a group count. A group of up to fit_rows rows is fitted in one task, a larger one by distributed steps.
     """
     least = k if least is None else least
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(9), F.col(id)), id))
-    rows = df.select(*keys, F.col(id).cast("bigint").alias("__id"), F.col(vector).cast("array<double>").alias("__v"), rank.alias("__rank")).filter(F.col("__rank") <= fit_rows).drop("__rank")
+    rows = df.select(*keys, F.col(id).cast("bigint").alias("__id"), F.col(vector).cast("array<double>").alias("__v"))
     kinds = dict(df.dtypes)
+    large, rows, whole = _large_groups(rows, keys, rows.groupBy(*keys).agg(F.count("*").alias("n")), fit_rows)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__id")
@@ -104,7 +172,20 @@ def group_centers(df: DataFrame, keys: list[str], k: int, vector: str = "feature
         return out.assign(center_no=np.arange(len(centers), dtype="int32"), center=[c.tolist() for c in centers], n=len(x))
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "center_no int, center array<double>, n bigint"])
-    return rows.groupBy(*keys).applyInPandas(fit, schema)
+    out = rows.groupBy(*keys).applyInPandas(fit, schema)
+    if not large:
+        return out
+    whole = stored(whole, "large-groups")
+    count = {g: (r["n"], min(k, r["n"] // 2) if few == "shrink" else k) for g, r in enumerate(large)}
+    fitted = {g: (n, size) for g, (n, size) in count.items() if n >= least and size > 0}
+    if few == "raw" and len(fitted) < len(large):
+        raw = positioned(whole.filter(~F.col("__g").isin(list(fitted))), "__g", ["__id"])
+        sizes = df.sparkSession.createDataFrame([(g, n) for g, (n, _) in count.items()], "__g int, n bigint")
+        out = out.unionByName(raw.join(F.broadcast(sizes), "__g").select(*keys, F.col("pos").cast("int").alias("center_no"), F.col("__v").alias("center"), "n"))
+    if not fitted:
+        return out
+    centers = _large_kmeans(whole, fitted, steps)
+    return out.unionByName(df.sparkSession.createDataFrame([(*(large[g][c] for c in keys), i, [float(v) for v in x], large[g]["n"]) for g, found in centers.items() for i, x in enumerate(found)], out.schema))
 
 
 def numbered(centers: DataFrame, keys: list[str]) -> DataFrame:
@@ -163,22 +244,31 @@ def quantized_pool(df: DataFrame, most: int = 64, least: int = 100) -> DataFrame
     return group_centers(df, ["pattern", "phone", "gender"], most, least=least, few="shrink")
 
 
-def prototypes(df: DataFrame, budget: int, dims: int, by_phone: bool = True) -> DataFrame:
-    """(speaker, phone, center_no, center): unit-length prototypes, by speaker or by (speaker, phone) with the budget shared out in proportion to rows, one at least."""
+def prototypes(df: DataFrame, budget: int, dims: int, by_phone: bool = True, fit_rows: int = GROUP_ROWS) -> DataFrame:
+    """(speaker, phone, center_no, center): unit-length prototypes, by speaker or by (speaker, phone) with the budget shared out in proportion to rows, one at least.
+
+    All rows of a group count. A group of up to fit_rows rows is fitted in one task, a larger one by distributed steps.
+    """
     keys = ["speaker", "phone"] if by_phone else ["speaker"]
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy("speaker")))
-    want = sizes.select(*keys, F.greatest(F.lit(1), F.floor(F.lit(budget) * F.col("n") / F.col("total"))).cast("int").alias("want"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(9), "frame_id"), "frame_id"))
-    rows = df.select(*keys, "frame_id", "feature", rank.alias("rank")).filter(F.col("rank") <= GROUP_ROWS).join(want, keys)
+    want = sizes.dropna(subset=keys).select(*keys, "n", F.greatest(F.lit(1), F.floor(F.lit(budget) * F.col("n") / F.col("total"))).cast("int").alias("want"))
+    large, rows, whole = _large_groups(df.select(*keys, "frame_id", "feature"), keys, want, fit_rows)
+    rows = rows.join(want.drop("n"), keys)
     kinds = dict(df.dtypes)
+    unit = lambda c: c / (np.linalg.norm(c, axis=1, keepdims=True) + 1e-8)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame_id")
         c = _kmeans(np.stack(pdf["feature"].to_numpy()), min(int(pdf["want"].iloc[0]), len(pdf)), 20)
-        c = c / (np.linalg.norm(c, axis=1, keepdims=True) + 1e-8)
+        c = unit(c)
         return pd.DataFrame({k: [pdf[k].iloc[0]] * len(c) for k in keys}).assign(center_no=np.arange(len(c), dtype="int32"), center=[x.tolist() for x in c])
 
-    return rows.groupBy(*keys).applyInPandas(fit, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "center_no int, center array<double>"]))
+    out = rows.groupBy(*keys).applyInPandas(fit, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "center_no int, center array<double>"]))
+    if not large:
+        return out
+    whole = stored(whole.select("__g", F.col("frame_id").cast("bigint").alias("__id"), F.col("feature").cast("array<double>").alias("__v")), "large-groups")
+    centers = _large_kmeans(whole, {g: (r["n"], min(r["want"], r["n"])) for g, r in enumerate(large)}, 20)
+    return out.unionByName(df.sparkSession.createDataFrame([(*(large[g][k] for k in keys), i, [float(v) for v in x]) for g, c in centers.items() for i, x in enumerate(unit(c))], out.schema))
 
 
 def coarse_cells(df: DataFrame, cells: int, vector: str = "feature") -> tuple[DataFrame, np.ndarray]:

@@ -89,6 +89,21 @@ def test_centers_do_not_depend_on_partitions(frames):
     assert cluster.codebook(frames, 5) == pytest.approx(cluster.codebook(frames.repartition(3), 5))
 
 
+@pytest.mark.parametrize("keys", [["phone"], ["phone", "other"]])
+def test_large_groups_are_fitted_whole(frames, keys):
+    f = frames.filter("phone > 0 OR frame_id % 2 = 0").withColumn("other", F.when(F.col("phone") > 1, F.lit("x")))
+    order = lambda df: sorted(df.collect(), key=lambda r: (r["phone"], r["center_no"]))
+    for more in ({}, {"few": "shrink", "least": 1}, {"few": "raw", "least": 45}):
+        one, many = (order(cluster.group_centers(f, keys, 3, fit_rows=n, **more)) for n in (1000, 20))
+        some = order(cluster.group_centers(f, keys, 3, fit_rows=40, **more))
+        for got in (many, some):
+            assert [(r["phone"], r["center_no"], r["n"]) for r in got] == [(r["phone"], r["center_no"], r["n"]) for r in one]
+            assert np.array([r["center"] for r in got]) == pytest.approx(np.array([r["center"] for r in one]))
+    assert {(r["phone"], r["n"]) for r in one} == {(0, 30), (1, 60), (2, 60), (3, 60)}
+    protos = [sorted(cluster.prototypes(frames, 20, DIMS, fit_rows=n).collect(), key=lambda r: (r["speaker"], r["phone"], r["center_no"])) for n in (1000, 3)]
+    assert np.array([r["center"] for r in protos[1]]) == pytest.approx(np.array([r["center"] for r in protos[0]]))
+
+
 def test_bank_has_many_speakers_and_falls_back(frames):
     some = cluster.bank(frames, DIMS, clusters=3, per_cluster=5, least_speakers=3)
     assert some.groupBy("phone", "center_no").count().agg(F.max("count")).first()[0] <= 5
