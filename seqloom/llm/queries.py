@@ -34,7 +34,7 @@ PIECE_MODEL = os.environ.get("SEQLOOM_PIECE_MODEL", "/opt/tokenizers/piece_bpe_3
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_sampling.sampled(table(spark, sf_dir, "documents"), PIECE_MODEL, k=2, with_ids=False)
+    return piece_sampling.sampled(table(spark, sf_dir, "documents"), PIECE_MODEL, k=2)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,6 +263,15 @@ def test_segmentations(spark, docs, empty):
     assert piece_sampling.sampled(empty, PIECE_MODEL).count() == 0
 
 
+def test_registered_segmentations_can_be_decoded(spark):
+    from seqloom.llm.queries import op4_sentencepiece
+
+    sf = "/root/testdata/sf0.001"
+    out = op4_sentencepiece(spark, sf)
+    plain = piece_sampling.decoded(out, PIECE_MODEL).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "doc_id")
+    assert plain.count() >= 200 and plain.filter("decoded <> coalesce(text, '')").count() == 0
+
+
 def test_segmentations_are_distinct_and_fair():
     lat = piece_sampling.Lattices(piece_sampling.Pieces(PIECE_MODEL))
     n, text = 4000, "the\nab é\x01"
