@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,20 +16,39 @@ CHUNK = 65_536
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder of our own where it is unset, as in tests."""
+    """spark.checkpoint.dir. Where it is unset and all runs on this machine, as in tests, a temporary folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = set_dir.get() if set_dir.isDefined() else None
     if not found:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='seqloom-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's interpreter ends."""
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables stored meanwhile, but for those that outlive it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+
+
+def new_path(spark: SparkSession, name: str, outlives: bool = False) -> str:
+    """A fresh path in the shared folder, deleted with the scratch around it (with the one around that, if it outlives it) or else when the driver's interpreter ends."""
     path = f"{shared_dir(spark)}/seqloom-{uuid.uuid4().hex[:12]}-{name}"
+    around = _scopes[: len(_scopes) - outlives]
+    if around:
+        around[-1].append(path)
     atexit.register(_delete, spark, path)
     return path
 
@@ -39,9 +59,9 @@ def _delete(spark: SparkSession, path: str) -> None:
         jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     """df written and read back: cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
+    path = new_path(df.sparkSession, name, outlives)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
