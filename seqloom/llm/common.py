@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.storage import new_path, stored
+from seqloom.storage import new_path, scratch, stored
 
-__all__ = ["Bloom", "bloom_of", "list_array", "mixed", "new_path", "stored", "summed", "table", "utf8"]
+__all__ = ["Bloom", "bloom_of", "list_array", "mixed", "new_path", "row_key", "scratch", "stored", "summed", "sums", "table", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,15 @@ def utf8(column: str = "text"):
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+def row_key(docs: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, str]:
+    """docs and the column that names each of its rows: doc_id if it is a whole number that is never null and never repeats, else __row, a number that docs are stored with."""
+    if dict(docs.dtypes)[doc_id] in ("tinyint", "smallint", "int", "bigint"):
+        times = docs.groupBy(F.col(f"`{doc_id}`").alias("id")).agg(F.count("*").alias("n"))
+        if times.filter("id is null or n > 1").isEmpty():
+            return docs, doc_id
+    return stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered"), "__row"
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64) over unsigned integers."""
     x = x.astype(np.uint64, copy=True)
@@ -43,11 +52,11 @@ def list_array(flat: np.ndarray, sizes, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, kind))
 
 
-def summed(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], length: int, pieces: int = 64) -> np.ndarray:
-    """The sum over all tasks of the integer array of fixed length that count makes of a task's batches.
+def sums(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], length: int, pieces: int = 64) -> DataFrame:
+    """(piece, salt, cells) of the sum over all tasks of the integer array of fixed length that count makes of a task's batches.
 
     Tasks send the pieces that aren't zero, packed; pieces are summed on the executors, in two steps where there are
-    many tasks, and the sum, whose size doesn't depend on the data, comes to the driver.
+    many tasks.
     """
     import zstandard
 
@@ -77,8 +86,15 @@ def summed(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarr
     parts = rows.mapInArrow(send, kind)
     if salts > 1:
         parts = parts.groupBy("piece", "salt").applyInArrow(add, kind)
-    out, unpack = np.zeros(length, np.int64), zstandard.ZstdDecompressor().decompress
-    for piece, _, cells in parts.groupBy("piece").applyInArrow(add, kind).collect():
+    return parts.groupBy("piece").applyInArrow(add, kind)
+
+
+def summed(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], length: int, pieces: int = 64) -> np.ndarray:
+    """The sum that `sums` makes, on the driver; its size doesn't depend on the data."""
+    import zstandard
+
+    out, size, unpack = np.zeros(length, np.int64), -(-length // pieces), zstandard.ZstdDecompressor().decompress
+    for piece, _, cells in sums(rows, count, length, pieces).collect():
         out[piece * size : (piece + 1) * size] = np.frombuffer(unpack(cells), np.int64)
     return out
 

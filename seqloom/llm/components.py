@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import stored
+from seqloom.llm.common import scratch, stored
 
 
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 50) -> DataFrame:
@@ -15,6 +15,11 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 50
     back, so a node with many edges is spread as any skewed join is. Steps are written, so no lineage grows. Loops,
     repeated edges and edges with a null are left out; nodes without other edges don't appear.
     """
+    with scratch(edges.sparkSession):
+        return stored(_reached(edges, name, most_rounds), name, outlives=True)
+
+
+def _reached(edges: DataFrame, name: str, most_rounds: int) -> DataFrame:
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
     if not now.limit(1).count():
         return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

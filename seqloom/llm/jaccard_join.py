@@ -10,13 +10,15 @@ hub, in blocks of bounded size, are stored in a path-compressed tree in the glob
 the overlap counted so far among all sets below a node, and leaves a subtree when what remains of both cannot reach the
 threshold any more. Each block probes its hub first; only sets that the hub's component hasn't taken in probe again.
 Where a hub has several blocks, its sets outside of its largest component are then compared with the other blocks, so
-every link between two components is found. Sets are compared exactly; equal sets are one node.
+every link between two components is found. Equal sets are one node, named by 63 bits of the set's 128-bit digest, so rows
+without an identifier and rows that share one are nodes of their own. All shingles of two sets are compared, by 48 bits
+each (four of the band, 44 of the hash); two of 1,000 shingles have a false match with a probability below 1e-7.
 
 Bounds: the sketch has 2**23 cells, the filter of shared shingles 2**28 bits at most; both only steer the work.
 
 Defined results: a null text is empty; a document without words has an empty set and is linked with nothing; fewer
-words than n make one shingle; a null doc_id never is a component's id unless it is alone; repeated rows are returned
-each; an empty table gives an empty result.
+words than n make one shingle; links join rows by their texts, never by equal identifiers; a null doc_id is no component's
+id unless all of the component's are null; repeated rows are returned each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,18 +28,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Bloom, bloom_of, list_array, mixed, stored, summed, utf8
+from seqloom.llm.common import Bloom, bloom_of, list_array, mixed, row_key, scratch, stored, sums, utf8
 from seqloom.llm.components import components
 
 BASE = 0x9E3779B97F4A7C15 | 1  # odd, so that it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 SLICE = 1 << 20
-NO_ID = 2**63 - 1
 WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 CELL_BITS = 23
 PIECES = 128
@@ -104,12 +106,11 @@ def prefix_length(n: int, percent: int) -> int:
 def _batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """Of each batch the identifiers and the sets, some MB of text at a time."""
     for b in batches:
-        texts, a = b.column(1).to_pylist(), 0
-        while a < len(texts):
-            z, held = a, 0
-            while z < len(texts) and (z == a or held + len(texts[z]) < 4 * SLICE):
-                held, z = held + len(texts[z]), z + 1
-            yield b.column(0).slice(a, z - a), shingle_sets(texts[a:z], n)
+        ends = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < len(b):
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 2 * SLICE)))
+            yield b.column(0).slice(a, z - a), shingle_sets(b.column(1).slice(a, z - a).to_pylist(), n)
             a = z
 
 
@@ -207,46 +208,46 @@ def block_links(sets: list[np.ndarray], sizes: list[int], hub: int, percent: int
 
 
 def packed_tokens(tokens: np.ndarray) -> bytes:
-    """Six bytes a shingle."""
-    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    """Sorted shingles as the bytes of their differences, plane by plane, compressed."""
+    return zstandard.ZstdCompressor(1).compress(np.diff(tokens, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def unpacked_tokens(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def sketch(rows: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """How many distinct shingles of documents fell into each of 2**CELL_BITS cells, and their sum."""
+    """The band of each of 2**CELL_BITS cells of shingles (see bands), and the sum of all cells.
+
+    Cells are summed and turned into bands on the executors, so a byte a cell comes to the driver.
+    """
     cells = 1 << CELL_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total, held, size, seen = np.zeros(cells, np.uint32), [], 0, set()
-
-        def add() -> None:
-            nonlocal held, size
-            if held:
-                total[:] += np.bincount((np.concatenate(held) & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint32)
-            held, size = [], 0
-
+        total, seen = np.zeros(cells, np.uint32), set()
         for _, sets in _batches(batches, n):
-            for s in sets:
-                if len(s) and (key := xxhash.xxh64_intdigest(s.tobytes())) not in seen:  # copies that one task reads count once
-                    seen.add(key)
-                    held.append(s)
-                    size += len(s)
-            if size > 2_000_000:
-                add()
-        add()
+            fresh = {xxhash.xxh3_128_digest(s.tobytes()): s for s in sets if len(s)}
+            new = [s for d, s in fresh.items() if d not in seen]  # copies that one task reads count once
+            seen.update(fresh)
+            if new:
+                np.add.at(total, (np.concatenate(new) & np.uint64(cells - 1)).astype(np.int64), np.uint32(1))
         return total
 
-    out = summed(rows, count, cells, PIECES)
-    return out, int(out.sum())
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int64) for x in b.column("cells").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("piece"), pa.array([int(c.sum()) for c in counts], pa.int64()), pa.array([bands(c, int(c.sum())).tobytes() for c in counts], pa.binary())], ["piece", "total", "bands"])
+
+    out, total, size = np.zeros(cells, np.uint8), 0, cells // PIECES
+    for piece, held, found in sums(rows, count, cells, PIECES).mapInArrow(cut, "piece int, total bigint, bands binary").collect():
+        out[piece * size : (piece + 1) * size] = np.frombuffer(found, np.uint8)
+        total += held
+    return out, total
 
 
 def bands(counts: np.ndarray, total: int) -> np.ndarray:
-    """The band of each cell in the global order: 0 up to 64 and thrice the mean, then one for each doubling, 15 at most."""
+    """The band of each cell in the global order: 0 up to 64 and thrice the mean of its piece, then one for each doubling, 15 at most."""
     base = 64 + 3 * total / len(counts)
     return np.clip(np.ceil(np.log2(np.maximum(counts, 1) / base)), 0, 15).astype(np.uint8)
 
@@ -279,21 +280,250 @@ class SharedFilter:
         return found
 
 
-def _packed(keys: np.ndarray) -> bytes:
-    """Sorted numbers as the bytes of their differences, plane by plane, compressed."""
-    return zstandard.ZstdCompressor(1).compress(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
+def _runs(once: np.ndarray, more: np.ndarray, shift: int) -> pa.RecordBatch:
+    """Sorted keys, those met once and those met more often, as a row for each range: keys >> shift."""
+    cut = [{int(r): k for r, k in zip((x >> np.uint64(shift))[at], np.split(x, at[1:]))} if len(x) else {} for x in (once, more) for at in [np.flatnonzero(np.diff(x >> np.uint64(shift), prepend=np.uint64(2**64 - 1)))]]
+    ranges = sorted(cut[0].keys() | cut[1].keys())
+    columns = [[packed_tokens(part[r]) if r in part else None for r in ranges] for part in cut]
+    return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["range", "once", "more"])
+
+
+def shared_filter(rows: DataFrame, n: int, total: int, range_tokens: int = 2_000_000, most_ranges: int = 12) -> SharedFilter:
+    """Counts each shingle by the sets that have it, copies in a batch once, and keeps those of two or more.
+
+    Tasks send sorted runs for 2**most_ranges ranges at most; where the data need finer ones, a second pass parts the
+    ranges again, so no task holds more than about range_tokens shingles of distinct sets.
+    """
+    fine = max(4, (total // range_tokens).bit_length())
+    coarse = min(fine, most_ranges)
+    bits = 1 << min(28 - fine, max(13, (2 * total >> fine).bit_length()))
+    kind = "range int, once binary, more binary"
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            keys, times = np.unique(SharedFilter.keys(np.concatenate(held), fine), return_counts=True)
+            return _runs(keys[times == 1], keys[times > 1], 32 + fine - coarse)
+
+        for _, sets in _batches(batches, n):
+            fresh = {xxhash.xxh3_128_digest(s.tobytes()): s for s in sets if len(s)}
+            held += fresh.values()
+            size += sum(map(len, fresh.values()))
+            if size > 2_000_000:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    def merged(once: list, more: list) -> tuple[np.ndarray, np.ndarray]:
+        parts = [unpacked_tokens(x) for x in once if x is not None]
+        keys, times = np.unique(np.concatenate(parts or [np.zeros(0, np.uint64)]), return_counts=True)
+        twice = [unpacked_tokens(x) for x in more if x is not None]
+        return keys[times == 1], np.unique(np.concatenate([keys[times > 1], *twice]))
+
+    def part_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, len(b), 256):
+                yield _runs(*merged(b.column(1)[a : a + 256].to_pylist(), b.column(2)[a : a + 256].to_pylist()), 32)
+
+    def find(t: pa.Table) -> pa.Table:
+        _, shared = merged(t.column("once").to_pylist(), t.column("more").to_pylist())
+        f = Bloom(bits)
+        f.add(mixed(shared))
+        return pa.table([t.column("range").slice(0, 1), pa.array([f.bits.tobytes()], pa.binary())], names=["range", "bits"])
+
+    runs = rows.mapInArrow(emit, kind)
+    if fine > coarse:
+        runs = runs.repartition("range").mapInArrow(part_again, kind)
+    out = SharedFilter(fine, bits)
+    for r, found in stored(runs.groupBy("range").applyInArrow(find, "range int, bits binary"), "filters").toLocalIterator():
+        out.filters[r] = np.frombuffer(found, np.uint8)
+    return out
+
+
+def set_rows(rows: DataFrame, n: int, percent: int, band, shared) -> DataFrame:
+    """A row per document: doc_id, n_shingles, digest of the set, its node, and for sets that may link, once a task for equal sets, their shared prefix shingles and all shared shingles, packed."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for ids, sets in _batches(batches, n):
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            prefixes, wholes = [], []
+            for s, d in zip(sets, digests):
+                prefix, whole = np.zeros(0, np.uint64), None
+                if d not in seen and len(s):
+                    seen.add(d)
+                    if (met := shared.value.has(s)).sum() * 100 >= percent * len(s):
+                        tokens, order = ordered(s, band.value)
+                        met, size = met[order], prefix_length(len(s), percent)
+                        prefix = tokens[:size][met[:size]]
+                        whole = packed_tokens(tokens[met]) if len(prefix) else None
+                prefixes.append(prefix)
+                wholes.append(whole)
+            prefix_lists = list_array(np.concatenate(prefixes).view(np.int64), [len(y) for y in prefixes], pa.int64())
+            nodes = [int.from_bytes(d[:8], "big") >> 1 if len(s) else None for s, d in zip(sets, digests)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), prefix_lists, pa.array(wholes, pa.binary())], ["doc_id", "n_shingles", "node", "prefix", "tokens"])
+
+    return rows.mapInArrow(make, "doc_id bigint, n_shingles bigint, node bigint, prefix array<bigint>, tokens binary")
+
+
+def block_join(members: DataFrame, percent: int, across: bool) -> DataFrame:
+    """Links (a, b) within each (hub, block) of rows (hub, block, probe, node, component, size, tokens).
+
+    Not across: all links of the block, as a forest. Across: each probe's links with sets of other components.
+    """
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        node, component, size, tokens = range(3, 7)
+        if across:
+            base = [r for r in rows if not r[2]]
+            if not base:
+                return []
+            tree, out = PrefixTree.of([r[tokens] for r in base], [r[size] for r in base]), {}
+            for r in rows:
+                if r[2]:
+                    for j in tree.search(r[tokens], r[size], percent):
+                        if base[j][component] != r[component]:
+                            out.setdefault((r[component], base[j][component]), (r[node], base[j][node]))
+            return list(out.values())
+        at = next((i for i, r in enumerate(rows) if r[node] == r[0]), 0)
+        return [(rows[i][node], rows[j][node]) for i, j in block_links([r[tokens] for r in rows], [r[size] for r in rows], at, percent)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key, out = [], None, []
+        for b in batches:
+            for *row, data in zip(*(c.to_pylist() for c in b.columns)):
+                if (row[0], row[1]) != key:
+                    if len(held) > 1:
+                        out += links(held)
+                    held, key = [], (row[0], row[1])
+                held.append((*row, unpacked_tokens(data)))
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out)], ["a", "b"])
+                out = []
+        if len(held) > 1:
+            out += links(held)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out)], ["a", "b"])
+
+    dealt = members.select("hub", "block", "probe", "node", "component", "size", "tokens")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "hub", "block").sortWithinPartitions("hub", "block").mapInArrow(run, "a bigint, b bigint")
+
+
+def _met(rows: DataFrame, keys: DataFrame):
+    """rows whose `row` is in a filter over the longs of keys, and the filter's broadcast, to be destroyed once the rows are used."""
+    wanted = rows.sparkSession.sparkContext.broadcast(bloom_of(keys))
+
+    @F.pandas_udf("boolean")
+    def may_be(ids: pd.Series) -> pd.Series:
+        return pd.Series(wanted.value.has(ids.to_numpy(dtype=np.int64).view(np.uint64)), dtype=bool)
+
+    return rows.filter(may_be("row")), wanted
+
+
+def _block_links(blocks: DataFrame, nodes: DataFrame, percent: int, across: bool, name: str) -> DataFrame:
+    """The stored links of block_join for blocks, which get size and tokens of their nodes. Sets that are in no block aren't moved."""
+    known, wanted = _met(nodes.select("row", "size", "tokens"), blocks.select("row").distinct())
+    out = stored(block_join(blocks.join(known, "row"), percent, across), name)
+    wanted.destroy()
+    return out
+
+
+def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def block_links(sets: list[np.ndarray], sizes: list[int], hub: int, percent: int) -> list[tuple[int, int]]:
+    """Links that join all sets of a block into the components that all its links make."""
+    tree, joined, links = PrefixTree.of(sets, sizes), Union(len(sets)), []
+    for i in [hub, *(i for i in range(len(sets)) if i != hub)]:
+        if i == hub or joined.find(i) != joined.find(hub):
+            links += [(i, j) for j in tree.search(sets[i], sizes[i], percent) if joined.join(i, j)]
+    return links
+
+
+def packed_tokens(tokens: np.ndarray) -> bytes:
+    """Sorted shingles as the bytes of their differences, plane by plane, compressed."""
+    return zstandard.ZstdCompressor(1).compress(np.diff(tokens, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
-def _unpacked(data: bytes) -> np.ndarray:
+def unpacked_tokens(data: bytes) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def sketch(rows: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """The band of each of 2**CELL_BITS cells of shingles (see bands), and the sum of all cells.
+
+    Cells are summed and turned into bands on the executors, so a byte a cell comes to the driver.
+    """
+    cells = 1 << CELL_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total, seen = np.zeros(cells, np.uint32), set()
+        for _, sets in _batches(batches, n):
+            fresh = {xxhash.xxh3_128_digest(s.tobytes()): s for s in sets if len(s)}
+            new = [s for d, s in fresh.items() if d not in seen]  # copies that one task reads count once
+            seen.update(fresh)
+            if new:
+                np.add.at(total, (np.concatenate(new) & np.uint64(cells - 1)).astype(np.int64), np.uint32(1))
+        return total
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int64) for x in b.column("cells").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("piece"), pa.array([int(c.sum()) for c in counts], pa.int64()), pa.array([bands(c, int(c.sum())).tobytes() for c in counts], pa.binary())], ["piece", "total", "bands"])
+
+    out, total, size = np.zeros(cells, np.uint8), 0, cells // PIECES
+    for piece, held, found in sums(rows, count, cells, PIECES).mapInArrow(cut, "piece int, total bigint, bands binary").collect():
+        out[piece * size : (piece + 1) * size] = np.frombuffer(found, np.uint8)
+        total += held
+    return out, total
+
+
+def bands(counts: np.ndarray, total: int) -> np.ndarray:
+    """The band of each cell in the global order: 0 up to 64 and thrice the mean of its piece, then one for each doubling, 15 at most."""
+    base = 64 + 3 * total / len(counts)
+    return np.clip(np.ceil(np.log2(np.maximum(counts, 1) / base)), 0, 15).astype(np.uint8)
+
+
+def ordered(hashes: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles as integers whose natural order is the global one: four bits of the band, then 44 of the hash; and that order."""
+    level = band[(hashes & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)].astype(np.uint64)
+    tokens = level << np.uint64(44) | hashes >> np.uint64(20)
+    order = np.argsort(tokens)
+    return tokens[order], order
+
+
+class SharedFilter:
+    """A Bloom filter for each of 2**ranges ranges of mixed shingles, over those that two sets or more have."""
+
+    def __init__(self, ranges: int, bits: int):
+        self.ranges, self.bits, self.filters = ranges, bits, np.zeros((1 << ranges, bits >> 3), np.uint8)
+
+    @staticmethod
+    def keys(tokens: np.ndarray, ranges: int) -> np.ndarray:
+        """Of the mixed shingle, the bits of the range and 32 behind it."""
+        return mixed(tokens ^ np.uint64(0x5BD1E9955BD1E995)) >> np.uint64(32 - ranges)
+
+    def has(self, tokens: np.ndarray) -> np.ndarray:
+        keys = self.keys(tokens, self.ranges)
+        place = (keys >> np.uint64(32)).astype(np.int64)
+        found = np.ones(len(tokens), dtype=bool)
+        for p in Bloom(self.bits, self.filters[0])._places(mixed(keys)):
+            found &= (self.filters[place, (p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return found
+
+
 def _runs(once: np.ndarray, more: np.ndarray, shift: int) -> pa.RecordBatch:
     """Sorted keys, those met once and those met more often, as a row for each range: keys >> shift."""
     cut = [{int(r): k for r, k in zip((x >> np.uint64(shift))[at], np.split(x, at[1:]))} if len(x) else {} for x in (once, more) for at in [np.flatnonzero(np.diff(x >> np.uint64(shift), prepend=np.uint64(2**64 - 1)))]]
     ranges = sorted(cut[0].keys() | cut[1].keys())
-    columns = [[_packed(part[r]) if r in part else None for r in ranges] for part in cut]
+    columns = [[packed_tokens(part[r]) if r in part else None for r in ranges] for part in cut]
     return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["range", "once", "more"])
 
 
@@ -305,7 +535,7 @@ def shared_filter(rows: DataFrame, n: int, total: int, range_tokens: int = 2_000
     """
     fine = max(4, (total // range_tokens).bit_length())
     coarse = min(fine, most_ranges)
-    bits = 1 << min(28 - fine, max(13, (4 * total >> fine).bit_length()))
+    bits = 1 << min(28 - fine, max(13, (2 * total >> fine).bit_length()))
     kind = "range int, once binary, more binary"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,16 +549,16 @@ def shared_filter(rows: DataFrame, n: int, total: int, range_tokens: int = 2_000
             fresh = {xxhash.xxh3_128_digest(s.tobytes()): s for s in sets if len(s)}
             held += fresh.values()
             size += sum(map(len, fresh.values()))
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield out()
                 held, size = [], 0
         if held:
             yield out()
 
     def merged(once: list, more: list) -> tuple[np.ndarray, np.ndarray]:
-        parts = [_unpacked(x) for x in once if x is not None]
+        parts = [unpacked_tokens(x) for x in once if x is not None]
         keys, times = np.unique(np.concatenate(parts or [np.zeros(0, np.uint64)]), return_counts=True)
-        twice = [_unpacked(x) for x in more if x is not None]
+        twice = [unpacked_tokens(x) for x in more if x is not None]
         return keys[times == 1], np.unique(np.concatenate([keys[times > 1], *twice]))
 
     def part_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,18 +576,18 @@ def shared_filter(rows: DataFrame, n: int, total: int, range_tokens: int = 2_000
     if fine > coarse:
         runs = runs.repartition("range").mapInArrow(part_again, kind)
     out = SharedFilter(fine, bits)
-    for r, found in runs.groupBy("range").applyInArrow(find, "range int, bits binary").collect():
+    for r, found in stored(runs.groupBy("range").applyInArrow(find, "range int, bits binary"), "filters").toLocalIterator():
         out.filters[r] = np.frombuffer(found, np.uint8)
     return out
 
 
 def set_rows(rows: DataFrame, n: int, percent: int, band, shared) -> DataFrame:
-    """A row per document: doc_id, n_shingles, digest of the set, and for sets that may link, once a task for equal sets, their shared prefix shingles and all shared shingles, packed."""
+    """A row per document: doc_id, n_shingles, digest of the set, its node, and for sets that may link, once a task for equal sets, their shared prefix shingles and all shared shingles, packed."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()
+        seen: set[bytes] = set()
         for ids, sets in _batches(batches, n):
-            digests = [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             prefixes, wholes = [], []
             for s, d in zip(sets, digests):
                 prefix, whole = np.zeros(0, np.uint64), None
@@ -371,9 +601,10 @@ def set_rows(rows: DataFrame, n: int, percent: int, band, shared) -> DataFrame:
                 prefixes.append(prefix)
                 wholes.append(whole)
             prefix_lists = list_array(np.concatenate(prefixes).view(np.int64), [len(y) for y in prefixes], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests), prefix_lists, pa.array(wholes, pa.binary())], ["doc_id", "n_shingles", "digest", "prefix", "tokens"])
+            nodes = [int.from_bytes(d[:8], "big") >> 1 if len(s) else None for s, d in zip(sets, digests)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), prefix_lists, pa.array(wholes, pa.binary())], ["doc_id", "n_shingles", "node", "prefix", "tokens"])
 
-    return rows.mapInArrow(make, "doc_id bigint, n_shingles bigint, digest string, prefix array<bigint>, tokens binary")
+    return rows.mapInArrow(make, "doc_id bigint, n_shingles bigint, node bigint, prefix array<bigint>, tokens binary")
 
 
 def block_join(members: DataFrame, percent: int, across: bool) -> DataFrame:
@@ -420,53 +651,58 @@ def block_join(members: DataFrame, percent: int, across: bool) -> DataFrame:
     return dealt.repartition(parts, "hub", "block").sortWithinPartitions("hub", "block").mapInArrow(run, "a bigint, b bigint")
 
 
-def _with_tokens(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """blocks with size and tokens of their nodes. A filter of the nodes that are in blocks goes over the sets first, so others aren't moved."""
+def _block_links(blocks: DataFrame, nodes: DataFrame, percent: int, across: bool, name: str) -> DataFrame:
+    """The stored links of block_join for blocks, which get size and tokens of their nodes. A filter of the nodes that are in blocks goes over the sets first, so others aren't moved."""
     wanted = blocks.sparkSession.sparkContext.broadcast(bloom_of(blocks.select("node").distinct()))
 
     @F.pandas_udf("boolean")
     def may_be(ids: pd.Series) -> pd.Series:
         return pd.Series(wanted.value.has(ids.to_numpy(dtype=np.int64).view(np.uint64)), dtype=bool)
 
-    return blocks.join(nodes.select("node", "size", "tokens").filter(may_be("node")), "node")
+    # a set that several tasks have met is carried once
+    known = nodes.select("node", "size", "tokens").filter(may_be("node")).groupBy("node").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))
+    out = stored(block_join(blocks.join(known, "node"), percent, across), name)
+    wanted.destroy()
+    return out
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, percent: int = 75, block_rows: int = 600) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach). block_rows: sets in a block."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), utf8(text).alias("text"))
-    counts, total = sketch(rows, n)
-    band = spark.sparkContext.broadcast(bands(counts, total))
-    shared = spark.sparkContext.broadcast(shared_filter(rows, n, total))
-    sets = stored(set_rows(rows, n, percent, band, shared), "sets")
-
-    full = sets.filter("tokens is not null")
-    first = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))  # a set's node: the least of the rows that carry it
-    nodes = full.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), "digest", "prefix", "tokens")
-    links = _links(nodes, first, percent, block_rows)
-    named = first.join(links, first["doc_id"] == links["node"]).select("digest", "component")
-    # a component's id is the least doc_id of all rows of its sets
-    same = sets.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    joined = stored(same.join(named, "digest", "left").filter("n > 1 or component is not null"), "named")
-    tops = joined.filter("component is not null").groupBy("component").agg(F.min("least").alias("top"))
-    joined = joined.join(tops, "component", "left").select("digest", F.coalesce("top", "least").alias("component"))
-    least = sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
-    out = least.join(joined, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    null = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return out.select(null("doc_id"), "n_shingles", null("component_id"))
-
-
-def _links(nodes: DataFrame, first: DataFrame, percent: int, block_rows: int) -> DataFrame:
+    rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), utf8(text).alias("text"))
+    with scratch(spark):
+        counts, total = sketch(rows, n)
+        band = spark.sparkContext.broadcast(counts)
+        shared = spark.sparkContext.broadcast(shared_filter(rows, n, total))
+        sets = stored(set_rows(rows, n, percent, band, shared).withColumn("row", F.monotonically_increasing_id()), "sets")
+        band.destroy()
+        shared.destroy()
+        del counts
+
+        nodes = sets.filter("tokens is not null").select("row", "node", F.col("n_shingles").alias("size"), "prefix", "tokens")
+        links = _links(nodes, percent, block_rows)
+        # a component's id is the least doc_id of all rows of its sets
+        same = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+        joined = stored(same.join(links, "node", "left").filter("n > 1 or component is not null"), "named")
+        tops = joined.filter("component is not null").groupBy("component").agg(F.min("least").alias("top"))
+        joined = joined.join(tops, "component", "left").select("node", F.coalesce("top", "least").alias("component"))
+        out = sets.select("doc_id", "n_shingles", "node").join(joined, "node", "left")
+        return stored(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "classes", outlives=True)
+
+
+def _links(nodes: DataFrame, percent: int, block_rows: int) -> DataFrame:
     """(node, component) of the nodes that link.
 
     Nodes that a chain of shared prefix shingles joins are one block if they are few enough, so each set is moved once.
     Larger clusters are dealt by hub, in blocks.
     """
-    chosen = nodes.select("node", "digest", "prefix").join(first.withColumnRenamed("doc_id", "node"), ["node", "digest"], "left_semi")
-    by_token = stored(chosen.select("node", F.explode("prefix").alias("token")).distinct(), "by-token")
-    hubs = by_token.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    carriers = stored(nodes.groupBy("node").agg(F.min("row").alias("row")), "carriers")  # of a set that several tasks have met, one
+    once, wanted = _met(nodes, carriers.select("row"))
+    by_token = once.select("node", F.explode("prefix").alias("token"))
+    hubs = by_token.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").drop("other")
     members = stored(by_token.join(hubs, "token").select("hub", "node").distinct(), "members")
-    clusters = stored(components(members.select(F.col("node").alias("a"), F.col("hub").alias("b")), "clusters"), "clusters")
+    wanted.destroy()
+    clusters = components(members.select(F.col("node").alias("a"), F.col("hub").alias("b")), "clusters")
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
     large = sizes.filter(F.col("n") > block_rows).select("component")
     small = clusters.join(large, "component", "left_anti").select(F.col("component").alias("hub"), F.lit(0).alias("block"), "node", F.lit(1).alias("blocks"))
@@ -475,27 +711,36 @@ def _links(nodes: DataFrame, first: DataFrame, percent: int, block_rows: int) ->
     counts = stored(apart.groupBy("hub").agg(F.count("*").alias("n")).filter("n > 1").select("hub", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")), "hubs")
     dealt = apart.join(counts, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).filter("blocks = 1 or node <> hub")
     hub_rows = counts.filter("blocks > 1").select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("node"), "blocks")
-    in_blocks = stored(small.unionByName(dealt.select("hub", "block", "node", "blocks")).unionByName(hub_rows), "blocks")
+    in_blocks = stored(small.unionByName(dealt.select("hub", "block", "node", "blocks")).unionByName(hub_rows).join(carriers, "node"), "blocks")
 
     none = F.lit(None).cast("bigint")
-    full = in_blocks.withColumns({"probe": F.lit(False), "component": none})
-    edges = stored(block_join(_with_tokens(full, nodes), percent, False), "links")
+    edges = _block_links(in_blocks.withColumns({"probe": F.lit(False), "component": none}), nodes, percent, False, "links")
     found = components(edges)
     several = in_blocks.filter("blocks > 1")
     if several.limit(1).count():
         known = several.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        known = stored(known.select("hub", "block", "node", "component"), "known")
+        known = stored(known.select("hub", "block", "node", "row", "component"), "known")
         main = known.groupBy("hub", "component").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).filter("parts > 1")
         base = known.join(main.select("hub", "main"), "hub")
-        rest = base.filter("component <> main").select("hub", F.col("block").alias("own"), "node", "component").join(counts, "hub")
-        probes = rest.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "own", "node", "component").filter("block <> own")
-        both = base.select("hub", "block", F.lit(False).alias("probe"), "node", "component").unionByName(probes.select("hub", "block", F.lit(True).alias("probe"), "node", "component"))
-        more = stored(block_join(_with_tokens(both, nodes), percent, True), "more-links")
-        found = components(edges.unionByName(more), "components-again")
+        rest = base.filter("component <> main").select("hub", F.col("block").alias("own"), "node", "row", "component").join(counts, "hub")
+        probes = rest.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "own", "node", "row", "component").filter("block <> own")
+        both = base.select("hub", "block", F.lit(False).alias("probe"), "node", "row", "component").unionByName(probes.select("hub", "block", F.lit(True).alias("probe"), "node", "row", "component"))
+        found = components(edges.unionByName(_block_links(both, nodes, percent, True, "more-links")), "components-again")
     return found
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs of which one document of each component is left, that with the smallest doc_id, with all their columns."""
-    gone = join(docs, text, doc_id, **how).filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
+    """The rows of docs of which one of each component is left, with all their columns: that with the smallest doc_id, a null one last.
+
+    Where identifiers are null or repeat, rows are numbered first, so each row is judged by itself; of rows that are
+    equal in identifier and component, the first by number is left.
+    """
+    rows, key = row_key(docs, doc_id)
+    classes = join(rows, text, key, **how)
+    if key == doc_id:
+        gone = classes.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone"))
+    else:
+        of = classes.join(rows.select(F.col(key).alias("doc_id"), F.col(f"`{doc_id}`").cast("bigint").alias("__id")), "doc_id")
+        best = of.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "doc_id"))["doc_id"].alias("__best"))
+        gone = of.join(best, "component_id").filter("doc_id <> __best").select(F.col("doc_id").alias("__gone"))
+    return rows.join(gone, F.col(f"`{key}`") == F.col("__gone"), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

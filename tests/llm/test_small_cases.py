@@ -78,7 +78,7 @@ def brute_links(rows):
         return i
 
     for a, b in itertools.combinations(range(len(rows)), 2):
-        if rows[a][0] is not None and rows[a][0] == rows[b][0] or sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
             up[find(a)] = find(b)
     top = collections.defaultdict(list)
     for i, (d, _) in enumerate(rows):
@@ -93,6 +93,16 @@ def test_jaccard_join(docs, block):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_links(rows)
 
 
+def test_jaccard_join_without_ids(spark):
+    a, b = (" ".join(f"{x}{j}" for j in range(60)) for x in "ab")
+    rows = [(1, a), (None, a + " z"), (2, b), (None, b + " z"), (3, b), (3, "one text of a repeated number"), (3, a), (None, "alone with no number at all"), (None, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, node int").repartition(3)
+    got = jaccard_join.join(df).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_links(rows)
+    left = sorted(jaccard_join.one_of_each(df).collect(), key=lambda r: r["node"])
+    assert [r["node"] for r in left] == [0, 2, 5, 7, 8, 9]
+
+
 def test_jaccard_join_of_nothing(empty, docs):
     assert jaccard_join.join(empty).count() == 0
     assert jaccard_join.one_of_each(docs).columns == docs.columns
