@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqloom.functions import vec
-from seqloom.operators import stats
+from seqloom.operators import blocks, metrics, sampling, stats
 from seqloom.operators.linalg import _matrix, _summed
 from seqloom.storage import positioned, stored
 
@@ -193,12 +193,17 @@ def numbered(centers: DataFrame, keys: list[str]) -> DataFrame:
     return centers.withColumn("center_id", F.xxhash64(*keys, "center_no"))
 
 
-def assigned(df: DataFrame, centers: DataFrame, keys: list[str], vector: str = "feature") -> DataFrame:
-    """df with center_no and distance of the nearest center of its group: each row meets its group's short list of centers."""
-    lists = centers.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("center_no", "center"))).alias("__list"))
-    scored = F.transform("__list", lambda c: F.struct(F.round(vec.sq_l2(F.col(vector), c["center"]), 9).alias("d"), c["center_no"].alias("center_no")))
-    out = df.join(lists, keys).withColumn("__best", F.array_min(scored))
-    return out.withColumns({"center_no": F.col("__best.center_no"), "distance": F.sqrt("__best.d")}).drop("__list", "__best")
+def assigned(df: DataFrame, centers: DataFrame, keys: list[str], vector: str = "feature", id: str = "frame_id") -> DataFrame:
+    """df with center_no and distance of the nearest center of its group, of equally near ones the first; a block of rows meets its group's centers in one matrix product."""
+
+    def work(rows: pa.Table, own: pa.Table) -> pa.Table:
+        own = own.sort_by("center_no")
+        d = np.round(blocks.squared_distances(blocks.matrix(rows, vector), blocks.matrix(own, "center")), 9)
+        best = d.argmin(1)
+        return rows.append_column("center_no", own.column("center_no").take(pa.array(best))).append_column("distance", pa.array(np.sqrt(d[np.arange(len(d)), best])))
+
+    schema = T.StructType([*df.schema.fields, T.StructField("center_no", T.IntegerType()), T.StructField("distance", T.DoubleType())])
+    return blocks.met(df, centers.select(*keys, F.col("center_no").cast("int").alias("center_no"), "center"), keys, work, schema, id)
 
 
 def bank(df: DataFrame, dims: int, clusters: int = 8, per_cluster: int = 20, least_speakers: int = 3, silence=(0,), search: str = "feature", entropy_top: float | None = None, fallback: bool = True) -> DataFrame:
@@ -239,19 +244,44 @@ def pseudo_bank(df: DataFrame, entropies: DataFrame, dims: int, clusters: int =
     return bank(df.join(confused.select("frame_id"), "frame_id", "left_semi"), dims, clusters, per_cluster, least_speakers, silence)
 
 
+def purified_bank(df: DataFrame, encode: Callable[[np.ndarray], np.ndarray], dims: int, vector: str = "feature", out: str = "encoded", **how) -> DataFrame:
+    """A bank whose clusters are those of an encoder's output: df with `out`, rows chosen by it. encode: a matrix of vectors to one of codes, such as a model's; dims: of the codes."""
+    shared = df.sparkSession.sparkContext.broadcast(encode)
+
+    @F.pandas_udf("array<double>")
+    def coded(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.asarray(shared.value(np.stack(x.to_numpy()).astype(np.float64)), dtype=np.float64)) if len(x) else [], dtype=object)
+
+    rows = stored(df.withColumn(out, coded(F.col(vector).cast("array<double>"))), "encoded")
+    return bank(rows, dims, search=out, **how)
+
+
 def quantized_pool(df: DataFrame, most: int = 64, least: int = 100) -> DataFrame:
     """(pattern, phone, gender, center_no, center, n): k = min(most, n / 2) centers of each group of at least `least` rows."""
     return group_centers(df, ["pattern", "phone", "gender"], most, least=least, few="shrink")
 
 
+def skipped_groups(df: DataFrame, least: int = 100, keys=("pattern", "phone", "gender")) -> DataFrame:
+    """(groups, skipped, rows_skipped): how many groups a quantized pool leaves out for having too few rows."""
+    n = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    few = F.col("n") < least
+    return n.agg(F.count("*").alias("groups"), F.count_if(few).alias("skipped"), F.coalesce(F.sum(F.when(few, F.col("n"))), F.lit(0)).alias("rows_skipped"))
+
+
 def prototypes(df: DataFrame, budget: int, dims: int, by_phone: bool = True, fit_rows: int = GROUP_ROWS) -> DataFrame:
-    """(speaker, phone, center_no, center): unit-length prototypes, by speaker or by (speaker, phone) with the budget shared out in proportion to rows, one at least.
+    """(speaker, phone, center_no, center): unit-length prototypes, `budget` of a speaker, or as many as it has rows. by_phone: the budget is
+    shared out by prototype_budget; a phone that gets none of it has no prototypes, and one with fewer rows than its part gives its rows.
 
     All rows of a group count. A group of up to fit_rows rows is fitted in one task, a larger one by distributed steps.
     """
     keys = ["speaker", "phone"] if by_phone else ["speaker"]
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy("speaker")))
-    want = sizes.dropna(subset=keys).select(*keys, "n", F.greatest(F.lit(1), F.floor(F.lit(budget) * F.col("n") / F.col("total"))).cast("int").alias("want"))
+    sizes = df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("n"))
+    if by_phone:
+        share = sampling.prototype_budget(sizes, "phone", budget, "speaker").filter("keep > 0")
+        want = sizes.join(share, keys).select(*keys, "n", F.col("keep").cast("int").alias("want"))
+    else:
+        want = sizes.withColumn("want", F.lit(budget))
+    want = stored(want, "budgets")
     large, rows, whole = _large_groups(df.select(*keys, "frame_id", "feature"), keys, want, fit_rows)
     rows = rows.join(want.drop("n"), keys)
     kinds = dict(df.dtypes)
@@ -296,3 +326,15 @@ def codebook_quality(codes: DataFrame, k: int, code: str = "code") -> DataFrame:
     """(active, entropy_bits): codes that more than one row in a hundred has, and the entropy of the codes."""
     counts = codes.groupBy(code).agg(F.count("*").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy()))
     return counts.agg(F.count_if(F.col("p") > 0.01).alias("active"), (-F.sum(F.col("p") * F.log2("p"))).alias("entropy_bits"))
+
+
+def codebook_sweep(df: DataFrame, ks=(4, 8, 16, 32), label: str = "speaker", steps: int = 20, sample: int | None = None, id: str = "frame_id", vector: str = "feature") -> DataFrame:
+    """(k, silhouette, ari, nmi, active, entropy_bits, verdict) of a codebook of each size: how well its codes part the vectors, how little they tell of the label. sample: rows of the silhouette."""
+    out = None
+    for k in ks:
+        codes = stored(encode(df, codebook(df, k, vector, id, steps), vector), f"codes{k}")
+        parts = F.broadcast(metrics.silhouette(codes, "code", id, vector, sample=sample)), F.broadcast(metrics.agreement(codes, "code", label)), F.broadcast(codebook_quality(codes, k))
+        row = parts[0].crossJoin(parts[1]).crossJoin(parts[2]).select(F.lit(k).alias("k"), "silhouette", "ari", "nmi", "active", "entropy_bits")
+        out = row if out is None else out.unionByName(row)
+    good = (F.col("silhouette") > 0.1) & (F.col("ari") < 0.1) & (F.col("active") >= 0.75 * F.col("k"))
+    return out.withColumn("verdict", F.when(good, "feasible").when((F.col("silhouette") > 0.05) & (F.col("ari") < 0.2), "partial").otherwise("not viable"))

@@ -8,12 +8,18 @@ and no pair is ever a row. All retrievers are this, a ladder of keys, and a way
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import vec
+from seqloom.operators import sequence
+from seqloom.operators.cluster import coarse_cells, probed
+from seqloom.operators.sampling import draw, drawn
+from seqloom.storage import stored
 
 METRICS = ("cosine", "l2", "dot")
 DIGITS = 6
@@ -82,27 +88,28 @@ def ladder(queries: DataFrame, pool: DataFrame, levels: list[list[str]], k: int,
     return out
 
 
-def soft_levels(queries: DataFrame, pool: DataFrame, hard: str, soft: list[str], k: int) -> DataFrame:
-    """queries with mask, the soft keys that apply, as bits: in turn, each applies only if k pool rows or more survive it on what the ones before left. A negative or null value of the query never applies."""
+def soft_levels(queries: DataFrame, pool: DataFrame, hard: list[str], soft: list[str], gate: int) -> DataFrame:
+    """queries with mask, the soft keys that apply, as bits: in turn, each applies only if `gate` pool rows or more survive it on what the ones before left. A negative or null value of the query never applies."""
     out = queries.withColumn("mask", F.lit(0))
     for bit, column in enumerate(soft):
         parts = None
         for taken in range(1 << bit):
-            keys = [hard, *(c for b, c in enumerate(soft[:bit]) if taken >> b & 1), column]
+            keys = [*hard, *(c for b, c in enumerate(soft[:bit]) if taken >> b & 1), column]
             counts = pool.groupBy(*keys).agg(F.count("*").alias("__n"))
             some = out.filter(F.col("mask") == taken).join(counts, keys, "left")
             usable = F.col(column).isNotNull() & (F.coalesce(F.col(column).cast("bigint"), F.lit(-1)) >= 0)
-            some = some.withColumn("mask", F.when(usable & (F.coalesce("__n", F.lit(0)) >= k), F.lit(taken | 1 << bit)).otherwise(F.lit(taken))).drop("__n").select(*queries.columns, "mask")
+            some = some.withColumn("mask", F.when(usable & (F.coalesce("__n", F.lit(0)) >= gate), F.lit(taken | 1 << bit)).otherwise(F.lit(taken))).drop("__n").select(*queries.columns, "mask")
             parts = some if parts is None else parts.unionByName(some)
         out = parts
     return out
 
 
-def soft_nearest(queries: DataFrame, pool: DataFrame, hard: str, soft: list[str], k: int, **how) -> DataFrame:
-    """nearest with one hard key and soft ones, with the mask that applied."""
-    masked, out = soft_levels(queries, pool, hard, soft, k), None
+def soft_nearest(queries: DataFrame, pool: DataFrame, hard: str | list[str], soft: list[str], k: int, gate: int | None = None, **how) -> DataFrame:
+    """nearest with hard keys and soft ones, with the mask that applied. gate: pool rows that a soft key must leave to apply, k by default."""
+    hard = [hard] if isinstance(hard, str) else hard
+    masked, out = soft_levels(queries, pool, hard, soft, k if gate is None else gate), None
     for mask in range(1 << len(soft)):
-        keys = [hard, *(c for b, c in enumerate(soft) if mask >> b & 1)]
+        keys = [*hard, *(c for b, c in enumerate(soft) if mask >> b & 1)]
         some = nearest(masked.filter(F.col("mask") == mask), pool, keys, k, **how).withColumn("mask", F.lit(mask))
         out = some if out is None else out.unionByName(some)
     return out
@@ -135,22 +142,21 @@ def skipped(neighbours: DataFrame, skip: int, least: int = 1) -> DataFrame:
 
 
 def picked(neighbours: DataFrame, n: int, seed: int = 5, replace: bool = False) -> DataFrame:
-    """n neighbours of each query drawn by hash, without or with replacement (then in several rows)."""
+    """n neighbours of each query drawn by MD5 of query and neighbour (or draw), without or with replacement (then in several rows)."""
     if not replace:
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.xxhash64(F.lit(seed), "query_id", "pool_id"), "pool_id"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(drawn(seed, "query_id", "pool_id"), "pool_id"))
         return neighbours.withColumn("__r", rank).filter(F.col("__r") <= n).drop("__r")
     place = Window.partitionBy("query_id").orderBy("rank")
     numbered = neighbours.withColumns({"__i": F.row_number().over(place), "__n": F.count("*").over(Window.partitionBy("query_id"))})
     draws = numbered.groupBy("query_id").agg(F.max("__n").alias("__n")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    draws = draws.withColumn("__i", F.pmod(F.xxhash64(F.lit(seed), "query_id", "draw"), F.col("__n")) + 1)
+    draws = draws.withColumn("__i", draw(seed, "query_id", "draw") % F.col("__n") + 1)
     return draws.drop("__n").join(numbered.drop("__n"), ["query_id", "__i"]).drop("__i")
 
 
-def dirichlet_of(drawn: DataFrame, pool: DataFrame, dims: int, seed: int = 6, pool_id: str = "frame_id", pool_vector: str = "feature") -> DataFrame:
-    """The mean weighted by Dirichlet(1): -ln(u), u by hash of query and draw."""
-    which = F.col("draw") if "draw" in drawn.columns else F.col("rank")
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("query_id"), which), F.lit(1 << 30)) + 0.5) / F.lit(float(1 << 30))
-    return _per_query(drawn.withColumn("__u", -F.log(u)), pool, F.col("__u"), dims, pool_id, pool_vector)
+def dirichlet_of(chosen: DataFrame, pool: DataFrame, dims: int, seed: int = 6, pool_id: str = "frame_id", pool_vector: str = "feature") -> DataFrame:
+    """The mean weighted by Dirichlet(1): -ln(u), u by MD5 of query and draw."""
+    u = (draw(seed, "query_id", "draw" if "draw" in chosen.columns else "rank") + 0.5) / F.lit(float(1 << 32))
+    return _per_query(chosen.withColumn("__u", -F.log(u)), pool, F.col("__u"), dims, pool_id, pool_vector)
 
 
 def kept_where_missing(combined: DataFrame, queries: DataFrame, query_id: str = "frame_id", vector: str = "feature") -> DataFrame:
@@ -162,22 +168,80 @@ def kept_where_missing(combined: DataFrame, queries: DataFrame, query_id: str =
 # The retrievers, by what they are made of.
 
 
-def cluster_retriever(queries: DataFrame, centers: DataFrame, levels=(("phone", "gender"), ("phone",)), fallback: DataFrame | None = None, **how) -> DataFrame:
-    """(query_id, vector): the nearest center at the first level that has one, else the query, or the fallback's rows (query_id, vector)."""
-    found = ladder(queries, centers, [list(x) for x in levels], 1, metric="l2", pool_id="center_id", pool_vector="center", **how)
-    best = found.join(centers.select(F.col("center_id").cast("bigint").alias("pool_id"), F.col("center").alias("vector")), "pool_id").select("query_id", "vector")
+def cluster_retriever(queries: DataFrame, centers: DataFrame, levels=(("phone", "gender"), ("phone",)), fallback: DataFrame | None = None, metric: str = "l2", k: int = 1, dims: int | None = None, **how) -> DataFrame:
+    """(query_id, vector): the nearest center, or the mean of the k nearest (dims: theirs), at the first level that has one, else the query, or the fallback's rows (query_id, vector)."""
+    found = ladder(queries, centers, [list(x) for x in levels], k, metric=metric, pool_id="center_id", pool_vector="center", **how)
+    if k > 1:
+        best = mean_of(found, centers, dims, "center_id", "center")
+    else:
+        best = found.join(centers.select(F.col("center_id").cast("bigint").alias("pool_id"), F.col("center").alias("vector")), "pool_id").select("query_id", "vector")
     if fallback is not None:
         best = best.unionByName(fallback.join(best, "query_id", "left_anti"))
     return kept_where_missing(best, queries, how.get("query_id", "frame_id"), how.get("query_vector", "feature"))
 
 
 def constrained_retriever(queries: DataFrame, pool: DataFrame, dims: int, k: int = 4, temperature: float = 1.0, top1: bool = False, cosine: bool = True, hard: str = "gender", soft=("phone", "symbol")) -> DataFrame:
-    """(query_id, vector, found): top-1, or the softmax of the k nearest, under one hard and several soft keys."""
+    """(query_id, vector, found): top-1, or the softmax of the k nearest, under one hard and several soft keys, which apply if they leave k rows or more in both cases."""
     soft = [c for c in soft if c in queries.columns and c in pool.columns]
-    found = soft_nearest(queries, pool, hard, soft, 1 if top1 else k, metric="cosine" if cosine else "l2")
+    found = soft_nearest(queries, pool, hard, soft, 1 if top1 else k, k, metric="cosine" if cosine else "l2")
     return kept_where_missing(softmax_of(found, pool, dims, temperature, distance=not cosine), queries)
 
 
+def _kept(queries: DataFrame, centers: DataFrame, *levels) -> DataFrame:
+    """cluster_retriever's rows, stored, for what it found and what it didn't are both needed."""
+    return stored(cluster_retriever(queries, centers, *levels), "found")
+
+
+def dispatched(queries: DataFrame, pool: DataFrame, dims: int, centers: DataFrame | None = None, use_clusters: bool = True, use_symbols: bool = True, **how) -> DataFrame:
+    """(query_id, vector, found): the nearest center of the query's phone, where centers are used and there is one; else the constrained neighbours, with symbols if asked for.
+
+    With centers, queries whose phone has none go to the neighbours without symbols, and stay as they are if those fail too.
+    """
+    if centers is None or not use_clusters:
+        return constrained_retriever(queries, pool, dims, soft=("phone", "symbol") if use_symbols else ("phone",), **how)
+    found = _kept(queries, centers, [x for x in (("phone", "gender"), ("phone",)) if set(x) <= set(centers.columns)])
+    rest = queries.join(found.filter("not found").select(F.col("query_id").alias("frame_id")), "frame_id", "left_semi")
+    return found.filter("found").unionByName(constrained_retriever(rest, pool, dims, soft=("phone",), **how))
+
+
+def quantized_retriever(queries: DataFrame, centers: DataFrame, pattern: int, gender: int, any_gender: int | None = 0) -> DataFrame:
+    """(query_id, vector, found): the nearest center of (pattern, phone, gender), else of (pattern, phone, any_gender), else the query. any_gender None leaves the middle step out."""
+    aimed = queries.withColumns({"pattern": F.lit(pattern), "gender": F.lit(gender)})
+    found = _kept(aimed, centers, (("pattern", "phone", "gender"),))
+    if any_gender is None or any_gender == gender:
+        return found
+    rest = queries.join(found.filter("not found").select(F.col("query_id").alias("frame_id")), "frame_id", "left_semi").withColumns({"pattern": F.lit(pattern), "gender": F.lit(any_gender)})
+    return found.filter("found").unionByName(cluster_retriever(rest, centers, (("pattern", "phone", "gender"),)))
+
+
+def speaker_retriever(queries: DataFrame, frames: DataFrame, speaker) -> DataFrame:
+    """(query_id, vector, found): the target speaker's frame of the query's phone that is nearest in cosine, else the query."""
+    target = queries.withColumn("speaker", F.lit(speaker).cast(dict(frames.dtypes)["speaker"]))
+    return _one(nearest(target, frames, ["speaker", "phone"], 1), queries, frames)
+
+
+def gender_retriever(queries: DataFrame, frames: DataFrame) -> DataFrame:
+    """(query_id, vector, found): the frame nearest in cosine among those of the gender, else among all."""
+    return _one(ladder(queries, frames, [["gender"], []], 1), queries, frames)
+
+
+def _one(found: DataFrame, queries: DataFrame, frames: DataFrame) -> DataFrame:
+    own = frames.select(F.col("frame_id").cast("bigint").alias("pool_id"), F.col("feature").alias("vector"))
+    return kept_where_missing(found.join(own, "pool_id").select("query_id", "vector"), queries)
+
+
+def utterance_retriever(queries: DataFrame, frames: DataFrame, chosen: DataFrame, dims: int, k: int = 4, constrained: bool = True) -> DataFrame:
+    """(query_id, vector, found): the mean of the k frames nearest in cosine out of the target utterance, of the query's phone or, unconstrained, of any; else the query. chosen: (utt, target_utt)."""
+    to = queries.join(chosen, "utt").drop("utt").withColumnRenamed("target_utt", "utt")
+    return kept_where_missing(mean_of(nearest(to, frames, ["utt", "phone"] if constrained else ["utt"], k), frames, dims), queries)
+
+
+def utterance_cluster_retriever(queries: DataFrame, centers: DataFrame, chosen: DataFrame, dims: int, k: int = 1) -> DataFrame:
+    """(query_id, vector, found): the nearest in cosine, or the mean of the k nearest, of the target utterance's centers of the phone; else the query. centers: (utt, phone, center_id, center)."""
+    to = queries.join(chosen, "utt", "left").drop("utt").withColumnRenamed("target_utt", "utt")
+    return cluster_retriever(to, centers, (("utt", "phone"),), metric="cosine", k=k, dims=dims)
+
+
 def bank_retriever(queries: DataFrame, bank: DataFrame, dims: int, k: int = 4, search: str = "feature", give: str = "feature", key: str = "phone") -> DataFrame:
     """(query_id, vector, found): the mean of the k nearest rows of the query's phone, else of the whole bank; searched in one layer, given from another."""
     found = ladder(queries, bank, [[key], []], k, metric="l2", query_vector=search, pool_vector=search)
@@ -200,19 +264,43 @@ def pseudo_retriever(queries: DataFrame, bank: DataFrame, dims: int, skip: int =
     return kept_where_missing(many.unionByName(few), queries)
 
 
-def adain_retriever(queries: DataFrame, bank: DataFrame, dims: int, k: int = 4) -> DataFrame:
-    """The bank's mean with the statistics of the query over its dimensions."""
-    found = bank_retriever(queries, bank, dims, k)
-    own = queries.select(F.col("frame_id").cast("bigint").alias("query_id"), F.col("feature").alias("__own"))
-    return found.join(own, "query_id").select("query_id", vec.adain(F.col("vector"), F.col("__own")).alias("vector"), "found")
-
-
-def prototype_retriever(queries: DataFrame, pool: DataFrame, dims: int, speaker: str, gender: str | None = None, k: int = 4, temperature: float = 1.0) -> DataFrame:
-    """The softmax of -distance**2 over the target speaker's rows, by phone where k survive; gender alone where the speaker has none."""
-    target = queries.withColumn("speaker", F.lit(speaker).cast(dict(pool.dtypes)["speaker"]))
-    found = soft_nearest(target, pool, "speaker", ["phone"], k, metric="l2")
-    if gender is not None:
-        rest = queries.join(found.select(F.col("query_id").alias("frame_id")).distinct(), "frame_id", "left_anti").withColumn("gender", F.lit(gender).cast(dict(pool.dtypes)["gender"]))
+def adain_retriever(queries: DataFrame, bank: DataFrame, dims: int, k: int = 4, search: str = "feature", give: str = "feature") -> DataFrame:
+    """The bank's mean with the statistics of the query over its dimensions; searched by one layer, such as an encoder's codes, given from another."""
+    found = bank_retriever(queries, bank, dims, k, search, give)
+    own = queries.select(F.col("frame_id").cast("bigint").alias("query_id"), F.col(give).alias("__own"))
+    return found.join(own, "query_id").select("query_id", F.when(F.col("found"), vec.adain(F.col("vector"), F.col("__own"))).otherwise(F.col("__own")).alias("vector"), "found")
+
+
+def target_speaker(pool: DataFrame, mode: str = "random", gender=None, fixed=None, seed: int = 9):
+    """The speaker to aim at: a fixed one, one drawn among those of the gender (among all if there is none), or None for the whole pool. One row comes to the driver."""
+    if mode == "fixed":
+        return fixed
+    if mode == "pool":
+        return None
+    if mode != "random":
+        raise ValueError(mode)
+    speakers = pool.groupBy("speaker").agg(F.min("gender").alias("gender"))
+    fits = F.col("gender").eqNullSafe(F.lit(gender)) if gender is not None else F.lit(True)
+    row = speakers.select("speaker", fits.alias("fits"), drawn(seed, "speaker").alias("d")).orderBy(F.desc("fits"), "d", "speaker").limit(1).collect()
+    return row[0]["speaker"] if row else None
+
+
+def prototype_retriever(queries: DataFrame, pool: DataFrame, dims: int, speaker=None, gender: int | None = None, k: int = 4, temperature: float = 1.0, centers: DataFrame | None = None) -> DataFrame:
+    """(query_id, vector, found): with centers, the nearest of (phone, gender), then of the phone. Else the softmax of -distance**2 over the prototypes of
+    speaker and gender (either may be None), by phone where k survive; where speaker and gender have none, over those of the gender; else the query. pool: frame_id, speaker, gender, phone, feature."""
+    if centers is not None:
+        aimed = queries if gender is None else queries.withColumn("gender", F.lit(gender).cast(dict(centers.dtypes)["gender"]))
+        found = _kept(aimed, centers)
+        rest = queries.join(found.filter("not found").select(F.col("query_id").alias("frame_id")), "frame_id", "left_semi")
+        return found.filter("found").unionByName(prototype_retriever(rest, pool, dims, speaker, gender, k, temperature))
+    kinds = dict(pool.dtypes)
+    aims = {c: F.lit(v).cast(kinds[c]) for c, v in (("speaker", speaker), ("gender", gender)) if v is not None}
+    if not aims:
+        aims, pool = {"__any": F.lit(1)}, pool.withColumn("__any", F.lit(1))
+    target = queries.withColumns(aims)
+    found = soft_nearest(target, pool, list(aims), ["phone"], k, metric="l2")
+    if speaker is not None and gender is not None:
+        rest = target.join(found.select(F.col("query_id").alias("frame_id")).distinct(), "frame_id", "left_anti")
         found = found.drop("mask").unionByName(nearest(rest, pool, ["gender"], k, metric="l2"))
     return kept_where_missing(softmax_of(found, pool, dims, temperature, distance=True), queries)
 
@@ -242,9 +330,96 @@ def window_blend(content: Column, style: Column, alpha: float) -> Column:
     return F.zip_with(content, style, lambda c, s: (1 - alpha) * c + alpha * s)
 
 
-def content_share(source: DataFrame, windows: DataFrame, source_key: str, window_key: str, phone: str = "phone") -> DataFrame:
-    """(source_key, window_key, content): the share of a source's frames whose phone occurs in the window. Phones are counted per source first."""
-    per = source.groupBy(source_key, phone).agg(F.count("*").alias("n"))
-    total = per.groupBy(source_key).agg(F.sum("n").alias("total"))
-    hit = per.join(windows.select(window_key, phone).distinct(), phone).groupBy(source_key, window_key).agg(F.sum("n").alias("hit"))
-    return hit.join(total, source_key).select(source_key, window_key, (F.col("hit") / F.col("total")).alias("content"))
+def content_vectors(rows: DataFrame, key: str, phones: list, style: str | None = None, phone: str = "phone", weight: float = 0.4, presence: bool = False) -> DataFrame:
+    """(key, v): the shares of the phones among the key's rows (presence: 1 for each phone that occurs) times 1 - weight (presence: 1), and behind them
+    the unit style vector, if there is one, times weight (presence: 1), so that v . v' of a source and a window is the blend of the share of the source's rows whose phone occurs in the window and the cosine of their styles."""
+    counts = [F.count_if(F.col(phone) == F.lit(x)) for x in phones]
+    part = [F.when(c > 0, F.lit(1.0)).otherwise(F.lit(0.0)) for c in counts] if presence else [F.lit(1 - weight) * c / F.count("*") for c in counts]
+    out = rows.groupBy(key).agg(F.array(*part).alias("__c"), *([F.first(style).alias("__s")] if style else []))
+    if not style:
+        return out.select(key, F.col("__c").alias("v"))
+    scale = F.lit(1.0 if presence else weight) / F.greatest(vec.norm(F.col("__s")), F.lit(1e-300))
+    return out.select(key, F.concat("__c", vec.scaled(F.col("__s"), scale)).alias("v"))
+
+
+def window_matches(sources: DataFrame, windows: DataFrame, source_key: str, window_key: str, phones: list, style: str = "style", weight: float = 0.4, k: int = 1, levels=((),), **how) -> DataFrame:
+    """(query_id, rank, pool_id, score, level): the k windows of the greatest (1 - weight) * content + weight * cosine of the styles.
+
+    content: the share of the source's rows whose phone occurs in the window. sources, windows: a row a frame, with key, phone, style and
+    the columns that levels name, equal within a key. Blocks of sources meet blocks of windows in one matrix product, so no pair is a row.
+    """
+    own = sorted({c for level in levels for c in level})
+    sides = []
+    for rows, key, presence in ((sources, source_key, False), (windows, window_key, True)):
+        v = content_vectors(rows, key, phones, style, weight=weight, presence=presence)
+        sides.append(stored(v.join(rows.select(key, *own).distinct(), key) if own else v, "content"))
+    return ladder(sides[0], sides[1], [list(x) for x in levels], k, metric="dot", query_id=source_key, pool_id=window_key, query_vector="v", pool_vector="v", **how)
+
+
+def window_retriever(sources: DataFrame, windows: DataFrame, phones: list, weight: float = 0.2, silence=(0,), key: str = "win") -> DataFrame:
+    """(win, i, feature): each source window's frames replaced by those of the window that blends best, of the same dominant phone if one has it, else of any, stretched linearly to the source's length.
+
+    Both tables have a row a frame: win (a whole number), t, phone, feature, style. Without windows, sources stay.
+    """
+    sides = [rows.join(sequence.dominant(rows, key, "phone", list(silence)), key, "left").withColumn("dominant", F.coalesce("dominant", F.lit(silence[0]))) for rows in (sources, windows)]
+    found = window_matches(*sides, key, key, phones, weight=weight, levels=(("dominant",), ()))
+    lengths = sources.groupBy(F.col(key).alias("query_id")).agg(F.count("*").alias("m"))
+    pairs = found.select("query_id", F.col("pool_id").alias(key)).join(lengths, "query_id")
+    given = windows.select(key, "t", "feature").join(pairs, key).drop(key).withColumnRenamed("query_id", key)
+    out = sequence.resample_linear(given, key, ["t"], "feature", "m")
+    rest = sequence.positioned(sources.join(pairs.select(F.col("query_id").alias(key)), key, "left_anti").select(key, "t", "feature"), key, ["t"])
+    return out.unionByName(rest.select(key, F.col("pos").alias("i"), "feature"))
+
+
+# Searches through coarse cells: fewer rows are compared, at the price of recall, which `recall` measures against the exact search.
+
+
+def cell_index(pool: DataFrame, cells: int, vector: str = "feature") -> tuple[DataFrame, np.ndarray]:
+    """An inverted file: the stored pool with cell, and the cells' centers. Every row is in it."""
+    rows, centers = coarse_cells(pool, cells, vector)
+    return stored(rows, "cells"), centers
+
+
+def nearest_in_cells(queries: DataFrame, index: tuple[DataFrame, np.ndarray], keys: list[str], k: int, probes: int, query_vector: str = "feature", **how) -> DataFrame:
+    """nearest, over the `probes` cells whose centers are nearest to the query; with as many probes as cells it is exact."""
+    pool, centers = index
+    return nearest(probed(queries, centers, probes, query_vector), pool, [*keys, "cell"], k, query_vector=query_vector, **how)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(recall,): the share of the exact neighbours that were found."""
+    met = exact.select("query_id", "pool_id").join(found.select("query_id", "pool_id", F.lit(1).alias("hit")), ["query_id", "pool_id"], "left")
+    return met.agg(F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("recall"))
+
+
+def coarse_style_search(queries: DataFrame, styles: DataFrame, cells: int = 256, probes: int = 8, k: int = 1, keys=("gender",), query_id: str = "utt", pool_id: str = "utt") -> DataFrame:
+    """(query_id, rank, pool_id, score): the styles nearest in cosine out of the nearest clusters of styles, of the same gender."""
+    return nearest_in_cells(queries, cell_index(styles, cells), list(keys), k, probes, metric="cosine", query_id=query_id, pool_id=pool_id)
+
+
+#: The retrievers by name, as `retriever` gives them.
+RETRIEVERS = {
+    "clusters": cluster_retriever,
+    "constrained": constrained_retriever,
+    "dispatched": dispatched,
+    "quantized": quantized_retriever,
+    "prototype": prototype_retriever,
+    "bank": bank_retriever,
+    "multi_pool": multi_pool_retriever,
+    "pseudo": pseudo_retriever,
+    "purified": adain_retriever,
+    "style": style_retriever,
+    "utterance": utterance_retriever,
+    "utterance_clusters": utterance_cluster_retriever,
+    "speaker": speaker_retriever,
+    "gender": gender_retriever,
+    "window": window_retriever,
+}
+
+
+def retriever(kind: str, **settings):
+    """A retriever with its settings: retriever('bank', dims=64, k=4)(queries, bank). A pool's kind, frame_level or speaker_prototype, names one too."""
+    name = {"frame_level": "constrained", "speaker_prototype": "prototype"}.get(kind, kind)
+    if name not in RETRIEVERS:
+        raise ValueError(f"{kind} is none of {sorted(RETRIEVERS)}")
+    return partial(RETRIEVERS[name], **settings)

@@ -51,8 +51,10 @@ def covariance(df: DataFrame, dims: int, vector: str = "feature") -> tuple[int,
     return n, mean, total[dims + 1 :].reshape(dims, dims) / max(n, 1) - np.outer(mean, mean)
 
 
-def pca(df: DataFrame, dims: int, components: int, vector: str = "feature", limit: int | None = None) -> dict[str, np.ndarray]:
-    """Centered PCA: mean, components (rows, the largest element of each positive), variances and their shares. At most min(components, dims, n - 1, limit)."""
+def pca(df: DataFrame, dims: int, components: int, vector: str = "feature", limit: int | None = None, unit: bool = False) -> dict[str, np.ndarray]:
+    """Centered PCA: mean, components (rows, the largest element of each positive), variances and their shares. At most min(components, dims, n - 1, limit). unit: of the vectors scaled to unit length, as `transformed` then scales them too."""
+    if unit:
+        df = df.withColumn(vector, vec.normalized(F.col(vector)))
     n, mean, cov = covariance(df, dims, vector)
     k = max(0, min(components, dims, n - 1, limit if limit is not None else dims))
     values, vectors = np.linalg.eigh(cov)
@@ -60,7 +62,7 @@ def pca(df: DataFrame, dims: int, components: int, vector: str = "feature", limi
     rows = vectors[:, order].T
     signs = np.sign(rows[np.arange(k), np.abs(rows).argmax(1)]) if k else np.ones(0)
     total = max(float(np.maximum(values, 0).sum()), 1e-300)
-    return {"mean": mean, "components": rows * signs[:, None], "variance": np.maximum(values[order], 0) * n / max(n - 1, 1), "ratio": np.maximum(values[order], 0) / total}
+    return {"mean": mean, "components": rows * signs[:, None], "variance": np.maximum(values[order], 0) * n / max(n - 1, 1), "ratio": np.maximum(values[order], 0) / total, "unit": unit}
 
 
 def transformed(df: DataFrame, model: dict[str, np.ndarray], vector: str = "feature", out: str = "projected", whiten: bool = False) -> DataFrame:
@@ -68,7 +70,16 @@ def transformed(df: DataFrame, model: dict[str, np.ndarray], vector: str = "feat
     mean, w = model["mean"], model["components"].T
     if whiten:
         w = w / np.sqrt(np.maximum(model["variance"], 1e-12))
-    return applied(df, w, vector, out, shift=mean)
+    if not model.get("unit"):
+        return applied(df, w, vector, out, shift=mean)
+    return applied(df.withColumn("__unit", vec.normalized(F.col(vector))), w, "__unit", out, shift=mean).drop("__unit")
+
+
+def with_energy(df: DataFrame, model: dict[str, np.ndarray], energy: str, weight: float = 1.0, vector: str = "feature", out: str = "style") -> DataFrame:
+    """df with the whitened components and, behind them, the energy vector times weight, together scaled to unit length."""
+    rows = transformed(df, model, vector, "__z", whiten=True)
+    joined = F.concat("__z", F.transform(F.col(energy).cast("array<double>"), lambda x: x * F.lit(weight)))
+    return rows.withColumn(out, vec.normalized(joined)).drop("__z")
 
 
 def applied(df: DataFrame, w: np.ndarray, vector: str = "feature", out: str = "projected", shift: np.ndarray | None = None) -> DataFrame:
@@ -111,6 +122,19 @@ def content_subspace(df: DataFrame, phones: int, dims: int, share: float = 0.95,
     return {"basis": vt[:k], "ratio": ratio[:k]}
 
 
+def balanced_content_subspace(df: DataFrame, dims: int, per_class: int = 2000, silence=(0,), use_lda: bool = False, id: str = "frame_id", seed: int = 42, phone: str = "phone", vector: str = "feature") -> dict[str, np.ndarray]:
+    """Of at most per_class rows of each phone, silence left out: the active phones - 1 directions in which their means differ, or those of LDA. With silence alone, or one phone, none."""
+    from seqloom.operators.sampling import drawn, top_of_group, without_silence
+
+    some = top_of_group(without_silence(df, phone, list(silence)), phone, [drawn(seed, id), F.col(id)], per_class)
+    n = some.select(phone).distinct().count()
+    if n < 2:
+        return {"basis": np.zeros((0, dims)), "ratio": np.zeros(0)}
+    if use_lda:
+        return {"basis": lda(some, dims, phone, n - 1, vector), "ratio": np.zeros(0)}
+    return subspace(some, phone, dims, n - 1, vector)
+
+
 def projected_out(df: DataFrame, basis: np.ndarray, vector: str = "feature", out: str = "cleaned") -> DataFrame:
     """df with h (I - U' U): the part of each vector outside of the basis' span, for orthonormal rows."""
     return applied(df, np.eye(basis.shape[1]) - basis.T @ basis, vector, out)
@@ -132,10 +156,13 @@ def scatter(df: DataFrame, dims: int, label: str, vector: str = "feature") -> tu
     return between, n * cov - between
 
 
-def lda(df: DataFrame, dims: int, label: str, components: int, vector: str = "feature") -> np.ndarray:
-    """Directions of the largest eigenvalues of inv(within) between, as rows (not orthonormal); the pseudo-inverse where within is singular."""
+def lda(df: DataFrame, dims: int, label: str, components: int, vector: str = "feature", ridge: float = 1e-6) -> np.ndarray:
+    """Directions of the largest eigenvalues of inv(within + ridge) between, as rows of unit length (not orthogonal to each other). Where that has no inverse or no eigenvalues, the directions of the labels' means."""
     between, within = scatter(df, dims, label, vector)
-    values, vectors = np.linalg.eig(np.linalg.pinv(within) @ between)
+    try:
+        values, vectors = np.linalg.eig(np.linalg.inv(within + ridge * np.eye(dims)) @ between)
+    except np.linalg.LinAlgError:
+        return subspace(df, label, dims, components, vector)["basis"]
     order = np.argsort(-values.real)[:components]
     return vectors[:, order].real.T
 

@@ -15,32 +15,28 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "\\s+"), lambda w: w != "")
 
 
-def _distance(a: list[str], b: list[str]) -> int:
-    """Edit distance of word lists: rows of the shorter list, a NumPy row at a time."""
-    if len(a) < len(b):
-        a, b = b, a
-    ids = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
-    x, y = np.array([ids[w] for w in a]), np.array([ids[w] for w in b])
-    at = np.arange(len(y) + 1)
-    row = at.copy()
-    for i, w in enumerate(x, 1):
-        step = np.minimum(row[1:] + 1, row[:-1] + (y != w))
-        # insertions run on from the left: a running minimum of (value - place)
-        row = np.minimum.accumulate(np.concatenate([[i], step]) - at) + at
-    return int(row[-1])
+#: Distinct words of a pair that have a code point of their own.
+MOST_WORDS = 0x10FFFF - 0x900
 
 
-def word_errors(df: DataFrame, reference: str, hypothesis: str, empty_reference: str = "one") -> DataFrame:
-    """df with distance and wer. empty_reference: the rate of words against none: 'one', 'inf' or 'zero'; none against none is 0. An Arrow-batched function over whole texts."""
+def _coded(text: Column, vocabulary: Column) -> Column:
+    """Words as one character each: the place in the vocabulary, behind the control characters and around the surrogates, by way of UTF-32."""
+    at = lambda w: F.array_position(vocabulary, w) + F.lit(0xFF)
+    point = lambda w: at(w) + F.when(at(w) >= 0xD800, F.lit(0x800)).otherwise(F.lit(0))
+    return F.decode(F.unhex(F.array_join(F.transform(text, lambda w: F.lpad(F.hex(point(w)), 8, "0")), "")), "UTF-32")
+
 
-    @F.pandas_udf("bigint")
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_distance(list(x), list(y)) for x, y in zip(a, b)], dtype="int64")
+def word_errors(df: DataFrame, reference: str, hypothesis: str, empty_reference: str = "one") -> DataFrame:
+    """df with distance and wer. empty_reference: the rate of words against none: 'one', 'inf' or 'zero'; none against none is 0.
 
-    r, h = words(F.col(reference)), words(F.col(hypothesis))
-    empty = F.when(F.size(h) == 0, F.lit(0.0)).otherwise(F.lit({"one": 1.0, "inf": float("inf"), "zero": 0.0}[empty_reference]))
-    out = df.withColumns({"__r": r, "__h": h}).withColumn("distance", distance("__r", "__h"))
-    return out.withColumn("wer", F.when(F.size("__r") == 0, empty).otherwise(F.col("distance") / F.size("__r"))).drop("__r", "__h")
+    Each distinct word of a pair becomes a character, so Spark's own edit distance of strings counts words.
+    """
+    empty = F.when(F.size("__h") == 0, F.lit(0.0)).otherwise(F.lit({"one": 1.0, "inf": float("inf"), "zero": 0.0}[empty_reference]))
+    out = df.withColumns({"__r": words(F.col(reference)), "__h": words(F.col(hypothesis))}).withColumn("__v", F.array_distinct(F.concat("__r", "__h")))
+    many = F.raise_error(F.lit("a pair of texts with more than a million distinct words"))
+    distance = F.when(F.size("__v") > MOST_WORDS, many.cast("bigint")).otherwise(F.levenshtein(_coded(F.col("__r"), F.col("__v")), _coded(F.col("__h"), F.col("__v"))).cast("bigint"))
+    out = out.withColumn("distance", distance)
+    return out.withColumn("wer", F.when(F.size("__r") == 0, empty).otherwise(F.col("distance") / F.size("__r"))).drop("__r", "__h", "__v")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -82,8 +78,15 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return facts.select(ari.alias("ari"), F.when(ha + hb <= 0, F.lit(1.0)).otherwise(mutual / ((ha + hb) / 2)).alias("nmi"))
 
 
-def silhouette(df: DataFrame, cluster: str, id: str = "frame_id", vector: str = "feature", block_rows: int = 2048) -> DataFrame:
-    """(silhouette,): the mean Euclidean silhouette; rows alone in their cluster count 0. Blocks of rows meet blocks of rows, and only sums by (row, cluster) leave a task."""
+def silhouette(df: DataFrame, cluster: str, id: str = "frame_id", vector: str = "feature", block_rows: int = 2048, sample: int | None = None) -> DataFrame:
+    """(silhouette,): the mean Euclidean silhouette; rows alone in their cluster count 0. Blocks of rows meet blocks of rows, and only sums by (row, cluster) leave a task.
+
+    sample: over so many rows drawn by id instead of all, as all pairs of rows are compared.
+    """
+    if sample is not None:
+        from seqloom.operators.sampling import least_by_draw
+
+        df = least_by_draw(df, [], df.agg(F.lit(sample).cast("bigint").alias("__keep")), id)
     rows = df.select(F.col(id).cast("bigint").alias("id"), F.col(cluster).alias("c"), F.col(vector).alias("v"))
     blocks = max(1, -(-rows.count() // block_rows))
     own = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
@@ -124,6 +127,25 @@ def energy_retention(df: DataFrame, before: str, after: str) -> DataFrame:
     return df.agg((F.sum(square(after)) / F.sum(square(before))).alias("retention"), F.avg(vec.l2(F.col(before), F.col(after)) / vec.norm(F.col(before))).alias("change"), F.count_if(bad).alias("n_bad"))
 
 
+def separation(df: DataFrame, before: str, after: str) -> DataFrame:
+    """(style_share, content_share, mean_dot): mean norms of what is left and of what was taken off, as shares of the mean norm, and the mean of |left . taken off|, near 0 for an orthogonal projection."""
+    gone = vec.minus(F.col(before), F.col(after))
+    rows = df.select(vec.norm(F.col(before)).alias("a"), vec.norm(F.col(after)).alias("b"), vec.norm(gone).alias("c"), F.abs(vec.dot(F.col(after), gone)).alias("d"))
+    return rows.agg((F.avg("b") / F.avg("a")).alias("style_share"), (F.avg("c") / F.avg("a")).alias("content_share"), F.avg("d").alias("mean_dot"))
+
+
+def spread_within(df: DataFrame, keys: list[str], dims: int, vector: str = "feature") -> DataFrame:
+    """(keys, n, intra_variance): the mean over dimensions of the population variance of each group."""
+    v = F.col(vector)
+    parts = [F.var_pop(v[i]) for i in range(dims)]
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), vec.total(F.array(*parts)).alias("__t")).select(*keys, "n", (F.col("__t") / dims).alias("intra_variance"))
+
+
+def gate(retention: Column, n_bad: Column) -> Column:
+    """What the sanity check says: blocked, go, caution or reconsider."""
+    return F.when(n_bad > 0, "blocked").when(retention < 0.5, "go").when(retention < 0.8, "caution").otherwise("reconsider")
+
+
 def probe_accuracy(df: DataFrame, label: str, vector: str = "feature", id: str = "frame_id", train: float = 0.8) -> float:
     """Accuracy of a logistic regression on held-out rows: how much of the label the vectors tell."""
     from pyspark.ml.classification import LogisticRegression

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import vec
+from seqloom.operators.sampling import draw
 
 
 def normal(seed: int, *columns: str) -> Column:
-    """A standard normal number by hash of identifiers (Box-Muller)."""
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed + k), *columns), F.lit(1 << 30)) + 0.5) / F.lit(float(1 << 30))
+    """A standard normal number by MD5 of identifiers (Box-Muller)."""
+    u = lambda k: (draw(seed + k, *columns) + 0.5) / F.lit(float(1 << 32))
     return F.sqrt(-2 * F.log(u(0))) * F.cos(2 * 3.141592653589793 * u(1))
 
 

@@ -55,55 +55,77 @@ def top_of_group(df: DataFrame, group: str | list[str], order: list[Column], kee
     return df.withColumn("__rank", rank).filter(F.col("__rank") <= keep).drop("__rank")
 
 
+def least_by_draw(df: DataFrame, group: list[str], keep: DataFrame, id: str, seed: int = 42, by: list[str] | None = None) -> DataFrame:
+    """The rows of each group that a draw by (seed, id) puts first, as many as keep (group, __keep) says; groups that keep lacks are left out. by: columns of the draw instead of id.
+
+    Rows are counted by group and the first 12 bits of their draw. Of the slice in which a group's number is reached, the
+    first rows are taken; slices are 1/4096 of a group, so a group of any size is spread over tasks.
+    """
+    rows = df.withColumn("__draw", drawn(seed, *(by or [id]))).withColumn("__slice", F.substring("__draw", 1, 3))
+    counts = rows.groupBy(*group, "__slice").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("__before", before)
+    wanted = (counts.join(keep, group) if group else counts.crossJoin(F.broadcast(keep))).filter("__before < __keep").select(*group, "__slice", (F.col("__keep") - F.col("__before")).alias("__left"))
+    place = F.row_number().over(Window.partitionBy(*group, "__slice").orderBy("__draw", id))
+    return rows.join(wanted, [*group, "__slice"]).withColumn("__place", place).filter("__place <= __left").select(*df.columns)
+
+
 def balanced(df: DataFrame, group: str, target: int, id: str, seed: int = 42) -> DataFrame:
     """max(1, target // groups) rows of each group, then target rows at most, in the order of ids."""
     groups = df.select(group).distinct().count()
     some = top_of_group(df, group, [drawn(seed, id), F.col(id)], max(1, target // max(groups, 1)))
-    return some.orderBy(id).limit(target)
+    if groups <= target:
+        return some
+    return positioned(some.withColumn("__all", F.lit(0)), "__all", [id]).filter(F.col("pos") < target).drop("__all", "pos")
 
 
 def share(df: DataFrame, ratio: float, id: str, seed: int = 42) -> DataFrame:
     """int(n * ratio) rows."""
-    return df.orderBy(drawn(seed, id), id).limit(int(df.count() * ratio))
+    return least_by_draw(df, [], df.agg(F.floor(F.count("*") * F.lit(ratio)).alias("__keep")), id, seed)
 
 
 def share_of_group(df: DataFrame, group: str, ratio: float, id: str, seed: int = 42) -> DataFrame:
     """max(1, int(n * ratio)) rows of each group."""
-    sizes = df.groupBy(group).agg(F.greatest(F.lit(1), F.floor(F.count("*") * F.lit(ratio))).alias("__keep"))
-    return top_of_group(df.join(sizes, group), group, [drawn(seed, id), F.col(id)], F.col("__keep")).drop("__keep")
+    return least_by_draw(df, [group], df.groupBy(group).agg(F.greatest(F.lit(1), F.floor(F.count("*") * F.lit(ratio))).alias("__keep")), id, seed)
 
 
 def quota(df: DataFrame, group: str, quotas: dict, id: str, seed: int = 42) -> DataFrame:
     """As many rows of each group as its quota says, all where there are fewer; groups without a quota are left out."""
-    keep = F.coalesce(*(F.when(F.col(group) == F.lit(g), F.lit(n)) for g, n in quotas.items()), F.lit(0))
-    return top_of_group(df, group, [drawn(seed, id), F.col(id)], keep)
+    keep = df.sparkSession.createDataFrame(list(quotas.items()), f"`{group}` {dict(df.dtypes)[group]}, __keep bigint")
+    return least_by_draw(df, [group], F.broadcast(keep), id, seed)
 
 
-def disjoint_pools(speakers: DataFrame, present: DataFrame | None, n_pools: int = 4, per_gender: int = 50, id: str = "speaker", gender: str = "gender", seed: int = 42) -> DataFrame:
-    """(id, gender, pool): speakers dealt to pools of per_gender of each gender. Raises ValueError if there are too few. present: ids that have data."""
+def disjoint_pools(speakers: DataFrame, present: DataFrame | None, n_pools: int = 4, per_gender: int = 50, id: str = "speaker", gender: str = "gender", seed: int = 42, genders=("m", "f")) -> DataFrame:
+    """(id, gender, pool): speakers dealt to pools of per_gender of each of the genders. Raises ValueError if there are too few of one, or none. present: ids that have data."""
     some = speakers if present is None else speakers.join(present.select(id).distinct(), id, "left_semi")
+    some = some.filter(F.col(gender).isin(list(genders)))
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy(gender).orderBy(drawn(seed, id), id)))
     out = ranked.filter(F.col("rank") <= n_pools * per_gender)
-    short = out.groupBy(gender).agg(F.count("*").alias("n")).filter(F.col("n") < n_pools * per_gender).collect()
-    if short:
-        raise ValueError(f"too few speakers: {[tuple(r) for r in short]}")
+    found = dict(map(tuple, out.groupBy(gender).agg(F.count("*").alias("n")).collect()))
+    if short := {g: found.get(g, 0) for g in genders if found.get(g, 0) < n_pools * per_gender}:
+        raise ValueError(f"too few speakers: {short} of {n_pools * per_gender}")
     return out.select(id, gender, F.floor((F.col("rank") - 1) / per_gender).cast("int").alias("pool"))
 
 
+def draw(seed: int, *columns) -> Column:
+    """A whole number below 2**32, drawn by MD5 of seed and columns."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns))), 1, 8), 16, 10).cast("bigint")
+
+
 def spaced_segments(utterances: DataFrame, n_segments: int, width: int, at_random: bool = True, seed: int = 42) -> DataFrame:
-    """(segment, start, end) of contiguous frames out of [0, total): drawn by hash or evenly spaced."""
+    """(segment, start, end) of contiguous frames out of [0, total): drawn or evenly spaced."""
     total = utterances.agg(F.sum("num_frames")).first()[0] or 0
     ids = utterances.sparkSession.range(n_segments).withColumnRenamed("id", "segment")
     room = max(1, total - width + 1)
-    start = F.pmod(F.xxhash64(F.lit(seed), "segment"), F.lit(room)) if at_random else F.floor(F.col("segment") * F.lit(max(0, total - width)) / F.lit(max(1, n_segments - 1)))
-    return ids.withColumn("start", start.cast("bigint")).withColumn("end", F.least(F.col("start") + width, F.lit(total)))
+    start = draw(seed, "segment") % F.lit(room) if at_random else F.floor(F.col("segment") * F.lit(max(0, total - width)) / F.lit(max(1, n_segments - 1)))
+    return ids.withColumn("start", start.cast("bigint")).withColumn("end", F.least(F.col("start") + width, F.lit(total).cast("bigint")))
 
 
 def strided(df: DataFrame, order: list[str], most: int) -> DataFrame:
     """Every step-th row so that at most `most` are left."""
     rows = positioned(df.withColumn("__all", F.lit(0)), "__all", order).drop("__all")
     step = max(1, rows.count() // most)
-    return rows.filter(F.col("pos") % step == 0).orderBy("pos").limit(most)
+    return rows.filter((F.col("pos") % step == 0) & (F.col("pos") < most * step))
 
 
 def interleaved(df: DataFrame, group: str, order: list[str]) -> DataFrame:
@@ -118,7 +140,7 @@ def proportional(df: DataFrame, key: str, group: str, most: int, id: str, seed:
     keep = sizes.join(totals, group).withColumn("__keep", F.greatest(F.lit(1), F.floor(F.col("n") * F.least(F.lit(1.0), most / F.col("total")))))
     before = F.sum("__keep").over(Window.partitionBy(group).orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
     keep = keep.withColumn("__keep", F.greatest(F.lit(0), F.least("__keep", most - F.coalesce(before, F.lit(0))))).select(group, key, "__keep")
-    return top_of_group(df.join(keep, [group, key]), [group, key], [drawn(seed, id), F.col(id)], F.col("__keep")).drop("__keep")
+    return least_by_draw(df, [group, key], keep, id, seed)
 
 
 def train_test(df: DataFrame, id: str, train: float = 0.8, seed: int = 42) -> DataFrame:
@@ -132,12 +154,25 @@ def majority(df: DataFrame, key: str, column: str, wanted) -> DataFrame:
     return df.join(good, key, "left_semi") if good.limit(1).count() else df
 
 
-def prototype_budget(counts: DataFrame, label: str, budget: int) -> DataFrame:
-    """(label, keep): max(1, int(budget * n / total)) each while the budget lasts, by label; what is left goes to the most frequent, one each."""
-    total = counts.agg(F.sum("n")).first()[0] or 1
-    want = F.greatest(F.lit(1), F.floor(F.lit(budget) * F.col("n") / F.lit(total)))
-    before = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
+def prototype_budget(counts: DataFrame, label: str, budget: int, by: str | None = None) -> DataFrame:
+    """(by, label, keep): max(1, int(budget * n / total)) each while the budget lasts, by label; what is left goes to the most frequent, one each. With `by`, each of its values has a budget of its own."""
+    own = [by] if by else []
+    all_of = Window.partitionBy(*own)
+    counts = counts.withColumn("total", F.sum("n").over(all_of))
+    want = F.greatest(F.lit(1), F.floor(F.lit(budget) * F.col("n") / F.col("total")))
+    before = Window.partitionBy(*own).orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
     got = counts.withColumn("want", want).withColumn("keep", F.greatest(F.lit(0), F.least("want", budget - F.coalesce(F.sum("want").over(before), F.lit(0)))))
-    rest = F.greatest(F.lit(0), F.lit(budget) - F.sum("keep").over(Window.partitionBy()))
-    turn = F.row_number().over(Window.orderBy(F.desc("n"), label))
-    return got.withColumns({"rest": rest, "turn": turn}).select(label, (F.col("keep") + (F.col("turn") <= F.col("rest")).cast("int")).cast("bigint").alias("keep"))
+    rest = F.greatest(F.lit(0), F.lit(budget) - F.sum("keep").over(all_of))
+    turn = F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("n"), label))
+    return got.withColumns({"rest": rest, "turn": turn}).select(*own, label, (F.col("keep") + (F.col("turn") <= F.col("rest")).cast("int")).cast("bigint").alias("keep"))
+
+
+def first_utterances(utterances: DataFrame, n: int, id: str = "utt_id") -> DataFrame:
+    """The first n by id. Spark keeps n rows a task and merges them."""
+    return utterances.orderBy(id).limit(n)
+
+
+def batches_by_duration(utterances: DataFrame, batch: int, duration: str = "duration_sec", id: str = "utt_id") -> DataFrame:
+    """utterances with batch and place in it, in the order of duration, so that a batch needs little padding."""
+    rows = positioned(utterances.withColumn("__all", F.lit(0)), "__all", [duration, id]).drop("__all")
+    return rows.withColumns({"batch": F.floor(F.col("pos") / batch), "place": F.col("pos") % batch}).drop("pos")

@@ -7,12 +7,15 @@ neighbouring rows that it needs, so a key that holds a third of all rows is spre
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import vec
-from seqloom.storage import chunked, positioned
+from seqloom.operators.sampling import draw
+from seqloom.storage import chunked, positioned, stored
+
 
 def _window(key: str) -> Window:
     return Window.partitionBy(key, "chunk").orderBy("pos")
@@ -94,11 +97,7 @@ def ema(df: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.
 
     def smooth(pdf):
         pdf = pdf.sort_values("pos")
-        out, y = [], None
-        for x in pdf["v"]:
-            y = x if y is None else alpha * x + (1 - alpha) * y
-            out.append(y)
-        return pdf.assign(ema=out)
+        return pdf.assign(ema=list(accumulate(pdf["v"].tolist(), lambda y, x: alpha * x + (1 - alpha) * y)))
 
     kind = dict(df.dtypes)[key]
     plain = rows.select(key, "chunk", "pos", "halo", F.col(value).cast("double").alias("v"))
@@ -122,7 +121,11 @@ def continuity(df: DataFrame, key: str, order: list[str], vector: str = "feature
 def step_quantiles(df: DataFrame, key: str, order: list[str], vector: str = "feature") -> DataFrame:
     """(p90, p99, most) of the distance between vectors next to each other."""
     rows = lagged(df, key, order, [vector]).filter(F.col(f"{vector}_lag1").isNotNull()).withColumn("d", vec.l2(F.col(vector), F.col(f"{vector}_lag1")))
-    return rows.agg(F.percentile("d", 0.9).alias("p90"), F.percentile("d", 0.99).alias("p99"), F.max("d").alias("most"))
+    from seqloom.operators.stats import interpolated
+
+    rows = stored(rows.select("d"), "steps")
+    p90, p99 = (interpolated(rows, [], "d", share).withColumnRenamed("edge", name) for share, name in ((0.9, "p90"), (0.99, "p99")))
+    return p90.crossJoin(F.broadcast(p99)).crossJoin(F.broadcast(rows.agg(F.max("d").alias("most"))))
 
 
 def time_bins(df: DataFrame, key: str, order: list[str], width: int = 10) -> DataFrame:
@@ -172,7 +175,7 @@ def shuffled_in_bins(df: DataFrame, key: str, order: list[str], label: str, widt
     """(key, pos, label): in a share of the full bins of width rows, drawn by hash, labels change places; the last, partial bin stays."""
     rows = time_bins(df.select(key, *order, label), key, order, width)
     size = F.count("*").over(Window.partitionBy(key, "bin"))
-    drawn = F.pmod(F.xxhash64(F.lit(seed), key, "bin"), F.lit(1_000_000)) < int(share * 1_000_000)
+    drawn = draw(seed, key, "bin") < int(share * 2**32)
     moves = rows.withColumn("moves", drawn & (size == width))
-    place = F.when(F.col("moves"), F.row_number().over(Window.partitionBy(key, "bin").orderBy(F.xxhash64(F.lit(seed + 1), F.col(key), F.col("pos")), "pos")) - 1 + F.col("bin") * width).otherwise(F.col("pos"))
+    place = F.when(F.col("moves"), F.row_number().over(Window.partitionBy(key, "bin").orderBy(draw(seed + 1, key, "pos"), "pos")) - 1 + F.col("bin") * width).otherwise(F.col("pos"))
     return moves.select(key, place.cast("bigint").alias("pos"), label)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import vec
+from seqloom.operators import blocks
 
 
 def centroids(df: DataFrame, keys: list[str], dims: int, vector: str = "feature", least: int = 1) -> DataFrame:
@@ -29,16 +32,19 @@ def speaker_centroids(df: DataFrame, dims: int, least_rows: int = 3, least_speak
 
 
 def confusion_entropy(df: DataFrame, speaker_means: DataFrame, temperature: float = 10.0, id: str = "frame_id") -> DataFrame:
-    """(id, phone, entropy, n): of the softmax of -distance / temperature to the centroids of the phone's speakers, divided by ln(n). Speakers are few; frames are not, so each frame meets its phone's list of centroids."""
-    lists = speaker_means.groupBy("phone").agg(F.sort_array(F.collect_list(F.struct("speaker", "centroid"))).alias("list"))
-    rows = df.select(id, "phone", "feature").join(lists, "phone")
-    logits = F.transform("list", lambda s: -vec.l2(F.col("feature"), s["centroid"]) / F.lit(temperature))
-    rows = rows.withColumn("z", logits).withColumn("n", F.size("z"))
-    rows = rows.withColumn("top", F.array_max("z")).withColumn("e", F.transform(F.arrays_zip("z", F.array_repeat("top", F.col("n")).alias("m")), lambda x: F.exp(x["z"] - x["m"])))
-    rows = rows.withColumn("sum", vec.total(F.col("e")))
-    p = F.transform(F.arrays_zip("e", F.array_repeat("sum", F.col("n")).alias("s")), lambda x: x["e"] / x["s"])
-    entropy = vec.total(F.transform(p, lambda x: -x * F.log(x + F.lit(1e-9)))) / F.log(F.col("n").cast("double"))
-    return rows.select(id, "phone", F.when(F.col("n") < 2, F.lit(0.0)).otherwise(entropy).alias("entropy"), F.col("n").cast("bigint").alias("n"))
+    """(id, phone, entropy, n): of the softmax of -distance / temperature to the centroids of the phone's speakers, divided by ln(n); 0 for one speaker. A block of frames meets its phone's centroids in one matrix product."""
+    kinds = dict(df.dtypes)
+
+    def work(rows: pa.Table, means: pa.Table) -> pa.Table:
+        means = means.sort_by("speaker")
+        z = -np.sqrt(blocks.squared_distances(blocks.matrix(rows, "feature"), blocks.matrix(means, "centroid"))) / temperature
+        e = np.exp(z - z.max(1, keepdims=True))
+        p = e / e.sum(1, keepdims=True)
+        n = means.num_rows
+        entropy = -(p * np.log(p + 1e-9)).sum(1) / np.log(n) if n > 1 else np.zeros(rows.num_rows)
+        return rows.select([id, "phone"]).append_column("entropy", pa.array(entropy)).append_column("n", pa.array(np.full(rows.num_rows, n, np.int64)))
+
+    return blocks.met(df.select(id, "phone", "feature"), speaker_means.select("phone", "speaker", "centroid"), ["phone"], work, f"`{id}` {kinds[id]}, phone {kinds['phone']}, entropy double, n bigint", id)
 
 
 def cluster_entropy(df: DataFrame, dims: int, cluster: str = "cluster", temperature: float = 5.0) -> DataFrame:
@@ -48,11 +54,33 @@ def cluster_entropy(df: DataFrame, dims: int, cluster: str = "cluster", temperat
     return found.groupBy(F.col("phone").alias(cluster)).agg(F.avg("entropy").alias("entropy"))
 
 
+def interpolated(df: DataFrame, group: list[str], value: str, share: float, accuracy: int = 10_000) -> DataFrame:
+    """(group, edge): the exact interpolated percentile of each group's values; null and NaN are left out.
+
+    Approximate percentiles bound a narrow band around the place; only what is in the band is counted by value and
+    sorted, so no group's values meet in one task. Groups of up to `accuracy` rows are a band of their own.
+    """
+    some = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*group, F.col(value).cast("double").alias("__v"))
+    n, off = F.count("*"), 3 / accuracy
+    near = lambda s, end: F.when(n <= accuracy, end("__v")).otherwise(F.percentile_approx("__v", F.lit(min(1.0, max(0.0, s))), accuracy))
+    bounds = some.groupBy(*group).agg(n.alias("__n"), near(share - off, F.min).alias("__lo"), near(share + off, F.max).alias("__hi"))
+    rows = some.join(bounds, group) if group else some.crossJoin(F.broadcast(bounds))
+    # what is below the band has no value and sorts in front of it
+    counted = rows.filter("__v <= __hi").groupBy(*group, F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("__v")).agg(F.count("*").alias("__c"), F.first("__n").alias("__n"))
+    ends = counted.withColumn("__z", F.sum("__c").over(Window.partitionBy(*group).orderBy(F.asc_nulls_first("__v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    x = F.lit(share) * (F.col("__n") - 1)
+    holds = lambda place: (F.col("__z") - F.col("__c") <= place) & (place < F.col("__z"))
+    low = F.floor(x)
+    places = ends.filter("__v is not null").groupBy(*group).agg(
+        F.max(F.when(holds(low), F.col("__v"))).alias("__a"), F.max(F.when(holds(F.least(low + 1, F.col("__n") - 1)), F.col("__v"))).alias("__b"), F.first("__n").alias("__n")
+    )
+    return places.select(*group, (F.col("__a") + (F.col("__b") - F.col("__a")) * (x - low)).alias("edge"))
+
+
 def over_percentile(df: DataFrame, group: list[str], value: str, share: float) -> DataFrame:
     """Rows at or above their group's percentile of value (interpolated); a null or NaN value is left out first."""
     some = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    edges = some.groupBy(*group).agg(F.percentile(value, share).alias("__edge"))
-    return some.join(edges, group).filter(F.col(value) >= F.col("__edge")).drop("__edge")
+    return some.join(interpolated(some, group, value, share).withColumnRenamed("edge", "__edge"), group).filter(F.col(value) >= F.col("__edge")).drop("__edge")
 
 
 def top_clusters(clusters: DataFrame, value: str = "entropy", top_share: float = 0.5) -> DataFrame:

@@ -154,7 +154,12 @@ def resample_floor(spark, sf):
     return sequence.resample_floor(symbols(spark, sf).withColumn("m", 7 + F.col("utt") % 5), "utt", ORDER, "phone", "m")
 
 
-@query()
+DRAW = "('0x' || md5({})[:8])::BIGINT"
+
+
+@query(f"""WITH e AS (SELECT utt, pos, phone, pos // 5 AS bin, count(*) OVER (PARTITION BY utt, pos // 5) AS n FROM {EV}),
+m AS (SELECT *, {DRAW.format("'3|' || utt || '|' || bin")} < (0.3 * 4294967296)::BIGINT - 0 AND n = 5 AS moves, row_number() OVER (PARTITION BY utt, bin ORDER BY {DRAW.format("'4|' || utt || '|' || pos")}, pos) - 1 AS k FROM e)
+SELECT utt, CASE WHEN moves THEN bin * 5 + k ELSE pos END AS pos, phone FROM m""")
 def rhythm_shuffle(spark, sf):
     return sequence.shuffled_in_bins(symbols(spark, sf), "utt", ORDER, "phone")
 
@@ -270,10 +275,17 @@ def segment_stats(spark, sf):
     return s.select("utt", "seg", "n", *(F.round(F.col("stats")[i], 6).alias(c) for i, c in enumerate(("mean", "std", "delta"))))
 
 
-@query(f"WITH f AS (SELECT *, f[1] AS x FROM {FR}), d AS (SELECT *, x - lag(x) OVER (PARTITION BY utt ORDER BY t) AS d FROM f) SELECT utt, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(coalesce(avg(abs(d)), 0), 6) AS step, round(coalesce(stddev_pop(d), 0), 6) AS step_std FROM d GROUP BY utt")
+@query(f"""WITH f AS (SELECT utt, t, i, f[i] AS x FROM {FR}, {DIM}), d AS (SELECT *, x - lag(x) OVER (PARTITION BY utt, i ORDER BY t) AS d FROM f),
+s AS (SELECT utt, i, [avg(x), stddev_pop(x), coalesce(avg(abs(d)), 0), coalesce(stddev_pop(d), 0)] AS s FROM d GROUP BY utt, i)
+SELECT utt, part * 64 + i - 1 AS dim, round(s[part + 1], 6) + 0.0 AS value FROM s, range(4) r(part)""")
 def window_stats(spark, sf):
-    s = prosody.window_stats(frames(spark, sf), ["utt"], DIMS, pos="t")
-    return s.select("utt", *(F.round(F.col("stats")[i * DIMS], 6).alias(c) for i, c in enumerate(("mean", "std", "step", "step_std"))))
+    return long_vector(prosody.window_stats(frames(spark, sf), ["utt"], DIMS, pos="t"), ["utt"], "stats")
+
+
+@query(f"""WITH f AS (SELECT utt, t, i, f[i] AS x FROM {FR}, {DIM}), s AS (SELECT utt, i, count(*) AS n, [avg(x), stddev_pop(x) + 1e-8, CASE WHEN count(*) > 1 THEN (arg_max(x, t) - arg_min(x, t)) / (count(*) - 1) ELSE 0 END] AS s FROM f GROUP BY utt, i)
+SELECT utt, n, part * 64 + i - 1 AS dim, round(s[part + 1], 6) + 0.0 AS value FROM s, range(3) r(part)""")
+def segment_embedding(spark, sf):
+    return long_vector(prosody.segment_stats(frames(spark, sf), ["utt"], DIMS, pos="t"), ["utt", "n"], "stats")
 
 
 @query(f"""WITH f AS (SELECT utt, t::DOUBLE AS x, sqrt(list_dot_product(f, f)) AS e, phone <> 0 AS v FROM {FR}), m AS (SELECT *, avg(x) OVER (PARTITION BY utt) AS mid FROM f)
@@ -354,13 +366,12 @@ def style_select_gender(spark, sf):
 
 
 @query(f"""WITH {STYLES}, n AS (SELECT utt, phone, count(*) AS n FROM f GROUP BY utt, phone), t AS (SELECT utt, sum(n) AS total FROM n GROUP BY utt), h AS (SELECT a.utt, b.utt AS win, sum(a.n) AS hit FROM n a JOIN n b USING (phone) GROUP BY a.utt, b.utt)
-SELECT h.utt, h.win, round(0.6 * (hit / total) + 0.4 * round(list_cosine_similarity(x.s, y.s), 6), 6)::DOUBLE AS score FROM h JOIN t USING (utt) JOIN u x ON x.utt = h.utt JOIN u y ON y.utt = h.win QUALIFY row_number() OVER (PARTITION BY h.utt ORDER BY score DESC, h.win) <= 3""")
+SELECT h.utt, h.win, round(0.6 * (hit / total) + 0.4 * list_cosine_similarity(x.s, y.s), 6)::DOUBLE AS score FROM h JOIN t USING (utt) JOIN u x ON x.utt = h.utt JOIN u y ON y.utt = h.win QUALIFY row_number() OVER (PARTITION BY h.utt ORDER BY score DESC, h.win) <= 3""")
 def window_alpha_blend(spark, sf):
-    f, u = frames(spark, sf), styles(spark, sf)
-    content = knn.content_share(f, f.select(F.col("utt").alias("win"), "phone"), "utt", "win")
-    near = content.join(u.select("utt", F.col("feature").alias("a")), "utt").join(u.select(F.col("utt").alias("win"), F.col("feature").alias("b")), "win")
-    scored = near.select("utt", "win", F.round(0.6 * F.col("content") + 0.4 * F.round(vec.cosine(F.col("a"), F.col("b")), 6), 6).alias("score"))
-    return sampling.top_of_group(scored, "utt", [F.desc("score"), F.col("win")], 3)
+    f = frames(spark, sf).join(styles(spark, sf).select("utt", F.col("feature").alias("style")), "utt")
+    phones = sorted(r[0] for r in f.select("phone").distinct().collect())
+    out = knn.window_matches(f, f, "utt", "utt", phones, k=3)
+    return out.select(F.col("query_id").alias("utt"), F.col("pool_id").alias("win"), "score")
 
 
 @query(f"""WITH f AS {FR}, {CENTROIDS}, d AS (SELECT f, c, list_distance(f, c) AS d FROM f JOIN m USING (phone)) SELECT round(avg(d * d / 64), 6) AS mse, round(avg(list_sum(list_transform(list_zip(f, c), lambda z: abs(z[1] - z[2]))) / 64), 6) AS mae, round(avg(d), 6) AS mean_distance FROM d""")
@@ -408,6 +419,25 @@ def project_out_mean_direction(spark, sf):
     return long_vector(linalg.projected_out(f, (m / np.linalg.norm(m))[None, :]), ["frame_id"], "cleaned")
 
 
+MEAN_DIRECTION = f"WITH f AS {FR}, m AS (SELECT list(v ORDER BY i) AS m FROM (SELECT i, avg(f[i]) AS v FROM f, {DIM} GROUP BY i)), u AS (SELECT list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS u FROM m), p AS (SELECT frame_id, f, u, list_dot_product(f, u) AS c FROM f, u)"
+
+
+def _cleaned(spark, sf):
+    f = frames(spark, sf)
+    m = np.array(f.agg(vec.mean_vector(F.col("feature"), DIMS)).first()[0])
+    return linalg.projected_out(f, (m / np.linalg.norm(m))[None, :])
+
+
+@query(f"{MEAN_DIRECTION} SELECT frame_id, i - 1 AS dim, round(c * u[i], 6) + 0.0 AS value FROM p, {DIM}")
+def component_taken_off(spark, sf):
+    return long_vector(linalg.component(_cleaned(spark, sf)), ["frame_id"], "component")
+
+
+@query(f"{MEAN_DIRECTION}, e AS (SELECT sqrt(list_dot_product(f, f)) AS a, abs(c) AS c, sqrt(greatest(0, list_dot_product(f, f) - c * c)) AS b FROM p) SELECT round(avg(b) / avg(a), 6) AS style_share, round(avg(c) / avg(a), 6) AS content_share, 0.0::DOUBLE AS mean_dot FROM e")
+def subspace_separation(spark, sf):
+    return metrics.separation(_cleaned(spark, sf), "feature", "cleaned").select(*r6("style_share", "content_share", "mean_dot"))
+
+
 @query(f"""WITH f AS {FR}, {CENTROIDS}, s AS (SELECT frame_id, f, c, list_avg(f) AS a, greatest(list_stddev_samp(f), 1e-5) AS sa, list_avg(c) AS b, greatest(list_stddev_samp(c), 1e-5) AS sb FROM f JOIN m USING (phone)) SELECT frame_id, i - 1 AS dim, round((f[i] - a) / sa * sb + b, 6) AS value FROM s, {DIM}""")
 def adain(spark, sf):
     f = frames(spark, sf)
@@ -481,34 +511,190 @@ def retrieve_from_clusters(spark, sf):
     return knn.cluster_retriever(f, cluster.numbered(cluster.group_centers(f, ["phone"], 8), ["phone"]), levels=(("phone",),))
 
 
-@query()
+def _retrieved(found: str, combine: str = "avg(pf[i])") -> str:
+    """SQL of a retriever's result from n (query_id, pool_id, pf, ...): what is combined, else the query."""
+    return f"""{found}, v AS (SELECT query_id, i, {combine} AS value FROM n, {DIM} GROUP BY query_id, i)
+SELECT frame_id AS query_id, v.query_id IS NOT NULL AS found, d.i - 1 AS dim, round(coalesce(v.value, f.f[d.i]), 6) + 0.0 AS value FROM f CROSS JOIN {DIM} LEFT JOIN v ON v.query_id = f.frame_id AND v.i = d.i"""
+
+
+def retrieved(df: DataFrame) -> DataFrame:
+    return long_vector(df.select("query_id", "found", "vector"), ["query_id", "found"], "vector")
+
+
+def _top(source: str, k: int, order: str = "score DESC", extra: str = "") -> str:
+    return f"n AS (SELECT *{extra} FROM ({source}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {order}, pool_id) <= {k})"
+
+
+SOFTMAX = "sum(exp({z}) * pf[i]) / sum(exp({z}))"
+PAIR = "q.frame_id AS query_id, p.frame_id AS pool_id, p.f AS pf"
+GATED = f"""WITH {POOL}, c AS (SELECT gender, phone, count(*) AS n FROM p GROUP BY gender, phone), m AS (SELECT f.*, coalesce(n, 0) >= 4 AS soft FROM f LEFT JOIN c USING (gender, phone)),
+s AS (SELECT {PAIR}, round({COS}, 6) AS score FROM m q JOIN p ON p.gender = q.gender AND (NOT soft OR p.phone = q.phone))"""
+
+
+@query(_retrieved(f"{GATED}, {_top('SELECT * FROM s', 4)}", SOFTMAX.format(z="score")))
 def retrieve_constrained(spark, sf):
     f, pool = _pool(spark, sf)
-    return knn.constrained_retriever(f, pool, DIMS)
+    return retrieved(knn.constrained_retriever(f, pool, DIMS))
 
 
-@query()
+@query(_retrieved(f"{GATED}, {_top('SELECT * FROM s', 1)}"))
+def retrieve_constrained_top1(spark, sf):
+    f, pool = _pool(spark, sf)
+    return retrieved(knn.constrained_retriever(f, pool, DIMS, top1=True))
+
+
+@query(_retrieved(f"""WITH {POOL}, z AS (SELECT phone, gender, list(v ORDER BY i) AS c FROM (SELECT phone, gender, i, avg(f[i]) AS v FROM p, {DIM} WHERE phone % 3 = 1 AND gender = 0 GROUP BY phone, gender, i) GROUP BY phone, gender),
+c AS (SELECT gender, phone, count(*) AS n FROM p GROUP BY gender, phone), m AS (SELECT f.*, coalesce(n, 0) >= 4 AS soft FROM f LEFT JOIN c USING (gender, phone)),
+s AS (SELECT {PAIR}, round({COS}, 6) AS score FROM m q JOIN p ON p.gender = q.gender AND (NOT soft OR p.phone = q.phone) WHERE q.phone % 3 <> 1),
+k AS (SELECT query_id, pool_id, pf, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pool_id) <= 4),
+n AS (SELECT * FROM k UNION ALL SELECT frame_id, 0, c, 1 FROM f JOIN z USING (phone))""", SOFTMAX.format(z="score")))
+def retrieve_dispatched(spark, sf):
+    f, pool = _pool(spark, sf)
+    centers = stats.centroids(pool.filter("phone % 3 = 1 AND gender = 0"), ["phone", "gender"], DIMS).select("phone", F.lit(None).cast("int").alias("gender"), F.col("phone").alias("center_id"), F.col("centroid").alias("center"))
+    return retrieved(knn.dispatched(f, pool, DIMS, centers, use_symbols=False))
+
+
+BANK = f"WITH {POOL}, h AS (SELECT DISTINCT phone FROM p), s AS (SELECT {PAIR}, round({L2}, 6) AS score FROM f q JOIN p ON p.phone = q.phone OR q.phone NOT IN (SELECT phone FROM h))"
+
+
+@query(_retrieved(f"{BANK}, {_top('SELECT * FROM s', 4, 'score')}"))
 def retrieve_from_bank(spark, sf):
     f, pool = _pool(spark, sf)
-    return knn.bank_retriever(f, pool, DIMS)
+    return retrieved(knn.bank_retriever(f, pool, DIMS))
 
 
-@query()
+MD5_PAIR = "md5('5|' || query_id || '|' || pool_id)"
+
+
+@query(_retrieved(f"{BANK}, t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, pool_id) <= 20), {_top('SELECT * FROM t', 5, MD5_PAIR)}"))
 def retrieve_multi_pool(spark, sf):
     f, pool = _pool(spark, sf)
-    return knn.multi_pool_retriever(f, pool, DIMS)
+    return retrieved(knn.multi_pool_retriever(f, pool, DIMS))
 
 
-@query()
+@query(_retrieved(f"""{BANK}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, pool_id) AS rank, least(count(*) OVER (PARTITION BY query_id), 23) AS many FROM s QUALIFY rank <= 23),
+g AS (SELECT DISTINCT query_id, many, unnest(range(4)) AS draw FROM t WHERE many > 3), n AS (SELECT t.query_id, pool_id, pf, -ln(({DRAW.format("'6|' || t.query_id || '|' || draw")} + 0.5) / 4294967296) AS w
+FROM g JOIN t ON t.query_id = g.query_id AND t.rank = 4 + {DRAW.format("'5|' || g.query_id || '|' || draw")} % (g.many - 3) UNION ALL SELECT query_id, pool_id, pf, 1.0 FROM t WHERE many <= 3)""", "sum(w * pf[i]) / sum(w)"))
 def retrieve_pseudo(spark, sf):
     f, pool = _pool(spark, sf)
-    return knn.pseudo_retriever(f, pool, DIMS)
+    return retrieved(knn.pseudo_retriever(f, pool, DIMS))
 
 
-@query()
+@query(f"""{BANK}, {_top('SELECT * FROM s', 4, 'score')}, v AS (SELECT query_id, list(v ORDER BY i) AS c FROM (SELECT query_id, i, avg(pf[i]) AS v FROM n, {DIM} GROUP BY query_id, i) GROUP BY query_id),
+x AS (SELECT query_id, c, list_avg(c) AS a, greatest(list_stddev_samp(c), 1e-5) AS sa, list_avg(f) AS b, greatest(list_stddev_samp(f), 1e-5) AS sb FROM v JOIN f ON frame_id = query_id)
+SELECT query_id, true AS found, i - 1 AS dim, round((c[i] - a) / sa * sb + b, 6) + 0.0 AS value FROM x, {DIM}""")
 def retrieve_adain(spark, sf):
     f, pool = _pool(spark, sf)
-    return knn.adain_retriever(f, pool, DIMS)
+    return retrieved(knn.adain_retriever(f, pool, DIMS))
+
+
+@query(_retrieved(f"WITH {POOL}, s AS (SELECT {PAIR}, round({COS}, 6) AS score FROM f q JOIN p ON p.phone = q.phone AND p.speaker = 3), {_top('SELECT * FROM s', 1)}"))
+def retrieve_speaker(spark, sf):
+    f, pool = _pool(spark, sf)
+    return retrieved(knn.speaker_retriever(f, pool, 3))
+
+
+@query(_retrieved(f"WITH f AS {FR}, p AS (SELECT * FROM f WHERE gender = 0 AND phone < 5), s AS (SELECT {PAIR}, round({COS}, 6) AS score FROM f q JOIN p ON true), {_top('SELECT * FROM s', 1)}"))
+def retrieve_gender(spark, sf):
+    f = frames(spark, sf)
+    return retrieved(knn.gender_retriever(f, f.filter("gender = 0 AND phone < 5")))
+
+
+def _next_utterances(f: DataFrame) -> DataFrame:
+    n = f.agg(F.max("utt") + 1).first()[0]
+    return f.select("utt").distinct().withColumn("target_utt", (F.col("utt") * 3 + 1) % F.lit(n))
+
+
+AIMED = f"WITH f AS {FR}, a AS (SELECT *, (utt * 3 + 1) % (SELECT max(utt) + 1 FROM f) AS target FROM f)"
+
+
+@query(_retrieved(f"{AIMED}, s AS (SELECT {PAIR}, round({COS}, 6) AS score FROM a q JOIN f p ON p.utt = q.target AND p.phone = q.phone), {_top('SELECT * FROM s', 4)}"))
+def retrieve_utterance(spark, sf):
+    f = frames(spark, sf)
+    return retrieved(knn.utterance_retriever(f, f, _next_utterances(f), DIMS))
+
+
+@query(_retrieved(f"{AIMED}, s AS (SELECT {PAIR}, round({COS}, 6) AS score FROM a q JOIN f p ON p.utt = q.target), {_top('SELECT * FROM s', 4)}"))
+def retrieve_utterance_any_phone(spark, sf):
+    f = frames(spark, sf)
+    return retrieved(knn.utterance_retriever(f, f, _next_utterances(f), DIMS, constrained=False))
+
+
+@query(_retrieved(f"{AIMED}, s AS (SELECT {PAIR}, round({COS}, 6) AS score FROM a q JOIN f p ON p.utt = q.target AND p.phone = q.phone), {_top('SELECT * FROM s', 1)}"))
+def retrieve_utterance_clusters(spark, sf):
+    f = frames(spark, sf)  # an utterance has fewer than 20 frames of a phone, so its centers are its frames
+    centers = cluster.group_centers(f, ["utt", "phone"], 20, few="raw")
+    return retrieved(knn.utterance_cluster_retriever(f, cluster.numbered(centers, ["utt", "phone"]), _next_utterances(f), DIMS))
+
+
+@query(_retrieved(f"""WITH {POOL}, z AS (SELECT pattern, phone, gender, half, list(v ORDER BY i) AS f FROM (SELECT utt % 2 AS pattern, phone, gender, t % 2 AS half, i, avg(f[i]) AS v FROM p, {DIM} GROUP BY ALL) GROUP BY pattern, phone, gender, half),
+g AS (SELECT f.*, CASE WHEN EXISTS (SELECT 1 FROM z WHERE z.pattern = 1 AND z.phone = f.phone AND z.gender = 1) THEN 1 ELSE 0 END AS aim FROM f),
+s AS (SELECT q.frame_id AS query_id, half AS pool_id, p.f AS pf, round({L2}, 6) AS score FROM g q JOIN z p ON p.pattern = 1 AND p.phone = q.phone AND p.gender = q.aim), {_top('SELECT * FROM s', 1, 'score')}"""))
+def retrieve_quantized(spark, sf):
+    f, pool = _pool(spark, sf)
+    groups = pool.withColumns({"pattern": (F.col("utt") % 2).cast("int"), "half": F.col("t") % 2})
+    centers = stats.centroids(groups, ["pattern", "phone", "gender", "half"], DIMS)
+    centers = centers.withColumns({"center_id": F.col("phone") * 8 + F.col("pattern") * 4 + F.col("gender") * 2 + F.col("half"), "center": F.col("centroid")})
+    return retrieved(knn.quantized_retriever(f, centers, 1, 1))
+
+
+@query(_retrieved(f"""WITH {POOL}, b AS (SELECT * FROM p WHERE speaker = 2 AND gender = 0), m AS (SELECT f.*, (SELECT count(*) FROM b WHERE b.phone = f.phone) >= 4 AS soft FROM f),
+s AS (SELECT {PAIR}, round({L2}, 6) AS score FROM m q JOIN b p ON NOT soft OR p.phone = q.phone), {_top('SELECT * FROM s', 4, 'score')}""", SOFTMAX.format(z="-score * score")))
+def retrieve_prototype(spark, sf):
+    f, pool = _pool(spark, sf)
+    return retrieved(knn.prototype_retriever(f, pool, DIMS, speaker=2, gender=0))
+
+
+@query(_retrieved(f"""{AIMED}, c AS (SELECT {PAIR}, p.utt = q.target AS own, round({COS}, 6) AS score FROM a q JOIN f p ON p.phone = q.phone WHERE q.phone <> 0), s AS (SELECT * FROM c QUALIFY own OR NOT bool_or(own) OVER (PARTITION BY query_id)),
+{_top('SELECT * FROM s', 4)}""", SOFTMAX.format(z="10 * score")))
+def retrieve_style(spark, sf):
+    f = frames(spark, sf)
+    return retrieved(knn.style_retriever(f, f, _next_utterances(f), DIMS))
+
+
+@query(f"WITH {_nearest_sql('list_dot_product(q.f, p.f)', 'DESC', 3)} SELECT query_id, pool_id, rank, score FROM n")
+def knn_dot(spark, sf):
+    f = frames(spark, sf)
+    return knn.nearest(f, f, ["phone"], 3, "dot", exclude_self=True).select("query_id", "pool_id", "rank", "score")
+
+
+@query(f"WITH {_nearest_sql(L2, 'ASC', 3)} SELECT query_id, pool_id, rank, score FROM n")
+def knn_all_cells(spark, sf):
+    f = frames(spark, sf)
+    return knn.nearest_in_cells(f, knn.cell_index(f, 8), ["phone"], 3, 8, metric="l2", exclude_self=True).select("query_id", "pool_id", "rank", "score")
+
+
+@query()
+def knn_cells_recall(spark, sf):
+    f = frames(spark, sf)
+    return knn.recall(knn.nearest_in_cells(f, knn.cell_index(f, 8), [], 3, 4, exclude_self=True), knn.nearest(f, f, [], 3, exclude_self=True))
+
+
+@query()
+def style_coarse_search(spark, sf):
+    u = styles(spark, sf)
+    return knn.coarse_style_search(u, u, cells=4, probes=2)
+
+
+@query()
+def retrieve_window(spark, sf):
+    f = frames(spark, sf).join(styles(spark, sf).select("utt", F.col("feature").alias("style")), "utt").withColumnRenamed("utt", "win")
+    return long_vector(knn.window_retriever(f.filter("win % 2 = 0 AND t < 15"), f.filter("win % 2 = 1"), list(range(10))), ["win", "i"], "feature")
+
+
+@query("WITH g AS (SELECT (vec_id // 20) % 2 AS pattern, label, vec_id % 2 AS gender, count(*) AS n FROM embeddings GROUP BY ALL) SELECT count(*) AS groups, count(*) FILTER (n < 10) AS skipped, coalesce(sum(n) FILTER (n < 10), 0)::BIGINT AS rows_skipped FROM g")
+def quantized_pool_skips(spark, sf):
+    return cluster.skipped_groups(frames(spark, sf).withColumn("pattern", F.col("utt") % 2), 10)
+
+
+@query()
+def purified_bank(spark, sf):
+    return cluster.purified_bank(frames(spark, sf), lambda x: np.tanh(x[:, ::2]), DIMS // 2).select("frame_id", "phone", "center_no", "rank")
+
+
+@query()
+def codebook_sweep(spark, sf):
+    return cluster.codebook_sweep(frames(spark, sf), (4, 8), steps=5)
 
 
 @query()
@@ -580,6 +766,128 @@ def frames_with_utterances(spark, sf):
     return with_utterances(f, u).select("frame_id", "utt_id")
 
 
+@query("SELECT doc_id, lang FROM documents WHERE coalesce(lang, 'unknown') = 'fr'")
+def equals_or_unknown(spark, sf):
+    return sampling.equals(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), lang="fr", source=None)
+
+
+@query(f"WITH f AS {FR}, g AS (SELECT utt FROM f GROUP BY utt HAVING min(phone) >= 0 AND max(phone) <= 8 AND (count(*) <= 10 OR min(phone) < max(phone))) SELECT frame_id, utt FROM f WHERE utt IN (SELECT utt FROM g)")
+def label_validation(spark, sf):
+    return sampling.valid_labels(frames(spark, sf), "utt", "phone", 0, 8).select("frame_id", "utt")
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('42|' || c_custkey), c_custkey) <= CASE c_mktsegment WHEN 'BUILDING' THEN 7 WHEN 'MACHINERY' THEN 100000 ELSE 0 END")
+def sample_quota(spark, sf):
+    return sampling.quota(spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_mktsegment"), "c_mktsegment", {"BUILDING": 7, "MACHINERY": 100_000}, "c_custkey")
+
+
+TOTAL = "(SELECT count(*) FROM embeddings)"
+
+
+def _lengths(spark, sf):
+    return frames(spark, sf).groupBy("utt").agg(F.count("*").alias("num_frames"))
+
+
+@query(f"SELECT segment, start, least(start + 50, {TOTAL}) AS \"end\" FROM (SELECT segment, {DRAW.format("'42|' || segment")} % ({TOTAL} - 49) AS start FROM range(12) r(segment))")
+def segments_at_random(spark, sf):
+    return sampling.spaced_segments(_lengths(spark, sf), 12, 50)
+
+
+@query(f"SELECT segment, start, least(start + 50, {TOTAL}) AS \"end\" FROM (SELECT segment, floor(segment * ({TOTAL} - 50) / 11)::BIGINT AS start FROM range(12) r(segment))")
+def segments_evenly(spark, sf):
+    return sampling.spaced_segments(_lengths(spark, sf), 12, 50, at_random=False)
+
+
+@query("WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, greatest(1, count(*) OVER () // 700) AS step FROM orders) SELECT o_orderkey, pos FROM r WHERE pos % step = 0 AND pos < 700 * step")
+def sample_strided(spark, sf):
+    return sampling.strided(spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey"), ["o_orderkey"], 700)
+
+
+@query(f"""WITH f AS {FR}, n AS (SELECT phone, utt, count(*) AS n FROM f GROUP BY phone, utt), k AS (SELECT *, greatest(1, floor(n * least(1.0, 30 / sum(n) OVER (PARTITION BY phone))))::BIGINT AS k FROM n),
+b AS (SELECT phone, utt, greatest(0, least(k, 30 - coalesce(sum(k) OVER (PARTITION BY phone ORDER BY utt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS keep FROM k)
+SELECT frame_id, phone, utt FROM f JOIN b USING (phone, utt) QUALIFY row_number() OVER (PARTITION BY phone, utt ORDER BY md5('42|' || frame_id), frame_id) <= keep""")
+def sample_proportional(spark, sf):
+    return sampling.proportional(frames(spark, sf), "utt", "phone", 30, "frame_id").select("frame_id", "phone", "utt")
+
+
+@query("""WITH c AS (SELECT label::INT AS phone, (vec_id % 7)::INT AS speaker, count(*) AS n FROM embeddings GROUP BY ALL), w AS (SELECT *, greatest(1, floor(25 * n / sum(n) OVER (PARTITION BY speaker)))::BIGINT AS want FROM c),
+k AS (SELECT *, greatest(0, least(want, 25 - coalesce(sum(want) OVER (PARTITION BY speaker ORDER BY phone ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS keep FROM w),
+r AS (SELECT *, greatest(0, 25 - sum(keep) OVER (PARTITION BY speaker)) AS rest, row_number() OVER (PARTITION BY speaker ORDER BY n DESC, phone) AS turn FROM k) SELECT speaker, phone, (keep + (turn <= rest)::INT)::BIGINT AS keep FROM r""")
+def prototype_budgets(spark, sf):
+    counts = frames(spark, sf).groupBy("speaker", "phone").agg(F.count("*").alias("n"))
+    return sampling.prototype_budget(counts, "phone", 25, "speaker").select("speaker", "phone", "keep")
+
+
+@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1) // 64 AS batch, (row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1) % 64 AS place FROM orders")
+def batches_by_duration(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_totalprice")
+    return sampling.batches_by_duration(o, 64, "o_totalprice", "o_orderkey").select("o_orderkey", F.col("batch").cast("bigint").alias("batch"), "place")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 40")
+def first_utterances(spark, sf):
+    return sampling.first_utterances(spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey"), 40, "o_orderkey")
+
+
+def _cluster_entropy_sql() -> str:
+    return f"""WITH f AS (SELECT *, utt % 9 AS c FROM {FR}), m AS (SELECT c, speaker, list(v ORDER BY i) AS m FROM (SELECT c, speaker, i, avg(f[i]) AS v FROM f, {DIM} GROUP BY c, speaker, i) GROUP BY c, speaker),
+z AS (SELECT frame_id, f.c, -list_distance(f, m) / 5 AS z FROM f JOIN m USING (c)), q AS (SELECT *, exp(z - max(z) OVER (PARTITION BY frame_id)) AS e FROM z), p AS (SELECT *, e / sum(e) OVER (PARTITION BY frame_id) AS p FROM q),
+h AS (SELECT frame_id, any_value(c) AS c, CASE WHEN count(*) > 1 THEN sum(-p * ln(p + 1e-9)) / ln(count(*)) ELSE 0 END AS entropy FROM p GROUP BY frame_id), g AS (SELECT c::BIGINT AS cluster, round(avg(entropy), 6) AS entropy FROM h GROUP BY c)"""
+
+
+def _cluster_entropies(spark, sf):
+    return stats.cluster_entropy(frames(spark, sf).withColumn("cluster", F.col("utt") % 9), DIMS).select("cluster", *r6("entropy"))
+
+
+@query(f"{_cluster_entropy_sql()} SELECT cluster, entropy FROM g")
+def cluster_entropy(spark, sf):
+    return _cluster_entropies(spark, sf)
+
+
+@query(f"{_cluster_entropy_sql()} SELECT cluster, entropy FROM g WHERE entropy >= (SELECT quantile_cont(entropy, 0.5) FROM g)")
+def top_entropy_clusters(spark, sf):
+    return stats.top_clusters(_cluster_entropies(spark, sf))
+
+
+@query("SELECT CASE WHEN o_orderstatus = 'F' THEN 'success' ELSE 'failed' END AS status, count(*) AS n FROM orders GROUP BY 1")
+def outcome_counts(spark, sf):
+    return stats.outcome(spark.read.parquet(f"{sf}/orders.parquet"), F.col("o_orderstatus") == "F")
+
+
+@query("SELECT 'a' AS part, vec_id AS row_id FROM embeddings WHERE vec_id < 100 UNION ALL SELECT 'b', vec_id + 100 FROM embeddings WHERE vec_id < 50")
+def merged_pools(spark, sf):
+    f = frames(spark, sf).select(F.col("frame_id").alias("row_id"))
+    return stats.merged({"a": f.filter("row_id < 100"), "b": f.filter("row_id < 50")}).select("part", "row_id")
+
+
+@query("SELECT round(avg(o_totalprice), 4) AS avg_o_totalprice, count(*) AS n FROM orders")
+def metric_averages(spark, sf):
+    return metrics.averages(spark.read.parquet(f"{sf}/orders.parquet"), ["o_totalprice"]).select(F.round("avg_o_totalprice", 4).alias("avg_o_totalprice"), "n")
+
+
+@query(f"WITH f AS {FR}, m AS (SELECT utt, t < 10 AS a, list(v ORDER BY i) AS m FROM (SELECT utt, min(t) AS t, i, avg(f[i]) AS v FROM f, {DIM} GROUP BY utt, t < 10, i) GROUP BY utt, t < 10) SELECT x.utt, round(list_cosine_similarity(x.m, y.m), 6) AS similarity FROM m x JOIN m y ON x.utt = y.utt AND x.a AND NOT y.a")
+def utterance_similarity(spark, sf):
+    f = frames(spark, sf)
+    return metrics.utterance_similarity(f.filter("t < 10"), f.filter("t >= 10"), "utt", DIMS).select("utt", *r6("similarity"))
+
+
+@query("SELECT vec_id AS frame_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) / 64), 6) AS rms, 64 / 16000.0::DOUBLE AS seconds FROM embeddings")
+def loudness(spark, sf):
+    rows = frames(spark, sf).withColumn("x", metrics.loudness(F.col("feature")))
+    return rows.select("frame_id", F.round("x.rms", 6).alias("rms"), F.col("x.seconds").alias("seconds"))
+
+
+@query("SELECT vec_id AS frame_id, i - 1 AS dim, round((embedding[i]::DOUBLE + embedding[65 - i]::DOUBLE * 2) / 2, 6) + 0.0 AS value FROM embeddings, generate_series(1, 64) AS d(i)")
+def mixdown(spark, sf):
+    channels = F.array("feature", F.transform(F.reverse("feature"), lambda x: x * 2))
+    return long_vector(frames(spark, sf).withColumn("mono", corpora.mixdown(channels)), ["frame_id"], "mono")
+
+
+@query(f"WITH f AS {FR} SELECT phone, count(*) AS n, round((SELECT avg(v) FROM (SELECT var_pop(g.f[i]) AS v FROM f g, {DIM} WHERE g.phone = f.phone GROUP BY i)), 6) AS intra_variance FROM f GROUP BY phone")
+def intra_variance(spark, sf):
+    return metrics.spread_within(frames(spark, sf), ["phone"], DIMS).select("phone", "n", *r6("intra_variance"))
+
+
 @query("SELECT o_custkey::VARCHAR AS speaker, string_agg(o_orderkey::VARCHAR, ' ' ORDER BY o_orderkey::VARCHAR) AS utts FROM orders GROUP BY o_custkey")
 def kaldi_spk2utt(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").cast("string").alias("speaker"), F.col("o_orderkey").alias("utt"))
@@ -601,20 +909,41 @@ def f0_normalize(spark, sf):
     return prosody.normalized_f0(e, "utt", "f0").select("event_id", *r6("f0_out"))
 
 
-@query()
+NORMAL = f"sqrt(-2 * ln(({DRAW.format("'8|' || user_id || '|' || bin")} + 0.5) / 4294967296)) * cos(2 * 3.141592653589793 * ({DRAW.format("'9|' || user_id || '|' || bin")} + 0.5) / 4294967296)"
+
+
+@query(f"WITH e AS (SELECT event_id, user_id, event_id % 10 AS bin, (event_id % 13 + 1)::INT AS d FROM events) SELECT event_id, greatest(1, round_even(d * (1 + 0.2 * {NORMAL}), 0)::INT)::INT AS perturbed FROM e")
+def perturbed_bins(spark, sf):
+    e = symbols(spark, sf).withColumns({"bin": F.col("event_id") % 10, "d": (F.col("event_id") % 13 + 1).cast("int")})
+    return prosody.perturbed_bins(e, "utt", "d", 10, 0.2).select("event_id", "perturbed")
+
+
+@query("SELECT event_id, round(greatest(0.02, least(0.5, round_even((event_id % 40) / 50.0::DOUBLE * (1 + (event_id % 7 - 3) / 10.0::DOUBLE) / 0.02::DOUBLE, 0) * 0.02)), 6)::DOUBLE AS seconds FROM events")
+def noisy_seconds(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return e.select("event_id", F.round(prosody.noisy_seconds((F.col("event_id") % 40) / 50, (F.col("event_id") % 7 - 3) / 10), 6).alias("seconds"))
+
+
+@query(f"""WITH e AS (SELECT utt, pos, phone FROM {EV} WHERE phone IS NOT NULL), s AS (SELECT utt, row_number() OVER (PARTITION BY utt ORDER BY pos) - 1 AS pos, (dense_rank() OVER (ORDER BY phone) - 1)::INT AS symbol FROM e),
+z AS (SELECT utt, count(*) AS T, floor(count(*) * 0.075)::BIGINT AS n FROM s GROUP BY utt), k AS (SELECT utt, pos FROM s JOIN z USING (utt) QUALIFY row_number() OVER (PARTITION BY utt ORDER BY md5('4|' || utt || '|' || pos), pos) <= n),
+d AS (SELECT utt, T, n, unnest(range(ceil(-1.5 * T / 3.5 * ln(1 - least(0.99, (n + n) / T)))::BIGINT + 20)) AS i FROM z WHERE n > 0),
+x AS (SELECT utt, T, n, i, {DRAW.format("'5|' || utt || '|' || i")} % T AS a, 2 + {DRAW.format("'6|' || utt || '|' || i")} % 4 AS len FROM d),
+c AS (SELECT utt, any_value(n) AS n, pos, min(i) AS i FROM (SELECT utt, n, i, unnest(range(a, least(a + len, T))) AS pos FROM x) WHERE (utt, pos) NOT IN (SELECT utt, pos FROM k) GROUP BY utt, pos),
+l AS (SELECT utt, i AS last FROM c QUALIFY row_number() OVER (PARTITION BY utt ORDER BY i, pos) = n), g AS (SELECT utt, pos FROM k UNION SELECT c.utt, c.pos FROM c JOIN l USING (utt) WHERE i <= last)
+SELECT s.utt, s.pos, symbol, g.pos IS NOT NULL AS masked FROM s LEFT JOIN g ON g.utt = s.utt AND g.pos = s.pos""")
 def masked_tokens(spark, sf):
     return masking.masked(_coded(spark, sf), "utt", ORDER, "symbol")
 
 
 @query()
 def masked_fill(spark, sf):
-    e = _coded(spark, sf).withColumn("mask", F.pmod(F.xxhash64("event_id"), F.lit(7)) == 0)
+    e = _coded(spark, sf).withColumn("mask", F.col("event_id") % 7 == 0)
     return masking.filled(e, "utt", ORDER, "symbol", "mask", _matrix(spark, sf))
 
 
 @query()
 def smoothed_symbols(spark, sf):
-    e = _coded(spark, sf).withColumn("symbol", F.when(F.pmod(F.xxhash64("event_id"), F.lit(7)) == 0, -1).otherwise(F.col("symbol")))
+    e = _coded(spark, sf).withColumn("symbol", F.when(F.col("event_id") % 7 == 0, -1).otherwise(F.col("symbol")))
     m = _matrix(spark, sf)
     return masking.smoothed(e, "utt", ORDER, "symbol", m, m.mean(0))
 
@@ -657,11 +986,27 @@ def jaccard(spark, sf):
     return turns(spark, sf).select("conv_id", "turn", F.round(metrics.jaccard(F.col("reference"), F.col("hypothesis")), 6).alias("jaccard"))
 
 
-@query()
+def _wer_sql(empty: str) -> str:
+    """Edit distance of words, a row of the table of distances a step: insertions run on from the left as a running minimum."""
+    fewer = "CASE WHEN j = 0 THEN i + 1 ELSE least(row[j + 1] + 1, row[j] + (a[i + 1] <> b[j])::INT) END"
+    step = f"list_transform(range(0, len(b) + 1), lambda j: {fewer})"
+    return f"""WITH RECURSIVE t AS (SELECT conv_id, turn, {WORDS.format('reference')} AS a, {WORDS.format('hypothesis')} AS b FROM {TURNS}),
+d AS (SELECT conv_id, turn, a, b, 0::BIGINT AS i, range(0, len(b) + 1) AS row FROM t UNION ALL
+  SELECT conv_id, turn, a, b, i + 1, list_transform(range(0, len(b) + 1), lambda j: j + list_min(list_transform(cand[1:j + 1], lambda c, k: c - (k - 1)))) FROM (SELECT *, {step} AS cand FROM d WHERE i < len(a)))
+SELECT conv_id, turn, row[len(b) + 1]::BIGINT AS distance, round(CASE WHEN len(a) = 0 THEN CASE WHEN len(b) = 0 THEN 0 ELSE {empty} END ELSE row[len(b) + 1] / len(a) END, 6)::DOUBLE AS wer FROM d WHERE i = len(a)"""
+
+
+@query(_wer_sql("1"))
 def wer(spark, sf):
     return metrics.word_errors(turns(spark, sf), "reference", "hypothesis").select("conv_id", "turn", "distance", *r6("wer"))
 
 
+@query(f"WITH w AS ({_wer_sql('0')}) SELECT conv_id, turn, wer, CASE WHEN wer < 0.1 THEN 'excellent' WHEN wer < 0.3 THEN 'good' WHEN wer < 0.5 THEN 'fair' ELSE 'poor' END AS grade FROM w")
+def wer_grades(spark, sf):
+    out = metrics.word_errors(turns(spark, sf), "reference", "hypothesis", "zero").select("conv_id", "turn", *r6("wer"))
+    return out.withColumn("grade", metrics.grade(F.col("wer")))
+
+
 @query(f"""WITH f AS (SELECT phone AS a, speaker AS b FROM {FR}), c AS (SELECT a, b, count(*)::DOUBLE AS n FROM f GROUP BY a, b), x AS (SELECT sum(n) AS m FROM c GROUP BY a), y AS (SELECT sum(n) AS m FROM c GROUP BY b),
 t AS (SELECT (SELECT sum(n) FROM c) AS n, (SELECT sum(n * (n - 1) / 2) FROM c) AS s, (SELECT sum(m * (m - 1) / 2) FROM x) AS p, (SELECT sum(m * (m - 1) / 2) FROM y) AS q, (SELECT sum(-m / (SELECT sum(n) FROM c) * ln(m / (SELECT sum(n) FROM c))) FROM x) AS ha, (SELECT sum(-m / (SELECT sum(n) FROM c) * ln(m / (SELECT sum(n) FROM c))) FROM y) AS hb, (SELECT sum(-n / (SELECT sum(n) FROM c) * ln(n / (SELECT sum(n) FROM c))) FROM c) AS hab)
 SELECT round((s - p * q / (n * (n - 1) / 2)) / ((p + q) / 2 - p * q / (n * (n - 1) / 2)), 6) AS ari, round((ha + hb - hab) / ((ha + hb) / 2), 6) AS nmi FROM t""")

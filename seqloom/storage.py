@@ -83,6 +83,19 @@ def positioned(df: DataFrame, key: str, order: list[str], name: str = "positions
     return out.withColumn("pos", F.col("__at") - F.col("__first") + F.col("__before")).drop("__at", "__part", "__key", "__p", "__first", "__before")
 
 
+def running_sum(df: DataFrame, key: str, order: list[str], value: str, out: str = "sum", name: str = "sums") -> DataFrame:
+    """df with the sum of value over the rows of the key so far, this one included. As positioned, no window holds a whole key."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored(df.repartitionByRange(n, key, *order).withColumn("__part", F.spark_partition_id()), name)
+    here = Window.partitionBy(key, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = placed.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__p")).agg(F.sum(value).alias("__total"))
+    earlier = Window.partitionBy("__key").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("__key", "__p", F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__before"))
+    rows = placed.withColumn("__here", F.sum(value).over(here))
+    rows = rows.join(before, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__p")))
+    return rows.withColumn(out, F.col("__here") + F.col("__before")).drop("__here", "__before", "__key", "__p", "__part")
+
+
 def chunked(df: DataFrame, key: str, order: list[str], before: int = 0, after: int = 0, chunk: int = CHUNK, align: int = 1) -> DataFrame:
     """df with pos, chunk and halo: sequences cut into chunks of bounded size, each with copies of the rows next to it.
 
@@ -95,4 +108,3 @@ def chunked(df: DataFrame, key: str, order: list[str], before: int = 0, after: i
     near = F.array(own, F.when(F.col("pos") % chunk < after, own - 1), F.when(F.col("pos") % chunk >= chunk - before, own + 1))
     wanted = F.filter(F.array_distinct(near), lambda c: c.isNotNull() & (c >= 0))
     return rows.withColumn("__own", own).withColumn("chunk", F.explode(wanted)).withColumn("halo", F.col("chunk") != F.col("__own")).drop("__own")
-
