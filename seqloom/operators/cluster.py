@@ -160,19 +160,20 @@ def group_centers(df: DataFrame, keys: list[str], k: int, vector: str = "feature
     kinds = dict(df.dtypes)
     large, rows, whole = _large_groups(rows, keys, rows.groupBy(*keys).agg(F.count("*").alias("n")), fit_rows)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__id")
-        x = np.stack(pdf["__v"].to_numpy())
+    def fit(t: pa.Table) -> pa.Table:
+        t = t.sort_by("__id")
+        x = blocks.matrix(t, "__v")
         size = min(k, len(x) // 2) if few == "shrink" else k
         if len(x) < least or size < 1:
             centers = x if few == "raw" else x[:0]
         else:
             centers = _kmeans(x, size, steps)
-        out = pd.DataFrame({c: [pdf[c].iloc[0]] * len(centers) for c in keys})
-        return out.assign(center_no=np.arange(len(centers), dtype="int32"), center=[c.tolist() for c in centers], n=len(x))
+        own = [pa.array([t.column(c)[0].as_py()] * len(centers), t.schema.field(c).type) for c in keys]
+        found = [pa.array(range(len(centers)), pa.int32()), pa.array(centers.tolist(), pa.list_(pa.float64())), pa.array([len(x)] * len(centers), pa.int64())]
+        return pa.table([*own, *found], names=[*keys, "center_no", "center", "n"])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "center_no int, center array<double>, n bigint"])
-    out = rows.groupBy(*keys).applyInPandas(fit, schema)
+    out = rows.groupBy(*keys).applyInArrow(fit, schema)
     if not large:
         return out
     whole = stored(whole, "large-groups")
@@ -246,11 +247,10 @@ def pseudo_bank(df: DataFrame, entropies: DataFrame, dims: int, clusters: int =
 
 def purified_bank(df: DataFrame, encode: Callable[[np.ndarray], np.ndarray], dims: int, vector: str = "feature", out: str = "encoded", **how) -> DataFrame:
     """A bank whose clusters are those of an encoder's output: df with `out`, rows chosen by it. encode: a matrix of vectors to one of codes, such as a model's; dims: of the codes."""
-    shared = df.sparkSession.sparkContext.broadcast(encode)
 
     @F.pandas_udf("array<double>")
     def coded(x: pd.Series) -> pd.Series:
-        return pd.Series(list(np.asarray(shared.value(np.stack(x.to_numpy()).astype(np.float64)), dtype=np.float64)) if len(x) else [], dtype=object)
+        return pd.Series(list(np.asarray(encode(np.stack(x.to_numpy()).astype(np.float64)), dtype=np.float64)) if len(x) else [], dtype=object)
 
     rows = stored(df.withColumn(out, coded(F.col(vector).cast("array<double>"))), "encoded")
     return bank(rows, dims, search=out, **how)
@@ -301,9 +301,9 @@ def prototypes(df: DataFrame, budget: int, dims: int, by_phone: bool = True, fit
     return out.unionByName(df.sparkSession.createDataFrame([(*(large[g][k] for k in keys), i, [float(v) for v in x]) for g, c in centers.items() for i, x in enumerate(unit(c))], out.schema))
 
 
-def coarse_cells(df: DataFrame, cells: int, vector: str = "feature") -> tuple[DataFrame, np.ndarray]:
+def coarse_cells(df: DataFrame, cells: int, vector: str = "feature", id: str = "frame_id") -> tuple[DataFrame, np.ndarray]:
     """An inverted-file index: df with cell, and the cells' centers; queries then look into the cells nearest to them."""
-    centers = codebook(df, cells, vector)
+    centers = codebook(df, cells, vector, id)
     return encode(df, centers, vector, "cell"), centers
 
 

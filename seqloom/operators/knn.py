@@ -374,9 +374,9 @@ def window_retriever(sources: DataFrame, windows: DataFrame, phones: list, weigh
 # Searches through coarse cells: fewer rows are compared, at the price of recall, which `recall` measures against the exact search.
 
 
-def cell_index(pool: DataFrame, cells: int, vector: str = "feature") -> tuple[DataFrame, np.ndarray]:
+def cell_index(pool: DataFrame, cells: int, vector: str = "feature", id: str = "frame_id") -> tuple[DataFrame, np.ndarray]:
     """An inverted file: the stored pool with cell, and the cells' centers. Every row is in it."""
-    rows, centers = coarse_cells(pool, cells, vector)
+    rows, centers = coarse_cells(pool, cells, vector, id)
     return stored(rows, "cells"), centers
 
 
@@ -394,7 +394,7 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
 
 def coarse_style_search(queries: DataFrame, styles: DataFrame, cells: int = 256, probes: int = 8, k: int = 1, keys=("gender",), query_id: str = "utt", pool_id: str = "utt") -> DataFrame:
     """(query_id, rank, pool_id, score): the styles nearest in cosine out of the nearest clusters of styles, of the same gender."""
-    return nearest_in_cells(queries, cell_index(styles, cells), list(keys), k, probes, metric="cosine", query_id=query_id, pool_id=pool_id)
+    return nearest_in_cells(queries, cell_index(styles, cells, id=pool_id), list(keys), k, probes, metric="cosine", query_id=query_id, pool_id=pool_id)
 
 
 #: The retrievers by name, as `retriever` gives them.

@@ -101,7 +101,7 @@ def filled(df: DataFrame, key: str, order: list[str], symbol: str, mask: str, ma
     def handed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, hidden, plain, a, z = parts(pdf)
         if z <= a:  # a copy of the last row of a sequence that ends with its chunk
-            return pd.DataFrame({key: pdf[key].iloc[:0], "chunk": pdf["chunk"].iloc[:0], "state": []})
+            return pd.DataFrame({key: pdf[key].iloc[:0], "chunk": pdf["chunk"].iloc[:0], "state": pd.Series([], dtype=object)})
         if not hidden[z - 1]:
             state = [int(plain[z - 1])]
         else:

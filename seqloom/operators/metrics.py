@@ -92,6 +92,7 @@ def silhouette(df: DataFrame, cluster: str, id: str = "frame_id", vector: str =
     own = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     left = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = own.withColumnRenamed("b", "o").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left, right = (d.select(*(F.col(c).alias(c) for c in ("id", "c", "v", "b", "o"))) for d in (left, right))  # new columns, for both come from one table
     kind = dict(rows.dtypes)["c"]
 
     def sums(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:

@@ -1,11 +1,13 @@
 """Small hand-checked cases and invariants of the sequence operators."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from seqloom.operators import masking, metrics, prosody, sampling, sequence, stats
-from seqloom.storage import chunked, positioned
+from seqloom.storage import chunked, positioned, running_sum
 
 
 def rows(spark, labels, key="a"):
@@ -82,8 +84,9 @@ def test_word_errors(spark):
     assert [r[0] for r in df.select(metrics.jaccard(F.col("r"), F.col("h"))).collect()][:3] == pytest.approx([0.5, 1, 0])
 
 
-def test_word_errors_against_the_plain_table():
+def test_word_errors_against_the_plain_table(spark):
     rng = np.random.default_rng(3)
+    pairs, want = [], []
     for _ in range(60):
         a, b = ([str(x) for x in rng.integers(0, 4, rng.integers(0, 9))] for _ in range(2))
         d = np.zeros((len(a) + 1, len(b) + 1), int)
@@ -91,7 +94,12 @@ def test_word_errors_against_the_plain_table():
         for i, x in enumerate(a, 1):
             for j, y in enumerate(b, 1):
                 d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (x != y))
-        assert metrics._distance(a, b) == d[-1, -1]
+        pairs.append((len(pairs), " ".join(a), " ".join(b)))
+        want.append(int(d[-1, -1]))
+    many = " ".join(f"w{i}" for i in range(60_000))  # code points go on behind the surrogates
+    df = spark.createDataFrame([*pairs, (60, many, "w0 " + " ".join(f"w{i}" for i in range(59_990, 60_000)))], "i int, r string, h string")
+    got = [r["distance"] for r in metrics.word_errors(df, "r", "h").orderBy("i").collect()]
+    assert got[:60] == want and got[60] == 60_000 - 11
 
 
 def test_agreement_of_a_labelling_with_itself(spark):
@@ -109,11 +117,35 @@ def test_samples(spark):
     assert budget.agg(F.sum("keep")).first()[0] == 12
 
 
-def test_masks_meet_the_quota_and_do_not_depend_on_partitions(spark):
-    df = rows(spark, [i % 5 for i in range(200)])
-    found = masking.masked(df, "utt", ["t"], "phone", 0.2)
-    assert found.filter("masked").count() == 40
-    assert sorted(found.collect()) == sorted(masking.masked(df.repartition(3), "utt", ["t"], "phone", 0.2).collect())
+def drawn(seed, *parts):
+    return hashlib.md5("|".join(map(str, (seed, *parts))).encode()).hexdigest()
+
+
+def plain_mask(key, n, tokens, spans, low, high, count, seed=4):
+    """The rule, draw by draw."""
+    number = lambda *x: int(drawn(*x)[:8], 16)
+    quota, more = int(n * tokens), int(n * spans)
+    out = set(sorted(range(n), key=lambda i: (drawn(seed, key, i), i))[:quota])
+    done, i = 0, 0
+    while done < more and len(out) < n:
+        size = low + number(seed + 2, key, i) % (high - low + 1)
+        room = n if count == "masked" else max(1, n - size)
+        start = number(seed + 1, key, i) % room
+        out |= set(range(start, min(start + size, n)))
+        done = len(out) - quota if count == "masked" else done + min(start + size, n) - start
+        i += 1
+    return sorted(out)
+
+
+@pytest.mark.parametrize("count", ["masked", "summed"])
+def test_masks_against_the_plain_rule(spark, count):
+    df = rows(spark, [i % 5 for i in range(200)]).unionByName(rows(spark, [1, 2, 3], "b")).unionByName(rows(spark, [4] * 37, "c"))
+    found = masking.masked(df, "utt", ["t"], "phone", 0.1, 0.3, (2, 5), count=count)
+    got = {k: sorted(r["pos"] for r in found.collect() if r["utt"] == k and r["masked"]) for k in "abc"}
+    assert got == {k: plain_mask(k, n, 0.1, 0.3, 2, 5, count) for k, n in (("a", 200), ("b", 3), ("c", 37))}
+    assert sorted(found.collect()) == sorted(masking.masked(df.repartition(3), "utt", ["t"], "phone", 0.1, 0.3, (2, 5), count=count).collect())
+    all_of_it = masking.masked(df, "utt", ["t"], "phone", 0.5, 0.9)
+    assert all_of_it.filter("masked").count() >= 200
 
 
 def test_fill_and_smooth(spark):
@@ -124,6 +156,100 @@ def test_fill_and_smooth(spark):
     assert [r["smooth"] for r in smooth.orderBy("pos").collect()] == [1, 0, 1, 0]
 
 
+def test_fill_and_smooth_do_not_depend_on_chunks(spark):
+    rng = np.random.default_rng(14)
+    m = rng.dirichlet(np.ones(4), 4)
+    symbols = rng.integers(0, 4, 64)
+    hide = rng.random(64) < 0.5
+    hide[20:45] = True  # chunks that are masked from end to end
+    hide[0] = True
+    want = symbols.copy()
+    for i in np.flatnonzero(hide):
+        p = (m[want[i - 1]] if i else 1.0) * (m[:, symbols[i + 1]] if i + 1 < 64 else 1.0)
+        want[i] = int(np.argmax(p))
+    df = spark.createDataFrame([("a", i, int(x), bool(h)) for i, (x, h) in enumerate(zip(symbols, hide))], "utt string, t int, phone int, hide boolean")
+    for chunk in (8, 1000):
+        got = masking.filled(df, "utt", ["t"], "phone", "hide", m, chunk=chunk).orderBy("pos").collect()
+        assert [r["filled"] for r in got] == want.tolist() and [r["symbol"] for r in got] == symbols.tolist() and [r["masked"] for r in got] == hide.tolist()
+    for known in (~hide, np.arange(64) > 60, np.arange(64) < 0):
+        masked = np.where(known, symbols, -1)
+        want = masked.copy()
+        for i in range(1, 64):
+            if want[i] < 0 <= want[i - 1]:
+                want[i] = m.argmax(1)[want[i - 1]]
+        for i in range(62, -1, -1):
+            if want[i] < 0 <= want[i + 1]:
+                want[i] = m.argmax(0)[want[i + 1]]
+        want[want < 0] = 2
+        some = spark.createDataFrame([("a", i, int(x)) for i, x in enumerate(masked)], "utt string, t int, phone int")
+        for chunk in (8, 1000):
+            got = masking.smoothed(some, "utt", ["t"], "phone", m, np.array([0.1, 0.2, 0.4, 0.3]), chunk=chunk).orderBy("pos").collect()
+            assert [r["smooth"] for r in got] == want.tolist()
+
+
+def test_bins_keep_their_labels(spark):
+    labels = [int(x) for x in np.random.default_rng(15).integers(0, 9, 53)]
+    got = sequence.shuffled_in_bins(rows(spark, labels), "utt", ["t"], "phone", share=1.0).orderBy("pos").collect()
+    assert [r["pos"] for r in got] == list(range(53)) and [r["phone"] for r in got][50:] == labels[50:]
+    assert [sorted(r["phone"] for r in got[i : i + 5]) for i in range(0, 50, 5)] == [sorted(labels[i : i + 5]) for i in range(0, 50, 5)]
+    assert [r["phone"] for r in got] != labels
+
+
+def test_running_sums(spark):
+    xs = [int(x) for x in np.random.default_rng(16).integers(0, 9, 400)]
+    df = spark.createDataFrame([("ab"[i % 2], i, x) for i, x in enumerate(xs)], "k string, i int, x int").repartition(5)
+    got = {r["i"]: r["sum"] for r in running_sum(df, "k", ["i"], "x").collect()}
+    assert got == {i: sum(xs[i % 2 : i + 1 : 2]) for i in range(400)}
+
+
+def test_draws_by_slices(spark):
+    df = spark.range(500).select("id", (F.col("id") % 3).alias("g"))
+    keep = spark.createDataFrame([(0, 5), (1, 400)], "g bigint, __keep bigint")
+    got = sorted(r["id"] for r in sampling.least_by_draw(df, ["g"], keep, "id").collect())
+    first = sorted((drawn(42, i), i) for i in range(0, 500, 3))[:5]
+    assert got == sorted([i for _, i in first] + list(range(1, 500, 3)))
+    assert sorted(r["id"] for r in sampling.share(df, 0.1, "id").collect()) == sorted(i for _, i in sorted((drawn(42, i), i) for i in range(500))[:50])
+
+
+def test_interpolated_percentiles(spark):
+    xs = np.round(np.random.default_rng(17).normal(size=3000), 2)  # many ties
+    df = spark.createDataFrame([(i % 2, float(x)) for i, x in enumerate(xs)] + [(0, None), (1, float("nan"))], "g int, v double")
+    for share in (0.0, 0.37, 0.5, 0.9, 1.0):
+        for accuracy in (200, 10_000):
+            got = {r["g"]: r["edge"] for r in stats.interpolated(df, ["g"], "v", share, accuracy).collect()}
+            assert got == {g: np.percentile(xs[g::2], 100 * share) for g in (0, 1)}
+    assert stats.interpolated(df, [], "v", 0.25).first()["edge"] == np.percentile(xs, 25)
+
+
+def test_pools_need_both_genders(spark):
+    df = spark.range(400).select(F.col("id").alias("speaker"), F.lit("m").alias("gender"))
+    with pytest.raises(ValueError, match="'f': 0"):
+        sampling.disjoint_pools(df, None, 4, 50)
+
+
+def test_errors_are_rows(spark):
+    df = spark.createDataFrame([(1, 2), (1, 0)], "a int, b int")
+    got = stats.attempted(df, lambda a, b: float(a // b), "double", ["a", "b"]).orderBy("b").collect()
+    assert got[0]["error"].startswith("ZeroDivisionError") and got[1]["result"] == 0.0 and got[1]["error"] is None
+
+
+def test_patterns(spark):
+    patterns = spark.createDataFrame([(0, [0.0, 0.0], [0.0]), (1, [1.0, 0.0], [9.0]), (2, [5.0, 5.0], [1.0])], "pattern int, centroid array<double>, attributes array<double>")
+    source = spark.createDataFrame([(0,), (2,)], "pattern int")
+    aim = lambda how, **k: [r["target"] for r in masking.target_pattern(source, patterns, how, **k).orderBy("pattern").collect()]
+    assert aim("farthest") == [2, 0] and aim("attributes") == [1, 1] and aim("fixed", fixed=7) == [7, 7]
+    assert all(a != b for a, b in zip(aim("random"), (0, 2)))
+    df = spark.createDataFrame([("a", [0.9, 0.1]), ("a", [1.3, 0.1]), ("b", [4.0, 4.0])], "utt string, feature array<double>")
+    found = masking.predicted_pattern(df, ["utt"], np.array([[0.0, 0.0], [1.0, 0.0], [5.0, 5.0]]), 2)
+    assert {r["utt"]: r["pattern"] for r in found.collect()} == {"a": 1, "b": 2}
+
+
+def test_target_gender(spark):
+    df = spark.createDataFrame([("m",), ("f",), (None,)], "g string")
+    pick = lambda mode: [r[0] for r in df.select(prosody.target_gender(F.col("g"), mode)).collect()]
+    assert pick("same") == ["m", "f", None] and pick("cross") == ["f", "m", None] and pick("F") == ["f"] * 3
+
+
 def test_percentile_filter_leaves_out_what_is_not_a_number(spark):
     df = spark.createDataFrame([(0, 1.0), (0, 2.0), (0, 3.0), (0, float("nan")), (0, None)], "phone int, e double")
     assert sorted(r["e"] for r in stats.over_percentile(df, ["phone"], "e", 0.5).collect()) == [2.0, 3.0]

@@ -1,5 +1,6 @@
 """Sources, sinks and streams."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from seqloom.plans.config import load, merged
@@ -61,3 +62,74 @@ def test_streams(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert [(r["key"], r["label"], r["n"]) for r in spark.sql("SELECT * FROM runs").collect()] == [("1", "x", 2)]
+
+
+def test_speaker_lists_and_sessions(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        corpora.speaker_list(spark, str(tmp_path))
+    (tmp_path / "speakers.tsv").write_text("speaker\tgender\n7\tM\n")
+    assert [(r["speaker"], r["gender"]) for r in corpora.speaker_list(spark, str(tmp_path)).collect()] == [("7", "m")]
+    (tmp_path / "SPEAKERS.TXT").write_text("; comment\n14 | F | train | 25 | x\n")
+    assert [(r["speaker"], r["gender"]) for r in corpora.speaker_list(spark, str(tmp_path)).collect()] == [("14", "f")]
+    for name in ("Session1/sentences/wav/d1/Ses01F_impro01_F000.wav", "Session2/sentences/wav/d1/Ses02F_x_M001.wav", "Session1/sentences/wav/d1/._Ses01F_impro01_F000.wav", "Session1/other/d1/a.wav"):
+        (tmp_path / "em" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "em" / name).write_bytes(b"x")
+    found = corpora.session_files(spark, str(tmp_path / "em")).orderBy("utt_id").collect()
+    assert [(r["utt_id"], r["session"], r["speaker"], r["gender"]) for r in found] == [("Ses01F_impro01_F000", 1, "Ses01F", "f"), ("Ses02F_x_M001", 2, "Ses02M", "m")]
+    assert corpora.session_files(spark, str(tmp_path / "em"), [2]).count() == 1
+
+
+def test_find_audio(spark):
+    files = spark.createDataFrame([("file:/r1/dev/100/121/100-121-1.wav",), ("file:/r1/dev/100/121/100-121-1.flac",), ("file:/r2/7/8/7_8_9.wav",), ("file:/r2/train/7/8/7_8_9.wav",), ("file:/r1/dev/100/999/100-121-2.flac",)], "path string")
+    utts = spark.createDataFrame([("100-121-1",), ("7_8_9",), ("100-121-2",), ("plain",)], "utt_id string")
+    got = {r["utt_id"]: r["path"] for r in corpora.find_audio(utts, files, ["/r1", "/r2"]).collect()}
+    assert got == {"100-121-1": "file:/r1/dev/100/121/100-121-1.flac", "7_8_9": "file:/r2/train/7/8/7_8_9.wav", "100-121-2": None, "plain": None}
+
+
+def test_appends_batches_and_attributes(spark, tmp_path):
+    path = str(tmp_path / "frames")
+    df = spark.range(5).select((F.col("id") * 10).alias("x"))
+    assert frames.append(df, path, ["x"], {"dims": 2, "layer": 6}) == (0, 5)
+    assert frames.append(df, path, ["x"], {"layer": 12}) == (5, 10)
+    assert [[r["x"] for r in b] for b in frames.iterate(spark.read.parquet(path), 4)] == [[0, 10, 20, 30], [40, 0, 10, 20], [30, 40]]
+    assert frames.attributes_of(spark, path)["dims"] == 2 and frames.attributes_of(spark, str(tmp_path / "none")) == {}
+
+
+def test_metadata_round_trip(spark, tmp_path):
+    utts = spark.createDataFrame([("a", 3), ("b", 4)], "utt_id string, num_frames int")
+    corpora.write_metadata(spark, utts, str(tmp_path / "m"), total_frames=7, layer=6)
+    back, header = corpora.read_metadata(spark, str(tmp_path / "m"), utts.schema)
+    assert sorted(back.collect()) == sorted(utts.collect()) and header == {"total_frames": 7, "layer": 6}
+    (tmp_path / "map").write_text("a x y\nb\nc z\n")
+    assert sorted(tuple(r) for r in corpora.read_map(spark, str(tmp_path / "map")).collect()) == [("a", "x"), ("c", "z")]
+
+
+def test_pools_are_checked_and_read_back(spark, tmp_path):
+    pool = spark.createDataFrame([(i, [float(i)], i % 3, i % 2, i % 4) for i in range(10)], "frame_id bigint, feature array<double>, phone int, gender int, symbol int")
+    assert "missing centers" in frames.save_pool(pool, str(tmp_path / "p"), settings={"dims": 1})
+    back = frames.load_pool(spark, str(tmp_path / "p"))
+    assert sorted(back.frames.select(*pool.columns).collect()) == sorted(pool.collect()) and back.centers is None and back.settings == {"dims": 1}
+    pool.limit(9).select("frame_id", "phone").write.mode("overwrite").parquet(str(tmp_path / "p/phones"))
+    assert "unequal lengths" in frames.pool_errors(spark, str(tmp_path / "p"))[0][0]
+    pool.withColumn("frame_id", F.col("frame_id") + 1).select("frame_id", "phone").write.mode("overwrite").parquet(str(tmp_path / "p/phones"))
+    assert frames.pool_errors(spark, str(tmp_path / "p"))[0] == ["phones of other frames"]
+    with pytest.raises(ValueError, match="missing symbols"):
+        frames.save_pool(pool.drop("symbol"), str(tmp_path / "q"))
+    with pytest.raises(FileNotFoundError):
+        frames.load_pool(spark, str(tmp_path / "none"))
+
+
+def test_mixdown(spark):
+    df = spark.createDataFrame([([[1.0, 2.0], [3.0, 6.0]],), ([[5.0]],), ([],)], "c array<array<double>>")
+    assert [r[0] for r in df.select(corpora.mixdown(F.col("c"))).collect()] == [[2.0, 4.0], [5.0], None]
+
+
+def test_no_machine_local_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from seqloom.storage import shared_dir
+
+    unset = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://there:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))

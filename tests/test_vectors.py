@@ -72,7 +72,7 @@ def test_ladder(frames):
 
 def test_soft_keys_apply_in_turn(frames):
     pool = frames.filter("frame_id < 70")
-    mask = {r["frame_id"]: r["mask"] for r in knn.soft_levels(frames, pool, "gender", ["phone", "speaker"], 4).collect()}
+    mask = {r["frame_id"]: r["mask"] for r in knn.soft_levels(frames, pool, ["gender"], ["phone", "speaker"], 4).collect()}
     assert mask[0] == 3 and mask[62] == 1 and mask[130] == 2
 
 
@@ -135,3 +135,163 @@ def test_plan_resumes(spark, frames, tmp_path):
     assert plan.table("pool").count() == 240
     out = anonymized(frames.withColumn("long", F.lit(4.0)), plan.table("centers"), plan.matrix("subspace"), mode="cross", predicted="long", duration_weight=1.0)
     assert out.groupBy("utt").count().filter("count = 4").count() == 12
+
+
+def test_lda_and_content_directions_against_numpy(frames):
+    x, phone = matrix(frames), np.arange(240) // 60
+    mean = x.mean(0)
+    between = sum(60 * np.outer(x[phone == p].mean(0) - mean, x[phone == p].mean(0) - mean) for p in range(4))
+    within = sum((x[phone == p] - x[phone == p].mean(0)).T @ (x[phone == p] - x[phone == p].mean(0)) for p in range(4))
+    values = np.sort(np.linalg.eigvals(np.linalg.inv(within + 1e-6 * np.eye(DIMS)) @ between).real)[::-1]
+    rows = linalg.lda(frames, DIMS, "phone", 3)
+    for r, v in zip(rows, values):
+        assert between @ r == pytest.approx(v * (within + 1e-6 * np.eye(DIMS)) @ r, abs=1e-6)
+    # what the labels don't tell has no spread between them: the means of the phones' directions stand in
+    flat = frames.withColumn("feature", F.array(*(F.lit(float("nan")) for _ in range(DIMS))))
+    with pytest.raises(np.linalg.LinAlgError):
+        linalg.subspace(flat, "phone", DIMS, 2)
+    content = linalg.content_subspace(frames, 5, DIMS)
+    means = np.stack([x[phone == p].mean(0) if p < 4 else np.zeros(DIMS) for p in range(5)])
+    s = np.linalg.svd(means - means.mean(0), compute_uv=False)
+    share = np.cumsum(s**2) / (s**2).sum()
+    assert len(content["basis"]) == min(int(np.searchsorted(share, 0.95)) + 1, 4)
+    two = linalg.balanced_content_subspace(frames, DIMS, per_class=25)
+    assert two["basis"].shape == (2, DIMS) and two["basis"] @ two["basis"].T == pytest.approx(np.eye(2), abs=1e-9)
+    assert linalg.balanced_content_subspace(frames, DIMS, use_lda=True)["basis"].shape == (2, DIMS)
+    assert linalg.balanced_content_subspace(frames.filter("phone < 2"), DIMS)["basis"].shape == (0, DIMS)
+
+
+def test_unit_pca_and_energy(frames):
+    x = matrix(frames)
+    u = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
+    model = linalg.pca(frames, DIMS, 3, unit=True)
+    assert model["variance"] == pytest.approx(np.linalg.svd(u - u.mean(0), compute_uv=False)[:3] ** 2 / 239)
+    z = (u - u.mean(0)) @ model["components"].T / np.sqrt(model["variance"])
+    want = np.concatenate([z, 2.0 * x[:, :2]], 1)
+    got = matrix(linalg.with_energy(frames.withColumn("e", F.slice("feature", 1, 2)), model, "e", 2.0), "style")
+    assert got == pytest.approx(want / (np.linalg.norm(want, axis=1, keepdims=True) + 1e-8))
+
+
+def test_sanity_gate(frames, spark):
+    basis = linalg.subspace(frames, "phone", DIMS, 2)["basis"]
+    cleaned = linalg.component(linalg.projected_out(frames, basis))
+    assert matrix(cleaned) == pytest.approx(matrix(cleaned, "cleaned") + matrix(cleaned, "component"))
+    facts = metrics.separation(cleaned, "feature", "cleaned").first()
+    assert facts["mean_dot"] < 1e-9 and 0 < facts["style_share"] < 1
+    said = spark.createDataFrame([(0.3, 0), (0.6, 0), (0.9, 0), (0.3, 1)], "r double, n int").select(metrics.gate(F.col("r"), F.col("n")))
+    assert [r[0] for r in said.collect()] == ["go", "caution", "reconsider", "blocked"]
+
+
+def plain_kmeans(x, k, steps=20):
+    c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
+    for _ in range(steps):
+        code = np.array([np.argmin(np.round([((v - u) ** 2).sum() for u in c], 9)) for v in x])
+        new = np.stack([x[code == i].mean(0) if (code == i).any() else c[i] for i in range(k)])
+        if np.abs(new - c).max() < 1e-9:
+            break
+        c = new
+    return c
+
+
+def test_centers_against_plain_kmeans(frames):
+    x = matrix(frames)
+    got = cluster.group_centers(frames, ["phone"], 3).orderBy("phone", "center_no").collect()
+    for p in range(4):
+        assert np.array([r["center"] for r in got if r["phone"] == p]) == pytest.approx(plain_kmeans(x[60 * p : 60 * p + 60], 3))
+    rows = cluster.assigned(frames, cluster.group_centers(frames, ["phone"], 3), ["phone"]).collect()
+    assert len(rows) == 240
+    for r in rows:
+        d = [np.linalg.norm(np.array(c["center"]) - x[r["frame_id"]]) for c in got if c["phone"] == r["phone"]]
+        assert r["center_no"] == int(np.argmin(np.round(np.square(d), 9))) and r["distance"] == pytest.approx(min(d), abs=1e-6)
+    whole = plain_kmeans_of_first(x, 4)
+    assert cluster.codebook(frames, 4) == pytest.approx(whole)
+
+
+def plain_kmeans_of_first(x, k):
+    c = x[:k].copy()
+    for _ in range(20):
+        code = np.array([np.argmin(np.round(((v - c) ** 2).sum(1), 9)) for v in x])
+        c = np.stack([x[code == i].mean(0) if (code == i).any() else c[i] for i in range(k)])
+    return c
+
+
+def test_pools_and_banks_by_hand(frames):
+    f = frames.withColumn("pattern", (F.col("utt") % 2).cast("int"))
+    pool = cluster.quantized_pool(f, most=4, least=20).collect()
+    sizes = {(r["pattern"], r["phone"], r["gender"]): r["n"] for r in f.groupBy("pattern", "phone", "gender").agg(F.count("*").alias("n")).collect()}
+    kept = {k: n for k, n in sizes.items() if n >= 20}
+    x = matrix(frames)
+    for k, n in kept.items():
+        own = [i for i in range(240) if ((i // 20) % 2, i // 60, "mf"[i % 2]) == k]
+        got = sorted((r for r in pool if (r["pattern"], r["phone"], r["gender"]) == k), key=lambda r: r["center_no"])
+        assert np.array([r["center"] for r in got]) == pytest.approx(plain_kmeans(x[own], min(4, n // 2)))
+    facts = cluster.skipped_groups(f, 20).first()
+    assert (facts["groups"], facts["skipped"]) == (len(sizes), len(sizes) - len(kept))
+    protos = cluster.prototypes(frames, 10, DIMS).collect()
+    per = {s: sum(r["speaker"] == s for r in protos) for s in range(7)}
+    assert set(per.values()) == {10} and all(np.linalg.norm(r["center"]) == pytest.approx(1, abs=1e-6) for r in protos)
+    alone = cluster.prototypes(frames, 5, DIMS, by_phone=False)
+    assert alone.count() == 35
+    some = cluster.bank(frames, DIMS, clusters=3, per_cluster=6, least_speakers=2)
+    sub = cluster.sub_clustered(some, DIMS, 2).collect()
+    rows = {(r["phone"], r["center_no"]) for r in some.filter("center_no is not null").collect()}
+    assert {(r["phone"], r["center_no"]) for r in sub} == rows
+    assert all(np.array(r["centroid"]) == pytest.approx(np.array(r["mean"])) for r in sub)
+    coded = cluster.purified_bank(frames, lambda v: v[:, :2] * 3.0, 2, clusters=3, per_cluster=4)
+    assert all(r["encoded"] == pytest.approx([3 * v for v in r["feature"][:2]]) for r in coded.collect())
+    e = stats.confusion_entropy(frames, stats.speaker_centroids(frames, DIMS))
+    confused = cluster.pseudo_bank(frames, e, DIMS, clusters=2, least_speakers=1)
+    edges = {p: np.percentile([r["entropy"] for r in e.collect() if r["phone"] == p], 60) for p in range(1, 4)}
+    high = {r["frame_id"] for r in e.collect() if r["phone"] and r["entropy"] >= edges[r["phone"]]}
+    assert {r["frame_id"] for r in confused.collect()} <= high
+    sweep = cluster.codebook_sweep(frames, (2, 4), steps=3, sample=100).collect()
+    assert [r["k"] for r in sweep] == [2, 4] and all(0 <= r["entropy_bits"] <= 2 for r in sweep)
+
+
+def test_cells_find_most_neighbours_and_all_cells_find_all(frames):
+    exact = knn.nearest(frames, frames, [], 4, "l2", exclude_self=True)
+    index = knn.cell_index(frames, 6)
+    assert index[0].count() == 240
+    assert sorted(knn.nearest_in_cells(frames, index, [], 4, 6, metric="l2", exclude_self=True).collect()) == sorted(exact.collect())
+    some = knn.nearest_in_cells(frames, index, [], 4, 3, metric="l2", exclude_self=True)
+    assert 0.9 <= knn.recall(some, exact).first()["recall"] <= 1
+    styles = stats.centroids(frames, ["utt"], DIMS).select("utt", F.lit("x").alias("gender"), F.col("centroid").alias("feature"))
+    assert knn.coarse_style_search(styles, styles, 3, 3).filter("query_id = pool_id").count() == 12
+
+
+def test_retrievers_by_name(frames):
+    assert knn.retriever("speaker_prototype", dims=DIMS, speaker=1)(frames, frames.filter("speaker < 3")).filter("not found").count() == 0
+    with pytest.raises(ValueError):
+        knn.retriever("nothing")
+    assert knn.target_speaker(frames, "fixed", fixed=3) == 3 and knn.target_speaker(frames, "pool") is None
+    f = frames.withColumn("gender", F.when(F.col("speaker") < 2, "m").otherwise("f"))
+    assert knn.target_speaker(f, gender="m") in (0, 1) and knn.target_speaker(f, gender="x") in range(7)
+    whole = knn.prototype_retriever(frames, frames, DIMS, k=1)
+    assert matrix(whole.withColumnRenamed("query_id", "frame_id"), "vector") == pytest.approx(matrix(frames))
+    centers = frames.filter("phone = 1").select("phone", "gender", F.col("frame_id").alias("center_id"), F.col("feature").alias("center"))
+    mixed = {r["query_id"]: r["found"] for r in knn.prototype_retriever(frames, frames.filter("speaker = 9"), DIMS, speaker=9, centers=centers).collect()}
+    assert mixed == {i: i // 60 == 1 for i in range(240)}
+
+
+def test_windows_are_replaced_whole(frames):
+    f = frames.join(stats.centroids(frames, ["utt"], DIMS).select("utt", F.col("centroid").alias("style")), "utt").withColumnRenamed("utt", "win")
+    sources, windows = f.filter("win % 3 = 0 AND t < 7"), f.filter("win % 3 = 1 AND phone < 3")
+    out = knn.window_retriever(sources, windows, [0, 1, 2, 3])
+    assert out.groupBy("win").count().filter("count = 7").count() == 4
+    best = {r["query_id"]: r["pool_id"] for r in knn.window_matches(sources, windows, "win", "win", [0, 1, 2, 3], weight=0.2).collect()}
+    rows = {(r["win"], r["i"]): r["feature"] for r in out.collect()}
+    x = matrix(frames)
+    for w in (3, 6):  # phones 1 and 2 have a window of their own dominant phone
+        mine = [r["win"] for r in windows.filter(f"phone = {w // 3}").select("win").distinct().collect()]
+        assert best[w] in mine and rows[w, 0] == pytest.approx(list(x[20 * best[w]])) and rows[w, 6] == pytest.approx(list(x[20 * best[w] + 19]))
+    assert [v for k, v in sorted(knn_rows(knn.window_retriever(sources, windows.limit(0), [0, 1, 2, 3])).items())] == [list(x[20 * w + t]) for w in (0, 3, 6, 9) for t in range(7)]
+
+
+def knn_rows(df):
+    return {(r["win"], r["i"]): list(r["feature"]) for r in df.collect()}
+
+
+def test_silhouette_of_a_sample_and_probes(frames):
+    assert -1 <= metrics.silhouette(frames, "phone", sample=50).first()[0] <= 1
+    probes = metrics.four_way_probe(frames.withColumn("other", F.reverse("feature")), ["feature", "other"], ["phone"])
+    assert set(probes) == {("feature", "phone"), ("other", "phone")} and min(probes.values()) > 0.8
