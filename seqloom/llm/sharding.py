@@ -4,28 +4,38 @@ Several metadata dimensions are quantised into equi-depth bins (thresholds from
 orders the rows, and the ordered rows are cut into runs whose lengths differ by one at most. Rows near each other in
 all dimensions share a shard, so the minimum and maximum of each column prune files for filters on any of them.
 
-Only DataFrame operations run here. Rows are range-partitioned by (index, ties), so a bin that holds a third of all
+Dimensions may be numbers, strings, booleans, dates and timestamps. Only DataFrame operations run here. Rows are range-partitioned by (index, ties), so a bin that holds a third of all
 rows is split; each partition's number of rows, one number a partition, gives the others' offsets.
 
 Defined results: a null value falls into the lowest bin of its dimension; ties in the index are ordered by the given
 columns; rows equal in all of them are interchangeable and get a slot each; with fewer rows than shards the last ones
-stay empty; an empty table gives an empty result.
+stay empty; an empty table gives an empty result; columns of the input named hilbert, shard or slot are refused.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import stored
 
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
 
 def order_code(column: str, kind: str) -> Column:
-    """A long that grows with the column: the number, or the first six UTF-8 bytes of a string."""
-    if kind in ("tinyint", "smallint", "int", "bigint"):
-        return F.col(column).cast("bigint")
-    lead = F.rpad(F.hex(F.substring(F.col(column).cast("string").cast("binary"), 1, 6)), 12, "0")
-    return F.conv(lead, 16, 10).cast("bigint")
+    """A number or string whose order is the column's."""
+    c = F.col(f"`{column}`")
+    if kind in NUMBERS or kind.startswith("decimal") or kind == "string":
+        return c
+    if kind == "boolean":
+        return c.cast("int")
+    if kind == "date":
+        return F.unix_date(c)
+    if kind == "timestamp":
+        return F.unix_micros(c)
+    raise ValueError(f"{column}: {kind} has no order to shard by")
 
 
 def hilbert_index(axes: Column, dims: int, bits: int) -> Column:
@@ -65,18 +75,44 @@ def _let(value: Column, of) -> Column:
     return F.transform(F.array(value), of)[0]
 
 
+def string_edges(rows: DataFrame, column: Column, parts: int) -> list[str]:
+    """The values at which a table sorted by a string column is cut into parts of equal length, at most parts - 1.
+
+    Distinct values, counted before the shuffle, are range-partitioned, so neither a frequent value nor many values fill a
+    task; sums within partitions and one number a partition give each value's place.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = rows.select(column.alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    placed = stored(counted.repartitionByRange(n, "v").withColumn("part", F.spark_partition_id()), "values")
+    parts_n = placed.groupBy("part").agg(F.sum("n").alias("n")).collect()  # one row a partition
+    total, before = sum(r["n"] for r in parts_n), {}
+    if not total:
+        return []
+    offset = 0
+    for part, held in sorted(map(tuple, parts_n)):
+        before[part], offset = offset, offset + held
+    so_far = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offset = F.element_at(F.from_json(F.lit(json.dumps(before)), "map<string,bigint>"), F.col("part").cast("string"))
+    ends = placed.withColumn("z", offset + F.sum("n").over(so_far)).withColumn("a", F.col("z") - F.col("n"))
+    # a value is an edge if the place of a cut, ceil(i * total / parts) from 1, lies in it
+    cut = lambda x: F.floor(x * F.lit(parts) / F.lit(total))
+    return sorted(r["v"] for r in ends.filter((cut(F.col("z")) > cut(F.col("a"))) & (F.col("a") < F.lit(total * (parts - 1) / parts))).select("v").collect())
+
+
 def bins(rows: DataFrame, dims: list[str], bits: int) -> Column:
-    """An array of the equi-depth bins of the dimensions. The thresholds, 2**bits - 1 numbers a dimension, come to the driver."""
+    """An array of the equi-depth bins of the dimensions, by their whole values. The thresholds, 2**bits - 1 values a dimension at most, come to the driver."""
     kinds = dict(rows.dtypes)
     cuts = F.array(*(F.lit(i / (1 << bits)) for i in range(1, 1 << bits)))
-    found = rows.agg(*(F.percentile_approx(order_code(c, kinds[c]), cuts, F.lit(10_000)).alias(f"c{k}") for k, c in enumerate(dims))).first()
+    codes = {c: order_code(c, kinds[c]) for c in dims}
+    numbers = [c for c in dims if kinds[c] != "string"]
+    found = rows.agg(F.lit(0).alias("none"), *(F.percentile_approx(codes[c], cuts, F.lit(10_000)).alias(f"c{k}") for k, c in enumerate(numbers))).first()
+    edges = {c: sorted(set(found[f"c{k}"] or [])) for k, c in enumerate(numbers)}
+    edges |= {c: string_edges(rows, codes[c], 1 << bits) for c in dims if c not in edges}
     out = []
-    for k, c in enumerate(dims):
-        edges = sorted(set(found[k] or []))
-        code = order_code(c, kinds[c])
-        above = F.size(F.filter(F.array(*(F.lit(e).cast("bigint") for e in edges)), lambda e: e < code)) if edges else F.lit(0)  # noqa: B023
+    for c in dims:
+        above = F.size(F.filter(F.array(*map(F.lit, edges[c])), lambda e: e < codes[c])) if edges[c] else F.lit(0)  # noqa: B023
         # spread over the whole range, so that a dimension with few values weighs as much as the others
-        out.append(F.when(code.isNull(), F.lit(0)).otherwise(F.floor(above * F.lit((1 << bits) - 1) / F.lit(max(1, len(edges))))).cast("bigint"))
+        out.append(F.when(codes[c].isNull(), F.lit(0)).otherwise(F.floor(above * F.lit((1 << bits) - 1) / F.lit(max(1, len(edges[c]))))).cast("bigint"))
     return F.array(*out)
 
 
@@ -84,6 +120,8 @@ def hilbert_shards(rows: DataFrame, dims: list[str], ties: list[str], shards: in
     """rows with hilbert, shard (0 to shards - 1) and slot (gapless from 0 in each shard), stored in that order."""
     if len(dims) * bits > 62:
         raise ValueError("the index must fit in 62 bits")
+    if clash := {"hilbert", "shard", "slot"} & set(rows.columns):
+        raise ValueError(f"columns of the input would be lost: {sorted(clash)}")
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     coded = rows.withColumn("__bins", bins(rows, dims, bits)).withColumn("hilbert", hilbert_index(F.col("__bins"), len(dims), bits)).drop("__bins")
     order = ["hilbert", *ties]
@@ -93,7 +131,7 @@ def hilbert_shards(rows: DataFrame, dims: list[str], ties: list[str], shards: in
     for part, count in counts:
         before[part], offset = offset, offset + count
     base, longer = divmod(offset, shards)
-    offsets = F.element_at(F.array(*(F.lit(before.get(p, 0)).cast("bigint") for p in range(max(before, default=0) + 1))), F.shiftright("__at", 33).cast("int") + 1)
+    offsets = F.element_at(F.from_json(F.lit(json.dumps(before)), "map<string,bigint>"), F.shiftright("__at", 33).cast("string"))
     rank = F.col("__rank")
     first = longer * (base + 1)
     shard = F.when(rank < first, F.floor(rank / (base + 1))).otherwise(longer + F.floor((rank - first) / max(base, 1)))
