@@ -1,8 +1,9 @@
 """Mixing to target weights with soft membership.
 
 A labelled table (doc_id, domain) trains a multinomial logistic regression on hashed words of at most `fit_rows`
-labelled documents (those of the smallest hashes). It gives every document a posterior over the domains, rounded to
-1/grid. Documents of equal rounded posterior make one cell, because a document's rate depends on its posterior alone; so the
+labelled documents (those of the smallest hashes); a temperature, fitted on every fifth of them, which the regression
+hasn't seen, calibrates it, because the rates are only as right as the posteriors. Every document gets a posterior over
+the domains, rounded to 1/grid. Documents of equal rounded posterior make one cell, because a document's rate depends on its posterior alone; so the
 fit runs over a table of cells whose size the grid bounds, whatever the number of documents. Accelerated projected
 gradient steps minimise
 
@@ -46,16 +47,32 @@ class Domains:
     names: list[str]
     model: PipelineModel | None
     grid: int
+    temperature: float = 1.0
 
     def posterior(self, rows: DataFrame, text: str = "text") -> DataFrame:
         """rows with __tokens and __cell, the rounded posterior as whole parts of grid."""
         if self.model is None:
             return rows.withColumns({"__tokens": F.size(words(text)).cast("bigint"), "__cell": F.array(F.lit(self.grid))})
         out = self.model.transform(rows.withColumn("__words", words(text)))
-        cell = F.transform(vector_to_array("__p"), lambda p: F.round(p * self.grid).cast("int"))
+        cell = F.transform(softened(F.col("__z"), self.temperature), lambda p: F.round(p * self.grid).cast("int"))
         return out.withColumns({"__tokens": F.size("__words").cast("bigint"), "__cell": cell}).drop("__words", "__tf", "__x", "__p", "__z", "__said")
 
 
+def softened(scores: Column, temperature: float) -> Column:
+    """The softmax of a vector of scores over a temperature."""
+    powers = _let(vector_to_array(scores), lambda z: F.transform(z, lambda x: F.exp((x - F.array_max(z)) / F.lit(temperature))))
+    return _let(powers, lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y)))
+
+
+def best_temperature(scored: DataFrame, lowest: float = 0.1, highest: float = 10.0, steps: int = 61) -> float:
+    """The temperature of the least mean log loss over rows (__z, __y), of a geometric grid. One aggregation."""
+    grid = [lowest * (highest / lowest) ** (i / (steps - 1)) for i in range(steps)]
+    rows = stored(scored.select(vector_to_array("__z").alias("z"), F.col("__y").cast("int").alias("y")).withColumn("z", F.expr("transform(z, x -> x - z[y])")), "calibration")
+    loss = lambda t: F.avg(F.log(F.aggregate(F.transform("z", lambda x: F.exp(F.least(x / F.lit(t), F.lit(700.0)))), F.lit(0.0), lambda a, y: a + y)))
+    found = rows.agg(*(loss(t).alias(f"t{i}") for i, t in enumerate(grid))).first()
+    return 1.0 if found[0] is None else min(zip(found, grid))[1]
+
+
 def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, features: int = 1 << 14, grid: int = 64, text: str = "text", doc_id: str = "doc_id", most_domains: int = 64) -> Domains:
     """labels: (doc_id, domain)."""
     of = labels.filter("doc_id is not null and domain is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min("domain").alias("__domain"))
@@ -71,7 +88,10 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, features:
     for stage in stages:
         coded = stage.transform(coded)
     lr = LogisticRegression(featuresCol="__x", labelCol="__y", probabilityCol="__p", rawPredictionCol="__z", predictionCol="__said", family="multinomial", maxIter=40, regParam=1e-4)
-    return Domains(names, PipelineModel([*stages, lr.fit(coded.select("__x", "__y"))]), grid)
+    coded = stored(coded.select("__id", "__x", "__y"), "fit-vectors")
+    aside = F.pmod(F.xxhash64(F.lit(5), "__id"), F.lit(5)) == 0
+    temperature = best_temperature(lr.fit(coded.filter(~aside)).transform(coded.filter(aside))) if coded.filter(~aside).select("__y").distinct().count() == len(names) else 1.0
+    return Domains(names, PipelineModel([*stages, lr.fit(coded)]), grid, temperature)
 
 
 def cells_of(scored: DataFrame) -> DataFrame:
@@ -144,16 +164,24 @@ def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], text: s
     return scored, stored(fit_rates(cells_of(scored), [w / sum(wanted) for w in wanted]), "rates"), domains
 
 
+#: So many cells, of some hundred bytes each, are broadcast; more are joined by a shuffle.
+MOST_CELLS = 200_000
+
+
+def _few(rate: DataFrame) -> DataFrame:
+    return F.broadcast(rate) if rate.count() <= MOST_CELLS else rate
+
+
 def weigh(docs: DataFrame, labels: DataFrame, weights: dict[str, float], **how) -> DataFrame:
-    """One row per row of docs: doc_id, tokens, posterior, rate, copies. The table of rates is bounded by the grid, so it is broadcast."""
+    """One row per row of docs: doc_id, tokens, posterior, rate, copies."""
     scored, rate, domains = rates(docs, labels, weights, **how)
-    out = scored.join(F.broadcast(rate), scored["__cell"] == rate["cell"])
+    out = scored.join(_few(rate), scored["__cell"] == rate["cell"])
     return out.select("doc_id", F.col("__tokens").alias("tokens"), F.transform("cell", lambda x: x / domains.grid).alias("posterior"), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs, each as often as its copies say, with all their columns and without a shuffle of texts."""
+    """The rows of docs, each as often as its copies say, with all their columns; without a shuffle of texts while the rates are few."""
     _, rate, domains = rates(docs, labels, weights, text=text, doc_id=doc_id, **how)
     rate = rate.select(F.col("cell").alias("__cell"), F.col("rate").alias("__rate"))
-    taken = domains.posterior(docs, text).join(F.broadcast(rate), "__cell").withColumn("__copies", copies(F.col("__rate"), F.col(f"`{doc_id}`"))).filter("__copies > 0")
+    taken = domains.posterior(docs, text).join(_few(rate), "__cell").withColumn("__copies", copies(F.col("__rate"), F.col(f"`{doc_id}`"))).filter("__copies > 0")
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
