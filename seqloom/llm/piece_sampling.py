@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import list_array, mixed, utf8
 
 SPACE = "▁"
-LONGEST = 16
 NONE = -(2**31)
 KNOWN_NODES = 3_000_000
 FACTOR = np.uint64(0xD6E8FEB86659FD93)
@@ -76,6 +75,7 @@ class Pieces:
         self.ids = np.array([*(known[int(h)] for h in self.hashes[:-1]), NONE], dtype=np.int32)
         self.slots = np.searchsorted(self.hashes[:-1], np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)).astype(np.int32)
         self.steps = int(np.bincount((self.hashes[:-1] >> np.uint64(44)).astype(np.int64)).max())
+        self.longest = max((len(pieces[i]) for i in usual), default=1)
         self.singles = {p for i in usual if len(p := pieces[i]) == 1}
         self.alone = "".join(c for c in "\n\t\r" if c not in self.singles)
         self.chunk = re.compile(f" *[^ {self.alone}]+| +|[{self.alone}]" if self.alone else " *[^ ]+| +")
@@ -174,7 +174,7 @@ class Lattices:
         single = np.zeros(total, dtype=bool)
         alive, h = np.arange(total), np.zeros(total, np.uint64)
         with np.errstate(over="ignore"):
-            for n in range(1, LONGEST + 1):
+            for n in range(1, p.longest + 1):
                 inside = left[alive] >= n
                 alive, h = alive[inside], h[inside]
                 if not len(alive):
@@ -424,7 +424,7 @@ def sampled(docs: DataFrame, model: str, k: int = 2, seed: int = 17, text: str =
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids_crc32", "round_trip", "ids"])
                 a = z
 
-    found = docs.select(F.col(key).cast("bigint").alias("doc_id"), utf8(text).alias("text"))
+    found = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), utf8(text).alias("text"))
     out = found.mapInArrow(rows, "doc_id bigint, sample int, n_pieces bigint, log_prob double, perturbed double, inclusion double, ids_crc32 bigint, round_trip boolean, ids array<int>")
     return out if with_ids else out.drop("ids")
 
