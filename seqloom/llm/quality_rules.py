@@ -1,10 +1,13 @@
 """Quality rules by distribution divergence.
 
-A document's histograms of character classes, of common words and of marks (words without a letter or digit, such as
-the separators of a link list, against all others) are compared with the references of its language by the Jensen-Shannon distance (square root of the divergence with logarithms to base 2; 0 to 1). The
-references are the means of the histograms of all documents of that language that are long enough. Guards: a
-histogram is only judged if the document has at least min_chars letters, signs and digits or min_words words, and
-only if the language's reference has min_reference documents behind it; else it doesn't speak against the document.
+A document's histograms of character classes, of its language's common words and of marks (words without a letter or
+digit, such as the separators of a link list, against all others) are compared with the references of its language by
+the Jensen-Shannon distance (square root of the divergence with logarithms to base 2; 0 to 1). A language's common words
+are the `frequent` most frequent ones of all its documents, made of a-z and non-ASCII characters after lower-casing
+A-Z; ties go to the first by bytes. The references are the means of the histograms of all documents of that language that
+are long enough. Guards: a histogram is only judged if the document has at least min_chars letters, signs and digits or
+min_words words. A language with less than min_reference such documents has no common words, and its characters and marks
+are compared with the mean of all documents; where even those are fewer, nothing speaks against a document.
 
 Word rules stand in front: fewer than base_words words, or 100 * repeated words > base_repeats * words.
 
@@ -15,31 +18,34 @@ space and 0x09 to 0x0D.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import list_array, stored, utf8
+from seqloom.llm.common import list_array, row_key, stored, utf8
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\v\f\r"
-#: Frequent function words of English, French, German and Spanish.
-COMMON_WORDS = (
-    "the of and to in is that it for on with as was are by be this from at or "
-    "la le les des du une dans pour par sur qui avec "
-    "der die das und von nicht ein eine mit auf ist zu "
-    "los las del el en por con para se su como más"
-).split()
 #: Character classes: a name and the bytes in it. What is left of each multi-byte character is its lead byte, in "wide".
 CLASSES = ("lower", "upper", "digit", "white", "stop", "symbol", "other", "wide")
 #: The bytes of a mark: those of ASCII but for letters and digits.
 MARKS = bytes(c for c in range(0x80) if not chr(c).isalnum())
 
 
+#: References of so many languages are broadcast; more are joined by a shuffle.
+MOST_LANGUAGES = 10_000
+
+
+#: Distances of the verdict: the least, and the slack that is divided by the root of what the histogram counts.
+CHARS_LIMIT, COMMON_LIMIT, MARKS_LIMIT = (0.22, 2.0), (0.30, 1.2), (0.20, 0.6)
+
+
 def _class_table() -> np.ndarray:
     t = np.full(256, CLASSES.index("other"), dtype=np.uint8)
     t[ord("a") : ord("z") + 1], t[ord("A") : ord("Z") + 1], t[ord("0") : ord("9") + 1] = 0, 1, 2
@@ -71,38 +77,79 @@ def repeated_words(ids: np.ndarray, distinct: int, width: int = 3) -> int:
     return int(covered.sum())
 
 
-def measures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """Counts and histograms of each document."""
-    forms = [[f.encode() for f in dict.fromkeys((w, w.capitalize(), w.upper()))] for w in COMMON_WORDS]
+def common_words(docs: DataFrame, text: str = "text", lang: str = "lang", frequent: int = 32, held: int = 100_000) -> DataFrame:
+    """(lang, list): the most frequent words of each language over all its documents. Tasks count up to `held` words before they send them."""
+    word = re.compile(rb"[^\x00-\x60\x7b-\x7f]+")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times: dict[str | None, Counter] = {}
+
+        def out() -> pa.RecordBatch:
+            found = [(k, w, n) for k, c in times.items() for w, n in c.items() if word.fullmatch(w)]
+            times.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.binary()), pa.array([x[2] for x in found], pa.int64())], ["lang", "word", "n"])
+
+        for b in batches:
+            for k, t in zip(b.column(0).to_pylist(), b.column(1)):
+                times.setdefault(k, Counter()).update(t.as_py().lower().split())
+                if sum(map(len, times.values())) > held:
+                    yield out()
+        yield out()
+
+    counted = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), utf8(text).alias("text")).mapInArrow(count, "lang string, word binary, n bigint")
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")  # a limit of so many rows a group is taken before the shuffle too
+    top = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).withColumn("k", F.row_number().over(best)).filter(F.col("k") <= frequent)
+    return top.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]).alias("list"))
+
+
+def measures(docs: DataFrame, lists: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
+    """Counts and histograms of each document. lists: (lang, list) of common words."""
     classes, symbols = _class_table(), [s.encode() for s in SYMBOLS]
 
-    def one(t: bytes) -> tuple:
+    def one(t: bytes, at: dict[bytes, int]) -> tuple:
         raw = np.bincount(classes[np.frombuffer(t, np.uint8)], minlength=len(CLASSES) + 1)[: len(CLASSES)]
         words = t.split()
         places: dict[bytes, int] = {}
         ids = np.array([places.setdefault(w, len(places)) for w in words], dtype=np.int64)
         times = np.bincount(ids, minlength=len(places) + 1) if len(ids) else np.zeros(1, np.int64)
-        common = [sum(int(times[places[f]]) for f in fs if f in places) for fs in forms]
+        n, marks, common = len(words), 0, [0] * len(at) + [len(words)]
+        for w, i in places.items():
+            if (k := at.get(w.lower())) is not None:
+                common[k] += int(times[i])
+                common[-1] -= int(times[i])
+            elif not w.strip(MARKS):
+                marks += int(times[i])
         seen, dup = set(), 0
         for line in t.split(b"\n"):
             if line.strip():
                 dup += line in seen
                 seen.add(line)
-        n, marks = len(words), sum(int(times[i]) for w, i in places.items() if not w.strip(MARKS))
-        return n, int(raw.sum() - raw[CLASSES.index("white")]), sum(map(t.count, symbols)), dup, repeated_words(ids, max(1, len(places))), raw, [*common, n - sum(common)], [marks, n - marks]
+        return n, int(raw.sum() - raw[CLASSES.index("white")]), sum(map(t.count, symbols)), dup, repeated_words(ids, max(1, len(places))), raw, common, [marks, n - marks]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str | None, dict[bytes, int]] = {}
         for b in batches:
             if not len(b):
                 continue
-            *counts, raw, common, marks = zip(*map(one, b.column(2).to_pylist()))
-            lists = [list_array(np.concatenate(x).astype(np.int64), [len(x[0])] * len(b), pa.int64()) for x in (raw, common, marks)]
+            langs = b.column(1).to_pylist()
+            for i, k in enumerate(langs):
+                if k not in known:
+                    known[k] = {w: j for j, w in enumerate(b.column(3)[i].as_py() or [])}
+            *counts, raw, common, marks = zip(*(one(t.as_py(), known[k]) for t, k in zip(b.column(2), langs)))
+            lists = [list_array(np.concatenate(x).astype(np.int64), list(map(len, x)), pa.int64()) for x in (raw, common, marks)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in counts), *lists], ["doc_id", "lang", *NUMBERS, "chars", "common", "marks"])
 
-    found = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(lang).cast("string").alias("lang"), utf8(text).alias("text"))
+    found = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{lang}`").cast("string").alias("lang"), utf8(text).alias("text"))
+    found = found.join(_few(lists.withColumnRenamed("lang", "__lang")), F.col("lang").eqNullSafe(F.col("__lang")), "left").select("doc_id", "lang", "text", "list")
     return found.mapInArrow(rows, f"doc_id bigint, lang string, {', '.join(f'{c} bigint' for c in NUMBERS)}, chars array<bigint>, common array<bigint>, marks array<bigint>")
 
 
+def _few(by_language: DataFrame) -> DataFrame:
+    """A stored table of a row a language, marked to be broadcast if it is small."""
+    by_language = stored(by_language, "by-language")
+    return F.broadcast(by_language) if by_language.count() <= MOST_LANGUAGES else by_language
+
+
 NUMBERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -121,35 +168,55 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))
 
 
-def references(measured: DataFrame, name: str, least: Column) -> DataFrame:
-    """(lang, <name>_ref, <name>_docs): the mean histogram of each language over its documents for which least holds."""
-    long = measured.filter(least).select("lang", F.posexplode(_share(F.col(name))).alias("i", "v"))
+def references(measured: DataFrame, name: str, least: Column, key: str | None = "lang") -> DataFrame:
+    """(<name>_lang, <name>_ref, <name>_docs): the mean histogram of each language, or with key None of all, over its documents for which least holds."""
+    of = F.col(key) if key else F.lit(None).cast("string")
+    long = measured.filter(least).select(of.alias("lang"), F.posexplode(_share(F.col(name))).alias("i", "v"))
     bins = long.groupBy("lang", "i").agg(F.avg("v").alias("v"), F.count("*").alias("n"))
-    return bins.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias(f"{name}_ref"), F.max("n").alias(f"{name}_docs"))
-
-
-def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", base_words: int = 50, base_repeats: int = 50, max_chars_distance: tuple[float, float] = (0.22, 2.0), max_common_distance: tuple[float, float] = (0.30, 1.2), max_marks_distance: tuple[float, float] | None = (0.20, 0.6), min_chars: int = 200, min_words: int = 50, min_reference: int = 20) -> DataFrame:
+    ref = F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"])
+    return bins.groupBy("lang").agg(ref.alias(f"{name}_ref"), F.max("n").alias(f"{name}_docs")).withColumnRenamed("lang", f"{name}_lang")
+
+
+def judge(
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    lang: str = "lang",
+    base_words: int = 50,
+    base_repeats: int = 50,
+    max_chars_distance: tuple[float, float] = CHARS_LIMIT,
+    max_common_distance: tuple[float, float] = COMMON_LIMIT,
+    max_marks_distance: tuple[float, float] = MARKS_LIMIT,
+    min_chars: int = 200,
+    min_words: int = 50,
+    min_reference: int = 20,
+    frequent: int = 32,
+) -> DataFrame:
     """One row per document: the counts, base_failed, the three distances (null where a guard holds) and kept.
 
     A distance speaks against a document above least + slack / sqrt(n), n its characters in words or its words: a
-    histogram of few of them is far from any reference by chance. max_marks_distance None leaves marks out of kept.
+    histogram of few of them is far from any reference by chance.
     """
-    measured = stored(measures(docs, text, doc_id, lang), "measures")
+    measured = stored(measures(docs, common_words(docs, text, lang, frequent), text, doc_id, lang), "measures")
     guards = {"chars": F.col("word_chars") >= min_chars, "common": F.col("n_words") >= min_words, "marks": F.col("n_words") >= min_words}
     out = measured
     for name, least in guards.items():
-        ref = references(measured, name, least).withColumnRenamed("lang", f"{name}_lang")
-        out = out.join(ref, F.col("lang").eqNullSafe(F.col(f"{name}_lang")), "left")
-        out = out.withColumn(f"{name}_distance", F.when(least & (F.col(f"{name}_docs") >= min_reference), js_distance(_share(F.col(name)), F.col(f"{name}_ref"))))
+        own = references(measured, name, least).filter(F.col(f"{name}_docs") >= min_reference)
+        out = out.join(_few(own), F.col("lang").eqNullSafe(F.col(f"{name}_lang")), "left")
+        ref = F.col(f"{name}_ref")
+        if name != "common":
+            of_all = references(measured, name, least, None).filter(F.col(f"{name}_docs") >= min_reference).first()  # one row of a few numbers
+            ref = F.coalesce(ref, F.array(*map(F.lit, of_all[f"{name}_ref"]))) if of_all else ref
+        out = out.withColumn(f"{name}_distance", F.when(least & ref.isNotNull(), js_distance(_share(F.col(name)), ref)))
     failed = (F.col("n_words") < base_words) | (100 * F.col("n_repeat_words") > base_repeats * F.col("n_words"))
-    limits = [("chars_distance", "word_chars", max_chars_distance), ("common_distance", "n_words", max_common_distance)]
-    limits += [("marks_distance", "n_words", max_marks_distance)] if max_marks_distance else []
+    limits = [("chars_distance", "word_chars", max_chars_distance), ("common_distance", "n_words", max_common_distance), ("marks_distance", "n_words", max_marks_distance)]
     far = [F.coalesce(F.col(d) > F.lit(least) + F.lit(slack) / F.sqrt(n), F.lit(False)) for d, n, (least, slack) in limits]
     out = out.withColumn("base_failed", failed).withColumn("kept", ~reduce(lambda a, b: a | b, far, failed))
     return out.select("doc_id", *NUMBERS, "base_failed", "kept", "chars_distance", "common_distance", "marks_distance")
 
 
 def keep(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", **rules) -> DataFrame:
-    """The rows of docs that are kept, with all their columns. Rows that share an identifier share the strictest verdict."""
-    bad = judge(docs, text, doc_id, lang, **rules).filter("not kept").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(f"`{doc_id}`").eqNullSafe(F.col("__bad")), "left_anti")
+    """The rows of docs that are kept, with all their columns. Each row is judged by itself, also where identifiers are null or repeat."""
+    rows, key = row_key(docs, doc_id)
+    bad = judge(rows, text, key, lang, **rules).filter("not kept").select(F.col("doc_id").alias("__bad"))
+    return rows.join(bad, F.col(f"`{key}`") == F.col("__bad"), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
