@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seqloom.storage import new_path, scratch, stored
 
-__all__ = ["Bloom", "bloom_of", "list_array", "mixed", "new_path", "row_key", "scratch", "stored", "summed", "sums", "table", "utf8"]
+__all__ = ["Bloom", "bloom_of", "list_array", "mixed", "new_path", "row_key", "spread_join", "scratch", "stored", "summed", "sums", "table", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,16 @@ def utf8(column: str = "text"):
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+def spread_join(rows: DataFrame, few: DataFrame, key: str, salt, how: str = "left", most: int = 100_000, salts: int = 32) -> DataFrame:
+    """rows joined with a table of a row for each key, so that a key of many rows is never one task's: by a broadcast while
+    that table, stored first, has at most `most` rows, else by key and salt, a hash of a row's columns, with a copy of it for each salt."""
+    few = stored(few, "few")
+    if few.count() <= most:
+        return rows.join(F.broadcast(few), key, how)
+    salted = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("__salt", F.pmod(salt, F.lit(salts)).cast("int")).join(salted, [key, "__salt"], how).drop("__salt")
+
+
 def row_key(docs: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, str]:
     """docs and the column that names each of its rows: doc_id if it is a whole number that is never null and never repeats, else __row, a number that docs are stored with."""
     if dict(docs.dtypes)[doc_id] in ("tinyint", "smallint", "int", "bigint"):

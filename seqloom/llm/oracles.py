@@ -25,28 +25,46 @@ FROM g
 
 
 def quality() -> str:
-    forms = [list(dict.fromkeys((w, w.capitalize(), w.upper()))) for w in quality_rules.COMMON_WORDS]
-    common = ", ".join(f"len(list_filter(words, lambda w: w IN ({', '.join(repr(f) for f in fs)})))" for fs in forms)
     classes = ", ".join(f"length(regexp_replace(t, '[^{c}]', '', 'g'))" for c in ("a-z", "A-Z", "0-9", "\\x20\\x09-\\x0D", ".,;:!?''\"()\\-", "#*$%&|<>"))
-    js = lambda p, q: f"sqrt(greatest(0.0, list_sum(list_transform(list_zip({p}, {q}), lambda z: (CASE WHEN z[1] > 0 THEN z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) ELSE 0 END) + (CASE WHEN z[2] > 0 THEN z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) ELSE 0 END))) / 2))"
-    ref = lambda name, least: f"(SELECT lang, list(v ORDER BY i) AS ref, max(n) AS docs FROM (SELECT lang, i, avg(v) AS v, count(*) AS n FROM (SELECT lang, unnest({name}) AS v, generate_subscripts({name}, 1) AS i FROM h WHERE {least}) GROUP BY lang, i) GROUP BY lang)"
+
+    def js(p: str, q: str) -> str:
+        part = lambda k: f"(CASE WHEN z[{k}] > 0 THEN z[{k}] * log2(z[{k}] / ((z[1] + z[2]) / 2)) ELSE 0 END)"
+        return f"sqrt(greatest(0.0, list_sum(list_transform(list_zip({p}, {q}), lambda z: {part(1)} + {part(2)})) / 2))"
+
+    def ref(name: str, least: str, key: str = "lang") -> str:
+        each = f"SELECT {key} AS lang, unnest({name}) AS v, generate_subscripts({name}, 1) AS i FROM h WHERE {least}"
+        bins = f"SELECT lang, i, avg(v) AS v, count(*) AS n FROM ({each}) GROUP BY lang, i"
+        return f"(SELECT lang, list(v ORDER BY i) AS ref, max(n) AS docs FROM ({bins}) GROUP BY lang HAVING max(n) >= 20)"
+
+    far = " OR ".join(
+        f"coalesce({d}_distance > {least} + {slack} / sqrt({n}), false)"
+        for d, n, (least, slack) in (("chars", "word_chars", quality_rules.CHARS_LIMIT), ("common", "n_words", quality_rules.COMMON_LIMIT), ("marks", "n_words", quality_rules.MARKS_LIMIT))
+    )
     return f"""
 WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, regexp_extract_all(t, '{WORDS}') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORDS}')) AS lines FROM t),
+w AS (SELECT *, regexp_extract_all(t, '{WORDS}') AS words, regexp_extract_all(translate(t, '{UPPER}', '{LOWER}'), '{WORDS}') AS low,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORDS}')) AS lines FROM t),
+fw AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(low) AS w FROM w) WHERE regexp_full_match(w, '[^\\x00-\\x60\\x7B-\\x7F]+') GROUP BY lang, w),
+fl AS (SELECT lang, list(w ORDER BY k) AS common FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS k FROM fw) WHERE k <= 32 GROUP BY lang),
 g AS (SELECT *, len(words) AS n_words, list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) AS grams FROM w),
-m AS (SELECT doc_id, lang, t, words, n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines FROM g),
+m AS (SELECT doc_id, lang, t, low, n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(list_filter(words, lambda x: regexp_full_match(x, '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))) AS n_marks FROM g),
 p AS (SELECT doc_id, unnest(grams) AS gram, generate_subscripts(grams, 1) AS i FROM g),
 twice AS (SELECT doc_id, i FROM p QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(3) k(k) GROUP BY doc_id),
-c AS (SELECT * EXCLUDE (t, words), [{classes}] AS byclass, length(regexp_replace(t, '[\\x00-\\x7F]', '', 'g')) AS wide, length(t) AS n, [{common}] AS hits FROM m),
-h AS (SELECT * EXCLUDE (byclass, hits), list_transform(list_concat(byclass, [n - wide - list_sum(byclass), wide]), lambda x: x / n) AS chars, list_transform(list_concat(hits, [n_words - list_sum(hits)]), lambda x: x / n_words) AS common FROM c),
+c AS (SELECT m.* EXCLUDE (t, low), [{classes}] AS byclass, length(regexp_replace(t, '[\\x00-\\x7F]', '', 'g')) AS wide, length(t) AS n,
+  list_transform(coalesce(fl.common, []), lambda f: len(list_filter(low, lambda x: x = f))) AS hits FROM m LEFT JOIN fl ON m.lang IS NOT DISTINCT FROM fl.lang),
+h AS (SELECT * EXCLUDE (byclass, hits), list_transform(list_concat(byclass, [n - wide - list_sum(byclass), wide]), lambda x: x / n) AS chars,
+  list_transform(list_concat(hits, [n_words - coalesce(list_sum(hits), 0)]), lambda x: x / n_words) AS common, [n_marks / n_words, (n_words - n_marks) / n_words] AS marks FROM c),
 j AS (SELECT h.*, coalesce(n_repeat_words, 0) AS n_repeat_words,
-  CASE WHEN word_chars >= 200 AND a.docs >= 20 THEN {js("chars", "a.ref")} END AS chars_distance,
-  CASE WHEN n_words >= 50 AND b.docs >= 20 THEN {js("common", "b.ref")} END AS common_distance
-  FROM h LEFT JOIN r USING (doc_id) LEFT JOIN {ref("chars", "word_chars >= 200")} a ON h.lang IS NOT DISTINCT FROM a.lang LEFT JOIN {ref("common", "n_words >= 50")} b ON h.lang IS NOT DISTINCT FROM b.lang),
+  CASE WHEN word_chars >= 200 THEN {js("chars", "coalesce(a.ref, aa.ref)")} END AS chars_distance,
+  CASE WHEN n_words >= 50 THEN {js("common", "b.ref")} END AS common_distance,
+  CASE WHEN n_words >= 50 THEN {js("marks", "coalesce(k.ref, kk.ref)")} END AS marks_distance
+  FROM h LEFT JOIN r USING (doc_id) LEFT JOIN {ref("chars", "word_chars >= 200")} a ON h.lang IS NOT DISTINCT FROM a.lang LEFT JOIN {ref("common", "n_words >= 50")} b ON h.lang IS NOT DISTINCT FROM b.lang
+  LEFT JOIN {ref("marks", "n_words >= 50")} k ON h.lang IS NOT DISTINCT FROM k.lang LEFT JOIN {ref("chars", "word_chars >= 200", "''")} aa ON true LEFT JOIN {ref("marks", "n_words >= 50", "''")} kk ON true),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM j)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT (base_failed OR coalesce(chars_distance > 0.22 + 2.0 / sqrt(word_chars), false) OR coalesce(common_distance > 0.30 + 1.2 / sqrt(n_words), false)) AS kept
+  NOT (base_failed OR {far}) AS kept
 FROM f
 """
 
@@ -62,10 +80,10 @@ def secret_scans() -> str:
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, source AS owner, lang AS repo, coalesce(text, '') AS t FROM documents),
 m AS ({" UNION ALL ".join(parts)}),
 e AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY row, kind ORDER BY i)::BIGINT AS z FROM m),
-b AS (SELECT row, owner, k, kind, z - length(hit) AS a, z, value FROM e WHERE length(value) >= least),
-o AS (SELECT value, count(DISTINCT coalesce(owner, chr(0))) AS owners FROM b GROUP BY value),
+b AS (SELECT row, owner, repo, k, kind, z - length(hit) AS a, z, value FROM e WHERE length(value) >= least),
+o AS (SELECT value, count(DISTINCT coalesce(owner, chr(0))) AS owners, count(DISTINCT coalesce(owner, chr(0)) || chr(1) || coalesce(repo, chr(0))) AS repos FROM b GROUP BY value),
 v AS (SELECT DISTINCT row, {len(secrets.KINDS)} AS k, 'live' AS kind, z - length(value) AS a, z FROM b JOIN o USING (value)
-  WHERE owners < 3 AND length(value) >= 16 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= 8 AND NOT regexp_matches(value, '{secrets.PLACEHOLDERS}')),
+  WHERE owners < 3 AND repos < 4 AND length(value) >= 16 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= 8 AND NOT regexp_matches(value, '{secrets.PLACEHOLDERS}')),
 s AS (SELECT row, k, kind, a, z, kind || ':' || a || ':' || z AS said FROM b UNION ALL SELECT row, k, kind, a, z, kind || ':' || a || ':' || z FROM v),
 g AS (SELECT row, {", ".join(map(count, secrets.KINDS))}, string_agg(said, ',' ORDER BY a, k) FILTER (kind <> 'live') AS base, string_agg(said, ',' ORDER BY a, k, z) AS spans FROM s GROUP BY row)
 SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in secrets.KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
@@ -85,16 +103,38 @@ t AS (SELECT *, CASE {rule} END AS rule, CASE {says} END AS says, list_sort(list
   list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x),
   list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'p:' || regexp_replace(x, '[0-9]+', '#', 'g')),
   list_transform(list_filter(list_transform(string_split(query, '&'), lambda x: regexp_replace(x, '(?s)=.*', '')), lambda x: x <> ''), lambda x: 'q:' || x)))) AS items FROM u),
-b AS (SELECT doc_id AS page_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels WHERE quality = 0 OR toxic = 1 OR quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
-l AS (SELECT row_number() OVER () AS row, items, bad FROM t JOIN b USING (page_id)),
-k AS (SELECT row, bad, items, unnest(range(1, (1 << len(items))::BIGINT)) AS mask FROM l),
-f AS (SELECT list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS antecedent, count(*) FILTER (bad) AS uses, count(*) AS n FROM k GROUP BY 1),
-r AS (SELECT antecedent, list_aggregate(antecedent, 'string_agg', ' ') AS name, uses / n AS confidence FROM f WHERE uses >= greatest(20, 0.005 * (SELECT count(*) FROM l)) AND uses / n >= 0.8),
+l AS (SELECT row_number() OVER () AS row, items, says = 'block' AS bad FROM t WHERE says IS NOT NULL),
+tok AS (SELECT token, list(row ORDER BY row) AS rows FROM (SELECT row, unnest(items) AS token FROM l) GROUP BY token HAVING count(*) >= greatest(20, 0.005 * (SELECT count(*) FROM l))),
+grp AS (SELECT rows, min(token) AS item, list(token ORDER BY token) AS tokens FROM tok GROUP BY rows),
+bas AS (SELECT row, list(item ORDER BY item) AS found FROM (SELECT unnest(rows) AS row, item FROM grp) GROUP BY row),
+k AS (SELECT row, bad, found, unnest(range(1, (1 << len(found))::BIGINT)) AS mask FROM l JOIN bas USING (row)),
+f AS (SELECT list_filter(found, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS of, count(*) FILTER (bad) AS uses, count(*) AS n FROM k GROUP BY 1),
+good AS (SELECT of, uses / n AS confidence FROM f WHERE uses >= greatest(20, 0.005 * (SELECT count(*) FROM l)) AND uses / n >= greatest(0.8, 1.2 * (SELECT count(*) FILTER (bad) / count(*) FROM l))),
+r AS (SELECT antecedent, array_to_string(antecedent, ' ') AS name, confidence FROM (SELECT of, confidence, list_sort(flatten(list(tokens))) AS antecedent FROM (SELECT of, confidence, unnest(of) AS item FROM good) JOIN grp USING (item) GROUP BY of, confidence)),
 x AS (SELECT items, arg_min(name, (-confidence, name)) AS mined_rule FROM (SELECT DISTINCT items FROM t) JOIN r ON list_has_all(items, antecedent) GROUP BY items)
 SELECT page_id, host, path, rule, coalesce(says, CASE WHEN mined_rule IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, mined_rule
 FROM t LEFT JOIN x USING (items)
 """
 
 
+JACCARD = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORDS}') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM d),
+x AS (SELECT r, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (SELECT a.r AS a, b.r AS b FROM x a JOIN x b USING (g) WHERE a.r < b.r GROUP BY a.r, b.r HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+reach AS (SELECT r AS a, r AS b FROM s UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+top AS (SELECT reach.a AS r, min(s.doc_id) AS component_id FROM reach JOIN s ON s.r = reach.b GROUP BY reach.a)
+SELECT doc_id, len(sh)::BIGINT AS n_shingles, component_id FROM s JOIN top USING (r)
+"""
+
+
 def sql() -> dict[str, str]:
-    return {"op1_url_filters": url_filters(), "op3_warc": WARC, "op5_exact_dedup": EXACT_DEDUP, "op8_quality_rules": quality(), "op10_secret_scans": secret_scans()}
+    return {
+        "op1_url_filters": url_filters(),
+        "op3_warc": WARC,
+        "op5_exact_dedup": EXACT_DEDUP,
+        "op8_quality_rules": quality(),
+        "op9_jaccard_join": JACCARD,
+        "op10_secret_scans": secret_scans(),
+    }

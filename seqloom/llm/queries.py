@@ -13,8 +13,8 @@ from seqloom.llm.common import new_path, stored, table
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")).filter("bad is not null")
-    return url_filter.judge(table(spark, sf_dir, "pages"), labels)
+    # the labels are the verdicts of the listed rules; the table `labels` is of documents and says nothing about urls
+    return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +63,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the SQL of this query knows no marks; the pipeline's first stage judges by them
-    return quality_rules.judge(table(spark, sf_dir, "documents"), max_marks_distance=None).select("doc_id", *quality_rules.NUMBERS, "base_failed", "kept")
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.NUMBERS, "base_failed", "kept")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

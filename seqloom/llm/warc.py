@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import stored, utf8
+from seqloom.llm.common import spread_join, stored, utf8
 
 DATE = "2024-01-01T00:00:00Z"
 HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -75,13 +75,12 @@ def records(page: int | None, part: str, target: str | None, sha1: str, payload:
 def write(rows: DataFrame, path: str, id: str = "page_id", target: str = "url", payload: str = "html", dedupe: int = 1000, chunk: int = 4096, segment: int = 16384, file_bytes: int = 32 << 20) -> None:
     """The rows as archives in a folder. A file has about file_bytes at most, as far as records are of usual size."""
     raw = utf8(payload)
-    small = stored(rows.select(F.col(id).cast("bigint").alias("id"), F.sha1(raw).alias("sha1"), F.octet_length(raw).cast("bigint").alias("n")), "payloads")
+    small = stored(rows.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.sha1(raw).alias("sha1"), F.octet_length(raw).cast("bigint").alias("n")), "payloads")
     again = small.filter(F.col("n") >= dedupe).groupBy("sha1").agg(F.max("id").alias("keep"), F.count("*").alias("times")).filter("times > 1 and keep is not null").drop("times")
-    again = stored(again, "repeated")
     n, total = small.agg(F.count("*"), F.sum(F.least("n", F.lit(segment)) + 600)).first()
     per_file = max(64, file_bytes * n // max(total or 1, 1))
-    left = rows.select(F.col(id).cast("bigint").alias("id"), F.col(target).cast("string").alias("target"), F.sha1(raw).alias("sha1"), raw.alias("payload"))
-    joined = left.join(again, "sha1", "left").select("id", "target", "sha1", F.when(F.col("keep").isNull() | F.col("keep").eqNullSafe(F.col("id")), F.col("payload")).alias("payload"), F.when(~F.col("keep").eqNullSafe(F.col("id")), F.col("keep")).alias("keep"))
+    left = rows.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{target}`").cast("string").alias("target"), F.sha1(raw).alias("sha1"), raw.alias("payload"))
+    joined = spread_join(left, again, "sha1", F.xxhash64("id", "target")).select("id", "target", "sha1", F.when(F.col("keep").isNull() | F.col("keep").eqNullSafe(F.col("id")), F.col("payload")).alias("payload"), F.when(~F.col("keep").eqNullSafe(F.col("id")), F.col("keep")).alias("keep"))
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.llm import components, exact_dedup, jaccard_join, mixing, piece_sampling, quality_model, quality_rules, secrets, sharding, url_filter, warc
+from seqloom.llm.common import utf8
 from seqloom.llm.queries import PIECE_MODEL
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, sha string, norm string, hit string"
@@ -157,8 +158,26 @@ def test_marks_speak_against_separator_lists(spark):
     df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(plain + lists)], "doc_id bigint, text string, lang string")
     rows = {r["doc_id"]: r for r in quality_rules.judge(df).collect()}
     assert all(rows[i]["kept"] for i in range(300)) and not any(rows[i]["kept"] for i in range(300, 306))
-    without = {r["doc_id"]: r["kept"] for r in quality_rules.judge(df, max_marks_distance=None).collect()}
+    without = {r["doc_id"]: r["kept"] for r in quality_rules.judge(df, max_marks_distance=(1.0, 0.0)).collect()}
     assert all(without.values()) and not any(rows[i]["base_failed"] for i in rows)
+    # a language of its own with too few documents is judged by the reference of all
+    few = {r["doc_id"]: r["kept"] for r in quality_rules.judge(df.withColumn("lang", F.when(F.col("doc_id") >= 298, "xx").otherwise("en"))).collect()}
+    assert few[298] and few[299] and not any(few[i] for i in range(300, 306))
+
+
+def test_rows_without_ids_are_kept_by_themselves(spark):
+    rng = np.random.default_rng(10)
+    plain = [" ".join("".join(rng.choice(list("aeiorstln"), 6)) for _ in range(80)) for _ in range(30)]
+    rows = [(None, t) for t in plain] + [(None, "short"), (7, "short"), (7, plain[0]), (8, None)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id bigint, text string, lang string")
+    left = quality_rules.keep(df).collect()
+    assert sorted((r["doc_id"] is None, r["text"]) for r in left) == sorted([(True, t) for t in plain] + [(False, plain[0])])
+
+
+def test_common_words_come_from_the_corpus(spark):
+    rows = [("xx", "Ba ba ba, ÉÉ du du | 9"), ("xx", "du du ab"), (None, "zz")]
+    got = {r["lang"]: [bytes(w).decode() for w in r["list"]] for r in quality_rules.common_words(spark.createDataFrame(rows, "lang string, text string"), frequent=3, held=2).collect()}
+    assert got == {"xx": ["du", "ba", "ab"], None: ["zz"]}
 
 
 def test_secrets(spark, empty):
@@ -174,6 +193,14 @@ def test_secrets(spark, empty):
     at = said[0].index(live)
     assert f"live:{at}:{at + len(live)}" in got[0]["spans"] and got[1]["spans"] == f"assign:0:{len(said[1])}"
     assert secrets.scan(empty).count() == 0
+    # one owner's repositories alone show that a value is copied; null ones count as one; names that clash with the operator's are left alone
+    rows = [(i, "token = " + live, "o", f"r{i % 4}" if n == 4 else None, i) for n in (4, 1) for i in range(6)]
+    many = spark.createDataFrame(rows[:6], "doc_id bigint, text string, source string, lang string, row int")
+    one = spark.createDataFrame(rows[6:], "doc_id bigint, text string, source string, lang string, row int")
+    spans = lambda df, **how: [r["spans"].count("live") for r in secrets.digest(secrets.scan(df, **how)).collect()]
+    assert spans(many) == [0] * 6 and spans(many, min_repositories=5) == [1] * 6 and spans(one) == [1] * 6
+    assert spans(many, few=0, salts=3) == [0] * 6 and spans(many, repository=None) == [1] * 6
+    assert spans(many.limit(2).unionAll(many.limit(2))) == [1] * 4
 
 
 def test_sharding(docs, empty, spark):
@@ -189,6 +216,36 @@ def test_sharding(docs, empty, spark):
     assert [r["h"] for r in walk] == list(range(512)) and all(sum(abs(a - b) for a, b in zip(p["x"], q["x"])) == 1 for p, q in zip(walk, walk[1:]))
 
 
+def test_sharding_by_whole_values(spark, tmp_path):
+    import datetime
+
+    rng = np.random.default_rng(11)
+    names = [f"common-crawl-{chr(97 + i)}" for i in range(8)]
+    rows = [(i, names[int(rng.integers(8))] if i % 9 else None, float(rng.normal()) * 100, datetime.date(2020, 1, 1) + datetime.timedelta(int(rng.integers(900))), bool(i % 2)) for i in range(600)]
+    rows += [(None, names[0], None, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, score double, day date, flag boolean").repartition(4)
+    edges = sharding.string_edges(df, F.col("source"), 4)
+    known = sorted(r[1] for r in rows if r[1])
+    assert edges == sorted({known[-(-i * len(known) // 4) - 1] for i in range(1, 4)})
+    out = sharding.hilbert_shards(df, ["source", "score", "day", "flag"], ["doc_id", "source"], 7, bits=4, partitions=5).cache()
+    got = sorted(out.collect(), key=lambda r: (r["shard"], r["slot"]))
+    order = [(r["hilbert"], r["doc_id"] is not None, r["doc_id"] or 0) for r in got]
+    assert order == sorted(order)  # a plain sort: nulls first
+    ends = np.cumsum([0] + [len(got) // 7 + (i < len(got) % 7) for i in range(7)])
+    assert [(r["shard"], r["slot"]) for r in got] == [(k, j) for k in range(7) for j in range(ends[k + 1] - ends[k])]
+    bins = df.select("source", "score", "day", sharding.bins(df, ["source", "score", "day"], 3).alias("b")).collect()
+    for k, c in enumerate(("source", "score", "day")):
+        by = sorted((r[c] is not None, r[c] if r[c] is not None else 0, r["b"][k]) for r in bins if r[c] is not None)
+        assert [x[2] for x in by] == sorted(x[2] for x in by) and len({x[2] for x in by}) > 4
+    sharding.write_shards(out, path := str(tmp_path / "shards"))
+    spans = spark.read.parquet(path).groupBy("shard").agg(F.min("score"), F.max("score"), F.min("day"), F.max("day")).collect()
+    # filters on either dimension skip shards by their least and greatest values
+    assert sum(r[1] <= -150 for r in spans) < 7 or sum(r[3] <= datetime.date(2020, 1, 20) for r in spans) < 7
+    assert spark.read.parquet(path).count() == 603
+    with pytest.raises(ValueError):
+        sharding.hilbert_shards(out, ["score"], ["doc_id"])
+
+
 def test_url_filter(spark):
     urls = [f"http://spam{i % 2}.example.org/buy/{i}?ref=x" for i in range(40)] + [f"https://good.example.org/read/{i}" for i in range(40)]
     odd = [None, "", "no scheme", "http://WWW.Example.com/en/a?b#c", "https://x.net/es/1", "https://a.com", "https://x.com/en?q", "ftp://b.example.com/en/z"]
@@ -203,6 +260,20 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0), labels).count() == 0 and url_filter.judge(pages, labels.limit(0)).count() == 88
 
 
+def test_url_tokens_that_come_together_are_mined_as_one(spark):
+    long = "/".join(f"part{chr(97 + i)}" for i in range(26))
+    urls = [f"http://x.net/es/{long}/{i}" for i in range(40)] + [f"http://x.com/ok/{i}" for i in range(40)] + [f"http://y.org/es/{long}/1", f"http://y.org/{long}/1", None] + ["http://y.org/es/" + long + "/1"] * 3
+    pages = spark.createDataFrame([(i if i != 2 else 1, u, "x") for i, u in enumerate(urls)], "page_id bigint, url string, host string")
+    out = url_filter.judge(pages).collect()
+    got = collections.Counter((r["host"], r["verdict"], r["mined_rule"] is not None) for r in out)
+    assert got == {("x.net", "block", True): 40, ("x.com", "allow", False): 40, ("y.org", "allow", False): 5, ("", "allow", False): 1}
+    items = [F.array(*(F.lit(x) for x in row)) for row in (["h:net", "p:es", "p:a"], ["h:net", "p:es"], ["h:com"], ["p:es"])]
+    rows = spark.range(30).select(items[0].alias("items"), F.lit(True).alias("bad")).unionByName(spark.range(30).select(items[2].alias("items"), F.lit(False).alias("bad"))).unionByName(spark.range(1).select(items[1].alias("items"), F.lit(True).alias("bad")))
+    rules = {r["rule"]: (r["confidence"], r["uses"]) for r in url_filter.mine(rows).collect()}
+    assert rules == {"h:net p:es": (1.0, 31), "p:a": (1.0, 30), "h:net p:a p:es": (1.0, 30)}
+    assert {(r["bad"], r["fired"]) for r in url_filter.held_out_counts(pages, min_count=10).collect()} == {(True, True), (False, False)}
+
+
 def test_quality_model(spark, empty):
     rng = np.random.default_rng(8)
     good = [" ".join(rng.choice(WORDS, 30)) for _ in range(60)]
@@ -216,6 +287,58 @@ def test_quality_model(spark, empty):
     assert net.layers is None and quality_model.score(empty, vectors, net).count() == 0
 
 
+def test_word_vectors_by_plain_loops(spark):
+    """Counts, contexts, pooled vectors and scores, token by token."""
+    import xxhash
+
+    q = quality_model
+    said = ["Alpha beta beta!! GAMMA", "", None, "beta alpha ALPHA alpha 12 12", "É é NO"]
+    df = spark.createDataFrame([*enumerate(said)], "doc_id bigint, text string").repartition(2)
+    size, index = q.SLOTS + 2, q.index_vectors()
+    counts, contexts = np.zeros(size, np.int64), np.zeros((size, q.DIMS), np.int64)
+
+    def put(to, of):
+        for place in index[of]:
+            contexts[to, place >> 1] += 1 - 2 * (place & 1)
+
+    def tokens(t):
+        slots, before = [], None
+        for w in q.TOKEN.findall((t or "").encode()):
+            slot = xxhash.xxh64_intdigest(w.lower()) % q.SLOTS
+            slots.append((slot, slot == before, len(w) > 1 and w.isupper()))
+            before = slot
+        return slots
+
+    for t in said:
+        found = tokens(t)
+        for i, (slot, same, capitals) in enumerate(found):
+            for to, of in [(slot, None)] + [(q.SAME, slot)] * same + [(q.CAPITALS, slot)] * capitals:
+                counts[to] += 1
+                if of is not None:
+                    put(to, of)
+            if i:
+                put(found[i - 1][0], slot)
+                put(slot, found[i - 1][0])
+    got = q.corpus_vectors(df.select("doc_id", utf8("text").alias("text")))
+    assert (got[0] == counts).all() and (got[1] == contexts).all()
+    vectors = q.weighted_vectors(counts, contexts)
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-9)
+    own = np.zeros(q.DIMS)
+    for place in index[tokens("beta")[0][0]]:
+        own[place >> 1] += 1 - 2 * (place & 1)
+    beta = tokens("beta")[0][0]
+    assert vectors[beta] == pytest.approx(unit(unit(contexts[beta].astype(float)) + unit(own)) * 1e-3 / (1e-3 + counts[beta] / counts[: q.SLOTS].sum()), rel=1e-4)
+    rng = np.random.default_rng(3)
+    net = q.Network(rng.normal(size=q.DIMS) / 9, np.ones(q.DIMS), (rng.normal(size=(q.DIMS, 4)), rng.normal(size=4), rng.normal(size=4), np.array(0.1)), 0.5, 1.7)
+    for r in q.score(df, vectors, net).collect():
+        found, x = tokens(said[r["doc_id"]]), np.zeros(q.DIMS)
+        for slot, same, capitals in found:
+            x += vectors[slot] + same * vectors[q.SAME] + capitals * vectors[q.CAPITALS]
+        x /= max(1, len(found))
+        h = [np.tanh(sum((x[d] - net.mean[d]) * net.layers[0][d, j] for d in range(q.DIMS)) + net.layers[1][j]) for j in range(4)]
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-(sum(a * b for a, b in zip(h, net.layers[2])) + 0.1) / 1.7)), abs=1e-6)
+
+
 def test_warc(spark, tmp_path):
     long = "".join(f"<p>é{i} 😀</p>\r\nWARC/1.1\r\n" for i in range(3000))
     rows = [(1, "http://a\r\nb", long), (2, None, long), (2, "u", "x"), (3, "u", None), (4, "u", ""), (5, "u", "y" * 999), (6, "u", "y" * 999), (None, "u", "z"), (7, "u", "0\r\n\r\n" * 2000)]
@@ -249,6 +372,29 @@ def test_mixing(spark, empty):
     assert mixing.weigh(empty, labels, {"good": 1.0}).count() == 0
 
 
+def test_posteriors_are_calibrated(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(1500):  # a third of the texts bear a word that half of them share with the other domain
+        toxic = i % 3 == 0
+        said = list(rng.choice(WORDS, 20)) + ["odd"] * int(toxic or rng.random() < 0.2)
+        rows.append((i, " ".join(said), "toxic" if toxic else "good"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, domain string").repartition(3)
+    held = F.pmod(F.xxhash64(F.lit(99), "doc_id"), F.lit(3)) == 0
+    domains = mixing.learn(df, df.filter(~held).select("doc_id", "domain"))
+    said = domains.posterior(df.filter(held)).collect()
+    p = np.array([r["__cell"][domains.names.index("toxic")] / 64 for r in said])
+    y = np.array([r["domain"] == "toxic" for r in said])
+    for part in (p > 0.3, p <= 0.3):
+        assert abs(p[part].mean() - y[part].mean()) < 0.08
+    z = [[2.0, -1.0], [0.5, 0.0], [0.0, 3.0], [1.0, 1.0]]
+    from pyspark.ml.linalg import Vectors
+
+    t = mixing.best_temperature(spark.createDataFrame([(Vectors.dense(v), y) for v, y in zip(z, (0, 1, 1, 0))], ["__z", "__y"]))
+    loss = lambda t: np.mean([np.log(np.exp((np.array(v) - v[y]) / t).sum()) for v, y in zip(z, (0, 1, 1, 0))])
+    assert t == pytest.approx(min(np.geomspace(0.1, 10, 61), key=loss))
+
+
 def test_rates_against_numpy(spark):
     rng = np.random.default_rng(4)
     p, n, target = rng.dirichlet([0.4] * 3, 50), rng.integers(1, 100, 50).astype(float), np.array([0.7, 0.2, 0.1])
@@ -282,6 +428,33 @@ def test_registered_segmentations_can_be_decoded(spark):
     assert plain.count() >= 200 and plain.filter("decoded <> coalesce(text, '')").count() == 0
 
 
+def test_segmentations_against_enumeration():
+    """All segmentations of short texts by plain recursion: probabilities, none missing, none twice."""
+    import sentencepiece
+
+    lat, m = piece_sampling.Lattices(piece_sampling.Pieces(PIECE_MODEL)), sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    usual = [i for i in range(m.vocab_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
+    weight = {i: 1 / (rank + 2.7) for rank, i in enumerate(sorted(usual, key=lambda i: (-m.get_score(i), i)))}
+    total = sum(weight.values())
+    weight = {i: w / total for i, w in weight.items()}  # a piece's share of the vocabulary
+    ids = {m.id_to_piece(i): i for i in usual}
+    assert lat.pieces.longest == max(map(len, ids))
+
+    def ways(chunk):
+        if not chunk:
+            return [()]
+        return [(ids[chunk[:n]], *rest) for n in range(1, len(chunk) + 1) if chunk[:n] in ids for rest in ways(chunk[n:])]
+
+    for text in ("ab a", "the", "  x", "in-it"):
+        chunks = re.findall(" *[^ ]+| +", " " + text)
+        want = {sum(p, ()): np.prod([weight[i] for i in sum(p, ())]) for p in itertools.product(*(ways(c.replace(" ", "\u2581")) for c in chunks))}
+        total = sum(want.values())
+        found = piece_sampling.sample_batch(lat, [text], piece_sampling.mixed(np.arange(1, dtype=np.uint64)), len(want) + 5)[0]
+        got = {tuple(lat.expand(s[0]).tolist()): np.exp(s[1]) for s in found}
+        assert len(found) == len(got) == len(want) and got == pytest.approx({i: w / total for i, w in want.items()}, rel=1e-4)
+        assert all(s[3] == 1.0 for s in found) and [s[2] for s in found] == sorted((s[2] for s in found), reverse=True)
+
+
 def test_segmentations_are_distinct_and_fair():
     lat = piece_sampling.Lattices(piece_sampling.Pieces(PIECE_MODEL))
     n, text = 4000, "the\nab é\x01"
