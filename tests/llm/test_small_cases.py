@@ -489,3 +489,59 @@ def test_pipeline(spark):
             rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
             assert all(i == c for i, _, c in brute_links(rows))
     assert kept.count() > 50
+    pieces = corpus_pipeline.STAGES[-1][1](spark, kept, sf).cache()
+    assert pieces.filter("not round_trip").count() == 0
+    assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == {r["doc_id"] for r in kept.collect()}
+
+
+def test_texts_of_megabytes(spark):
+    rng = np.random.default_rng(20)
+    names = ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(500)]
+    long = " ".join(rng.choice(names, 300_000)) + " token = k3Jq9zTt7Lw2Xv8Bn4Rd"
+    assert len(long) > 2_000_000
+    df = spark.createDataFrame([(1, long), (2, long + " x"), (3, long.upper()), (4, "w" * 1_500_000), (5, "short")], "doc_id bigint, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    kept = {r["doc_id"]: r for r in exact_dedup.verdicts(df).collect()}
+    assert kept[1]["keep_id"] == 3 and kept[3]["text_sha256"] == kept[1]["text_sha256"] and kept[2]["group_size"] == 1
+    near = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(df).collect()}
+    words_of = lower(long).split()
+    assert near[1] == (len({tuple(words_of[i : i + 5]) for i in range(len(words_of) - 4)}), 1) and near[2][1] == near[3][1] == 1 and near[4] == (1, 4)
+    rules = {r["doc_id"]: r["n_words"] for r in quality_rules.judge(df).collect()}
+    assert rules == {1: 300_003, 2: 300_004, 3: 300_003, 4: 1, 5: 1}
+    spans = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.scan(df)).collect()}
+    at = long.index("token")
+    assert spans[1].startswith(f"assign:{at}:{len(long)}") and spans[5] == ""
+    vectors, net = quality_model.train(df, spark.createDataFrame([(1, 1), (5, 0)], "doc_id bigint, quality int"))
+    assert quality_model.score(df, vectors, net).count() == 5
+    pieces = piece_sampling.sampled(df.filter("doc_id in (2, 4, 5)"), PIECE_MODEL, k=1).cache()
+    assert pieces.filter("round_trip").count() == 3
+    assert mixing.weigh(df, spark.createDataFrame([(1, "a"), (5, "b")], "doc_id bigint, domain string"), {"a": 0.5, "b": 0.5}).count() == 5
+    assert sharding.hilbert_shards(sharding.document_rows(df), ["size"], ["doc_id"], 2).filter("size > 2000000").count() == 3
+
+
+def test_repeats_labels_and_names(spark):
+    """Repeated rows, several labels of a row, null owners, and columns named as the operators' own."""
+    rows = [(i % 7, ["good words here", "bad stuff there *** token=k3Jq9zTt7Lw2Xv8Bn4Rd"][i % 2] + " more" * i, None if i % 3 else "s", None) for i in range(14)] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    for c in ("id", "x", "y", "row", "found", "value", "kind", "start", "end", "value_hash", "cell", "rate", "tokens", "n", "owner", "repository", "t", "sha1", "keep", "payload", "digest", "node", "component", "list", "score"):
+        df = df.withColumn(c, F.lit("own"))
+    labels = spark.createDataFrame([(0, 1, "a"), (0, 0, "b"), (1, 0, "b"), (2, 1, None), (3, None, "a"), (None, 1, "a"), (5, 1, "a"), (5, 1, "a")], "doc_id bigint, quality int, domain string")
+    vectors, net = quality_model.train(df, labels)
+    scores = quality_model.score(df, vectors, net).collect()
+    assert len(scores) == 28 and all(0 <= r["score"] <= 1 for r in scores)
+    by_row = collections.Counter((r["doc_id"], r["score"]) for r in scores)
+    assert set(by_row.values()) == {2}
+    out = mixing.weigh(df, labels, {"a": 0.5, "b": 0.5}).collect()
+    assert len(out) == 28 and mixing.mix(df, labels, {"a": 0.5, "b": 0.5}).columns == df.columns
+    spans = secrets.digest(secrets.scan(df)).collect()
+    assert len(spans) == 28 and sum(r["n_assign"] for r in spans) == 14
+    assert sum("live" in r["spans"] for r in spans) == 14  # owners: s and null, each one repository
+    assert quality_rules.keep(df).columns == jaccard_join.one_of_each(df).columns == exact_dedup.deduplicate(df).columns == df.columns
+    pages = df.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://x.net/es/"), "text").alias("url"), F.col("text").alias("html"), "id", "sha1", "keep", "payload", "digest").withColumns({"host": F.lit("h"), "items": F.lit("i"), "says": F.lit("s"), "rule": F.lit("r")})
+    judged = url_filter.judge(pages, spark.createDataFrame([(1, True), (1, False), (2, None), (None, True)], "page_id bigint, bad boolean"), min_count=1)
+    assert judged.count() == 28 and judged.filter("verdict = 'block' and rule = 'net/es/'").count() == 28
+
+
+def test_warc_takes_any_columns(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x", "own", "own"), (1, "u", "x", "own", "own")], "page_id bigint, url string, html string, sha1 string, keep string")
+    warc.write(pages, str(tmp_path / "w"))
+    assert sorted(tuple(r) for r in warc.digests(warc.read(spark, str(tmp_path / "w"))).collect()) == [(1, 1, hashlib.sha1(b"x").hexdigest(), "response", None)] * 2
