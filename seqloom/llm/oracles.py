@@ -103,7 +103,7 @@ t AS (SELECT *, CASE {rule} END AS rule, CASE {says} END AS says, list_sort(list
   list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x),
   list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'p:' || regexp_replace(x, '[0-9]+', '#', 'g')),
   list_transform(list_filter(list_transform(string_split(query, '&'), lambda x: regexp_replace(x, '(?s)=.*', '')), lambda x: x <> ''), lambda x: 'q:' || x)))) AS items FROM u),
-l AS (SELECT row_number() OVER () AS row, items, says = 'block' AS bad FROM t WHERE says IS NOT NULL),
+l AS (SELECT row_number() OVER () AS row, items, coalesce(says = 'block', false) AS bad FROM t),
 tok AS (SELECT token, list(row ORDER BY row) AS rows FROM (SELECT row, unnest(items) AS token FROM l) GROUP BY token HAVING count(*) >= greatest(20, 0.005 * (SELECT count(*) FROM l))),
 grp AS (SELECT rows, min(token) AS item, list(token ORDER BY token) AS tokens FROM tok GROUP BY rows),
 bas AS (SELECT row, list(item ORDER BY item) AS found FROM (SELECT unnest(rows) AS row, item FROM grp) GROUP BY row),

@@ -13,7 +13,7 @@ from seqloom.llm.common import new_path, stored, table
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the labels are the verdicts of the listed rules; the table `labels` is of documents and says nothing about urls
+    # the labels are what the listed rules block; the table `labels` is of documents and says nothing about urls
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 

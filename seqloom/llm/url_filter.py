@@ -5,8 +5,9 @@ FP-growth mines the sets of the labelled urls together with their label; rules `
 support, the least confidence and the least lift over the share of bad urls are matched through an inverted index from
 token to rule: a rule fires where as many of its tokens meet as it has. A list of host and path rules stands in front; the longest that fits decides.
 
-Labels are given as (page_id, bad), or else are the verdicts of the listed rules: what the list says of the urls it
-knows is carried over to the urls it doesn't.
+Labels are given as (page_id, bad), or else are the verdicts of the listed rules: urls that the list blocks are bad, all
+others, also those that it doesn't know, are not. So a rule blocks unknown urls only where most urls with its tokens
+are blocked already.
 
 Tokens that lie in the same labelled urls, no more and no less, are mined as one and a rule asks for all of them, so tokens that
 always come together don't multiply the frequent sets. Mining costs what the remaining frequent sets cost, which the least support bounds.
@@ -108,7 +109,7 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, url: str = "url", p
     """One row per row of pages: page_id, host, path, rule, verdict, mined_rule. labels: (page_id, bad); None: the verdicts of the listed rules."""
     rows = stored(parsed(pages, url, page_id, rules), "urls")
     if labels is None:
-        labelled = rows.filter("says is not null").select("items", (F.col("says") == "block").alias("bad"))
+        labelled = rows.select("items", F.col("says").eqNullSafe("block").alias("bad"))
     else:
         labelled = rows.join(labels.filter("bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad")), "page_id").select("items", "bad")
     hits = fired(rows.select("items").distinct(), stored(mine(labelled, **mining), "rules"))
@@ -118,9 +119,9 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, url: str = "url", p
 
 
 def held_out_counts(pages: DataFrame, url: str = "url", rules=RULES, **mining) -> DataFrame:
-    """How well mined rules foretell the listed verdicts of urls that they weren't mined from: (bad, fired, n) over the third of urls by CRC-32 that is held out."""
-    rows = stored(parsed(pages.withColumn("__held", F.crc32(F.coalesce(F.col(f"`{url}`"), F.lit("")).cast("binary")) % 3 == 1), url, "__held", rules).filter("says is not null"), "listed")
-    rows = rows.select("items", (F.col("says") == "block").alias("bad"), F.col("page_id").alias("held"))
+    """How well mined rules foretell which urls the list blocks, of those that they weren't mined from: (bad, fired, n) over the third of urls by CRC-32 that is held out."""
+    rows = stored(parsed(pages.withColumn("__held", F.crc32(F.coalesce(F.col(f"`{url}`"), F.lit("")).cast("binary")) % 3 == 1), url, "__held", rules), "listed")
+    rows = rows.select("items", F.col("says").eqNullSafe("block").alias("bad"), F.col("page_id").alias("held"))
     test = rows.filter("held")
     hits = fired(test.select("items").distinct(), stored(mine(rows.filter("not held"), **mining), "rules"))
     return test.join(hits, "items", "left").groupBy("bad", F.col("mined_rule").isNotNull().alias("fired")).agg(F.count("*").alias("n"))
