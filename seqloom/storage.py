@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -29,24 +30,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_scopes: list[list[str]] = []
+_here = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    """The scratches around what this thread does, each with its tables' paths."""
+    if not hasattr(_here, "scopes"):
+        _here.scopes = []
+    return _here.scopes
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes, at its end, the tables stored meanwhile, but for those that outlive it."""
-    _scopes.append([])
+    _scopes().append([])
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        for path in _scopes().pop():
             _delete(spark, path)
 
 
 def new_path(spark: SparkSession, name: str, outlives: bool = False) -> str:
     """A fresh path in the shared folder, deleted with the scratch around it (with the one around that, if it outlives it) or else when the driver's interpreter ends."""
     path = f"{shared_dir(spark)}/seqloom-{uuid.uuid4().hex[:12]}-{name}"
-    around = _scopes[: len(_scopes) - outlives]
+    around = _scopes()[: len(_scopes()) - outlives]
     if around:
         around[-1].append(path)
     atexit.register(_delete, spark, path)

@@ -133,3 +133,14 @@ def test_no_machine_local_folder_on_a_cluster(monkeypatch):
     context = SimpleNamespace(master="spark://there:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
+
+
+def test_scratch_deletes_its_tables(spark):
+    from seqloom.storage import scratch, stored
+
+    with scratch(spark):
+        gone, kept = stored(spark.range(3), "gone"), stored(spark.range(4), "kept", outlives=True)
+        with scratch(spark):
+            inner = stored(gone, "inner", outlives=True)
+        assert inner.count() == 3
+    assert kept.count() == 4 and not any(corpora.exists(spark, d.inputFiles()[0]) for d in (gone, inner))
