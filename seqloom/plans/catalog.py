@@ -386,6 +386,13 @@ def vq_encode(spark, sf):
     return cluster.encode(frames(spark, sf), _first_centers(spark, sf, 16)).select("frame_id", "code")
 
 
+@query(f"""WITH f AS {FR}, b AS (SELECT frame_id AS code, f AS c FROM f ORDER BY frame_id LIMIT 16), d AS (SELECT frame_id, code, round(list_distance(f, c) ** 2, 6) AS d FROM f CROSS JOIN b),
+a AS (SELECT frame_id, arg_min(code, (d, code)) AS code FROM d GROUP BY frame_id) SELECT frame_id, i - 1 AS dim, round(c[i], 6) + 0.0 AS value FROM a JOIN b USING (code), {DIM}""")
+def vq_decode(spark, sf):
+    centers = _first_centers(spark, sf, 16)
+    return long_vector(cluster.decode(cluster.encode(frames(spark, sf), centers), centers), ["frame_id"], "decoded")
+
+
 def _first_centers(spark, sf, k):
     """A codebook of the k vectors of the smallest ids."""
     rows = frames(spark, sf).orderBy("frame_id").limit(k).select("feature").collect()
@@ -572,6 +579,12 @@ def retrieve_multi_pool(spark, sf):
     return retrieved(knn.multi_pool_retriever(f, pool, DIMS))
 
 
+@query(_retrieved(f"{BANK}, t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, pool_id) <= 3), {_top('SELECT * FROM t', 1, MD5_PAIR)}"))
+def retrieve_multi_pool_one(spark, sf):
+    f, pool = _pool(spark, sf)
+    return retrieved(knn.multi_pool_retriever(f, pool, DIMS, nearest_k=3, pick=1))
+
+
 @query(_retrieved(f"""{BANK}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, pool_id) AS rank, least(count(*) OVER (PARTITION BY query_id), 23) AS many FROM s QUALIFY rank <= 23),
 g AS (SELECT DISTINCT query_id, many, unnest(range(4)) AS draw FROM t WHERE many > 3), n AS (SELECT t.query_id, pool_id, pf, -ln(({DRAW.format("'6|' || t.query_id || '|' || draw")} + 0.5) / 4294967296) AS w
 FROM g JOIN t ON t.query_id = g.query_id AND t.rank = 4 + {DRAW.format("'5|' || g.query_id || '|' || draw")} % (g.many - 3) UNION ALL SELECT query_id, pool_id, pf, 1.0 FROM t WHERE many <= 3)""", "sum(w * pf[i]) / sum(w)"))
