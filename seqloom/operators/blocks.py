@@ -20,7 +20,15 @@ def squared_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * (x @ c.T), 0)
 
 
-def met(left: DataFrame, right: DataFrame, keys: list[str], work: Callable[[pa.Table, pa.Table], pa.Table], schema, id: str = "frame_id", block_rows: int = 2048) -> DataFrame:
+def met(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    work: Callable[[pa.Table, pa.Table], pa.Table],
+    schema,
+    id: str = "frame_id",
+    block_rows: int = 2048,
+) -> DataFrame:
     """work(block, others) for each block of left's rows of a key and right's rows of that key, neither of them empty.
 
     Keys with a null, and keys that only one side has, are left out. A key of any size on the left is spread over blocks;

@@ -87,7 +87,8 @@ def _kmeans(x: np.ndarray, k: int, steps: int) -> np.ndarray:
 
 
 def _large_groups(rows: DataFrame, keys: list[str], sizes: DataFrame, fit_rows: int) -> tuple[list, DataFrame, DataFrame]:
-    """The groups of more than fit_rows rows as (keys, n and what else sizes has), the rows of all others, and the large groups' rows with __g, the group's place in the list.
+    """The groups of more than fit_rows rows as (keys, n and what else sizes has), the rows of all others, and the large groups' rows with __g, the
+    group's place in the list.
 
     There is one large group for fit_rows rows of the table at most; the list of them comes to the driver.
     """
@@ -150,8 +151,19 @@ def _large_kmeans(rows: DataFrame, sizes: dict[int, tuple[int, int]], steps: int
     return centers
 
 
-def group_centers(df: DataFrame, keys: list[str], k: int, vector: str = "feature", id: str = "frame_id", steps: int = 20, least: int | None = None, few: str = "skip", fit_rows: int = GROUP_ROWS) -> DataFrame:
-    """(keys, center_id, center, n): k-means in each group of at least `least` rows (k by default). few: 'skip' smaller groups, give their rows 'raw', or 'shrink' k to half their rows.
+def group_centers(
+    df: DataFrame,
+    keys: list[str],
+    k: int,
+    vector: str = "feature",
+    id: str = "frame_id",
+    steps: int = 20,
+    least: int | None = None,
+    few: str = "skip",
+    fit_rows: int = GROUP_ROWS,
+) -> DataFrame:
+    """(keys, center_id, center, n): k-means in each group of at least `least` rows (k by default). few: 'skip' smaller groups, give their rows 'raw',
+    or 'shrink' k to half their rows.
 
     All rows of a group count. A group of up to fit_rows rows is fitted in one task, a larger one by distributed steps.
     """
@@ -195,7 +207,8 @@ def numbered(centers: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def assigned(df: DataFrame, centers: DataFrame, keys: list[str], vector: str = "feature", id: str = "frame_id") -> DataFrame:
-    """df with center_no and distance of the nearest center of its group, of equally near ones the first; a block of rows meets its group's centers in one matrix product."""
+    """df with center_no and distance of the nearest center of its group, of equally near ones the first; a block of rows meets its group's centers in
+    one matrix product."""
 
     def work(rows: pa.Table, own: pa.Table) -> pa.Table:
         own = own.sort_by("center_no")
@@ -207,8 +220,19 @@ def assigned(df: DataFrame, centers: DataFrame, keys: list[str], vector: str = "
     return blocks.met(df, centers.select(*keys, F.col("center_no").cast("int").alias("center_no"), "center"), keys, work, schema, id)
 
 
-def bank(df: DataFrame, dims: int, clusters: int = 8, per_cluster: int = 20, least_speakers: int = 3, silence=(0,), search: str = "feature", entropy_top: float | None = None, fallback: bool = True) -> DataFrame:
-    """The frames of a bank: per phone, clusters of the search layer; those with enough speakers (and, if asked, entropy in the top share); of each the frames nearest its center. Phones of which no cluster passes give all their frames, if fallback.
+def bank(
+    df: DataFrame,
+    dims: int,
+    clusters: int = 8,
+    per_cluster: int = 20,
+    least_speakers: int = 3,
+    silence=(0,),
+    search: str = "feature",
+    entropy_top: float | None = None,
+    fallback: bool = True,
+) -> DataFrame:
+    """The frames of a bank: per phone, clusters of the search layer; those with enough speakers (and, if asked, entropy in the top share); of each
+    the frames nearest its center. Phones of which no cluster passes give all their frames, if fallback.
 
     Clusters are chosen on the search layer alone; further columns are read for the chosen frames only, by the join on frame_id.
     """
@@ -231,7 +255,8 @@ def bank(df: DataFrame, dims: int, clusters: int = 8, per_cluster: int = 20, lea
 
 
 def sub_clustered(bank_rows: DataFrame, dims: int, sub: int = 4, search: str = "feature", give: str = "feature") -> DataFrame:
-    """(phone, center_no, sub_no, centroid, mean): a second level of k-means within each cluster of a bank; the centroid of the search layer and the mean of another."""
+    """(phone, center_no, sub_no, centroid, mean): a second level of k-means within each cluster of a bank; the centroid of the search layer and the
+    mean of another."""
     some = bank_rows.filter("center_no is not null")
     inner = some.select("frame_id", "phone", F.col("center_no").alias("outer_no"), F.col(search).alias("feature"), F.col(give).alias("given"))
     centers = group_centers(inner, ["phone", "outer_no"], sub, least=1, few="shrink")
@@ -239,14 +264,24 @@ def sub_clustered(bank_rows: DataFrame, dims: int, sub: int = 4, search: str = "
     return rows.agg(vec.mean_vector(F.col("feature"), dims).alias("centroid"), vec.mean_vector(F.col("given"), dims).alias("mean"))
 
 
-def pseudo_bank(df: DataFrame, entropies: DataFrame, dims: int, clusters: int = 50, per_cluster: int = 20, percentile: float = 60, least_speakers: int = 3, silence=(0,)) -> DataFrame:
+def pseudo_bank(
+    df: DataFrame,
+    entropies: DataFrame,
+    dims: int,
+    clusters: int = 50,
+    per_cluster: int = 20,
+    percentile: float = 60,
+    least_speakers: int = 3,
+    silence=(0,),
+) -> DataFrame:
     """A bank of the frames whose confusion entropy is at or over their phone's percentile."""
     confused = stats.over_percentile(entropies.select("frame_id", "phone", "entropy"), ["phone"], "entropy", percentile / 100)
     return bank(df.join(confused.select("frame_id"), "frame_id", "left_semi"), dims, clusters, per_cluster, least_speakers, silence)
 
 
 def purified_bank(df: DataFrame, encode: Callable[[np.ndarray], np.ndarray], dims: int, vector: str = "feature", out: str = "encoded", **how) -> DataFrame:
-    """A bank whose clusters are those of an encoder's output: df with `out`, rows chosen by it. encode: a matrix of vectors to one of codes, such as a model's; dims: of the codes."""
+    """A bank whose clusters are those of an encoder's output: df with `out`, rows chosen by it. encode: a matrix of vectors to one of codes, such as
+    a model's; dims: of the codes."""
 
     @F.pandas_udf("array<double>")
     def coded(x: pd.Series) -> pd.Series:
@@ -328,8 +363,17 @@ def codebook_quality(codes: DataFrame, k: int, code: str = "code") -> DataFrame:
     return counts.agg(F.count_if(F.col("p") > 0.01).alias("active"), (-F.sum(F.col("p") * F.log2("p"))).alias("entropy_bits"))
 
 
-def codebook_sweep(df: DataFrame, ks=(4, 8, 16, 32), label: str = "speaker", steps: int = 20, sample: int | None = None, id: str = "frame_id", vector: str = "feature") -> DataFrame:
-    """(k, silhouette, ari, nmi, active, entropy_bits, verdict) of a codebook of each size: how well its codes part the vectors, how little they tell of the label. sample: rows of the silhouette."""
+def codebook_sweep(
+    df: DataFrame,
+    ks=(4, 8, 16, 32),
+    label: str = "speaker",
+    steps: int = 20,
+    sample: int | None = None,
+    id: str = "frame_id",
+    vector: str = "feature",
+) -> DataFrame:
+    """(k, silhouette, ari, nmi, active, entropy_bits, verdict) of a codebook of each size: how well its codes part the vectors, how little they tell
+    of the label. sample: rows of the silhouette."""
     out = None
     for k in ks:
         codes = stored(encode(df, codebook(df, k, vector, id, steps), vector), f"codes{k}")

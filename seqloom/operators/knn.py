@@ -38,8 +38,21 @@ def _blocks(df: DataFrame, keys: list[str], block_rows: int, name: str) -> DataF
     return df.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(f"{name}_blocks"))
 
 
-def nearest(queries: DataFrame, pool: DataFrame, keys: list[str], k: int, metric: str = "cosine", query_id: str = "frame_id", pool_id: str = "frame_id", query_vector: str = "feature", pool_vector: str = "feature", exclude_self: bool = False, block_rows: int = 2048) -> DataFrame:
-    """(query_id, rank from 1, pool_id, score): score is the similarity for cosine and dot and the distance for l2, rounded to six digits; ties go to the smaller id."""
+def nearest(
+    queries: DataFrame,
+    pool: DataFrame,
+    keys: list[str],
+    k: int,
+    metric: str = "cosine",
+    query_id: str = "frame_id",
+    pool_id: str = "frame_id",
+    query_vector: str = "feature",
+    pool_vector: str = "feature",
+    exclude_self: bool = False,
+    block_rows: int = 2048,
+) -> DataFrame:
+    """(query_id, rank from 1, pool_id, score): score is the similarity for cosine and dot and the distance for l2, rounded to six digits; ties go to
+    the smaller id."""
     if metric not in METRICS:
         raise ValueError(metric)
     on = keys or ["__one"]
@@ -75,7 +88,8 @@ def nearest(queries: DataFrame, pool: DataFrame, keys: list[str], k: int, metric
 
 
 def ladder(queries: DataFrame, pool: DataFrame, levels: list[list[str]], k: int, **how) -> DataFrame:
-    """nearest at the first level whose keys the pool has for the query, with that level. Queries for which none has it are missing: the caller keeps them as they are."""
+    """nearest at the first level whose keys the pool has for the query, with that level. Queries for which none has it are missing: the caller keeps
+    them as they are."""
     left, out = queries, None
     for n, keys in enumerate(levels):
         have = pool.select(*keys).distinct() if keys else None
@@ -89,7 +103,8 @@ def ladder(queries: DataFrame, pool: DataFrame, levels: list[list[str]], k: int,
 
 
 def soft_levels(queries: DataFrame, pool: DataFrame, hard: list[str], soft: list[str], gate: int) -> DataFrame:
-    """queries with mask, the soft keys that apply, as bits: in turn, each applies only if `gate` pool rows or more survive it on what the ones before left. A negative or null value of the query never applies."""
+    """queries with mask, the soft keys that apply, as bits: in turn, each applies only if `gate` pool rows or more survive it on what the ones before
+    left. A negative or null value of the query never applies."""
     out = queries.withColumn("mask", F.lit(0))
     for bit, column in enumerate(soft):
         parts = None
@@ -128,7 +143,15 @@ def mean_of(neighbours: DataFrame, pool: DataFrame, dims: int, pool_id: str = "f
     return _per_query(neighbours, pool, None, dims, pool_id, pool_vector)
 
 
-def softmax_of(neighbours: DataFrame, pool: DataFrame, dims: int, temperature: float = 1.0, distance: bool = False, pool_id: str = "frame_id", pool_vector: str = "feature") -> DataFrame:
+def softmax_of(
+    neighbours: DataFrame,
+    pool: DataFrame,
+    dims: int,
+    temperature: float = 1.0,
+    distance: bool = False,
+    pool_id: str = "frame_id",
+    pool_vector: str = "feature",
+) -> DataFrame:
     """The mean weighted by softmax(similarity / temperature), or of -distance**2 / temperature."""
     logit = (-F.col("score") * F.col("score") if distance else F.col("score")) / F.lit(temperature)
     top = F.max(logit).over(Window.partitionBy("query_id"))
@@ -168,8 +191,18 @@ def kept_where_missing(combined: DataFrame, queries: DataFrame, query_id: str =
 # The retrievers, by what they are made of.
 
 
-def cluster_retriever(queries: DataFrame, centers: DataFrame, levels=(("phone", "gender"), ("phone",)), fallback: DataFrame | None = None, metric: str = "l2", k: int = 1, dims: int | None = None, **how) -> DataFrame:
-    """(query_id, vector): the nearest center, or the mean of the k nearest (dims: theirs), at the first level that has one, else the query, or the fallback's rows (query_id, vector)."""
+def cluster_retriever(
+    queries: DataFrame,
+    centers: DataFrame,
+    levels=(("phone", "gender"), ("phone",)),
+    fallback: DataFrame | None = None,
+    metric: str = "l2",
+    k: int = 1,
+    dims: int | None = None,
+    **how,
+) -> DataFrame:
+    """(query_id, vector): the nearest center, or the mean of the k nearest (dims: theirs), at the first level that has one, else the query, or the
+    fallback's rows (query_id, vector)."""
     found = ladder(queries, centers, [list(x) for x in levels], k, metric=metric, pool_id="center_id", pool_vector="center", **how)
     if k > 1:
         best = mean_of(found, centers, dims, "center_id", "center")
@@ -180,8 +213,19 @@ def cluster_retriever(queries: DataFrame, centers: DataFrame, levels=(("phone",
     return kept_where_missing(best, queries, how.get("query_id", "frame_id"), how.get("query_vector", "feature"))
 
 
-def constrained_retriever(queries: DataFrame, pool: DataFrame, dims: int, k: int = 4, temperature: float = 1.0, top1: bool = False, cosine: bool = True, hard: str = "gender", soft=("phone", "symbol")) -> DataFrame:
-    """(query_id, vector, found): top-1, or the softmax of the k nearest, under one hard and several soft keys, which apply if they leave k rows or more in both cases."""
+def constrained_retriever(
+    queries: DataFrame,
+    pool: DataFrame,
+    dims: int,
+    k: int = 4,
+    temperature: float = 1.0,
+    top1: bool = False,
+    cosine: bool = True,
+    hard: str = "gender",
+    soft=("phone", "symbol"),
+) -> DataFrame:
+    """(query_id, vector, found): top-1, or the softmax of the k nearest, under one hard and several soft keys, which apply if they leave k rows or
+    more in both cases."""
     soft = [c for c in soft if c in queries.columns and c in pool.columns]
     found = soft_nearest(queries, pool, hard, soft, 1 if top1 else k, k, metric="cosine" if cosine else "l2")
     return kept_where_missing(softmax_of(found, pool, dims, temperature, distance=not cosine), queries)
@@ -193,7 +237,8 @@ def _kept(queries: DataFrame, centers: DataFrame, *levels) -> DataFrame:
 
 
 def dispatched(queries: DataFrame, pool: DataFrame, dims: int, centers: DataFrame | None = None, use_clusters: bool = True, use_symbols: bool = True, **how) -> DataFrame:
-    """(query_id, vector, found): the nearest center of the query's phone, where centers are used and there is one; else the constrained neighbours, with symbols if asked for.
+    """(query_id, vector, found): the nearest center of the query's phone, where centers are used and there is one; else the constrained neighbours,
+    with symbols if asked for.
 
     With centers, queries whose phone has none go to the neighbours without symbols, and stay as they are if those fail too.
     """
@@ -205,7 +250,8 @@ def dispatched(queries: DataFrame, pool: DataFrame, dims: int, centers: DataFram
 
 
 def quantized_retriever(queries: DataFrame, centers: DataFrame, pattern: int, gender: int, any_gender: int | None = 0) -> DataFrame:
-    """(query_id, vector, found): the nearest center of (pattern, phone, gender), else of (pattern, phone, any_gender), else the query. any_gender None leaves the middle step out."""
+    """(query_id, vector, found): the nearest center of (pattern, phone, gender), else of (pattern, phone, any_gender), else the query. any_gender
+    None leaves the middle step out."""
     aimed = queries.withColumns({"pattern": F.lit(pattern), "gender": F.lit(gender)})
     found = _kept(aimed, centers, (("pattern", "phone", "gender"),))
     if any_gender is None or any_gender == gender:
@@ -231,13 +277,15 @@ def _one(found: DataFrame, queries: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def utterance_retriever(queries: DataFrame, frames: DataFrame, chosen: DataFrame, dims: int, k: int = 4, constrained: bool = True) -> DataFrame:
-    """(query_id, vector, found): the mean of the k frames nearest in cosine out of the target utterance, of the query's phone or, unconstrained, of any; else the query. chosen: (utt, target_utt)."""
+    """(query_id, vector, found): the mean of the k frames nearest in cosine out of the target utterance, of the query's phone or, unconstrained, of
+    any; else the query. chosen: (utt, target_utt)."""
     to = queries.join(chosen, "utt").drop("utt").withColumnRenamed("target_utt", "utt")
     return kept_where_missing(mean_of(nearest(to, frames, ["utt", "phone"] if constrained else ["utt"], k), frames, dims), queries)
 
 
 def utterance_cluster_retriever(queries: DataFrame, centers: DataFrame, chosen: DataFrame, dims: int, k: int = 1) -> DataFrame:
-    """(query_id, vector, found): the nearest in cosine, or the mean of the k nearest, of the target utterance's centers of the phone; else the query. centers: (utt, phone, center_id, center)."""
+    """(query_id, vector, found): the nearest in cosine, or the mean of the k nearest, of the target utterance's centers of the phone; else the query.
+    centers: (utt, phone, center_id, center)."""
     to = queries.join(chosen, "utt", "left").drop("utt").withColumnRenamed("target_utt", "utt")
     return cluster_retriever(to, centers, (("utt", "phone"),), metric="cosine", k=k, dims=dims)
 
@@ -272,7 +320,8 @@ def adain_retriever(queries: DataFrame, bank: DataFrame, dims: int, k: int = 4,
 
 
 def target_speaker(pool: DataFrame, mode: str = "random", gender=None, fixed=None, seed: int = 9):
-    """The speaker to aim at: a fixed one, one drawn among those of the gender (among all if there is none), or None for the whole pool. One row comes to the driver."""
+    """The speaker to aim at: a fixed one, one drawn among those of the gender (among all if there is none), or None for the whole pool. One row comes
+    to the driver."""
     if mode == "fixed":
         return fixed
     if mode == "pool":
@@ -285,9 +334,19 @@ def target_speaker(pool: DataFrame, mode: str = "random", gender=None, fixed=Non
     return row[0]["speaker"] if row else None
 
 
-def prototype_retriever(queries: DataFrame, pool: DataFrame, dims: int, speaker=None, gender: int | None = None, k: int = 4, temperature: float = 1.0, centers: DataFrame | None = None) -> DataFrame:
+def prototype_retriever(
+    queries: DataFrame,
+    pool: DataFrame,
+    dims: int,
+    speaker=None,
+    gender: int | None = None,
+    k: int = 4,
+    temperature: float = 1.0,
+    centers: DataFrame | None = None,
+) -> DataFrame:
     """(query_id, vector, found): with centers, the nearest of (phone, gender), then of the phone. Else the softmax of -distance**2 over the prototypes of
-    speaker and gender (either may be None), by phone where k survive; where speaker and gender have none, over those of the gender; else the query. pool: frame_id, speaker, gender, phone, feature."""
+    speaker and gender (either may be None), by phone where k survive; where speaker and gender have none, over those of the gender; else the query.
+    pool: frame_id, speaker, gender, phone, feature."""
     if centers is not None:
         aimed = queries if gender is None else queries.withColumn("gender", F.lit(gender).cast(dict(centers.dtypes)["gender"]))
         found = _kept(aimed, centers)
@@ -311,7 +370,8 @@ def select_style(queries: DataFrame, styles: DataFrame, **how) -> DataFrame:
 
 
 def style_retriever(queries: DataFrame, frames: DataFrame, chosen: DataFrame, dims: int, k: int = 4, silence=(0,), sharpness: float = 10.0) -> DataFrame:
-    """queries (frame_id, utt, phone, feature); chosen (utt, target_utt). Frames of the target utterance and phone, else of the phone anywhere; silence is copied."""
+    """queries (frame_id, utt, phone, feature); chosen (utt, target_utt). Frames of the target utterance and phone, else of the phone anywhere;
+    silence is copied."""
     to = queries.filter(~F.col("phone").isin(list(silence))).join(chosen, "utt").drop("utt").withColumnRenamed("target_utt", "utt")
     found = ladder(to, frames, [["utt", "phone"], ["phone"]], k, metric="cosine")
     return kept_where_missing(softmax_of(found, frames, dims, 1 / sharpness), queries)
@@ -332,7 +392,8 @@ def window_blend(content: Column, style: Column, alpha: float) -> Column:
 
 def content_vectors(rows: DataFrame, key: str, phones: list, style: str | None = None, phone: str = "phone", weight: float = 0.4, presence: bool = False) -> DataFrame:
     """(key, v): the shares of the phones among the key's rows (presence: 1 for each phone that occurs) times 1 - weight (presence: 1), and behind them
-    the unit style vector, if there is one, times weight (presence: 1), so that v . v' of a source and a window is the blend of the share of the source's rows whose phone occurs in the window and the cosine of their styles."""
+    the unit style vector, if there is one, times weight (presence: 1), so that v . v' of a source and a window is the blend of the share of the
+    source's rows whose phone occurs in the window and the cosine of their styles."""
     counts = [F.count_if(F.col(phone) == F.lit(x)) for x in phones]
     part = [F.when(c > 0, F.lit(1.0)).otherwise(F.lit(0.0)) for c in counts] if presence else [F.lit(1 - weight) * c / F.count("*") for c in counts]
     out = rows.groupBy(key).agg(F.array(*part).alias("__c"), *([F.first(style).alias("__s")] if style else []))
@@ -342,7 +403,18 @@ def content_vectors(rows: DataFrame, key: str, phones: list, style: str | None =
     return out.select(key, F.concat("__c", vec.scaled(F.col("__s"), scale)).alias("v"))
 
 
-def window_matches(sources: DataFrame, windows: DataFrame, source_key: str, window_key: str, phones: list, style: str = "style", weight: float = 0.4, k: int = 1, levels=((),), **how) -> DataFrame:
+def window_matches(
+    sources: DataFrame,
+    windows: DataFrame,
+    source_key: str,
+    window_key: str,
+    phones: list,
+    style: str = "style",
+    weight: float = 0.4,
+    k: int = 1,
+    levels=((),),
+    **how,
+) -> DataFrame:
     """(query_id, rank, pool_id, score, level): the k windows of the greatest (1 - weight) * content + weight * cosine of the styles.
 
     content: the share of the source's rows whose phone occurs in the window. sources, windows: a row a frame, with key, phone, style and
@@ -357,7 +429,8 @@ def window_matches(sources: DataFrame, windows: DataFrame, source_key: str, wind
 
 
 def window_retriever(sources: DataFrame, windows: DataFrame, phones: list, weight: float = 0.2, silence=(0,), key: str = "win") -> DataFrame:
-    """(win, i, feature): each source window's frames replaced by those of the window that blends best, of the same dominant phone if one has it, else of any, stretched linearly to the source's length.
+    """(win, i, feature): each source window's frames replaced by those of the window that blends best, of the same dominant phone if one has it, else
+    of any, stretched linearly to the source's length.
 
     Both tables have a row a frame: win (a whole number), t, phone, feature, style. Without windows, sources stay.
     """
@@ -392,7 +465,16 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     return met.agg(F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("recall"))
 
 
-def coarse_style_search(queries: DataFrame, styles: DataFrame, cells: int = 256, probes: int = 8, k: int = 1, keys=("gender",), query_id: str = "utt", pool_id: str = "utt") -> DataFrame:
+def coarse_style_search(
+    queries: DataFrame,
+    styles: DataFrame,
+    cells: int = 256,
+    probes: int = 8,
+    k: int = 1,
+    keys=("gender",),
+    query_id: str = "utt",
+    pool_id: str = "utt",
+) -> DataFrame:
     """(query_id, rank, pool_id, score): the styles nearest in cosine out of the nearest clusters of styles, of the same gender."""
     return nearest_in_cells(queries, cell_index(styles, cells, id=pool_id), list(keys), k, probes, metric="cosine", query_id=query_id, pool_id=pool_id)
 

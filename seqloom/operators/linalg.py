@@ -52,7 +52,8 @@ def covariance(df: DataFrame, dims: int, vector: str = "feature") -> tuple[int,
 
 
 def pca(df: DataFrame, dims: int, components: int, vector: str = "feature", limit: int | None = None, unit: bool = False) -> dict[str, np.ndarray]:
-    """Centered PCA: mean, components (rows, the largest element of each positive), variances and their shares. At most min(components, dims, n - 1, limit). unit: of the vectors scaled to unit length, as `transformed` then scales them too."""
+    """Centered PCA: mean, components (rows, the largest element of each positive), variances and their shares. At most min(components, dims, n - 1,
+    limit). unit: of the vectors scaled to unit length, as `transformed` then scales them too."""
     if unit:
         df = df.withColumn(vector, vec.normalized(F.col(vector)))
     n, mean, cov = covariance(df, dims, vector)
@@ -98,7 +99,8 @@ def applied(df: DataFrame, w: np.ndarray, vector: str = "feature", out: str = "p
 
 
 def subspace(df: DataFrame, group: str, dims: int, components: int, vector: str = "feature", least: int = 1) -> dict[str, np.ndarray]:
-    """The directions in which the groups' means differ: orthonormal rows and the shares of variance they explain. Groups are speakers or phones: their means come to the driver, as a matrix of groups x dims."""
+    """The directions in which the groups' means differ: orthonormal rows and the shares of variance they explain. Groups are speakers or phones:
+    their means come to the driver, as a matrix of groups x dims."""
     from seqloom.operators.stats import centroids
 
     means = centroids(df, [group], dims, vector, least).orderBy(group)
@@ -122,8 +124,19 @@ def content_subspace(df: DataFrame, phones: int, dims: int, share: float = 0.95,
     return {"basis": vt[:k], "ratio": ratio[:k]}
 
 
-def balanced_content_subspace(df: DataFrame, dims: int, per_class: int = 2000, silence=(0,), use_lda: bool = False, id: str = "frame_id", seed: int = 42, phone: str = "phone", vector: str = "feature") -> dict[str, np.ndarray]:
-    """Of at most per_class rows of each phone, silence left out: the active phones - 1 directions in which their means differ, or those of LDA. With silence alone, or one phone, none."""
+def balanced_content_subspace(
+    df: DataFrame,
+    dims: int,
+    per_class: int = 2000,
+    silence=(0,),
+    use_lda: bool = False,
+    id: str = "frame_id",
+    seed: int = 42,
+    phone: str = "phone",
+    vector: str = "feature",
+) -> dict[str, np.ndarray]:
+    """Of at most per_class rows of each phone, silence left out: the active phones - 1 directions in which their means differ, or those of LDA. With
+    silence alone, or one phone, none."""
     from seqloom.operators.sampling import drawn, top_of_group, without_silence
 
     some = top_of_group(without_silence(df, phone, list(silence)), phone, [drawn(seed, id), F.col(id)], per_class)
@@ -157,7 +170,8 @@ def scatter(df: DataFrame, dims: int, label: str, vector: str = "feature") -> tu
 
 
 def lda(df: DataFrame, dims: int, label: str, components: int, vector: str = "feature", ridge: float = 1e-6) -> np.ndarray:
-    """Directions of the largest eigenvalues of inv(within + ridge) between, as rows of unit length (not orthogonal to each other). Where that has no inverse or no eigenvalues, the directions of the labels' means."""
+    """Directions of the largest eigenvalues of inv(within + ridge) between, as rows of unit length (not orthogonal to each other). Where that has no
+    inverse or no eigenvalues, the directions of the labels' means."""
     between, within = scatter(df, dims, label, vector)
     try:
         values, vectors = np.linalg.eig(np.linalg.inv(within + ridge * np.eye(dims)) @ between)
@@ -168,7 +182,8 @@ def lda(df: DataFrame, dims: int, label: str, components: int, vector: str = "fe
 
 
 def ridge_statistics(frames: DataFrame, speakers: DataFrame, utt: str = "utt", vector: str = "feature", embedding: str = "d", dims: int = 64, p: int = 8) -> DataFrame:
-    """(i, j, g) and (i, j, h) in long form, part G or H: G = sum of n d d', H = sum of d (sum of s)', d with a 1 behind. An utterance's frames enter as their count and sum, so frames are read once and never joined."""
+    """(i, j, g) and (i, j, h) in long form, part G or H: G = sum of n d d', H = sum of d (sum of s)', d with a 1 behind. An utterance's frames enter
+    as their count and sum, so frames are read once and never joined."""
     sums = frames.groupBy(utt).agg(F.count("*").alias("n"), vec.sum_vector(F.col(vector), dims).alias("s"))
     rows = sums.join(speakers.select(utt, F.concat(F.col(embedding).cast("array<double>"), F.array(F.lit(1.0))).alias("d")), utt)
     i = rows.select("n", "s", "d", F.posexplode("d").alias("i", "di"))

@@ -31,7 +31,17 @@ def _spans(sizes: DataFrame, key: str, span: tuple[int, int], seed: int, count:
     return rows.select(key, "i", "a", F.least(F.col("a") + F.col("len"), F.col("T")).alias("z"))
 
 
-def masked(df: DataFrame, key: str, order: list[str], symbol: str, token_ratio: float = 0.075, span_ratio: float = 0.075, span: tuple[int, int] = (2, 5), seed: int = 4, count: str = "masked") -> DataFrame:
+def masked(
+    df: DataFrame,
+    key: str,
+    order: list[str],
+    symbol: str,
+    token_ratio: float = 0.075,
+    span_ratio: float = 0.075,
+    span: tuple[int, int] = (2, 5),
+    seed: int = 4,
+    count: str = "masked",
+) -> DataFrame:
     """(key, pos, symbol, masked): in each sequence of T rows, int(T * token_ratio) rows of the least draws, then spans of `span` rows, in the order of
     their draws, until int(T * span_ratio) more are reached; the last span may go beyond. count: by rows 'masked' besides the tokens, or by
     the 'summed' lengths of spans, which counts overlaps twice. A sequence is masked whole where the quotas ask for more than it has.
@@ -64,7 +74,8 @@ def masked(df: DataFrame, key: str, order: list[str], symbol: str, token_ratio:
 
 
 def filled(df: DataFrame, key: str, order: list[str], symbol: str, mask: str, matrix: np.ndarray, chunk: int = CHUNK) -> DataFrame:
-    """(key, pos, symbol, masked, filled): each masked symbol becomes the one of greatest P(z | previous) P(next | z). The previous one is as filled, the next one as it was; at an end its factor is left out.
+    """(key, pos, symbol, masked, filled): each masked symbol becomes the one of greatest P(z | previous) P(next | z). The previous one is as filled,
+    the next one as it was; at an end its factor is left out.
 
     A row depends on the run of masked rows that it is in and on the row before that run. A chunk hands on the symbol that its last row
     gets; a chunk that is masked from end to end hands on what it would be after each symbol before, and those are put together.
@@ -150,7 +161,8 @@ def _times(f: np.ndarray, n: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def smoothed(df: DataFrame, key: str, order: list[str], symbol: str, matrix: np.ndarray, marginal: np.ndarray, chunk: int = CHUNK) -> DataFrame:
-    """(key, pos, symbol, smooth): negative (masked) symbols are filled forwards from the one before, then backwards from the one behind, then by the marginal's best.
+    """(key, pos, symbol, smooth): negative (masked) symbols are filled forwards from the one before, then backwards from the one behind, then by the
+    marginal's best.
 
     So a row is the most likely follower, as many times as it is away, of the last known symbol, or else the most likely
     forerunner of the sequence's first; the last known symbol in front of a chunk is joined to it.
@@ -190,7 +202,8 @@ def predicted_pattern(df: DataFrame, keys: list[str], centroids: np.ndarray, dim
 
 
 def target_pattern(source: DataFrame, patterns: DataFrame, how: str = "farthest", seed: int = 2, fixed: int | None = None) -> DataFrame:
-    """source (pattern, ...) with target out of patterns (pattern, centroid, attributes): the farthest other one, a random one, a fixed one, or that of the largest summed difference of attributes. Patterns are few."""
+    """source (pattern, ...) with target out of patterns (pattern, centroid, attributes): the farthest other one, a random one, a fixed one, or that
+    of the largest summed difference of attributes. Patterns are few."""
     from seqloom.functions import vec
 
     if how == "fixed":

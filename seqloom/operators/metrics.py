@@ -79,7 +79,8 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def silhouette(df: DataFrame, cluster: str, id: str = "frame_id", vector: str = "feature", block_rows: int = 2048, sample: int | None = None) -> DataFrame:
-    """(silhouette,): the mean Euclidean silhouette; rows alone in their cluster count 0. Blocks of rows meet blocks of rows, and only sums by (row, cluster) leave a task.
+    """(silhouette,): the mean Euclidean silhouette; rows alone in their cluster count 0. Blocks of rows meet blocks of rows, and only sums by (row,
+    cluster) leave a task.
 
     sample: over so many rows drawn by id instead of all, as all pairs of rows are compared.
     """
@@ -129,7 +130,8 @@ def energy_retention(df: DataFrame, before: str, after: str) -> DataFrame:
 
 
 def separation(df: DataFrame, before: str, after: str) -> DataFrame:
-    """(style_share, content_share, mean_dot): mean norms of what is left and of what was taken off, as shares of the mean norm, and the mean of |left . taken off|, near 0 for an orthogonal projection."""
+    """(style_share, content_share, mean_dot): mean norms of what is left and of what was taken off, as shares of the mean norm, and the mean of |left
+    . taken off|, near 0 for an orthogonal projection."""
     gone = vec.minus(F.col(before), F.col(after))
     rows = df.select(vec.norm(F.col(before)).alias("a"), vec.norm(F.col(after)).alias("b"), vec.norm(gone).alias("c"), F.abs(vec.dot(F.col(after), gone)).alias("d"))
     return rows.agg((F.avg("b") / F.avg("a")).alias("style_share"), (F.avg("c") / F.avg("a")).alias("content_share"), F.avg("d").alias("mean_dot"))

@@ -31,14 +31,16 @@ def noisy_seconds(seconds: Column, noise: Column, step: float = 0.02, least: flo
 
 
 def normalized_f0(df: DataFrame, key: str, f0: str, center: float = 150.0, spread: float = 30.0, shift: float = 0.0, eps: float = 1e-8) -> DataFrame:
-    """df with f0_out: voiced values (above 0) by their key's mean and population deviation onto center + shift and spread; unvoiced 0. Statistics are joined back, so no key is gathered."""
+    """df with f0_out: voiced values (above 0) by their key's mean and population deviation onto center + shift and spread; unvoiced 0. Statistics are
+    joined back, so no key is gathered."""
     facts = df.filter(F.col(f0) > 0).groupBy(key).agg(F.avg(f0).alias("__m"), F.stddev_pop(f0).alias("__s"))
     z = (F.col(f0) - F.col("__m")) / (F.col("__s") + F.lit(eps))
     return df.join(facts, key, "left").withColumn("f0_out", F.when(F.col(f0) > 0, z * spread + center + shift).otherwise(F.lit(0.0))).drop("__m", "__s")
 
 
 def prosody(df: DataFrame, key: list[str], pos: str = "pos", vector: str = "feature", voiced: Column | None = None) -> DataFrame:
-    """(key, mean, std, range, slope, contrast, voiced, silence) of the norms: population deviation, regression on place (0 for fewer than 4), second half less first, shares of voiced and other rows."""
+    """(key, mean, std, range, slope, contrast, voiced, silence) of the norms: population deviation, regression on place (0 for fewer than 4), second
+    half less first, shares of voiced and other rows."""
     voiced = F.lit(True) if voiced is None else voiced
     rows = df.select(*key, F.col(pos).cast("double").alias("__x"), vec.norm(F.col(vector)).alias("__e"), voiced.alias("__v"))
     ends = rows.groupBy(*key).agg(F.avg("__x").alias("__mid"))
@@ -50,7 +52,8 @@ def prosody(df: DataFrame, key: list[str], pos: str = "pos", vector: str = "feat
 
 
 def window_stats(df: DataFrame, key: list[str], dims: int, pos: str = "pos", vector: str = "feature") -> DataFrame:
-    """(key, stats): mean, deviation, mean absolute difference and deviation of differences, one behind the other: 4 x dims. key must name windows, which are small."""
+    """(key, stats): mean, deviation, mean absolute difference and deviation of differences, one behind the other: 4 x dims. key must name windows,
+    which are small."""
     before = F.lag(vector).over(Window.partitionBy(*key).orderBy(pos))
     rows = df.withColumn("__d", vec.minus(F.col(vector), before))
     v, d = F.col(vector), F.col("__d")

@@ -56,7 +56,8 @@ def top_of_group(df: DataFrame, group: str | list[str], order: list[Column], kee
 
 
 def least_by_draw(df: DataFrame, group: list[str], keep: DataFrame, id: str, seed: int = 42, by: list[str] | None = None) -> DataFrame:
-    """The rows of each group that a draw by (seed, id) puts first, as many as keep (group, __keep) says; groups that keep lacks are left out. by: columns of the draw instead of id.
+    """The rows of each group that a draw by (seed, id) puts first, as many as keep (group, __keep) says; groups that keep lacks are left out. by:
+    columns of the draw instead of id.
 
     Rows are counted by group and the first 12 bits of their draw. Of the slice in which a group's number is reached, the
     first rows are taken; slices are 1/4096 of a group, so a group of any size is spread over tasks.
@@ -95,8 +96,18 @@ def quota(df: DataFrame, group: str, quotas: dict, id: str, seed: int = 42) -> D
     return least_by_draw(df, [group], F.broadcast(keep), id, seed)
 
 
-def disjoint_pools(speakers: DataFrame, present: DataFrame | None, n_pools: int = 4, per_gender: int = 50, id: str = "speaker", gender: str = "gender", seed: int = 42, genders=("m", "f")) -> DataFrame:
-    """(id, gender, pool): speakers dealt to pools of per_gender of each of the genders. Raises ValueError if there are too few of one, or none. present: ids that have data."""
+def disjoint_pools(
+    speakers: DataFrame,
+    present: DataFrame | None,
+    n_pools: int = 4,
+    per_gender: int = 50,
+    id: str = "speaker",
+    gender: str = "gender",
+    seed: int = 42,
+    genders=("m", "f"),
+) -> DataFrame:
+    """(id, gender, pool): speakers dealt to pools of per_gender of each of the genders. Raises ValueError if there are too few of one, or none.
+    present: ids that have data."""
     some = speakers if present is None else speakers.join(present.select(id).distinct(), id, "left_semi")
     some = some.filter(F.col(gender).isin(list(genders)))
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy(gender).orderBy(drawn(seed, id), id)))
@@ -155,7 +166,8 @@ def majority(df: DataFrame, key: str, column: str, wanted) -> DataFrame:
 
 
 def prototype_budget(counts: DataFrame, label: str, budget: int, by: str | None = None) -> DataFrame:
-    """(by, label, keep): max(1, int(budget * n / total)) each while the budget lasts, by label; what is left goes to the most frequent, one each. With `by`, each of its values has a budget of its own."""
+    """(by, label, keep): max(1, int(budget * n / total)) each while the budget lasts, by label; what is left goes to the most frequent, one each.
+    With `by`, each of its values has a budget of its own."""
     own = [by] if by else []
     all_of = Window.partitionBy(*own)
     counts = counts.withColumn("total", F.sum("n").over(all_of))

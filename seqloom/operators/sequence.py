@@ -69,7 +69,8 @@ def sparsity(counts: DataFrame, n_states: int) -> DataFrame:
 
 
 def sliding_windows(df: DataFrame, key: str, order: list[str], aggs: list, width: int = 20, hop: int = 10) -> DataFrame:
-    """(key, win, start, end, aggs): full windows of width rows, one every hop. Each row goes to the ceil(width / hop) windows that hold it, keyed by (key, win), so no key is gathered."""
+    """(key, win, start, end, aggs): full windows of width rows, one every hop. Each row goes to the ceil(width / hop) windows that hold it, keyed by
+    (key, win), so no key is gathered."""
     rows = positioned(df, key, order)
     first = F.ceil((F.col("pos") - width + 1) / hop)
     wins = F.sequence(F.greatest(F.lit(0).cast("bigint"), first), F.floor(F.col("pos") / hop))
@@ -79,7 +80,8 @@ def sliding_windows(df: DataFrame, key: str, order: list[str], aggs: list, width
 
 
 def moving_average(df: DataFrame, key: str, order: list[str], value: str, k: int = 3) -> DataFrame:
-    """(key, pos, value, smooth): centred mean of k rows (k + 1 for even k), the first and last value standing in beyond the ends; keys of fewer than 3 rows are left as they are."""
+    """(key, pos, value, smooth): centred mean of k rows (k + 1 for even k), the first and last value standing in beyond the ends; keys of fewer than
+    3 rows are left as they are."""
     k += 1 - k % 2
     p = k // 2
     rows = chunked(df.select(key, *order, value), key, order, before=p, after=p)
@@ -92,7 +94,8 @@ def moving_average(df: DataFrame, key: str, order: list[str], value: str, k: int
 
 
 def ema(df: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.3) -> DataFrame:
-    """(key, pos, value, ema): y = alpha x + (1 - alpha) y', the first value as it is. A chunk starts as many rows early as it takes for what came before to weigh less than 1e-17."""
+    """(key, pos, value, ema): y = alpha x + (1 - alpha) y', the first value as it is. A chunk starts as many rows early as it takes for what came
+    before to weigh less than 1e-17."""
     rows = chunked(df.select(key, *order, value), key, order, before=1 if alpha >= 1 else math.ceil(math.log(1e-17) / math.log(1 - alpha)))
 
     def smooth(pdf):

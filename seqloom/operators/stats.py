@@ -32,7 +32,8 @@ def speaker_centroids(df: DataFrame, dims: int, least_rows: int = 3, least_speak
 
 
 def confusion_entropy(df: DataFrame, speaker_means: DataFrame, temperature: float = 10.0, id: str = "frame_id") -> DataFrame:
-    """(id, phone, entropy, n): of the softmax of -distance / temperature to the centroids of the phone's speakers, divided by ln(n); 0 for one speaker. A block of frames meets its phone's centroids in one matrix product."""
+    """(id, phone, entropy, n): of the softmax of -distance / temperature to the centroids of the phone's speakers, divided by ln(n); 0 for one
+    speaker. A block of frames meets its phone's centroids in one matrix product."""
     kinds = dict(df.dtypes)
 
     def work(rows: pa.Table, means: pa.Table) -> pa.Table:

@@ -1,4 +1,5 @@
-"""The offline plan: frames -> cleaned frames -> codebook -> symbol patterns -> pool. Each step is a table under one root, so a run can begin anywhere and goes on where it stopped."""
+"""The offline plan: frames -> cleaned frames -> codebook -> symbol patterns -> pool. Each step is a table under one root, so a run can begin anywhere
+and goes on where it stopped."""
 
 from __future__ import annotations
 

@@ -10,7 +10,15 @@ from seqloom.operators import cluster, knn, linalg, prosody, sequence
 from seqloom.storage import stored
 
 
-def anonymized(frames: DataFrame, centers: DataFrame, basis: np.ndarray | None = None, codebook: np.ndarray | None = None, mode: str = "same", predicted: str | None = None, duration_weight: float = 0.5) -> DataFrame:
+def anonymized(
+    frames: DataFrame,
+    centers: DataFrame,
+    basis: np.ndarray | None = None,
+    codebook: np.ndarray | None = None,
+    mode: str = "same",
+    predicted: str | None = None,
+    duration_weight: float = 0.5,
+) -> DataFrame:
     """(utt, i, feature): frames (frame_id, utt, t, phone, gender m or f, feature) through the plan.
 
     centers: (phone, gender, center_id, center), gender null for those of a phone alone. predicted: a column of

@@ -22,7 +22,8 @@ def mixdown(channels: Column) -> Column:
 
 
 def audio_files(spark: SparkSession, root: str, extensions=("flac", "wav")) -> DataFrame:
-    """(path, speaker, chapter, utt_id) of root/speaker/chapter/file. The first extension with any file is taken; hidden copies are skipped. Contents aren't read."""
+    """(path, speaker, chapter, utt_id) of root/speaker/chapter/file. The first extension with any file is taken; hidden copies are skipped. Contents
+    aren't read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").load(root).select("path")
     parts = F.split("path", "/")
     rows = found.withColumns({"file": F.element_at(parts, -1), "chapter": F.element_at(parts, -2), "speaker": F.element_at(parts, -3)}).filter(~F.col("file").startswith("._"))
@@ -52,7 +53,8 @@ def speaker_list(spark: SparkSession, root: str, names=("SPEAKERS.TXT", "speaker
 
 
 def session_files(spark: SparkSession, root: str, sessions=None) -> DataFrame:
-    """(path, utt_id, session, speaker, gender) of root/Session<n>/sentences/wav/dialog/file.wav, of the sessions asked for. Hidden copies are skipped; contents aren't read."""
+    """(path, utt_id, session, speaker, gender) of root/Session<n>/sentences/wav/dialog/file.wav, of the sessions asked for. Hidden copies are
+    skipped; contents aren't read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(root).select("path")
     rows = found.withColumns({"file": F.element_at(F.split("path", "/"), -1), "session": F.regexp_extract("path", "/Session(\\d+)/sentences/wav/[^/]+/[^/]+$", 1)})
     rows = rows.filter((F.col("session") != "") & ~F.col("file").startswith("._")).withColumn("utt_id", F.regexp_replace("file", "\\.wav$", ""))
@@ -63,7 +65,8 @@ def session_files(spark: SparkSession, root: str, sessions=None) -> DataFrame:
 
 
 def find_audio(utterances: DataFrame, files: DataFrame, roots: list[str], extensions=("flac", "wav")) -> DataFrame:
-    """utterances (utt_id) with the path of their file, null where there is none: out of files (path), root/split/speaker/chapter/utt_id.ext or root/speaker/chapter/utt_id.ext.
+    """utterances (utt_id) with the path of their file, null where there is none: out of files (path), root/split/speaker/chapter/utt_id.ext or
+    root/speaker/chapter/utt_id.ext.
 
     Ids are parted by - or else by _. Earlier roots go first, then earlier extensions, then folders below a split, then paths.
     """

@@ -35,7 +35,8 @@ def write(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "ap
 
 
 def append(df: DataFrame, path: str, order: list[str], attributes: dict | None = None) -> tuple[int, int]:
-    """Appends rows, numbered in their order behind those that are there, as frame_id; returns their range [start, end). attributes: kept beside them, see attributes_of."""
+    """Appends rows, numbered in their order behind those that are there, as frame_id; returns their range [start, end). attributes: kept beside them,
+    see attributes_of."""
     spark = df.sparkSession
     start = (spark.read.parquet(path).agg(F.max("frame_id")).first()[0] + 1) if exists(spark, path + "/_SUCCESS") else 0
     rows = stored(positioned(df.drop("frame_id").withColumn("__all", F.lit(0)), "__all", order).drop("__all"), "appended")
@@ -150,7 +151,8 @@ def save_pool(frames: DataFrame, path: str, centers: DataFrame | None = None, ut
 
 
 def pool_errors(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
-    """(errors, warnings): a missing required part, parts of unequal numbers of rows or other frames are errors; a missing part that may be there, or settings without the number of dimensions, a warning."""
+    """(errors, warnings): a missing required part, parts of unequal numbers of rows or other frames are errors; a missing part that may be there, or
+    settings without the number of dimensions, a warning."""
     root = path.rstrip("/")
     there = [p for p in (*POOL_PARTS, *POOL_MAY) if exists(spark, f"{root}/{p}/_SUCCESS")]
     errors = [f"missing {p}" for p in POOL_PARTS if p not in there]
@@ -167,7 +169,8 @@ def pool_errors(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
 
 
 def load_pool(spark: SparkSession, path: str) -> Pool:
-    """A pool of either layout: parts as save_pool writes them, or one table `pool` with all columns, as the offline plan does. Parts that may be missing are left out."""
+    """A pool of either layout: parts as save_pool writes them, or one table `pool` with all columns, as the offline plan does. Parts that may be
+    missing are left out."""
     root = path.rstrip("/")
     table = lambda p: spark.read.parquet(f"{root}/{p}") if exists(spark, f"{root}/{p}/_SUCCESS") else None
     frames = table("features")

@@ -52,7 +52,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 
 def new_path(spark: SparkSession, name: str, outlives: bool = False) -> str:
-    """A fresh path in the shared folder, deleted with the scratch around it (with the one around that, if it outlives it) or else when the driver's interpreter ends."""
+    """A fresh path in the shared folder, deleted with the scratch around it (with the one around that, if it outlives it) or else when the driver's
+    interpreter ends."""
     path = f"{shared_dir(spark)}/seqloom-{uuid.uuid4().hex[:12]}-{name}"
     around = _scopes()[: len(_scopes()) - outlives]
     if around:

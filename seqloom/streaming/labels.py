@@ -19,7 +19,8 @@ def window_counts(stream: DataFrame, label: str = "event_type", ts: str = "ts",
 
 
 def closed_runs(stream: DataFrame, key: str = "user_id", label: str = "event_type", ts: str = "ts", idle: str = "30 minutes") -> DataFrame:
-    """(key, start, end, label, n): runs of equal labels, sent when another label follows or when the watermark passes the key's last row by idle. Rows of a batch are ordered by time; the state of a key is one open run."""
+    """(key, start, end, label, n): runs of equal labels, sent when another label follows or when the watermark passes the key's last row by idle.
+    Rows of a batch are ordered by time; the state of a key is one open run."""
 
     def step(name: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         run = state.get if state.exists else None
