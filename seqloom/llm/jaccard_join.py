@@ -431,241 +431,6 @@ def _block_links(blocks: DataFrame, nodes: DataFrame, percent: int, across: bool
     return out
 
 
-def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
-def block_links(sets: list[np.ndarray], sizes: list[int], hub: int, percent: int) -> list[tuple[int, int]]:
-    """Links that join all sets of a block into the components that all its links make."""
-    tree, joined, links = PrefixTree.of(sets, sizes), Union(len(sets)), []
-    for i in [hub, *(i for i in range(len(sets)) if i != hub)]:
-        if i == hub or joined.find(i) != joined.find(hub):
-            links += [(i, j) for j in tree.search(sets[i], sizes[i], percent) if joined.join(i, j)]
-    return links
-
-
-def packed_tokens(tokens: np.ndarray) -> bytes:
-    """Sorted shingles as the bytes of their differences, plane by plane, compressed."""
-    return zstandard.ZstdCompressor(1).compress(np.diff(tokens, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
-
-
-def unpacked_tokens(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
-def sketch(rows: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """The band of each of 2**CELL_BITS cells of shingles (see bands), and the sum of all cells.
-
-    Cells are summed and turned into bands on the executors, so a byte a cell comes to the driver.
-    """
-    cells = 1 << CELL_BITS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total, seen = np.zeros(cells, np.uint32), set()
-        for _, sets in _batches(batches, n):
-            fresh = {xxhash.xxh3_128_digest(s.tobytes()): s for s in sets if len(s)}
-            new = [s for d, s in fresh.items() if d not in seen]  # copies that one task reads count once
-            seen.update(fresh)
-            if new:
-                np.add.at(total, (np.concatenate(new) & np.uint64(cells - 1)).astype(np.int64), np.uint32(1))
-        return total
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int64) for x in b.column("cells").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("piece"), pa.array([int(c.sum()) for c in counts], pa.int64()), pa.array([bands(c, int(c.sum())).tobytes() for c in counts], pa.binary())], ["piece", "total", "bands"])
-
-    out, total, size = np.zeros(cells, np.uint8), 0, cells // PIECES
-    for piece, held, found in sums(rows, count, cells, PIECES).mapInArrow(cut, "piece int, total bigint, bands binary").collect():
-        out[piece * size : (piece + 1) * size] = np.frombuffer(found, np.uint8)
-        total += held
-    return out, total
-
-
-def bands(counts: np.ndarray, total: int) -> np.ndarray:
-    """The band of each cell in the global order: 0 up to 64 and thrice the mean of its piece, then one for each doubling, 15 at most."""
-    base = 64 + 3 * total / len(counts)
-    return np.clip(np.ceil(np.log2(np.maximum(counts, 1) / base)), 0, 15).astype(np.uint8)
-
-
-def ordered(hashes: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles as integers whose natural order is the global one: four bits of the band, then 44 of the hash; and that order."""
-    level = band[(hashes & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)].astype(np.uint64)
-    tokens = level << np.uint64(44) | hashes >> np.uint64(20)
-    order = np.argsort(tokens)
-    return tokens[order], order
-
-
-class SharedFilter:
-    """A Bloom filter for each of 2**ranges ranges of mixed shingles, over those that two sets or more have."""
-
-    def __init__(self, ranges: int, bits: int):
-        self.ranges, self.bits, self.filters = ranges, bits, np.zeros((1 << ranges, bits >> 3), np.uint8)
-
-    @staticmethod
-    def keys(tokens: np.ndarray, ranges: int) -> np.ndarray:
-        """Of the mixed shingle, the bits of the range and 32 behind it."""
-        return mixed(tokens ^ np.uint64(0x5BD1E9955BD1E995)) >> np.uint64(32 - ranges)
-
-    def has(self, tokens: np.ndarray) -> np.ndarray:
-        keys = self.keys(tokens, self.ranges)
-        place = (keys >> np.uint64(32)).astype(np.int64)
-        found = np.ones(len(tokens), dtype=bool)
-        for p in Bloom(self.bits, self.filters[0])._places(mixed(keys)):
-            found &= (self.filters[place, (p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        return found
-
-
-def _runs(once: np.ndarray, more: np.ndarray, shift: int) -> pa.RecordBatch:
-    """Sorted keys, those met once and those met more often, as a row for each range: keys >> shift."""
-    cut = [{int(r): k for r, k in zip((x >> np.uint64(shift))[at], np.split(x, at[1:]))} if len(x) else {} for x in (once, more) for at in [np.flatnonzero(np.diff(x >> np.uint64(shift), prepend=np.uint64(2**64 - 1)))]]
-    ranges = sorted(cut[0].keys() | cut[1].keys())
-    columns = [[packed_tokens(part[r]) if r in part else None for r in ranges] for part in cut]
-    return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["range", "once", "more"])
-
-
-def shared_filter(rows: DataFrame, n: int, total: int, range_tokens: int = 2_000_000, most_ranges: int = 12) -> SharedFilter:
-    """Counts each shingle by the sets that have it, copies in a batch once, and keeps those of two or more.
-
-    Tasks send sorted runs for 2**most_ranges ranges at most; where the data need finer ones, a second pass parts the
-    ranges again, so no task holds more than about range_tokens shingles of distinct sets.
-    """
-    fine = max(4, (total // range_tokens).bit_length())
-    coarse = min(fine, most_ranges)
-    bits = 1 << min(28 - fine, max(13, (2 * total >> fine).bit_length()))
-    kind = "range int, once binary, more binary"
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            keys, times = np.unique(SharedFilter.keys(np.concatenate(held), fine), return_counts=True)
-            return _runs(keys[times == 1], keys[times > 1], 32 + fine - coarse)
-
-        for _, sets in _batches(batches, n):
-            fresh = {xxhash.xxh3_128_digest(s.tobytes()): s for s in sets if len(s)}
-            held += fresh.values()
-            size += sum(map(len, fresh.values()))
-            if size > 2_000_000:
-                yield out()
-                held, size = [], 0
-        if held:
-            yield out()
-
-    def merged(once: list, more: list) -> tuple[np.ndarray, np.ndarray]:
-        parts = [unpacked_tokens(x) for x in once if x is not None]
-        keys, times = np.unique(np.concatenate(parts or [np.zeros(0, np.uint64)]), return_counts=True)
-        twice = [unpacked_tokens(x) for x in more if x is not None]
-        return keys[times == 1], np.unique(np.concatenate([keys[times > 1], *twice]))
-
-    def part_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for a in range(0, len(b), 256):
-                yield _runs(*merged(b.column(1)[a : a + 256].to_pylist(), b.column(2)[a : a + 256].to_pylist()), 32)
-
-    def find(t: pa.Table) -> pa.Table:
-        _, shared = merged(t.column("once").to_pylist(), t.column("more").to_pylist())
-        f = Bloom(bits)
-        f.add(mixed(shared))
-        return pa.table([t.column("range").slice(0, 1), pa.array([f.bits.tobytes()], pa.binary())], names=["range", "bits"])
-
-    runs = rows.mapInArrow(emit, kind)
-    if fine > coarse:
-        runs = runs.repartition("range").mapInArrow(part_again, kind)
-    out = SharedFilter(fine, bits)
-    for r, found in stored(runs.groupBy("range").applyInArrow(find, "range int, bits binary"), "filters").toLocalIterator():
-        out.filters[r] = np.frombuffer(found, np.uint8)
-    return out
-
-
-def set_rows(rows: DataFrame, n: int, percent: int, band, shared) -> DataFrame:
-    """A row per document: doc_id, n_shingles, digest of the set, its node, and for sets that may link, once a task for equal sets, their shared prefix shingles and all shared shingles, packed."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for ids, sets in _batches(batches, n):
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            prefixes, wholes = [], []
-            for s, d in zip(sets, digests):
-                prefix, whole = np.zeros(0, np.uint64), None
-                if d not in seen and len(s):
-                    seen.add(d)
-                    if (met := shared.value.has(s)).sum() * 100 >= percent * len(s):
-                        tokens, order = ordered(s, band.value)
-                        met, size = met[order], prefix_length(len(s), percent)
-                        prefix = tokens[:size][met[:size]]
-                        whole = packed_tokens(tokens[met]) if len(prefix) else None
-                prefixes.append(prefix)
-                wholes.append(whole)
-            prefix_lists = list_array(np.concatenate(prefixes).view(np.int64), [len(y) for y in prefixes], pa.int64())
-            nodes = [int.from_bytes(d[:8], "big") >> 1 if len(s) else None for s, d in zip(sets, digests)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), prefix_lists, pa.array(wholes, pa.binary())], ["doc_id", "n_shingles", "node", "prefix", "tokens"])
-
-    return rows.mapInArrow(make, "doc_id bigint, n_shingles bigint, node bigint, prefix array<bigint>, tokens binary")
-
-
-def block_join(members: DataFrame, percent: int, across: bool) -> DataFrame:
-    """Links (a, b) within each (hub, block) of rows (hub, block, probe, node, component, size, tokens).
-
-    Not across: all links of the block, as a forest. Across: each probe's links with sets of other components.
-    """
-
-    def links(rows: list[tuple]) -> list[tuple[int, int]]:
-        node, component, size, tokens = range(3, 7)
-        if across:
-            base = [r for r in rows if not r[2]]
-            if not base:
-                return []
-            tree, out = PrefixTree.of([r[tokens] for r in base], [r[size] for r in base]), {}
-            for r in rows:
-                if r[2]:
-                    for j in tree.search(r[tokens], r[size], percent):
-                        if base[j][component] != r[component]:
-                            out.setdefault((r[component], base[j][component]), (r[node], base[j][node]))
-            return list(out.values())
-        at = next((i for i, r in enumerate(rows) if r[node] == r[0]), 0)
-        return [(rows[i][node], rows[j][node]) for i, j in block_links([r[tokens] for r in rows], [r[size] for r in rows], at, percent)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key, out = [], None, []
-        for b in batches:
-            for *row, data in zip(*(c.to_pylist() for c in b.columns)):
-                if (row[0], row[1]) != key:
-                    if len(held) > 1:
-                        out += links(held)
-                    held, key = [], (row[0], row[1])
-                held.append((*row, unpacked_tokens(data)))
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out)], ["a", "b"])
-                out = []
-        if len(held) > 1:
-            out += links(held)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out)], ["a", "b"])
-
-    dealt = members.select("hub", "block", "probe", "node", "component", "size", "tokens")
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "hub", "block").sortWithinPartitions("hub", "block").mapInArrow(run, "a bigint, b bigint")
-
-
-def _block_links(blocks: DataFrame, nodes: DataFrame, percent: int, across: bool, name: str) -> DataFrame:
-    """The stored links of block_join for blocks, which get size and tokens of their nodes. A filter of the nodes that are in blocks goes over the sets first, so others aren't moved."""
-    wanted = blocks.sparkSession.sparkContext.broadcast(bloom_of(blocks.select("node").distinct()))
-
-    @F.pandas_udf("boolean")
-    def may_be(ids: pd.Series) -> pd.Series:
-        return pd.Series(wanted.value.has(ids.to_numpy(dtype=np.int64).view(np.uint64)), dtype=bool)
-
-    # a set that several tasks have met is carried once
-    known = nodes.select("node", "size", "tokens").filter(may_be("node")).groupBy("node").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))
-    out = stored(block_join(blocks.join(known, "node"), percent, across), name)
-    wanted.destroy()
-    return out
-
-
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, percent: int = 75, block_rows: int = 600) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach). block_rows: sets in a block."""
     spark = docs.sparkSession
