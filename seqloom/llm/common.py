@@ -34,7 +34,8 @@ def spread_join(rows: DataFrame, few: DataFrame, key: str, salt, how: str = "lef
 
 
 def row_key(docs: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, str]:
-    """docs and the column that names each of its rows: doc_id if it is a whole number that is never null and never repeats, else __row, a number that docs are stored with."""
+    """docs and the column that names each of its rows: doc_id if it is a whole number that is never null and never repeats, else __row, a number that
+    docs are stored with."""
     if dict(docs.dtypes)[doc_id] in ("tinyint", "smallint", "int", "bigint"):
         times = docs.groupBy(F.col(f"`{doc_id}`").alias("id")).agg(F.count("*").alias("n"))
         if times.filter("id is null or n > 1").isEmpty():
@@ -140,7 +141,8 @@ class Bloom:
 
 
 def bloom_of(keys: DataFrame, piece: int = 1 << 16) -> Bloom:
-    """A filter over the longs of a column, sized by their number. Each task sends the pieces that it has set; their union, 32 MB at most, comes to the driver."""
+    """A filter over the longs of a column, sized by their number. Each task sends the pieces that it has set; their union, 32 MB at most, comes to
+    the driver."""
     n_bits = Bloom.bits_for(keys.count())
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -158,7 +158,8 @@ class LsmIndex:
         return bloom_of(compacted.filter("n > 1").select("digest"))
 
     def verified(self, docs: DataFrame, hits: Bloom, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-        """(sha, keep_id, group_size) of each group of texts that are equal byte for byte, from the rows that the filter admits. Grouping by the bytes themselves collapses copies before the shuffle."""
+        """(sha, keep_id, group_size) of each group of texts that are equal byte for byte, from the rows that the filter admits. Grouping by the bytes
+        themselves collapses copies before the shuffle."""
         index, best = self, F.max if self.largest else F.min
 
         def admitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +173,15 @@ class LsmIndex:
         return rows.groupBy("sha", "norm").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size")).drop("norm").filter("group_size > 1")
 
 
-def verdicts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "largest", digest_bits: int = 64, memtable_rows: int = 200_000, fan: int = 32) -> DataFrame:
+def verdicts(
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    keep: str = "largest",
+    digest_bits: int = 64,
+    memtable_rows: int = 200_000,
+    fan: int = 32,
+) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     index = LsmIndex(keep, digest_bits, memtable_rows, fan=fan)
     rows = stored(digests(docs, text, doc_id), "digests")
@@ -184,7 +193,8 @@ def verdicts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep:
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "largest") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows that repeat an identifier and a text, one stays. Rows that no hit touches are passed on without a shuffle."""
+    """The rows of docs that stay, with all their columns; of rows that repeat an identifier and a text, one stays. Rows that no hit touches are
+    passed on without a shuffle."""
     index = LsmIndex(keep)
     rows = stored(digests(docs, text, doc_id), "digests")
     compacted = stored(index.compact(stored(index.flush(rows, rows.count()), "runs")), "compacted")

@@ -115,7 +115,8 @@ def _batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Arr
 
 
 class PrefixTree:
-    """Sorted sets in a path-compressed tree. A node: its run of shingles, children, sets that end here, depth behind the run, and below it the least and greatest size of a set and the greatest length of what is stored of one."""
+    """Sorted sets in a path-compressed tree. A node: its run of shingles, children, sets that end here, depth behind the run, and below it the least
+    and greatest size of a set and the greatest length of what is stored of one."""
 
     __slots__ = ("run", "children", "ends", "depth", "least", "most", "longest")
 
@@ -343,7 +344,8 @@ def shared_filter(rows: DataFrame, n: int, total: int, range_tokens: int = 2_000
 
 
 def set_rows(rows: DataFrame, n: int, percent: int, band, shared) -> DataFrame:
-    """A row per document: doc_id, n_shingles, digest of the set, its node, and for sets that may link, once a task for equal sets, their shared prefix shingles and all shared shingles, packed."""
+    """A row per document: doc_id, n_shingles, digest of the set, its node, and for sets that may link, once a task for equal sets, their shared
+    prefix shingles and all shared shingles, packed."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()

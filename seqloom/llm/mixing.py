@@ -73,7 +73,16 @@ def best_temperature(scored: DataFrame, lowest: float = 0.1, highest: float = 10
     return 1.0 if found[0] is None else min(zip(found, grid))[1]
 
 
-def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, features: int = 1 << 14, grid: int = 64, text: str = "text", doc_id: str = "doc_id", most_domains: int = 64) -> Domains:
+def learn(
+    docs: DataFrame,
+    labels: DataFrame,
+    fit_rows: int = 20_000,
+    features: int = 1 << 14,
+    grid: int = 64,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    most_domains: int = 64,
+) -> Domains:
     """labels: (doc_id, domain)."""
     of = labels.filter("doc_id is not null and domain is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min("domain").alias("__domain"))
     chosen = stored(of.orderBy(F.xxhash64("__id"), "__id").limit(fit_rows), "fit-labels")  # fit_rows rows of a few bytes: small enough to broadcast
@@ -154,7 +163,15 @@ def copies(rate: Column, doc_id: Column, seed: int = 11) -> Column:
     return (F.floor(rate) + (drawn < rate - F.floor(rate)).cast("int")).cast("int")
 
 
-def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], text: str = "text", doc_id: str = "doc_id", grid: int = 64, **learning) -> tuple[DataFrame, DataFrame, Domains]:
+def rates(
+    docs: DataFrame,
+    labels: DataFrame,
+    weights: dict[str, float],
+    text: str = "text",
+    doc_id: str = "doc_id",
+    grid: int = 64,
+    **learning,
+) -> tuple[DataFrame, DataFrame, Domains]:
     """(doc_id, __tokens, __cell) of each row, (cell, rate), and the classifier. weights: domain -> share; they are scaled to sum to 1."""
     domains = learn(docs, labels, grid=grid, text=text, doc_id=doc_id, **learning)
     scored = stored(domains.posterior(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).drop("text"), "posteriors")

@@ -394,8 +394,18 @@ def _split(lat: Lattices, p: Path, j: int, value: float, key: int, turn: int) ->
     return arc
 
 
-def sampled(docs: DataFrame, model: str, k: int = 2, seed: int = 17, text: str = "text", key: str = "doc_id", with_ids: bool = True, batch_chars: int = 600_000) -> DataFrame:
-    """A row per row of docs and segmentation: key, sample (0 the most perturbed), n_pieces, log_prob, perturbed, inclusion, ids_crc32, round_trip, and ids if asked for. model: a path that every executor has."""
+def sampled(
+    docs: DataFrame,
+    model: str,
+    k: int = 2,
+    seed: int = 17,
+    text: str = "text",
+    key: str = "doc_id",
+    with_ids: bool = True,
+    batch_chars: int = 600_000,
+) -> DataFrame:
+    """A row per row of docs and segmentation: key, sample (0 the most perturbed), n_pieces, log_prob, perturbed, inclusion, ids_crc32, round_trip,
+    and ids if asked for. model: a path that every executor has."""
     import zlib
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

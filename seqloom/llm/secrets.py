@@ -41,7 +41,8 @@ PLACEHOLDERS = "(?i)(example|sample|changeme|placeholder|dummy|xxxx|your)"
 
 
 def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str = "source", repository: str | None = "lang") -> DataFrame:
-    """A stored row per row of docs: row, doc_id, owner, repository and found, an array of every match with its kind, place in the kind, gap in front and value."""
+    """A stored row per row of docs: row, doc_id, owner, repository and found, an array of every match with its kind, place in the kind, gap in front
+    and value."""
     t = F.coalesce(F.col(text), F.lit(""))
     parts = []
     for k, (kind, (test, pattern, group, _)) in enumerate(KINDS.items()):

@@ -4,7 +4,8 @@ Several metadata dimensions are quantised into equi-depth bins (thresholds from
 orders the rows, and the ordered rows are cut into runs whose lengths differ by one at most. Rows near each other in
 all dimensions share a shard, so the minimum and maximum of each column prune files for filters on any of them.
 
-Dimensions may be numbers, strings, booleans, dates and timestamps. Only DataFrame operations run here. Rows are range-partitioned by (index, ties), so a bin that holds a third of all
+Dimensions may be numbers, strings, booleans, dates and timestamps. Only DataFrame operations run here. Rows are range-partitioned by (index, ties),
+so a bin that holds a third of all
 rows is split; each partition's number of rows, one number a partition, gives the others' offsets.
 
 Defined results: a null value falls into the lowest bin of its dimension; ties in the index are ordered by the given

@@ -90,7 +90,8 @@ def mine(labelled: DataFrame, min_support: float = 0.005, min_count: int = 20, m
 
 
 def fired(sets: DataFrame, rules: DataFrame, few: int = 100_000) -> DataFrame:
-    """(items, mined_rule) for the token sets in which a rule fires: the rule of the highest confidence, then the first by name. Up to `few` rows of the index are broadcast."""
+    """(items, mined_rule) for the token sets in which a rule fires: the rule of the highest confidence, then the first by name. Up to `few` rows of
+    the index are broadcast."""
     index = stored(rules.select("rule", "confidence", F.size("antecedent").alias("needs"), F.explode("antecedent").alias("token")), "rule-index")
     index = F.broadcast(index) if index.count() <= few else index
     hits = sets.select("items", F.explode("items").alias("token")).join(index, "token")
@@ -105,7 +106,16 @@ def parsed(pages: DataFrame, url: str = "url", page_id: str = "page_id", rules=R
     return rows.withColumns({"rule": rule, "says": says})
 
 
-def judge(pages: DataFrame, labels: DataFrame | None = None, url: str = "url", page_id: str = "page_id", rules=RULES, few: int = 100_000, salts: int = 32, **mining) -> DataFrame:
+def judge(
+    pages: DataFrame,
+    labels: DataFrame | None = None,
+    url: str = "url",
+    page_id: str = "page_id",
+    rules=RULES,
+    few: int = 100_000,
+    salts: int = 32,
+    **mining,
+) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, mined_rule. labels: (page_id, bad); None: the verdicts of the listed rules."""
     rows = stored(parsed(pages, url, page_id, rules), "urls")
     if labels is None:
@@ -119,7 +129,8 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, url: str = "url", p
 
 
 def held_out_counts(pages: DataFrame, url: str = "url", rules=RULES, **mining) -> DataFrame:
-    """How well mined rules foretell which urls the list blocks, of those that they weren't mined from: (bad, fired, n) over the third of urls by CRC-32 that is held out."""
+    """How well mined rules foretell which urls the list blocks, of those that they weren't mined from: (bad, fired, n) over the third of urls by
+    CRC-32 that is held out."""
     rows = stored(parsed(pages.withColumn("__held", F.crc32(F.coalesce(F.col(f"`{url}`"), F.lit("")).cast("binary")) % 3 == 1), url, "__held", rules), "listed")
     rows = rows.select("items", F.col("says").eqNullSafe("block").alias("bad"), F.col("page_id").alias("held"))
     test = rows.filter("held")

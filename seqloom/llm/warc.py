@@ -72,7 +72,17 @@ def records(page: int | None, part: str, target: str | None, sha1: str, payload:
         yield record("response", piece, name, told + number + total) if i == 1 else record("continuation", piece, f"{name}:{i}", f"WARC-Segment-Origin-ID: <{name}>\r\n{number}{total}")
 
 
-def write(rows: DataFrame, path: str, id: str = "page_id", target: str = "url", payload: str = "html", dedupe: int = 1000, chunk: int = 4096, segment: int = 16384, file_bytes: int = 32 << 20) -> None:
+def write(
+    rows: DataFrame,
+    path: str,
+    id: str = "page_id",
+    target: str = "url",
+    payload: str = "html",
+    dedupe: int = 1000,
+    chunk: int = 4096,
+    segment: int = 16384,
+    file_bytes: int = 32 << 20,
+) -> None:
     """The rows as archives in a folder. A file has about file_bytes at most, as far as records are of usual size."""
     raw = utf8(payload)
     small = stored(rows.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.sha1(raw).alias("sha1"), F.octet_length(raw).cast("bigint").alias("n")), "payloads")
@@ -225,7 +235,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def digests(read_back: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of each record; a revisit's from the record it refers to. A payload that doesn't match its header has no digest."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of each record; a revisit's from the record it refers to. A payload that doesn't
+    match its header has no digest."""
     facts = stored(read_back.select("page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("bigint").alias("n"), F.sha1("payload").alias("sha1")), "records")
     first = facts.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), F.col("sha1").alias("digest")).agg(F.max("n").alias("n2"))
     out = facts.join(first, ["refers_to", "digest"], "left")
