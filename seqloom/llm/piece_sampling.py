@@ -35,7 +35,7 @@ from seqloom.llm.common import list_array, mixed, utf8
 
 SPACE = "▁"
 NONE = -(2**31)
-KNOWN_NODES = 3_000_000
+KNOWN_NODES = 1_500_000
 FACTOR = np.uint64(0xD6E8FEB86659FD93)
 
 
