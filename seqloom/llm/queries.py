@@ -8,7 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import exact_dedup, jaccard_join, mixing, piece_sampling, quality_model, quality_rules, secrets, sharding, url_filter, warc
+from seqloom.llm import (
+    collision_search,
+    conversation_repair,
+    exact_dedup,
+    jaccard_join,
+    mixing,
+    piece_sampling,
+    quality_model,
+    quality_rules,
+    secrets,
+    sharding,
+    token_alignment,
+    url_filter,
+    warc,
+)
 from seqloom.llm.common import new_path, stored, table
 
 
@@ -74,8 +88,42 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_search.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, vector="embedding")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_repair.repaired(conversation_repair.damaged(turns), turns)
+
+
+#: A tokenizer file that every executor has.
+BYTE_BPE = os.environ.get("SEQLOOM_BYTE_BPE", "/opt/tokenizers/byte_bpe_50k.json")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.with_counts(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_MODEL)
+
+
+OPERATORS = (
+    op1_url_filters,
+    op2_quality_classifier,
+    op3_warc,
+    op4_sentencepiece,
+    op5_exact_dedup,
+    op6_mixing,
+    op7_sharding,
+    op8_quality_rules,
+    op9_jaccard_join,
+    op10_secret_scans,
+    op11_nearest_neighbours,
+    op12_conversation_repair,
+    op13_token_alignment,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_warc, op4_sentencepiece, op5_exact_dedup, op6_mixing, op7_sharding, op8_quality_rules, op9_jaccard_join, op10_secret_scans)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
