@@ -60,7 +60,6 @@ class ByteTokens:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
@@ -72,8 +71,15 @@ class ByteTokens:
         self.bytes = [b"" if i in special else spelt[i] for i in range(max(spelt) + 1)]
         self.sizes = np.array([len(b) for b in self.bytes], dtype=np.int64)
         self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks={b: i for i, b in enumerate(self.bytes) if b}, special_tokens={})
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.path = path
+
+    @functools.cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
 
     def __call__(self, text: str) -> list[int]:
         if BLANKS.search(text):
@@ -135,30 +141,37 @@ def align(text: str | None, a: ByteTokens, b: PieceTokens) -> tuple[np.ndarray,
     return ids[0], ids[1], sizes[0], sizes[1]
 
 
-def aligned(docs: DataFrame, byte_path: str, piece_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, a, b, a_sizes, b_sizes) of each row: the ids of both tokenizers, and how many of them each group has."""
-    names = ["a", "b", "a_sizes", "b_sizes"]
+LISTS = ("a", "b", "a_sizes", "b_sizes")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = tokenizers(byte_path, piece_path)
 
-        def batch(ids: list, found: list[tuple]) -> pa.RecordBatch:
-            lists = [list_array(np.concatenate(x) if x else NONE, [len(y) for y in x], pa.int32()) for x in (zip(*found) if found else [()] * 4)]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], ["doc_id", *names])
+def _aligned(batches: Iterator[pa.RecordBatch], byte_path: str, piece_path: str) -> Iterator[pa.RecordBatch]:
+    """Batches of (doc_id, a, b, a_sizes, b_sizes), of BATCH_TOKENS tokens and a document more at most, from batches of (doc_id, text)."""
+    a, b = tokenizers(byte_path, piece_path)
+
+    def batch(ids: list, found: list[tuple]) -> pa.RecordBatch:
+        lists = [list_array(np.concatenate(x) if x else NONE, [len(y) for y in x], pa.int32()) for x in (zip(*found) if found else [()] * 4)]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], ["doc_id", *LISTS])
+
+    for t in batches:
+        ids, found, n = [], [], 0
+        for i in range(len(t)):
+            ids.append(t.column(0)[i].as_py())
+            found.append(align(t.column(1)[i].as_py(), a, b))
+            n += len(found[-1][0]) + len(found[-1][1])
+            if n > BATCH_TOKENS:
+                yield batch(ids, found)
+                ids, found, n = [], [], 0
+        yield batch(ids, found)
 
-        for t in batches:
-            ids, found, n = [], [], 0
-            for i in range(len(t)):
-                ids.append(t.column(0)[i].as_py())
-                found.append(align(t.column(1)[i].as_py(), a, b))
-                n += len(found[-1][0]) + len(found[-1][1])
-                if n > BATCH_TOKENS:
-                    yield batch(ids, found)
-                    ids, found, n = [], [], 0
-            yield batch(ids, found)
 
-    some = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return some.mapInArrow(rows, "doc_id bigint, " + ", ".join(f"{c} array<int>" for c in names))
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+
+
+def aligned(docs: DataFrame, byte_path: str, piece_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, a, b, a_sizes, b_sizes) of each row: the ids of both tokenizers, and how many of them each group has."""
+    rows = lambda batches: _aligned(batches, byte_path, piece_path)
+    return _texts(docs, doc_id, text).mapInArrow(rows, "doc_id bigint, " + ", ".join(f"{c} array<int>" for c in LISTS))
 
 
 def _digits(n: int) -> np.ndarray:
@@ -186,33 +199,40 @@ def groups_text(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.n
     return flat[flat != 0][:-1].tobytes()
 
 
+LINKS = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, keys array<bigint>, times array<int>"
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    digits = _digits(1)
+    for t in batches:
+        lists = [t.column(i) for i in range(1, 5)]
+        flat = [x.flatten().to_numpy() for x in lists]
+        ends = [np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64) for x in lists]
+        most = int(max((x.max(initial=0) for x in flat[:2]), default=0))
+        if most >= len(digits):
+            digits = _digits(most + 1)
+        shas, keys, times = [], [], []
+        for i in range(len(t)):
+            a, b, a_sizes, b_sizes = (x[e[i] : e[i + 1]] for x, e in zip(flat, ends))
+            shas.append(hashlib.sha256(groups_text(a, b, a_sizes, b_sizes, digits)).hexdigest() if len(a) else "")
+            linked = b[np.cumsum(b_sizes) - 1].astype(np.int64) << 32 | a[np.cumsum(a_sizes) - 1]
+            found, n = np.unique(linked, return_counts=True)
+            keys.append(found)
+            times.append(n.astype(np.int32))
+        n = [pa.array(np.diff(e), pa.int64()) for e in ends[:3]]
+        packed = [list_array(np.concatenate(x) if x else np.zeros(0, np.int64), [len(y) for y in x], k) for x, k in ((keys, pa.int64()), (times, pa.int32()))]
+        yield pa.RecordBatch.from_arrays([t.column(0), *n, n[2], pa.array(shas, pa.string()), *packed], [c.split()[0] for c in LINKS.split(", ")])
+
+
 def links(rows: DataFrame) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, groups_sha256, keys, times) of aligned documents: their numbers, and the distinct keys of their links with
     how often each occurs. As every token has a byte at least, a group ends with one link."""
+    return rows.mapInArrow(_linked, LINKS)
 
-    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digits = _digits(1)
-        for t in batches:
-            lists = [t.column(i) for i in range(1, 5)]
-            flat = [x.flatten().to_numpy() for x in lists]
-            ends = [np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64) for x in lists]
-            most = int(max((x.max(initial=0) for x in flat[:2]), default=0))
-            if most >= len(digits):
-                digits = _digits(most + 1)
-            shas, keys, times = [], [], []
-            for i in range(len(t)):
-                a, b, a_sizes, b_sizes = (x[e[i] : e[i + 1]] for x, e in zip(flat, ends))
-                shas.append(hashlib.sha256(groups_text(a, b, a_sizes, b_sizes, digits)).hexdigest() if len(a) else "")
-                linked = b[np.cumsum(b_sizes) - 1].astype(np.int64) << 32 | a[np.cumsum(a_sizes) - 1]
-                found, n = np.unique(linked, return_counts=True)
-                keys.append(found)
-                times.append(n.astype(np.int32))
-            n = [pa.array(np.diff(e), pa.int64()) for e in ends[:3]]
-            packed = [list_array(np.concatenate(x) if x else np.zeros(0, np.int64), [len(y) for y in x], kind) for x, kind in ((keys, pa.int64()), (times, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([t.column(0), *n, n[2], pa.array(shas, pa.string()), *packed], names)
-
-    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "keys", "times"]
-    return rows.mapInArrow(summaries, "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, keys array<bigint>, times array<int>")
+
+def linked_texts(docs: DataFrame, byte_path: str, piece_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`links` of `aligned` in one pass of one worker, so that tokens don't leave it."""
+    return _texts(docs, doc_id, text).mapInArrow(lambda batches: _linked(_aligned(batches, byte_path, piece_path)), LINKS)
 
 
 def _run_sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -358,7 +378,7 @@ def with_counts(docs: DataFrame, byte_path: str, piece_path: str, doc_id: str =
     for path in (byte_path, piece_path):
         if not os.path.exists(path):
             raise FileNotFoundError(path)
-    found = stored(links(aligned(docs, byte_path, piece_path, doc_id, text)), "links")
+    found = stored(linked_texts(docs, byte_path, piece_path, doc_id, text), "links")
     folder = new_path(docs.sparkSession, "counts")
     manifest = stored(count_shards(stored(partial_counts(found), "partial-counts"), folder), "shards").collect()
     return counted(found, manifest, folder)

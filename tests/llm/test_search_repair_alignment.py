@@ -261,6 +261,17 @@ def test_alignment_of_nothing_and_of_long_texts(spark):
         token_alignment.with_counts(empty, "/no/such/file", queries.PIECE_MODEL)
 
 
+def test_aligned_tokens_spell_the_text(spark):
+    """The operator's own table: ids and group sizes, whose links are those of the fused pass."""
+    df = spark.createDataFrame(list(enumerate(ODD)), "doc_id bigint, text string")
+    rows = token_alignment.aligned(df, queries.BYTE_BPE, queries.PIECE_MODEL)
+    a, b = token_alignment.tokenizers(queries.BYTE_BPE, queries.PIECE_MODEL)
+    for r in rows.collect():
+        assert sum(r["a_sizes"]) == len(r["a"]) and sum(r["b_sizes"]) == len(r["b"]) and len(r["a_sizes"]) == len(r["b_sizes"])
+        assert not r["a"] or b"".join(a.bytes[i] for i in r["a"]) == b"".join(b.bytes[i] for i in r["b"]) == (" " + ODD[r["doc_id"]]).encode()
+    assert sorted(token_alignment.links(rows).collect()) == sorted(token_alignment.linked_texts(df, queries.BYTE_BPE, queries.PIECE_MODEL).collect())
+
+
 def test_shards_hold_sorted_keys_on_disk(spark, tmp_path):
     rng = np.random.default_rng(6)
     keys = (rng.integers(0, 50, 5000) << 32 | rng.integers(0, 40, 5000)).tolist()
