@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -163,11 +164,15 @@ def group_centers(
     fit_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """(keys, center_id, center, n): k-means in each group of at least `least` rows (k by default). few: 'skip' smaller groups, give their rows 'raw',
-    or 'shrink' k to half their rows.
+    or 'shrink' k to half their rows, or take the 'sqrt' of their number, k at most.
 
     All rows of a group count. A group of up to fit_rows rows is fitted in one task, a larger one by distributed steps.
     """
-    least = k if least is None else least
+    least = (1 if few == "sqrt" else k) if least is None else least
+
+    def centers_of(n: int) -> int:
+        return min(k, {"shrink": n // 2, "sqrt": isqrt(n)}.get(few, k))
+
     rows = df.select(*keys, F.col(id).cast("bigint").alias("__id"), F.col(vector).cast("array<double>").alias("__v"))
     kinds = dict(df.dtypes)
     large, rows, whole = _large_groups(rows, keys, rows.groupBy(*keys).agg(F.count("*").alias("n")), fit_rows)
@@ -175,7 +180,7 @@ def group_centers(
     def fit(t: pa.Table) -> pa.Table:
         t = t.sort_by("__id")
         x = blocks.matrix(t, "__v")
-        size = min(k, len(x) // 2) if few == "shrink" else k
+        size = centers_of(len(x))
         if len(x) < least or size < 1:
             centers = x if few == "raw" else x[:0]
         else:
@@ -189,7 +194,7 @@ def group_centers(
     if not large:
         return out
     whole = stored(whole, "large-groups")
-    count = {g: (r["n"], min(k, r["n"] // 2) if few == "shrink" else k) for g, r in enumerate(large)}
+    count = {g: (r["n"], centers_of(r["n"])) for g, r in enumerate(large)}
     fitted = {g: (n, size) for g, (n, size) in count.items() if n >= least and size > 0}
     if few == "raw" and len(fitted) < len(large):
         raw = positioned(whole.filter(~F.col("__g").isin(list(fitted))), "__g", ["__id"])

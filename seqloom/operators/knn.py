@@ -19,7 +19,7 @@ from seqloom.functions import vec
 from seqloom.operators import sequence
 from seqloom.operators.cluster import coarse_cells, probed
 from seqloom.operators.sampling import draw, drawn
-from seqloom.storage import stored
+from seqloom.storage import new_path, stored
 
 METRICS = ("cosine", "l2", "dot")
 DIGITS = 6
@@ -50,11 +50,16 @@ def nearest(
     pool_vector: str = "feature",
     exclude_self: bool = False,
     block_rows: int = 2048,
+    cells: int = 0,
 ) -> DataFrame:
     """(query_id, rank from 1, pool_id, score): score is the similarity for cosine and dot and the distance for l2, rounded to six digits; ties go to
-    the smaller id."""
+    the smaller id. cells: above 0, the same rows by a search that skips units of rows around so many centers (`pruned.search`)."""
     if metric not in METRICS:
         raise ValueError(metric)
+    if cells:
+        from seqloom.operators import pruned
+
+        return pruned.search(queries, pool, keys, k, metric, query_id, pool_id, query_vector, pool_vector, exclude_self, block_rows, cells)[0]
     on = keys or ["__one"]
     same = [F.col(c).alias(c) for c in keys]  # new columns, for queries and pool may be one table
     q = queries.select(F.col(query_id).cast("bigint").alias("query_id"), *same, F.col(query_vector).alias("v")).filter("v is not null")
@@ -465,18 +470,39 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     return met.agg(F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("recall"))
 
 
+def probes_for(queries: DataFrame, index: tuple[DataFrame, np.ndarray], exact: DataFrame, target: float = 0.9, id: str = "frame_id", vector: str = "feature") -> int:
+    """The fewest probes by which the share `target` of the exact neighbours (query_id, pool_id) is found: in which of a query's cells they lie."""
+    pool, centers = index
+    cells = probed(queries.select(F.col(id).alias("query_id"), vector), centers, len(centers), vector)
+    nearer = F.row_number().over(Window.partitionBy("query_id").orderBy("__i"))
+    order = cells.withColumn("__i", F.monotonically_increasing_id()).select("query_id", "cell", nearer.alias("order"))
+    placed = exact.join(pool.select(F.col(id).alias("pool_id"), "cell"), "pool_id").join(order, ["query_id", "cell"])
+    found = {r["order"]: r["n"] for r in placed.groupBy("order").agg(F.count("*").alias("n")).collect()}  # a row for each number of cells
+    share = np.cumsum([found.get(i, 0) for i in range(1, len(centers) + 1)]) / max(sum(found.values()), 1)
+    return int(np.argmax(share >= target)) + 1
+
+
 def coarse_style_search(
     queries: DataFrame,
     styles: DataFrame,
     cells: int = 256,
-    probes: int = 8,
+    probes: int | None = None,
     k: int = 1,
     keys=("gender",),
     query_id: str = "utt",
     pool_id: str = "utt",
+    target: float = 0.9,
+    exclude_self: bool = False,
 ) -> DataFrame:
-    """(query_id, rank, pool_id, score): the styles nearest in cosine out of the nearest clusters of styles, of the same gender."""
-    return nearest_in_cells(queries, cell_index(styles, cells, id=pool_id), list(keys), k, probes, metric="cosine", query_id=query_id, pool_id=pool_id)
+    """(query_id, rank, pool_id, score): the styles nearest in cosine out of the nearest clusters of styles, of the same gender. Without probes, as many
+    clusters as it takes to find the share `target` of the exact neighbours of a sample of the queries."""
+    from seqloom.operators import ivf
+
+    ivf.save(styles, path := new_path(styles.sparkSession, "styles"), list(keys), cells, flat_below=1, id=pool_id)
+    index = ivf.load(styles.sparkSession, path)
+    if probes is None:
+        probes = ivf.probes_for(index, queries, k, target, query_id=query_id, exclude_self=exclude_self)
+    return ivf.search(index, queries, k, probes, query_id, metric="cosine", exclude_self=exclude_self)
 
 
 #: The retrievers by name, as `retriever` gives them.

@@ -99,15 +99,13 @@ def applied(df: DataFrame, w: np.ndarray, vector: str = "feature", out: str = "p
 
 
 def subspace(df: DataFrame, group: str, dims: int, components: int, vector: str = "feature", least: int = 1) -> dict[str, np.ndarray]:
-    """The directions in which the groups' means differ: orthonormal rows and the shares of variance they explain. Groups are speakers or phones:
-    their means come to the driver, as a matrix of groups x dims."""
+    """The directions in which the groups' means differ: orthonormal rows and the shares of variance they explain. Groups may be many, as speakers
+    are: their means stay on the executors (`sketches.leading`), the directions come to the driver."""
+    from seqloom.operators.sketches import leading
     from seqloom.operators.stats import centroids
 
-    means = centroids(df, [group], dims, vector, least).orderBy(group)
-    m = np.array([r["centroid"] for r in means.collect()], dtype=np.float64).reshape(-1, dims)
-    _, s, vt = np.linalg.svd(m - m.mean(0) if len(m) else m, full_matrices=False)
-    share = s**2 / max(float((s**2).sum()), 1e-300)
-    return {"basis": vt[: min(components, len(s))], "ratio": share[:components]}
+    found = leading(centroids(df, [group], dims, vector, least), components, "centroid")
+    return {"basis": found["components"].reshape(-1, dims), "ratio": found["ratio"]}
 
 
 def content_subspace(df: DataFrame, phones: int, dims: int, share: float = 0.95, phone: str = "phone") -> dict[str, np.ndarray]:

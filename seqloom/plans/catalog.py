@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import vec
-from seqloom.operators import cluster, knn, linalg, masking, metrics, prosody, sampling, sequence, stats
+from seqloom.operators import cluster, ivf, knn, linalg, masking, metrics, minibatch, prosody, pruned, sampling, sequence, sketches, stats
 from seqloom.sources import corpora
 from seqloom.sources.frames import frames, symbols, verified, with_utterances
+from seqloom.storage import new_path, stored
 
 DIMS = 64
 FR = "(SELECT vec_id AS frame_id, vec_id // 20 AS utt, (vec_id % 20)::INT AS t, embedding::DOUBLE[] AS f, label::INT AS phone, (vec_id % 7)::INT AS speaker, (vec_id % 2)::INT AS gender FROM embeddings)"
@@ -677,22 +678,108 @@ def knn_all_cells(spark, sf):
     return knn.nearest_in_cells(f, knn.cell_index(f, 8), ["phone"], 3, 8, metric="l2", exclude_self=True).select("query_id", "pool_id", "rank", "score")
 
 
+@query(f"WITH {_nearest_sql(L2, 'ASC', 3)} SELECT query_id, pool_id, rank, score FROM n")
+def knn_pruned(spark, sf):
+    f = frames(spark, sf)
+    return knn.nearest(f, f, ["phone"], 3, "l2", exclude_self=True, cells=16).select("query_id", "pool_id", "rank", "score")
+
+
+#: Parts as points of the plane: sizes and prices, between which distances differ enough for cells to be left out.
+POINTS = "(SELECT p_partkey AS id, [p_size::DOUBLE, p_retailprice / 20] AS f FROM part)"
+
+
+def _pruned_parts(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("frame_id"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 20).alias("feature"))
+    return pruned.search(p, p, [], 4, "l2", exclude_self=True, block_rows=128, cells=64)
+
+
+@query(f"""WITH p AS {POINTS}, s AS (SELECT q.id AS query_id, p.id AS pool_id, round(list_distance(q.f, p.f), 6) + 0.0 AS score FROM p q JOIN p ON p.id <> q.id)
+SELECT query_id, pool_id, row_number() OVER (PARTITION BY query_id ORDER BY score, pool_id)::INT AS rank, score FROM s QUALIFY rank <= 4""")
+def pruned_parts(spark, sf):
+    return _pruned_parts(spark, sf)[0].select("query_id", "pool_id", "rank", "score")
+
+
+@query()
+def pruned_parts_share(spark, sf):
+    return _pruned_parts(spark, sf)[1]
+
+
+def _index(spark, sf, keys, **how) -> ivf.Index:
+    """A saved index of the frames, opened again."""
+    ivf.save(frames(spark, sf), path := new_path(spark, "index"), keys, **how)
+    return ivf.load(spark, path)
+
+
+@query(f"WITH {_nearest_sql(COS, 'DESC', 3)} SELECT query_id, pool_id, rank, score FROM n")
+def index_by_phone_all_cells(spark, sf):
+    return ivf.search(_index(spark, sf, ["phone"], flat_below=20), frames(spark, sf), 3, 256, exclude_self=True).select("query_id", "pool_id", "rank", "score")
+
+
+def _tuned(spark, sf, keys, k=3, target=0.9, **how):
+    """(probes, recall) of an index with as many probes as its measured recall asks for, over all queries, each without itself."""
+    f, index = frames(spark, sf), _index(spark, sf, keys, **how)
+    probes = ivf.probes_for(index, f, k, target, exclude_self=True)
+    exact = knn.nearest(f, f, keys, k, exclude_self=True)
+    return knn.recall(ivf.search(index, f, k, probes, exclude_self=True), exact).select(F.lit(probes).alias("probes"), "recall")
+
+
+@query()
+def index_by_phone_recall(spark, sf):
+    return _tuned(spark, sf, ["phone"], flat_below=20)
+
+
+@query()
+def index_by_gender_recall(spark, sf):
+    return _tuned(spark, sf, ["gender"], most=1024, flat_below=100)
+
+
 @query()
 def knn_cells_recall(spark, sf):
     f = frames(spark, sf)
-    return knn.recall(knn.nearest_in_cells(f, knn.cell_index(f, 8), [], 3, 4, exclude_self=True), knn.nearest(f, f, [], 3, exclude_self=True))
+    index, exact = knn.cell_index(f, 8), stored(knn.nearest(f, f, [], 3, exclude_self=True), "exact")
+    probes = knn.probes_for(f, index, exact, 0.9)
+    return knn.recall(knn.nearest_in_cells(f, index, [], 3, probes, exclude_self=True), exact)
+
+
+@query(f"WITH {STYLES}, s AS (SELECT q.utt AS query_id, p.utt AS pool_id, round(list_cosine_similarity(q.s, p.s), 6) AS score FROM u q JOIN u p ON p.gender = q.gender AND p.utt <> q.utt) SELECT query_id, 1 AS rank, arg_min(pool_id, (-score, pool_id)) AS pool_id, max(score) AS score FROM s GROUP BY query_id")
+def style_search_all_cells(spark, sf):
+    u = styles(spark, sf)
+    return knn.coarse_style_search(u, u, cells=4, probes=4, exclude_self=True)
 
 
 @query()
 def style_coarse_search(spark, sf):
     u = styles(spark, sf)
-    return knn.coarse_style_search(u, u, cells=4, probes=2)
+    return knn.coarse_style_search(u, u, cells=8, exclude_self=True)
+
+
+@query()
+def style_coarse_recall(spark, sf):
+    u = styles(spark, sf)
+    return knn.recall(knn.coarse_style_search(u, u, cells=8, exclude_self=True), knn.nearest(u, u, ["gender"], 1, query_id="utt", pool_id="utt", exclude_self=True))
 
 
 @query()
 def retrieve_window(spark, sf):
-    f = frames(spark, sf).join(styles(spark, sf).select("utt", F.col("feature").alias("style")), "utt").withColumnRenamed("utt", "win")
-    return long_vector(knn.window_retriever(f.filter("win % 2 = 0 AND t < 15"), f.filter("win % 2 = 1"), list(range(10))), ["win", "i"], "feature")
+    f = frames(spark, sf).join(styles(spark, sf).select("utt", F.col("feature").alias("style")), "utt")
+    cut = lambda n: f.withColumn("win", F.floor(F.col("frame_id") / n)).withColumn("t", F.col("frame_id"))
+    return long_vector(knn.window_retriever(cut(15), cut(20), list(range(10))), ["win", "i"], "feature")
+
+
+@query()
+def minibatch_codebook(spark, sf):
+    f = frames(spark, sf)
+    batches = minibatch.segments(f, [(0, f.agg(F.max("frame_id") + 1).first()[0])], 400)
+    state = minibatch.fitted(batches, 8, new_path(spark, "codebook"))
+    rows = [(i, int(n), [float(v) for v in c]) for i, (n, c) in enumerate(zip(state.rows, state.centers))]
+    return long_vector(spark.createDataFrame(rows, "center_no int, n bigint, center array<double>"), ["center_no", "n"], "center")
+
+
+@query()
+def incremental_pca(spark, sf):
+    model = sketches.incremental_pca(frames(spark, sf), 8, batch=500)
+    rows = [(i, float(v), [float(x) for x in c]) for i, (v, c) in enumerate(zip(model["variance"], model["components"]))]
+    return long_vector(spark.createDataFrame(rows, "component int, variance double, direction array<double>"), ["component", "variance"], "direction")
 
 
 @query("WITH g AS (SELECT (vec_id // 20) % 2 AS pattern, label, vec_id % 2 AS gender, count(*) AS n FROM embeddings GROUP BY ALL) SELECT count(*) AS groups, count(*) FILTER (n < 10) AS skipped, coalesce(sum(n) FILTER (n < 10), 0)::BIGINT AS rows_skipped FROM g")
@@ -867,10 +954,10 @@ def outcome_counts(spark, sf):
     return stats.outcome(spark.read.parquet(f"{sf}/orders.parquet"), F.col("o_orderstatus") == "F")
 
 
-@query("SELECT 'a' AS part, vec_id AS row_id FROM embeddings WHERE vec_id < 100 UNION ALL SELECT 'b', vec_id + 100 FROM embeddings WHERE vec_id < 50")
+@query("SELECT 'a' AS part, vec_id AS row_id FROM embeddings UNION ALL SELECT 'b', doc_id + (SELECT max(vec_id) + 1 FROM embeddings) FROM documents")
 def merged_pools(spark, sf):
-    f = frames(spark, sf).select(F.col("frame_id").alias("row_id"))
-    return stats.merged({"a": f.filter("row_id < 100"), "b": f.filter("row_id < 50")}).select("part", "row_id")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("row_id"))
+    return stats.merged({"a": frames(spark, sf).select(F.col("frame_id").alias("row_id")), "b": docs}).select("part", "row_id")
 
 
 @query("SELECT round(avg(o_totalprice), 4) AS avg_o_totalprice, count(*) AS n FROM orders")
