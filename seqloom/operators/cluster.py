@@ -286,14 +286,20 @@ def pseudo_bank(
 
 def purified_bank(df: DataFrame, encode: Callable[[np.ndarray], np.ndarray], dims: int, vector: str = "feature", out: str = "encoded", **how) -> DataFrame:
     """A bank whose clusters are those of an encoder's output: df with `out`, rows chosen by it. encode: a matrix of vectors to one of codes, such as
-    a model's; dims: of the codes."""
+    a model's; dims: of the codes. An encoder that must be loaded comes by `purified_bank_by`."""
+    return purified_bank_by(df, lambda: encode, dims, vector, out, **how)
 
-    @F.pandas_udf("array<double>")
-    def coded(x: pd.Series) -> pd.Series:
-        return pd.Series(list(np.asarray(encode(np.stack(x.to_numpy()).astype(np.float64)), dtype=np.float64)) if len(x) else [], dtype=object)
 
-    rows = stored(df.withColumn(out, coded(F.col(vector).cast("array<double>"))), "encoded")
-    return bank(rows, dims, search=out, **how)
+def purified_bank_by(df: DataFrame, load: Callable[[], Callable], dims: int, vector: str = "feature", out: str = "encoded", **how) -> DataFrame:
+    """purified_bank by an encoder that load makes, once a worker."""
+    from seqloom.functions.predict import with_layers
+
+    def model():
+        encode = load()
+        return lambda x: {"codes": np.asarray(encode(x), dtype=np.float64)}
+
+    coded = with_layers(df, model, {"codes": "array<double>"}, vector, "__layers")
+    return bank(stored(coded.withColumn(out, F.col("__layers.codes")).drop("__layers"), "encoded"), dims, search=out, **how)
 
 
 def quantized_pool(df: DataFrame, most: int = 64, least: int = 100) -> DataFrame:
@@ -368,6 +374,38 @@ def codebook_quality(codes: DataFrame, k: int, code: str = "code") -> DataFrame:
     return counts.agg(F.count_if(F.col("p") > 0.01).alias("active"), (-F.sum(F.col("p") * F.log2("p"))).alias("entropy_bits"))
 
 
+def codebooks(df: DataFrame, ks, vector: str = "feature", id: str = "frame_id", steps: int = 20) -> dict[int, np.ndarray]:
+    """`codebook` for each k, all of them stepped in one pass over the rows: as many passes as steps. What a pass sends is numbers by (k, code)."""
+    first = df.orderBy(id).limit(max(ks)).select(F.col(vector).cast("array<double>")).collect()
+    start = np.array([r[0] for r in first], dtype=np.float64)
+    centers, moving = {k: start[:k] for k in ks}, list(dict.fromkeys(ks))
+    slim = df.select(F.col(vector).cast("array<double>"))
+    for _ in range(steps):
+        if not moving:
+            break
+        now = [centers[k] for k in moving]
+
+        def partial(b: pa.RecordBatch, now=now) -> np.ndarray:
+            x, out = _matrix(b.column(0)), []
+            for c in now:
+                code, sums = _nearest(x, c), np.zeros_like(c)
+                np.add.at(sums, code, x)
+                out += [np.bincount(code, minlength=len(c)).astype(np.float64), sums.ravel()]
+            return np.concatenate(out)
+
+        total, at, still = _summed(slim, partial, sum(len(c) * (c.shape[1] + 1) for c in now)), 0, []
+        for k, c in zip(moving, now):
+            n = total[at : at + len(c)]
+            sums = total[at + len(c) : at + c.size + len(c)].reshape(c.shape)
+            at += c.size + len(c)
+            new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+            if np.abs(new - c).max(initial=0) >= 1e-9:
+                still.append(k)
+            centers[k] = new
+        moving = still
+    return centers
+
+
 def codebook_sweep(
     df: DataFrame,
     ks=(4, 8, 16, 32),
@@ -379,9 +417,12 @@ def codebook_sweep(
 ) -> DataFrame:
     """(k, silhouette, ari, nmi, active, entropy_bits, verdict) of a codebook of each size: how well its codes part the vectors, how little they tell
     of the label. sample: rows of the silhouette."""
-    out = None
-    for k in ks:
-        codes = stored(encode(df, codebook(df, k, vector, id, steps), vector), f"codes{k}")
+    out, centers, coded = None, codebooks(df, ks, vector, id, steps), df
+    for k in centers:
+        coded = encode(coded, centers[k], vector, f"__code{k}")
+    coded = stored(coded, "codes")
+    for k in centers:
+        codes = coded.withColumn("code", F.col(f"__code{k}"))
         parts = F.broadcast(metrics.silhouette(codes, "code", id, vector, sample=sample)), F.broadcast(metrics.agreement(codes, "code", label)), F.broadcast(codebook_quality(codes, k))
         row = parts[0].crossJoin(parts[1]).crossJoin(parts[2]).select(F.lit(k).alias("k"), "silhouette", "ari", "nmi", "active", "entropy_bits")
         out = row if out is None else out.unionByName(row)

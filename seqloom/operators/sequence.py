@@ -6,15 +6,14 @@ neighbouring rows that it needs, so a key that holds a third of all rows is spre
 
 from __future__ import annotations
 
-import math
-from itertools import accumulate
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import vec
 from seqloom.operators.sampling import draw
-from seqloom.storage import chunked, positioned, stored
+from seqloom.storage import CHUNK, chunked, positioned, stored
 
 
 def _window(key: str) -> Window:
@@ -93,19 +92,50 @@ def moving_average(df: DataFrame, key: str, order: list[str], value: str, k: int
     return out.select(key, "pos", value, F.when(F.col("n") < 3, F.col(value)).otherwise(smooth).alias("smooth"))
 
 
-def ema(df: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.3) -> DataFrame:
-    """(key, pos, value, ema): y = alpha x + (1 - alpha) y', the first value as it is. A chunk starts as many rows early as it takes for what came
-    before to weigh less than 1e-17."""
-    rows = chunked(df.select(key, *order, value), key, order, before=1 if alpha >= 1 else math.ceil(math.log(1e-17) / math.log(1 - alpha)))
-
-    def smooth(pdf):
-        pdf = pdf.sort_values("pos")
-        return pdf.assign(ema=list(accumulate(pdf["v"].tolist(), lambda y, x: alpha * x + (1 - alpha) * y)))
-
-    kind = dict(df.dtypes)[key]
-    plain = rows.select(key, "chunk", "pos", "halo", F.col(value).cast("double").alias("v"))
-    out = plain.groupBy(key, "chunk").applyInPandas(smooth, f"`{key}` {kind}, chunk bigint, pos bigint, halo boolean, v double, ema double")
-    return out.filter("not halo").select(key, "pos", F.col("v").alias(value), "ema")
+def scanned(x: np.ndarray, decay: float, block: int = 64) -> np.ndarray:
+    """y with y[i] = x[i] + decay * y[i - 1], y[-1] = 0: blocks of rows by one triangular matrix, what they end with by the same scan over blocks."""
+    n = len(x)
+    if n <= 1:
+        return x.astype(np.float64)
+    size = min(block, n)
+    place = np.arange(size)
+    steps = place[:, None] - place[None, :]
+    within = np.where(steps >= 0, np.power(decay, np.maximum(steps, 0)), 0.0)
+    rows = np.concatenate([x, np.zeros(-n % size)]).reshape(-1, size) @ within.T
+    if len(rows) > 1:
+        ends = scanned(rows[:, -1], decay**size, block)
+        rows[1:] += ends[:-1, None] * np.power(decay, place + 1)[None, :]
+    return rows.ravel()[:n]
+
+
+def ema(df: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.3, chunk: int = CHUNK) -> DataFrame:
+    """(key, pos, value, ema): y = alpha x + (1 - alpha) y', the first value as it is. A chunk of a sequence is an affine map of the y before it: chunks are
+    scanned by themselves, their maps composed (a number a chunk), and what comes in is added, by its weight at each row."""
+    kind, decay = dict(df.dtypes)[key], 1 - alpha
+    rows = positioned(df.select(key, *order, value), key, order)
+    plain = rows.select(key, F.floor(F.col("pos") / chunk).alias("chunk"), "pos", F.col(value).cast("double").alias("v"))
+
+    def local(t: pa.Table) -> pa.Table:
+        t = t.sort_by("pos")
+        x, first = t.column("v").to_numpy(), t.column("pos")[0].as_py() == 0
+        steps = alpha * x
+        if first:
+            steps[0] = x[0]
+        return t.append_column("y", pa.array(scanned(steps, decay)))
+
+    schema = f"`{key}` {kind}, chunk bigint, pos bigint, v double, y double"
+    found = stored(plain.groupBy(key, "chunk").applyInArrow(local, schema), "ema")
+    ends = found.groupBy(key, "chunk").agg(F.max_by("y", "pos").alias("y"))
+
+    def carried(t: pa.Table) -> pa.Table:
+        t = t.sort_by("chunk")  # all chunks of a key but the last have `chunk` rows; a number a chunk
+        y = scanned(t.column("y").to_numpy(), decay**chunk)
+        return pa.table([t.column(key), pa.array(t.column("chunk").to_numpy() + 1), pa.array(y)], names=["__key", "__chunk", "__in"])
+
+    into = ends.groupBy(key).applyInArrow(carried, f"__key {kind}, __chunk bigint, __in double")
+    out = found.join(into, found[key].eqNullSafe(into["__key"]) & (found["chunk"] == into["__chunk"]), "left")
+    weight = F.pow(F.lit(float(decay)), F.col("pos") % chunk + 1)
+    return out.select(key, "pos", F.col("v").alias(value), (F.col("y") + F.coalesce(F.col("__in") * weight, F.lit(0.0))).alias("ema"))
 
 
 def lagged(df: DataFrame, key: str, order: list[str], columns: list[str], by: int = 1) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.functions import vec
+from seqloom.functions import predict, vec
 from seqloom.operators import cluster, ivf, knn, linalg, masking, metrics, minibatch, prosody, pruned, sampling, sequence, sketches, stats
-from seqloom.sources import corpora
+from seqloom.plans import resume
+from seqloom.sources import bucketed, corpora, npy
 from seqloom.sources.frames import frames, symbols, verified, with_utterances
 from seqloom.storage import new_path, stored
 
@@ -803,6 +805,36 @@ def codebook_quality(spark, sf):
     return cluster.codebook_quality(cluster.encode(f, cluster.codebook(f, 16, steps=5)), 16)
 
 
+@query("SELECT vec_id AS frame_id, (vec_id % 7)::BIGINT AS symbol, (vec_id % 2)::BIGINT AS gender, label::BIGINT AS phone, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
+def npy_pool(spark, sf):
+    f = frames(spark, sf).withColumn("symbol", F.col("speaker"))
+    npy.write_pool(f.repartitionByRange("frame_id").sortWithinPartitions("frame_id"), path := new_path(spark, "npy"))
+    rows = npy.read_pool(spark, path)
+    return rows.select("frame_id", "symbol", "gender", "phone", F.round(vec.total(F.col("feature").cast("array<double>")), 4).alias("total"))
+
+
+@query(f"SELECT utt, count(*) AS n, round(avg(f[1]), 6) AS first FROM {FR} GROUP BY utt")
+def resumed_step(spark, sf):
+    work = lambda rows: rows.groupBy("utt").agg(F.count("*").alias("n"), F.round(F.avg(F.col("feature")[0]), 6).alias("first"))
+    return resume.in_buckets(frames(spark, sf), work, new_path(spark, "step"), "utt", buckets=8, at_once=4)
+
+
+@query(f"SELECT frame_id, round(list_sum(list_transform(f, lambda x: abs(x))), 6) AS size, (list_position(f, list_max(f)) - 1)::BIGINT AS best FROM {FR}")
+def model_layers(spark, sf):
+    load = lambda: lambda x: {"size": np.abs(x).sum(1), "best": x.argmax(1)}
+    rows = predict.with_layers(frames(spark, sf), load, {"size": "double", "best": "bigint"})
+    return rows.select("frame_id", F.round("layers.size", 6).alias("size"), F.col("layers.best").alias("best"))
+
+
+@query(f"WITH {_nearest_sql(L2, 'ASC', 4)} SELECT query_id, i - 1 AS dim, round(avg(pf[i]), 6) AS value FROM n, {DIM} GROUP BY query_id, i")
+def bucketed_topk_mean(spark, sf):
+    f = frames(spark, sf)
+    name = f"pool_{uuid.uuid4().hex[:12]}"
+    pool = bucketed.save(f.select("frame_id", "phone", "feature"), name, ["frame_id"], 8, new_path(spark, "bucketed"))
+    found = knn.nearest(f, pool, ["phone"], 4, "l2", exclude_self=True)
+    return long_vector(knn.mean_of(found, pool, DIMS), ["query_id"], "vector")
+
+
 # Samples and filters
 
 

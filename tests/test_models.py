@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seqloom.functions import predict
 from seqloom.operators import cluster, linalg, minibatch, sketches
 
 DIMS = 12
@@ -112,3 +113,50 @@ def test_fewer_rows_than_centers(spark, frames, tmp_path):
     state = minibatch.fitted([frames.filter("frame_id < 3"), frames.limit(0)], 9, f"file://{tmp_path}/few")
     assert state.centers.shape == (3, DIMS) and state.rows.tolist() == [1, 1, 1] and state.batch == 1
     assert cluster.encode(frames.filter("frame_id < 3"), state.centers).count() == 3
+
+
+def test_codebooks_of_several_sizes_in_shared_passes(frames, monkeypatch):
+    some = frames.filter("feature is not null")
+    want = {k: cluster.codebook(some, k, steps=6) for k in (2, 5, 9)}
+    passes, summed = [], cluster._summed
+    monkeypatch.setattr(cluster, "_summed", lambda *a: passes.append(1) or summed(*a))
+    got = cluster.codebooks(some, (2, 5, 9), steps=6)
+    assert all(got[k] == pytest.approx(want[k]) for k in want) and len(passes) <= 6
+
+
+def test_models_are_loaded_once_a_worker(spark, frames, vectors, tmp_path):
+    weights = np.random.default_rng(9).normal(size=(DIMS, 3))
+    loads = tmp_path / "loads"
+    loads.mkdir()
+
+    def load():
+        import os
+        import uuid
+
+        (loads / f"{os.getpid()}-{uuid.uuid4().hex}").touch()
+        return lambda x: {"low": np.tanh(x), "high": x @ weights, "best": (x @ weights).argmax(1)}
+
+    out = predict.with_layers(frames, load, {"low": "array<double>", "high": "array<double>", "best": "bigint"}, batch_bytes=8 * DIMS * 10)
+    rows = out.orderBy("frame_id").collect()
+    for r in rows[:-1]:
+        x = vectors[r["frame_id"]]
+        assert r["layers"]["low"] == pytest.approx(np.tanh(x)) and r["layers"]["high"] == pytest.approx(x @ weights) and r["layers"]["best"] == (x @ weights).argmax()
+    assert rows[-1]["layers"] is None
+    names = [p.name.split("-")[0] for p in loads.iterdir()]
+    assert len(names) == len(set(names)) < 21, "a worker has loaded it twice"
+
+
+def test_stored_models_are_told_apart(spark, frames, vectors, tmp_path):
+    rng = np.random.default_rng(1)
+    w = {"w0": rng.normal(size=(DIMS, 7)), "b0": rng.normal(size=7), "w1": rng.normal(size=(7, 4)), "b1": rng.normal(size=4)}
+    np.savez(tmp_path / "mlp.npz", **w)
+    np.savez(tmp_path / "lin.npz", mean=vectors[:-1].mean(0), components=np.eye(DIMS)[:3])
+    np.savez(tmp_path / "odd.npz", gamma=np.ones(3))
+    want = {i: int((np.maximum(x @ w["w0"] + w["b0"], 0) @ w["w1"] + w["b1"]).argmax()) for i, x in enumerate(vectors)} | {699: None}
+    assert {r["frame_id"]: r["label"] for r in predict.predicted(frames, str(tmp_path / "mlp.npz")).collect()} == want
+    want = {i: int((x - vectors[:-1].mean(0))[:3].argmax()) for i, x in enumerate(vectors)} | {699: None}
+    assert {r["frame_id"]: r["label"] for r in predict.predicted(frames, str(tmp_path / "lin.npz")).collect()} == want
+    with pytest.raises(ValueError, match="gamma"):
+        predict.load_model(str(tmp_path / "odd.npz"))
+    with pytest.raises(ValueError, match="there already"):
+        predict.predicted(frames, str(tmp_path / "mlp.npz"), out="speaker")

@@ -253,3 +253,18 @@ def test_target_gender(spark):
 def test_percentile_filter_leaves_out_what_is_not_a_number(spark):
     df = spark.createDataFrame([(0, 1.0), (0, 2.0), (0, 3.0), (0, float("nan")), (0, None)], "phone int, e double")
     assert sorted(r["e"] for r in stats.over_percentile(df, ["phone"], "e", 0.5).collect()) == [2.0, 3.0]
+
+def test_ema_by_chunks_is_the_recursion(spark):
+    """Chunks of any size, a smoothing that reaches far back, and one row."""
+    rng = np.random.default_rng(3)
+    rows = [(k, t, float(rng.normal())) for k, n in (("a", 500), ("b", 1), (None, 130)) for t in range(n)]
+    df = spark.createDataFrame(rows, "key string, t int, value double").repartition(5)
+    for alpha, chunk in ((0.3, 7), (0.001, 64), (1e-6, 33), (1.0, 10), (0.3, 65_536)):
+        got = {(r["key"], r["pos"]): r["ema"] for r in sequence.ema(df, "key", ["t"], "value", alpha, chunk).collect()}
+        for key in ("a", "b", None):
+            y = None
+            for t, v in sorted((t, v) for k, t, v in rows if k == key):
+                y = v if y is None else alpha * v + (1 - alpha) * y
+                assert got[key, t] == pytest.approx(y, abs=1e-12)
+    x = rng.normal(size=10_000)
+    assert sequence.scanned(x, 0.9)[-1] == pytest.approx((x * 0.9 ** np.arange(9_999, -1, -1)).sum())
