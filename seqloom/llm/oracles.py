@@ -129,6 +129,56 @@ SELECT doc_id, len(sh)::BIGINT AS n_shingles, component_id FROM s JOIN top USING
 """
 
 
+def crc32(text: str) -> str:
+    """The CRC-32 of an ASCII string, bit by bit."""
+    bit = "CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END"
+    byte = f"list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: {bit})"
+    codes = f"list_transform(string_split({text}, ''), lambda z: ascii(z)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: {byte}), 4294967295)"
+
+
+def repair() -> str:
+    """States 1 to 4: nothing, system, user, assistant. b: what the rest costs from each; w: the edits one by one."""
+    far, put = 1 << 40, "[3, 3, 4, 3]"
+    key = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+    white = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    keep = lambda s: f"CASE WHEN k = 'u' AND {s} <> 3 THEN 3 WHEN k = 'a' AND {s} = 3 THEN 4 WHEN k = 's' AND {s} = 1 THEN 2 END"
+    stays = f"CASE WHEN fault IN (1, 2) THEN {far} ELSE least(b[{put}[s]] + 2, coalesce(b[{keep('s')}], {far})) + (fault = 3)::INT END"
+    closed = lambda x: f"list_transform(range(1, 5), lambda s: least({x}[s], {x}[{put}[s]] + 2))"
+    return f"""
+WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32(key)} % 20 AS h FROM conversations),
+e AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+  CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM d WHERE h <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) - 1 AS pos, rtrim(text, {white}) AS solid FROM e),
+f AS MATERIALIZED (SELECT conv_id, turn, role, text, pos, left(role, 1) AS k, CASE WHEN solid = '' THEN 1
+  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 2 WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM p),
+n AS (SELECT conv_id, count(*) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 1) AS blank,
+  count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (before || k NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id),
+r AS (SELECT conv_id, n AS pos, [0, 4, 2, 0]::BIGINT[] AS b FROM n UNION ALL
+  SELECT conv_id, pos, {closed('c')} FROM (SELECT conv_id, pos, {closed('x')} AS c FROM
+    (SELECT r.conv_id, f.pos, list_transform(range(1, 5), lambda s: least(b[s] + 3, {stays})) AS x
+     FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.pos = r.pos - 1))),
+m AS MATERIALIZED (SELECT r.conv_id, r.pos, r.b, after.b AS z, f.k, f.role, f.text, coalesce(f.fault, 0) AS fault, f.pos IS NULL AS over FROM r
+  LEFT JOIN r AS after ON after.conv_id IS NOT DISTINCT FROM r.conv_id AND after.pos = r.pos + 1
+  LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.pos = r.pos),
+w AS (SELECT conv_id, 0::BIGINT AS pos, 1 AS s, '' AS audit, []::VARCHAR[] AS lines, false AS done FROM n UNION ALL
+  SELECT conv_id, CASE WHEN edit IN ('I', '') THEN pos ELSE pos + 1 END, CASE edit WHEN 'K' THEN kept WHEN 'I' THEN {put}[s] WHEN 'R' THEN {put}[s] ELSE s END,
+    audit || edit, CASE edit WHEN 'K' THEN list_append(lines, role || ':' || text) WHEN 'I' THEN list_append(lines, said)
+      WHEN 'R' THEN list_append(lines, said || text) ELSE lines END, edit = ''
+  FROM (SELECT w.*, m.role, m.text, {keep('w.s')} AS kept, CASE WHEN w.s = 3 THEN 'assistant:' ELSE 'user:' END AS said,
+    CASE WHEN NOT over AND z[w.s] + 3 = b[w.s] THEN 'D' WHEN over AND w.s IN (1, 4) THEN '' WHEN b[{put}[w.s]] + 2 = b[w.s] THEN 'I'
+      WHEN z[{keep('w.s')}] + (fault = 3)::INT = b[w.s] THEN 'K' ELSE 'R' END AS edit
+    FROM w JOIN m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.pos = w.pos WHERE NOT w.done))
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(m.b[1], 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM i.conv_id AND m.pos = 0 LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM i.conv_id AND w.done
+"""
+
+
 def sql() -> dict[str, str]:
     return {
         "op1_url_filters": url_filters(),
@@ -137,4 +187,5 @@ def sql() -> dict[str, str]:
         "op8_quality_rules": quality(),
         "op9_jaccard_join": JACCARD,
         "op10_secret_scans": secret_scans(),
+        "op12_conversation_repair": repair(),
     }
