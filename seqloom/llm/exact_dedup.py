@@ -3,8 +3,9 @@
 Each input task fills memtables (digest -> best identifier, number of rows). A full memtable is flushed as one
 sorted run: a row per digest range with the sorted digests (the leading 64 bits of a SHA-256), their identifiers, their counts and a Bloom filter.
 Compaction takes the runs of one digest range at a time. Digests that no other run's filter admits pass straight
-through, the others are merged, and the best identifier (largest here; smallest on request) is kept. Digests that
-more than one row has are hits. Their texts are read again and grouped byte for byte before any row counts as a copy.
+through, the others are merged, and the best identifier (largest here; smallest on request) is kept with the number of rows. Digests
+that more than one row has are hits: their rows take identifier and number from the index. Before, their texts are read again and compared byte
+for byte; where one digest stands for several texts, those are counted by themselves.
 
 The number of digest ranges follows the number of rows, and a memtable collapses copies, so a group that holds a
 third of all rows has one entry per run.
@@ -17,7 +18,6 @@ gives an empty result; further columns of the input are ignored by `verdicts` an
 from __future__ import annotations
 
 import hashlib
-import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,21 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Bloom, bloom_of, stored, utf8
+from seqloom.llm.common import Bloom, bloom_of, spread_join, stored, utf8
 
 NO_ID = -(2**63)
 
 
-def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, sha) for each row: the SHA-256, in lower-case hex, of the text after lower-casing A-Z only."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(t.lower()).hexdigest() for t in b.column(1).to_pylist()], pa.string())], ["doc_id", "sha"])
-
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), utf8(text).alias("text")).mapInArrow(rows, "doc_id bigint, sha string")
-
-
 def _fold(keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, largest: bool):
     """Sorted distinct digests, each with its best identifier (NO_ID: null) and its summed count."""
     order = np.argsort(keys, kind="stable")
@@ -153,24 +143,56 @@ class LsmIndex:
 
         return runs.groupBy("bucket").applyInArrow(last, "digest bigint, keep_id bigint, n bigint")
 
-    def hit_filter(self, compacted: DataFrame) -> Bloom:
-        """A filter over the digests that several rows have, of 32 MB at most."""
-        return bloom_of(compacted.filter("n > 1").select("digest"))
+    def hits(self, compacted: DataFrame) -> DataFrame:
+        """(digest, keep_id, n), stored: the digests that several rows have."""
+        return stored(compacted.filter("n > 1"), "hits")
 
-    def verified(self, docs: DataFrame, hits: Bloom, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-        """(sha, keep_id, group_size) of each group of texts that are equal byte for byte, from the rows that the filter admits. Grouping by the bytes
-        themselves collapses copies before the shuffle."""
-        index, best = self, F.max if self.largest else F.min
+    def hashed(self, hits: Bloom | None = None):
+        """A function from batches of (doc_id, text) to (doc_id, sha, digest), or, with a filter over digests, to those that it admits, with norm."""
+        index = self
 
-        def admitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 texts = [t.lower() for t in b.column(1).to_pylist()]
                 shas = [hashlib.sha256(t).hexdigest() for t in texts]
-                at = np.flatnonzero(hits.has(index.key(shas))) if shas else []
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array([shas[i] for i in at], pa.string()), pa.array([texts[i] for i in at], pa.binary())], ["doc_id", "sha", "norm"])
+                keys = index.key(shas)
+                columns = [b.column(0), pa.array(shas, pa.string()), pa.array(keys.view(np.int64))]
+                if hits is not None:
+                    at = pa.array(np.flatnonzero(hits.has(keys)), pa.int64())
+                    columns = [c.take(at) for c in columns] + [pa.array([texts[i] for i in at.to_pylist()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sha", "digest", "norm"][: len(columns)])
+
+        return rows
+
+    def verified(self, texts: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(digest, keep_id, n) of the hits whose rows are equal byte for byte, and (sha, keep_id, n) of groups within the digests of which that isn't so.
+
+        texts: (doc_id, text). The rows of hits are read again; grouping by digest and bytes collapses copies before the shuffle. A digest with
+        one text keeps what the index says of it; only the rows of others are counted anew."""
+        best = F.max if self.largest else F.min
+        admitted = self.hashed(bloom_of(hits.select("digest")))
+        rows = texts.mapInArrow(admitted, "doc_id bigint, sha string, digest bigint, norm binary")
+        found = stored(rows.groupBy("digest", "sha", "norm").agg(best("doc_id").alias("keep_id"), F.count("*").alias("n")).drop("norm"), "texts")
+        collided = stored(found.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest"), "collided")
+        apart = found.join(collided, "digest", "left_semi").filter("n > 1").select("sha", "keep_id", "n")
+        return hits.join(collided, "digest", "left_anti").select("digest", "keep_id", "n"), apart
+
+
+def _answers(docs: DataFrame, index: LsmIndex, text: str, doc_id: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(doc_id, sha, digest) of each row, the index's hits, and what `verified` makes of them."""
+    texts = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), utf8(f"`{text}`").alias("text"))
+    rows = stored(texts.mapInArrow(index.hashed(), "doc_id bigint, sha string, digest bigint"), "digests")
+    runs = stored(index.flush(rows, rows.count()), "runs")
+    hits = index.hits(index.compact(runs))
+    return rows, hits, *index.verified(texts, hits)
+
 
-        rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), utf8(text).alias("text")).mapInArrow(admitted, "doc_id bigint, sha string, norm binary")
-        return rows.groupBy("sha", "norm").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size")).drop("norm").filter("group_size > 1")
+def _judged(rows: DataFrame, whole: DataFrame, apart: DataFrame, salt) -> DataFrame:
+    """rows (sha, digest, ...) with keep_id and n of their group, null for texts that occur once. A group of any size is spread."""
+    out = spread_join(rows, whole, "digest", salt)
+    few = apart.select("sha", F.col("keep_id").alias("__keep"), F.col("n").alias("__n"))
+    out = spread_join(out, few, "sha", salt)
+    return out.withColumns({"keep_id": F.when(F.col("__n").isNull(), F.col("keep_id")).otherwise(F.col("__keep")), "n": F.coalesce("__n", "n")}).drop("__keep", "__n")
 
 
 def verdicts(
@@ -181,31 +203,33 @@ def verdicts(
     digest_bits: int = 64,
     memtable_rows: int = 200_000,
     fan: int = 32,
+    index: LsmIndex | None = None,
 ) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    index = LsmIndex(keep, digest_bits, memtable_rows, fan=fan)
-    rows = stored(digests(docs, text, doc_id), "digests")
-    runs = stored(index.flush(rows, rows.count()), "runs")
-    compacted = stored(index.compact(runs), "compacted")
-    groups = index.verified(docs, index.hit_filter(compacted), text, doc_id)
-    out = rows.join(groups, "sha", "left").withColumns({"group_size": F.coalesce("group_size", F.lit(1).cast("bigint")), "keep_id": F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))})
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. keep_id and group_size are the index's."""
+    index = index or LsmIndex(keep, digest_bits, memtable_rows, fan=fan)
+    rows, _, whole, apart = _answers(docs, index, text, doc_id)
+    out = _judged(rows, whole, apart, F.xxhash64("doc_id"))
+    out = out.withColumns({"group_size": F.coalesce("n", F.lit(1).cast("bigint")), "keep_id": F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))})
     return out.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "largest") -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "largest", digest_bits: int = 64) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat an identifier and a text, one stays. Rows that no hit touches are
-    passed on without a shuffle."""
-    index = LsmIndex(keep)
-    rows = stored(digests(docs, text, doc_id), "digests")
-    compacted = stored(index.compact(stored(index.flush(rows, rows.count()), "runs")), "compacted")
-    hits = index.hit_filter(compacted)
-
-    @F.pandas_udf("boolean")
-    def admitted(norm: pd.Series) -> pd.Series:
-        return pd.Series(hits.has(index.key([hashlib.sha256(t.lower()).hexdigest() for t in norm])), dtype=bool)
-
-    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"), utf8(text).alias("t")).withColumn("hit", admitted("t"))
-    best, worst = (F.max_by, -(2**63)) if keep == "largest" else (F.min_by, 2**63 - 1)
-    groups = marked.filter("hit").groupBy(F.expr(f"translate(decode(t, 'UTF-8'), '{string.ascii_uppercase}', '{string.ascii_lowercase}')").alias("norm"))
-    kept = groups.agg(best("r", F.coalesce(F.col(f"r.`{doc_id}`").cast("bigint"), F.lit(worst).cast("bigint"))).alias("r"))
-    return marked.filter("not hit").select("r.*").unionByName(kept.select("r.*"))
+    passed on without a shuffle; of groups, only the rows that the index keeps are moved."""
+    index = LsmIndex(keep, digest_bits)
+    _, hits, whole, apart = _answers(docs, index, text, doc_id)
+    bloom = bloom_of(hits.select("digest"))
+
+    @F.pandas_udf("sha string, digest bigint, hit boolean")
+    def hashed(texts: pd.Series) -> pd.DataFrame:
+        shas = [hashlib.sha256(t.lower()).hexdigest() for t in texts]
+        keys = index.key(shas)
+        return pd.DataFrame({"sha": shas, "digest": keys.view(np.int64), "hit": bloom.has(keys)})
+
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    marked = docs.select(own.alias("r"), hashed(utf8(f"`{text}`")).alias("h"))
+    number = F.col(f"r.`{doc_id}`").cast("bigint")
+    some = _judged(marked.filter("h.hit").select("r", "h.sha", "h.digest"), whole, apart, F.xxhash64(number))
+    alone = some.filter("n is null").select("r.*")
+    kept = some.filter(F.col("n").isNotNull() & number.eqNullSafe(F.col("keep_id"))).groupBy("sha").agg(F.first("r").alias("r"))
+    return marked.filter("not h.hit").select("r.*").unionByName(alone).unionByName(kept.select("r.*"))
