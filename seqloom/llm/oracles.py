@@ -31,10 +31,15 @@ def quality() -> str:
         part = lambda k: f"(CASE WHEN z[{k}] > 0 THEN z[{k}] * log2(z[{k}] / ((z[1] + z[2]) / 2)) ELSE 0 END)"
         return f"sqrt(greatest(0.0, list_sum(list_transform(list_zip({p}, {q}), lambda z: {part(1)} + {part(2)})) / 2))"
 
-    def ref(name: str, least: str, key: str = "lang") -> str:
-        each = f"SELECT {key} AS lang, unnest({name}) AS v, generate_subscripts({name}, 1) AS i FROM h WHERE {least}"
-        bins = f"SELECT lang, i, avg(v) AS v, count(*) AS n FROM ({each}) GROUP BY lang, i"
-        return f"(SELECT lang, list(v ORDER BY i) AS ref, max(n) AS docs FROM ({bins}) GROUP BY lang HAVING max(n) >= 20)"
+    def ref(name: str, least: str) -> str:
+        """Joins with the mean of each language's histograms, drawn to that of all, and with the latter, drawn to the prior."""
+        prior, w = quality_rules.priors(32)[name], 20
+        each = f"SELECT lang, unnest({name}) AS v, generate_subscripts({name}, 1) AS i FROM h WHERE {least}"
+        of_all = f"SELECT p.i, (coalesce(sum(e.v), 0) + {w} * any_value(p.v)) / (count(e.v) + {w}) AS v FROM p LEFT JOIN e USING (i) GROUP BY p.i"
+        own = f"SELECT lang, e.i, (sum(e.v) + {w} * any_value(b.v)) / (count(*) + {w}) AS v FROM e JOIN b USING (i) GROUP BY lang, e.i"
+        table = f"WITH e AS ({each}), p AS (SELECT unnest({prior}::DOUBLE[]) AS v, generate_subscripts({prior}, 1) AS i), b AS ({of_all})"
+        return f"""LEFT JOIN ({table} SELECT lang, list(v ORDER BY i) AS ref FROM ({own}) GROUP BY lang) {name}_own ON h.lang IS NOT DISTINCT FROM {name}_own.lang
+  LEFT JOIN ({table} SELECT list(v ORDER BY i) AS base FROM b) {name}_all ON true"""
 
     far = " OR ".join(
         f"coalesce({d}_distance > {least} + {slack} / sqrt({n}), false)"
@@ -55,13 +60,12 @@ r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(3
 c AS (SELECT m.* EXCLUDE (t, low), [{classes}] AS byclass, length(regexp_replace(t, '[\\x00-\\x7F]', '', 'g')) AS wide, length(t) AS n,
   list_transform(coalesce(fl.common, []), lambda f: len(list_filter(low, lambda x: x = f))) AS hits FROM m LEFT JOIN fl ON m.lang IS NOT DISTINCT FROM fl.lang),
 h AS (SELECT * EXCLUDE (byclass, hits), list_transform(list_concat(byclass, [n - wide - list_sum(byclass), wide]), lambda x: x / n) AS chars,
-  list_transform(list_concat(hits, [n_words - coalesce(list_sum(hits), 0)]), lambda x: x / n_words) AS common, [n_marks / n_words, (n_words - n_marks) / n_words] AS marks FROM c),
+  list_transform(list_concat(list_resize(hits, 32, 0), [n_words - coalesce(list_sum(hits), 0)]), lambda x: x / n_words) AS common, [n_marks / n_words, (n_words - n_marks) / n_words] AS marks FROM c),
 j AS (SELECT h.*, coalesce(n_repeat_words, 0) AS n_repeat_words,
-  CASE WHEN word_chars >= 200 THEN {js("chars", "coalesce(a.ref, aa.ref)")} END AS chars_distance,
-  CASE WHEN n_words >= 50 THEN {js("common", "b.ref")} END AS common_distance,
-  CASE WHEN n_words >= 50 THEN {js("marks", "coalesce(k.ref, kk.ref)")} END AS marks_distance
-  FROM h LEFT JOIN r USING (doc_id) LEFT JOIN {ref("chars", "word_chars >= 200")} a ON h.lang IS NOT DISTINCT FROM a.lang LEFT JOIN {ref("common", "n_words >= 50")} b ON h.lang IS NOT DISTINCT FROM b.lang
-  LEFT JOIN {ref("marks", "n_words >= 50")} k ON h.lang IS NOT DISTINCT FROM k.lang LEFT JOIN {ref("chars", "word_chars >= 200", "''")} aa ON true LEFT JOIN {ref("marks", "n_words >= 50", "''")} kk ON true),
+  CASE WHEN word_chars >= 200 THEN {js("chars", "coalesce(chars_own.ref, chars_all.base)")} END AS chars_distance,
+  CASE WHEN n_words >= 50 THEN {js("common", "coalesce(common_own.ref, common_all.base)")} END AS common_distance,
+  CASE WHEN n_words >= 50 THEN {js("marks", "coalesce(marks_own.ref, marks_all.base)")} END AS marks_distance
+  FROM h LEFT JOIN r USING (doc_id) {ref("chars", "word_chars >= 200")} {ref("common", "n_words >= 50")} {ref("marks", "n_words >= 50")}),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM j)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   NOT (base_failed OR {far}) AS kept

@@ -4,10 +4,10 @@ A document's histograms of character classes, of its language's common words and
 digit, such as the separators of a link list, against all others) are compared with the references of its language by
 the Jensen-Shannon distance (square root of the divergence with logarithms to base 2; 0 to 1). A language's common words
 are the `frequent` most frequent ones of all its documents, made of a-z and non-ASCII characters after lower-casing
-A-Z; ties go to the first by bytes. The references are the means of the histograms of all documents of that language that
-are long enough. Guards: a histogram is only judged if the document has at least min_chars letters, signs and digits or
-min_words words. A language with less than min_reference such documents has no common words, and its characters and marks
-are compared with the mean of all documents; where even those are fewer, nothing speaks against a document.
+A-Z; ties go to the first by bytes. Guards: a histogram is only judged if the document has at least min_chars letters, signs and digits or
+min_words words. A language's reference is the mean of the histograms of its documents that are long enough, drawn to that of all languages
+by the weight of `prior_docs` documents, and that in turn to a prior of prose. So the reference of a small language, or of a small
+table, goes over to what prose is like, and no number of documents turns a rule on or off.
 
 Word rules stand in front: fewer than base_words words, or 100 * repeated words > base_repeats * words.
 
@@ -46,6 +46,16 @@ MOST_LANGUAGES = 10_000
 CHARS_LIMIT, COMMON_LIMIT, MARKS_LIMIT = (0.22, 2.0), (0.30, 1.2), (0.20, 0.6)
 
 
+#: What prose is like: its shares of the character classes, of marks and other words, and of the k-th common word, which falls as
+#: 1 / (k + 2.7), with COMMON_PRIOR of all words together.
+CHARS_PRIOR, MARKS_PRIOR, COMMON_PRIOR = (0.76, 0.04, 0.01, 0.16, 0.025, 0.0, 0.0, 0.005), (0.01, 0.99), 0.45
+
+
+def priors(frequent: int) -> dict[str, list[float]]:
+    falling = [1 / (k + 2.7) for k in range(1, frequent + 1)]
+    return {"chars": list(CHARS_PRIOR), "common": [COMMON_PRIOR * x / sum(falling) for x in falling] + [1 - COMMON_PRIOR], "marks": list(MARKS_PRIOR)}
+
+
 def _class_table() -> np.ndarray:
     t = np.full(256, CLASSES.index("other"), dtype=np.uint8)
     t[ord("a") : ord("z") + 1], t[ord("A") : ord("Z") + 1], t[ord("0") : ord("9") + 1] = 0, 1, 2
@@ -102,8 +112,8 @@ def common_words(docs: DataFrame, text: str = "text", lang: str = "lang", freque
     return top.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]).alias("list"))
 
 
-def measures(docs: DataFrame, lists: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """Counts and histograms of each document. lists: (lang, list) of common words."""
+def measures(docs: DataFrame, lists: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", frequent: int = 32) -> DataFrame:
+    """Counts and histograms of each document. lists: (lang, list) of common words, `frequent` at most; the last bin has the other words."""
     classes, symbols = _class_table(), [s.encode() for s in SYMBOLS]
 
     def one(t: bytes, at: dict[bytes, int]) -> tuple:
@@ -112,7 +122,7 @@ def measures(docs: DataFrame, lists: DataFrame, text: str = "text", doc_id: str
         places: dict[bytes, int] = {}
         ids = np.array([places.setdefault(w, len(places)) for w in words], dtype=np.int64)
         times = np.bincount(ids, minlength=len(places) + 1) if len(ids) else np.zeros(1, np.int64)
-        n, marks, common = len(words), 0, [0] * len(at) + [len(words)]
+        n, marks, common = len(words), 0, [0] * frequent + [len(words)]
         for w, i in places.items():
             if (k := at.get(w.lower())) is not None:
                 common[k] += int(times[i])
@@ -177,6 +187,11 @@ def references(measured: DataFrame, name: str, least: Column, key: str | None =
     return bins.groupBy("lang").agg(ref.alias(f"{name}_ref"), F.max("n").alias(f"{name}_docs")).withColumnRenamed("lang", f"{name}_lang")
 
 
+def _drawn(mean: Column, docs: Column, base: Column, weight: int) -> Column:
+    """The mean over so many documents, drawn to a base by the weight of some more."""
+    return F.zip_with(mean, base, lambda a, b: (docs * a + weight * b) / (docs + weight))
+
+
 def judge(
     docs: DataFrame,
     text: str = "text",
@@ -189,7 +204,7 @@ def judge(
     max_marks_distance: tuple[float, float] = MARKS_LIMIT,
     min_chars: int = 200,
     min_words: int = 50,
-    min_reference: int = 20,
+    prior_docs: int = 20,
     frequent: int = 32,
 ) -> DataFrame:
     """One row per document: the counts, base_failed, the three distances (null where a guard holds) and kept.
@@ -197,17 +212,17 @@ def judge(
     A distance speaks against a document above least + slack / sqrt(n), n its characters in words or its words: a
     histogram of few of them is far from any reference by chance.
     """
-    measured = stored(measures(docs, common_words(docs, text, lang, frequent), text, doc_id, lang), "measures")
+    measured = stored(measures(docs, common_words(docs, text, lang, frequent), text, doc_id, lang, frequent), "measures")
     guards = {"chars": F.col("word_chars") >= min_chars, "common": F.col("n_words") >= min_words, "marks": F.col("n_words") >= min_words}
     out = measured
     for name, least in guards.items():
-        own = references(measured, name, least).filter(F.col(f"{name}_docs") >= min_reference)
-        out = out.join(_few(own), F.col("lang").eqNullSafe(F.col(f"{name}_lang")), "left")
-        ref = F.col(f"{name}_ref")
-        if name != "common":
-            of_all = references(measured, name, least, None).filter(F.col(f"{name}_docs") >= min_reference).first()  # one row of a few numbers
-            ref = F.coalesce(ref, F.array(*map(F.lit, of_all[f"{name}_ref"]))) if of_all else ref
-        out = out.withColumn(f"{name}_distance", F.when(least & ref.isNotNull(), js_distance(_share(F.col(name)), ref)))
+        out = out.join(_few(references(measured, name, least)), F.col("lang").eqNullSafe(F.col(f"{name}_lang")), "left")
+        of_all = references(measured, name, least, None).first()  # one row of a few numbers
+        prior, n = priors(frequent)[name], of_all[f"{name}_docs"] if of_all else 0
+        base = [(n * m + prior_docs * p) / (n + prior_docs) for m, p in zip(of_all[f"{name}_ref"] if of_all else prior, prior)]
+        base = F.array(*map(F.lit, base))
+        drawn = F.coalesce(_drawn(F.col(f"{name}_ref"), F.col(f"{name}_docs"), base, prior_docs), base)
+        out = out.withColumn(f"{name}_distance", F.when(least, js_distance(_share(F.col(name)), drawn)))
     failed = (F.col("n_words") < base_words) | (100 * F.col("n_repeat_words") > base_repeats * F.col("n_words"))
     limits = [("chars_distance", "word_chars", max_chars_distance), ("common_distance", "n_words", max_common_distance), ("marks_distance", "n_words", max_marks_distance)]
     far = [F.coalesce(F.col(d) > F.lit(least) + F.lit(slack) / F.sqrt(n), F.lit(False)) for d, n, (least, slack) in limits]

@@ -187,6 +187,17 @@ def test_marks_speak_against_separator_lists(spark):
     assert few[298] and few[299] and not any(few[i] for i in range(300, 306))
 
 
+@pytest.mark.parametrize("good", [2, 5, 25])
+def test_verdicts_dont_turn_with_the_tables_size(spark, good):
+    """A list of separators is rejected beside a few good texts as beside many, and good texts stay, also alone in their language."""
+    rng = np.random.default_rng(7)
+    common = "the of and to in is that it for on".split()
+    plain = [" ".join(rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice(list("aeiorstln"), 6)) for _ in range(200)) + "." for _ in range(good + 1)]
+    rows = [(i, t, "en") for i, t in enumerate(plain[:-1])] + [(100, plain[-1], "de"), (101, " | ".join(plain[0].split()), "en"), (102, " | ".join(plain[1].split()), "fr")]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert kept == {**dict.fromkeys(range(good), True), 100: True, 101: False, 102: False}
+
+
 def test_rows_without_ids_are_kept_by_themselves(spark):
     rng = np.random.default_rng(10)
     plain = [" ".join("".join(rng.choice(list("aeiorstln"), 6)) for _ in range(80)) for _ in range(30)]
