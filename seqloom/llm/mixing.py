@@ -1,11 +1,11 @@
 """Mixing to target weights with soft membership.
 
 A labelled table (doc_id, domain) trains a multinomial logistic regression on hashed words of at most `fit_rows`
-labelled documents (those of the smallest hashes); a temperature, fitted on every fifth of them, which the regression
-hasn't seen, calibrates it, because the rates are only as right as the posteriors. Every document gets a posterior over
-the domains, rounded to 1/grid. Documents of equal rounded posterior make one cell, because a document's rate depends on its posterior alone; so the
-fit runs over a table of cells whose size the grid bounds, whatever the number of documents. Accelerated projected
-gradient steps minimise
+labelled documents (those of the smallest hashes); a temperature, fitted on all of them by scores of regressions that haven't seen them
+(FOLDS parts, each scored by a fit on the others), calibrates it, because the rates are only as right as the posteriors. Every document gets
+a posterior over the domains. Documents whose posteriors agree when rounded to 1/grid make one cell and get one rate; a cell counts with its documents'
+own posteriors, not the rounded ones. So the fit runs over a table of cells whose size the grid bounds, whatever the number of documents, and its
+sums are those of the documents. Accelerated projected gradient steps minimise
 
     1/2 sum_c (sum_d rate_d tokens_d posterior_dc - target_c)^2 / (N tokens_c) + ridge/2 sum_d tokens_d (rate_d - 1)^2 / N,  rate >= 0,
 
@@ -13,6 +13,8 @@ N the number of tokens, tokens_c the expected tokens of domain c as they are, an
 domain's error weighs as much as a large one's, and few steps do. Each step is one aggregation over the cells. A document is taken
 floor(rate) times, and once more if its hash falls below the rest.
 
+Rates only reweigh: where the posteriors leave a target out of reach, the nearest shares are reached, which `weigh` returns as `reached`.
+
 Only DataFrame operations and Spark ML run here.
 
 Defined results: a null or empty text has no tokens and the posterior of no words; labels with a null are left out; of
@@ -33,6 +35,9 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import stored
 
+#: Parts of the labelled documents, each scored by a fit on the others.
+FOLDS = 3
+
 WORDS = "[\\x20\\x09-\\x0D]+"
 
 
@@ -50,12 +55,13 @@ class Domains:
     temperature: float = 1.0
 
     def posterior(self, rows: DataFrame, text: str = "text") -> DataFrame:
-        """rows with __tokens and __cell, the rounded posterior as whole parts of grid."""
+        """rows with __tokens, __posterior, and __cell, the posterior as whole parts of grid."""
         if self.model is None:
-            return rows.withColumns({"__tokens": F.size(words(text)).cast("bigint"), "__cell": F.array(F.lit(self.grid))})
+            return rows.withColumns({"__tokens": F.size(words(text)).cast("bigint"), "__posterior": F.array(F.lit(1.0)), "__cell": F.array(F.lit(self.grid))})
         out = self.model.transform(rows.withColumn("__words", words(text)))
-        cell = F.transform(softened(F.col("__z"), self.temperature), lambda p: F.round(p * self.grid).cast("int"))
-        return out.withColumns({"__tokens": F.size("__words").cast("bigint"), "__cell": cell}).drop("__words", "__tf", "__x", "__p", "__z", "__said")
+        out = out.withColumns({"__tokens": F.size("__words").cast("bigint"), "__posterior": softened(F.col("__z"), self.temperature)})
+        cell = F.transform("__posterior", lambda p: F.round(p * self.grid).cast("int"))
+        return out.withColumn("__cell", cell).drop("__words", "__tf", "__x", "__p", "__z", "__said")
 
 
 def softened(scores: Column, temperature: float) -> Column:
@@ -98,16 +104,30 @@ def learn(
         coded = stage.transform(coded)
     lr = LogisticRegression(featuresCol="__x", labelCol="__y", probabilityCol="__p", rawPredictionCol="__z", predictionCol="__said", family="multinomial", maxIter=40, regParam=1e-4)
     coded = stored(coded.select("__id", "__x", "__y"), "fit-vectors")
-    aside = F.pmod(F.xxhash64(F.lit(5), "__id"), F.lit(5)) == 0
-    temperature = best_temperature(lr.fit(coded.filter(~aside)).transform(coded.filter(aside))) if coded.filter(~aside).select("__y").distinct().count() == len(names) else 1.0
+    part, unseen = F.pmod(F.xxhash64(F.lit(5), "__id"), F.lit(FOLDS)), None
+    for k in range(FOLDS):
+        others = coded.filter(part != k)
+        if others.select("__y").distinct().count() == len(names):  # else a domain would have no score
+            own = lr.fit(others).transform(coded.filter(part == k)).select("__z", "__y")
+            unseen = own if unseen is None else unseen.unionByName(own)
+    temperature = 1.0 if unseen is None else best_temperature(unseen)
     return Domains(names, PipelineModel([*stages, lr.fit(coded)]), grid, temperature)
 
 
-def cells_of(scored: DataFrame) -> DataFrame:
-    """(cell, tokens, p): the tokens of each rounded posterior and its shares. There are at most as many as the grid has points."""
-    sums = scored.groupBy(F.col("__cell").alias("cell")).agg(F.sum("__tokens").cast("double").alias("tokens"))
-    total = F.aggregate("cell", F.lit(0), lambda a, x: a + x)
-    return sums.withColumn("p", F.transform("cell", lambda x: x / F.greatest(total, F.lit(1))))
+def cells_of(scored: DataFrame, k: int) -> DataFrame:
+    """(cell, tokens, p): the tokens of each cell and their mean posterior over k domains (of a cell without tokens, that of its documents). There are at
+    most as many cells as the grid has points."""
+    some = F.sum("__tokens").cast("double")
+    p = [F.when(some > 0, F.sum(F.col("__tokens") * F.col("__posterior")[i]) / some).otherwise(F.avg(F.col("__posterior")[i])) for i in range(k)]
+    return scored.groupBy(F.col("__cell").alias("cell")).agg(some.alias("tokens"), F.array(*p).alias("p"))
+
+
+def shares(cells: DataFrame, rate: DataFrame, k: int) -> list[float]:
+    """The expected shares of the domains' tokens under the rates of the cells."""
+    both = cells.join(_few(rate), "cell")
+    sums = both.agg(*(F.sum(F.col("rate") * F.col("tokens") * F.col("p")[i]) for i in range(k))).first()
+    total = sum(x or 0.0 for x in sums)
+    return [(x or 0.0) / total if total else 0.0 for x in sums]
 
 
 def fit_rates(cells: DataFrame, target: list[float], ridge: float = 1e-3, steps: int = 40, unrolled: int = 10) -> DataFrame:
@@ -171,14 +191,16 @@ def rates(
     doc_id: str = "doc_id",
     grid: int = 64,
     **learning,
-) -> tuple[DataFrame, DataFrame, Domains]:
-    """(doc_id, __tokens, __cell) of each row, (cell, rate), and the classifier. weights: domain -> share; they are scaled to sum to 1."""
+) -> tuple[DataFrame, DataFrame, Domains, list[float]]:
+    """(doc_id, __tokens, __posterior, __cell) of each row, (cell, rate), the classifier, and the shares that are reached. weights: domain -> share; they are
+    scaled to sum to 1."""
     domains = learn(docs, labels, grid=grid, text=text, doc_id=doc_id, **learning)
     scored = stored(domains.posterior(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).drop("text"), "posteriors")
-    wanted = [weights.get(d, 0.0) for d in domains.names]
-    if domains.model is None or not sum(wanted):
-        return scored, stored(cells_of(scored).select("cell", F.lit(1.0).alias("rate")), "rates"), domains
-    return scored, stored(fit_rates(cells_of(scored), [w / sum(wanted) for w in wanted]), "rates"), domains
+    wanted, k = [weights.get(d, 0.0) for d in domains.names], len(domains.names)
+    cells = stored(cells_of(scored, k), "cells-of-documents")
+    plain = domains.model is None or not sum(wanted)
+    rate = stored(cells.select("cell", F.lit(1.0).alias("rate")) if plain else fit_rates(cells, [w / sum(wanted) for w in wanted]), "rates")
+    return scored, rate, domains, shares(cells, rate, k)
 
 
 #: So many cells, of some hundred bytes each, are broadcast; more are joined by a shuffle.
@@ -190,15 +212,17 @@ def _few(rate: DataFrame) -> DataFrame:
 
 
 def weigh(docs: DataFrame, labels: DataFrame, weights: dict[str, float], **how) -> DataFrame:
-    """One row per row of docs: doc_id, tokens, posterior, rate, copies."""
-    scored, rate, domains = rates(docs, labels, weights, **how)
+    """One row per row of docs: doc_id, tokens, posterior, rate, copies, reached. posterior and reached, the same in each row, go by the domains' names."""
+    scored, rate, domains, reached = rates(docs, labels, weights, **how)
     out = scored.join(_few(rate), scored["__cell"] == rate["cell"])
-    return out.select("doc_id", F.col("__tokens").alias("tokens"), F.transform("cell", lambda x: x / domains.grid).alias("posterior"), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    shown = F.array(*(F.lit(float(x)) for x in reached))
+    taken = copies(F.col("rate"), F.col("doc_id"))
+    return out.select("doc_id", F.col("__tokens").alias("tokens"), F.col("__posterior").alias("posterior"), "rate", taken.alias("copies"), shown.alias("reached"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """The rows of docs, each as often as its copies say, with all their columns; without a shuffle of texts while the rates are few."""
-    _, rate, domains = rates(docs, labels, weights, text=text, doc_id=doc_id, **how)
+    _, rate, domains, _ = rates(docs, labels, weights, text=text, doc_id=doc_id, **how)
     rate = rate.select(F.col("cell").alias("__cell"), F.col("rate").alias("__rate"))
-    taken = domains.posterior(docs, text).join(_few(rate), "__cell").withColumn("__copies", copies(F.col("__rate"), F.col(f"`{doc_id}`"))).filter("__copies > 0")
+    taken = domains.posterior(docs, text).join(_few(rate), "__cell").withColumn("__copies", copies(F.col("__rate"), F.col(f"`{doc_id}`"))).drop("__posterior").filter("__copies > 0")
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
