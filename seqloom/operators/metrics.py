@@ -19,11 +19,18 @@ def words(text: Column) -> Column:
 MOST_WORDS = 0x10FFFF - 0x900
 
 
+#: Characters for the first words of a vocabulary, in a table.
+TABLE = "".join(chr(0x100 + i) for i in range(8192))
+
+
 def _coded(text: Column, vocabulary: Column) -> Column:
-    """Words as one character each: the place in the vocabulary, behind the control characters and around the surrogates, by way of UTF-32."""
-    at = lambda w: F.array_position(vocabulary, w) + F.lit(0xFF)
-    point = lambda w: at(w) + F.when(at(w) >= 0xD800, F.lit(0x800)).otherwise(F.lit(0))
-    return F.decode(F.unhex(F.array_join(F.transform(text, lambda w: F.lpad(F.hex(point(w)), 8, "0")), "")), "UTF-32")
+    """Words as one character each, by their place in the vocabulary: from a table, or, in a large vocabulary, by way of UTF-32, behind the control
+    characters and around the surrogates."""
+    at = lambda w: F.array_position(vocabulary, w)
+    known = F.array_join(F.transform(text, lambda w: F.element_at(F.split(F.lit(TABLE), ""), at(w).cast("int"))), "")
+    places = F.transform(F.transform(text, at), lambda p: p + F.lit(0xFF) + F.when(p + F.lit(0xFF) >= 0xD800, F.lit(0x800)).otherwise(F.lit(0)))
+    large = F.decode(F.unhex(F.array_join(F.transform(places, lambda p: F.lpad(F.hex(p), 8, "0")), "")), "UTF-32")
+    return F.when(F.size(vocabulary) <= len(TABLE), known).otherwise(large)
 
 
 def word_errors(df: DataFrame, reference: str, hypothesis: str, empty_reference: str = "one") -> DataFrame:

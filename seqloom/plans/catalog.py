@@ -13,7 +13,7 @@ from seqloom.functions import predict, vec
 from seqloom.operators import cluster, ivf, knn, linalg, masking, metrics, minibatch, prosody, pruned, sampling, sequence, sketches, stats
 from seqloom.plans import resume
 from seqloom.sources import bucketed, corpora, npy
-from seqloom.sources.frames import frames, symbols, verified, with_utterances
+from seqloom.sources.frames import frames, gathered, symbols, verified, with_utterances
 from seqloom.storage import new_path, stored
 
 DIMS = 64
@@ -925,6 +925,12 @@ def segments_at_random(spark, sf):
     return sampling.spaced_segments(_lengths(spark, sf), 12, 50)
 
 
+@query(f"""WITH s AS (SELECT segment, {DRAW.format("'42|' || segment")} % ({TOTAL} - 49) AS start FROM range(12) r(segment))
+SELECT segment, vec_id AS frame_id, label::INT AS phone FROM s JOIN embeddings ON vec_id >= start AND vec_id < start + 50""")
+def segment_frames(spark, sf):
+    return gathered(frames(spark, sf), sampling.spaced_segments(_lengths(spark, sf), 12, 50)).select("segment", "frame_id", "phone")
+
+
 @query(f"SELECT segment, start, least(start + 50, {TOTAL}) AS \"end\" FROM (SELECT segment, floor(segment * ({TOTAL} - 50) / 11)::BIGINT AS start FROM range(12) r(segment))")
 def segments_evenly(spark, sf):
     return sampling.spaced_segments(_lengths(spark, sf), 12, 50, at_random=False)

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators import cluster, linalg, sequence
+from seqloom.plans import resume
 
-DEFAULTS = {"dims": 64, "speaker_directions": 8, "least_utterances": 5, "codes": 64, "steps": 20, "alpha": 0.1, "clusters": 8, "group_rows": 50_000, "skip_on_error": False}
+DEFAULTS = {"dims": 64, "speaker_directions": 8, "least_utterances": 5, "codes": 64, "steps": 20, "alpha": 0.1, "clusters": 8, "group_rows": 50_000, "buckets": 0, "skip_on_error": False}
 NEEDS = {"subspace": ["frames"], "cleaned": ["frames", "subspace"], "codebook": ["cleaned"], "symbols": ["cleaned", "codebook"], "patterns": ["symbols"], "pool": ["cleaned", "symbols"], "centers": ["cleaned"]}
 
 
@@ -55,14 +56,23 @@ class Offline:
         states = lambda: self.table("symbols").select(F.col("symbol").alias("state")).distinct()
         return {
             "subspace": lambda: _vectors(self.spark, linalg.subspace(self.table("frames"), "speaker", s["dims"], s["speaker_directions"], least=s["least_utterances"])["basis"]),
-            "cleaned": lambda: linalg.projected_out(self.table("frames"), self.matrix("subspace")),
+            "cleaned": lambda: self._in_buckets("cleaned", self.table("frames"), lambda rows: linalg.projected_out(rows, self.matrix("subspace"))),
             "codebook": lambda: _vectors(self.spark, cluster.codebook(frames(), s["codes"], steps=s["steps"])),
-            "symbols": lambda: cluster.encode(frames(), self.matrix("codebook"), out="symbol").select("frame_id", "utt", "t", "phone", "symbol"),
+            "symbols": lambda: self._in_buckets("symbols", frames(), self._symbols),
             "patterns": lambda: sequence.transition_matrix(sequence.bigrams(self.table("symbols"), "utt", ["t"], "symbol"), states(), s["alpha"]),
             "pool": lambda: frames().select("frame_id", "utt", "phone", "gender", "speaker", "feature").join(self.table("symbols").select("frame_id", "symbol"), "frame_id"),
             "centers": lambda: self._centers(frames()),
         }
 
+    def _symbols(self, frames: DataFrame) -> DataFrame:
+        return cluster.encode(frames, self.matrix("codebook"), out="symbol").select("frame_id", "utt", "t", "phone", "symbol")
+
+    def _in_buckets(self, step: str, rows: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """work over the rows; with the setting `buckets`, by buckets of utterances, so that a run that breaks goes on within the step."""
+        if not self.settings["buckets"]:
+            return work(rows)
+        return resume.in_buckets(rows, work, f"{self.path(step)}-buckets", "utt", self.settings["buckets"])
+
     def _centers(self, frames: DataFrame) -> DataFrame:
         """Centers by (phone, gender) and by phone, gender then null."""
         s = self.settings

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.sources import npy
 from seqloom.sources.corpora import exists
 from seqloom.storage import positioned, stored
 
@@ -104,6 +105,12 @@ def with_utterances(df: DataFrame, utterances: DataFrame) -> DataFrame:
     return df.withColumn("bucket", F.floor(F.col("frame_id") / width)).join(ranges, "bucket").filter(inside).drop("bucket")
 
 
+def gathered(df: DataFrame, segments: DataFrame) -> DataFrame:
+    """The frames of the segments (segment, start, end), with segment; a frame in several of them comes once for each."""
+    ranges = segments.select("segment", F.col("start").alias("h5_start_idx"), F.col("end").alias("h5_end_idx")).filter("h5_end_idx > h5_start_idx")
+    return with_utterances(df, ranges).drop("h5_start_idx", "h5_end_idx")
+
+
 def aligned(labels: str, n_frames: str, pad: int = 0):
     """A label array cut or padded on the right with the silence label to the number of frames."""
     short = F.greatest(F.col(n_frames) - F.size(labels), F.lit(0))
@@ -169,10 +176,13 @@ def pool_errors(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
 
 
 def load_pool(spark: SparkSession, path: str) -> Pool:
-    """A pool of either layout: parts as save_pool writes them, or one table `pool` with all columns, as the offline plan does. Parts that may be
-    missing are left out."""
+    """A pool of any layout: parts as save_pool writes them, one table `pool` with all columns, as the offline plan does, or NumPy arrays (`npy`), with
+    centers by phone in phone_clusters.npz. Parts that may be missing are left out."""
     root = path.rstrip("/")
     table = lambda p: spark.read.parquet(f"{root}/{p}") if exists(spark, f"{root}/{p}/_SUCCESS") else None
+    if any(exists(spark, f"{root}/{part}.npy") for part in npy.REQUIRED):
+        centers = npy.clusters(spark, f"{root}/phone_clusters.npz") if exists(spark, f"{root}/phone_clusters.npz") else None
+        return Pool(npy.read_pool(spark, root), centers, None, {})
     frames = table("features")
     if frames is None:
         frames = table("pool")

@@ -117,3 +117,15 @@ def test_a_bucketed_pool_stays_where_it_is(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE bucketed_pool")
+
+
+def test_pools_of_arrays_load_as_others(spark, pool, tmp_path):
+    from seqloom.sources import frames
+
+    path, _ = pool
+    np.savez(path / "phone_clusters.npz", **{"4": np.eye(5)})
+    found = frames.load_pool(spark, f"file://{path}")
+    assert found.frames.count() == 1000 and found.centers.count() == 5
+    segments = spark.createDataFrame([(0, 10, 15), (1, 12, 13), (2, 990, 1000), (3, 5, 5)], "segment bigint, start bigint, end bigint")
+    rows = frames.gathered(found.frames, segments).select("segment", "frame_id").collect()
+    assert sorted(tuple(r) for r in rows) == [(0, i) for i in range(10, 15)] + [(1, 12)] + [(2, i) for i in range(990, 1000)]

@@ -295,3 +295,13 @@ def test_silhouette_of_a_sample_and_probes(frames):
     assert -1 <= metrics.silhouette(frames, "phone", sample=50).first()[0] <= 1
     probes = metrics.four_way_probe(frames.withColumn("other", F.reverse("feature")), ["feature", "other"], ["phone"])
     assert set(probes) == {("feature", "phone"), ("other", "phone")} and min(probes.values()) > 0.8
+
+
+def test_offline_steps_in_buckets_give_the_same(spark, frames, tmp_path):
+    found = []
+    for buckets in (0, 3):
+        plan = Offline(spark, f"file://{tmp_path}/plan{buckets}", {"dims": DIMS, "speaker_directions": 2, "least_utterances": 1, "codes": 4, "steps": 3, "buckets": buckets})
+        frames.write.parquet(plan.path("frames"))
+        assert set(plan.run(["subspace", "cleaned", "codebook", "symbols"]).values()) == {"done"}
+        found.append(sorted(tuple(r) for r in plan.table("symbols").select("frame_id", "utt", "t", "phone", "symbol").collect()))
+    assert found[0] == found[1] and len(found[0]) == 240
