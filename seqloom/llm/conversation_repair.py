@@ -12,7 +12,8 @@ traced from all four states, of which the one that the pieces before lead to is
 
 Tables: `faults` (a row a turn), `edits` (a row an edit, with what it leaves: the operator's result), `audited` (a row a conversation).
 
-Defined results: a null role or text is one space; a null turn comes before others; rows with equal turns go by role, then text; a null
+Defined results: a null role or text is one space; a null turn comes before others; rows with equal turns go by role, then by the
+text's first 64 characters, then by its SHA-256; a null
 conv_id is a conversation; a role counts by its first character, other initials than s, u, a fit nowhere; further columns are
 ignored; an empty table gives an empty result; a conversation all of whose rows go has an empty audit.
 """
@@ -66,7 +67,9 @@ def damaged(rows: DataFrame) -> DataFrame:
 def faults(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text, pos, fault), stored: each row's place in its conversation, from 0, and its first fault."""
     some = rows.select("conv_id", "turn", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text")))
-    placed = positioned(some, "conv_id", ["turn", "role", "text"], "turns")
+    # what rows are ordered by is short, for the driver sees a sample of it
+    some = some.withColumns({"__start": F.substring("text", 1, 64), "__sha": F.sha2("text", 256)})
+    placed = positioned(some, "conv_id", ["turn", "role", "__start", "__sha"], "turns").drop("__start", "__sha")
     solid = F.rtrim(F.col("text"), F.lit(WHITE))
     whose = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))
     key = F.sha2(F.concat(whose, F.lit(":"), F.length("role").cast("string"), F.lit(":"), "role", "text"), 256)

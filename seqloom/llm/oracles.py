@@ -154,7 +154,7 @@ WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce
 e AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
   CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy
   FROM d WHERE h <> 0),
-p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) - 1 AS pos, rtrim(text, {white}) AS solid FROM e),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 64), sha256(text), copy) - 1 AS pos, rtrim(text, {white}) AS solid FROM e),
 f AS MATERIALIZED (SELECT conv_id, turn, role, text, pos, left(role, 1) AS k, CASE WHEN solid = '' THEN 1
   WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 2 WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
   lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM p),

@@ -98,7 +98,7 @@ def brute_damage(rows):
 
 def brute_repair(rows):
     """One conversation's (turn, role, text), by suffixes of whole strings."""
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2][:64].encode(), hashlib.sha256(r[2].encode()).hexdigest()))
     faults, seen = [], set()
     for _, role, text in rows:
         solid = text.strip(" \t\n\x0b\x0c\r")
