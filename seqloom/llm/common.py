@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seqloom.storage import new_path, scratch, stored
 
-__all__ = ["Bloom", "bloom_of", "list_array", "mixed", "new_path", "row_key", "spread_join", "scratch", "stored", "summed", "sums", "table", "utf8"]
+__all__ = ["Bloom", "bloom_of", "freed", "list_array", "mixed", "new_path", "row_key", "spread_join", "scratch", "stored", "summed", "sums", "table", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +46,22 @@ def row_key(docs: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, str]:
     return stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered"), "__row"
 
 
+def freed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work over a task's batches, at whose end the worker gives its free memory back to the system: it may stay idle for a while beside those
+    of the next stage."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library than GNU's
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64) over unsigned integers."""
     x = x.astype(np.uint64, copy=True)

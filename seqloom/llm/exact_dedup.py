@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Bloom, bloom_of, spread_join, stored, utf8
+from seqloom.llm.common import Bloom, bloom_of, freed, spread_join, stored, utf8
 
 NO_ID = -(2**63)
 
@@ -171,7 +171,7 @@ class LsmIndex:
         one text keeps what the index says of it; only the rows of others are counted anew."""
         best = F.max if self.largest else F.min
         admitted = self.hashed(bloom_of(hits.select("digest")))
-        rows = texts.mapInArrow(admitted, "doc_id bigint, sha string, digest bigint, norm binary")
+        rows = texts.mapInArrow(freed(admitted), "doc_id bigint, sha string, digest bigint, norm binary")
         found = stored(rows.groupBy("digest", "sha", "norm").agg(best("doc_id").alias("keep_id"), F.count("*").alias("n")).drop("norm"), "texts")
         collided = stored(found.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest"), "collided")
         apart = found.join(collided, "digest", "left_semi").filter("n > 1").select("sha", "keep_id", "n")
@@ -181,7 +181,7 @@ class LsmIndex:
 def _answers(docs: DataFrame, index: LsmIndex, text: str, doc_id: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(doc_id, sha, digest) of each row, the index's hits, and what `verified` makes of them."""
     texts = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), utf8(f"`{text}`").alias("text"))
-    rows = stored(texts.mapInArrow(index.hashed(), "doc_id bigint, sha string, digest bigint"), "digests")
+    rows = stored(texts.mapInArrow(freed(index.hashed()), "doc_id bigint, sha string, digest bigint"), "digests")
     runs = stored(index.flush(rows, rows.count()), "runs")
     hits = index.hits(index.compact(runs))
     return rows, hits, *index.verified(texts, hits)

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Bloom, bloom_of, list_array, mixed, row_key, scratch, stored, sums, utf8
+from seqloom.llm.common import Bloom, bloom_of, freed, list_array, mixed, row_key, scratch, stored, sums, utf8
 from seqloom.llm.components import components
 
 BASE = 0x9E3779B97F4A7C15 | 1  # odd, so that it has an inverse modulo 2**64
@@ -334,9 +334,9 @@ def shared_filter(rows: DataFrame, n: int, total: int, range_tokens: int = 2_000
         f.add(mixed(shared))
         return pa.table([t.column("range").slice(0, 1), pa.array([f.bits.tobytes()], pa.binary())], names=["range", "bits"])
 
-    runs = rows.mapInArrow(emit, kind)
+    runs = rows.mapInArrow(freed(emit), kind)
     if fine > coarse:
-        runs = runs.repartition("range").mapInArrow(part_again, kind)
+        runs = runs.repartition("range").mapInArrow(freed(part_again), kind)
     out = SharedFilter(fine, bits)
     for r, found in stored(runs.groupBy("range").applyInArrow(find, "range int, bits binary"), "filters").toLocalIterator():
         out.filters[r] = np.frombuffer(found, np.uint8)
@@ -367,7 +367,7 @@ def set_rows(rows: DataFrame, n: int, percent: int, band, shared) -> DataFrame:
             nodes = [int.from_bytes(d[:8], "big") >> 1 if len(s) else None for s, d in zip(sets, digests)]
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), prefix_lists, pa.array(wholes, pa.binary())], ["doc_id", "n_shingles", "node", "prefix", "tokens"])
 
-    return rows.mapInArrow(make, "doc_id bigint, n_shingles bigint, node bigint, prefix array<bigint>, tokens binary")
+    return rows.mapInArrow(freed(make), "doc_id bigint, n_shingles bigint, node bigint, prefix array<bigint>, tokens binary")
 
 
 def block_join(members: DataFrame, percent: int, across: bool) -> DataFrame:
@@ -411,7 +411,7 @@ def block_join(members: DataFrame, percent: int, across: bool) -> DataFrame:
 
     dealt = members.select("hub", "block", "probe", "node", "component", "size", "tokens")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "hub", "block").sortWithinPartitions("hub", "block").mapInArrow(run, "a bigint, b bigint")
+    return dealt.repartition(parts, "hub", "block").sortWithinPartitions("hub", "block").mapInArrow(freed(run), "a bigint, b bigint")
 
 
 def _met(rows: DataFrame, keys: DataFrame):

@@ -27,15 +27,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import list_array, mixed, utf8
+from seqloom.llm.common import freed, list_array, mixed, utf8
 
 SPACE = "▁"
 NONE = -(2**31)
-KNOWN_NODES = 1_500_000
+KNOWN_NODES = 300_000
 FACTOR = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -402,7 +403,7 @@ def sampled(
     text: str = "text",
     key: str = "doc_id",
     with_ids: bool = True,
-    batch_chars: int = 600_000,
+    batch_chars: int = 250_000,
 ) -> DataFrame:
     """A row per row of docs and segmentation: key, sample (0 the most perturbed), n_pieces, log_prob, perturbed, inclusion, ids_crc32, round_trip,
     and ids if asked for. model: a path that every executor has."""
@@ -413,17 +414,18 @@ def sampled(
         none = np.zeros(0, np.int32)
         for b in batches:
             all_keys = b.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            raw, a = b.column(1).to_pylist(), 0
-            while a < len(raw):
+            sizes, a = pc.binary_length(b.column(1)).to_pylist(), 0
+            while a < len(sizes):
                 z, held = a, 0
-                while z < len(raw) and (z == a or held + len(raw[z]) <= batch_chars):
-                    held, z = held + len(raw[z]), z + 1
+                while z < len(sizes) and (z == a or held + sizes[z] <= batch_chars):
+                    held, z = held + sizes[z], z + 1
+                raw = b.column(1).slice(a, z - a).to_pylist()
                 if lat.arcs.n > KNOWN_NODES:
                     lat.clear()
                 keys = mixed(all_keys[a:z] ^ mixed(np.full(z - a, seed, np.uint64)))
                 told, ids = [], []
-                for i, found in enumerate(sample_batch(lat, [t.decode() for t in raw[a:z]], keys, k), a):
-                    plain = raw[i].replace(SPACE.encode(), b" ")
+                for i, found in enumerate(sample_batch(lat, [t.decode() for t in raw], keys, k), a):
+                    plain = raw[i - a].replace(SPACE.encode(), b" ")
                     for s, (arcs, logp, value, inclusion) in enumerate(found):
                         x = lat.expand(arcs).astype(np.int32)
                         told.append((i, s, len(x), logp, value, inclusion, zlib.crc32(x.astype("<i4").tobytes()), lat.pieces.decode(x) == plain))
@@ -435,7 +437,7 @@ def sampled(
                 a = z
 
     found = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), utf8(text).alias("text"))
-    out = found.mapInArrow(rows, "doc_id bigint, sample int, n_pieces bigint, log_prob double, perturbed double, inclusion double, ids_crc32 bigint, round_trip boolean, ids array<int>")
+    out = found.mapInArrow(freed(rows), "doc_id bigint, sample int, n_pieces bigint, log_prob double, perturbed double, inclusion double, ids_crc32 bigint, round_trip boolean, ids array<int>")
     return out if with_ids else out.drop("ids")
 
 

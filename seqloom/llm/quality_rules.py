@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import list_array, row_key, stored, utf8
+from seqloom.llm.common import freed, list_array, row_key, stored, utf8
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\v\f\r"
@@ -106,7 +106,7 @@ def common_words(docs: DataFrame, text: str = "text", lang: str = "lang", freque
                     yield out()
         yield out()
 
-    counted = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), utf8(text).alias("text")).mapInArrow(count, "lang string, word binary, n bigint")
+    counted = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), utf8(text).alias("text")).mapInArrow(freed(count), "lang string, word binary, n bigint")
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")  # a limit of so many rows a group is taken before the shuffle too
     top = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).withColumn("k", F.row_number().over(best)).filter(F.col("k") <= frequent)
     return top.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]).alias("list"))
@@ -151,7 +151,7 @@ def measures(docs: DataFrame, lists: DataFrame, text: str = "text", doc_id: str
 
     found = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{lang}`").cast("string").alias("lang"), utf8(text).alias("text"))
     found = found.join(_few(lists.withColumnRenamed("lang", "__lang")), F.col("lang").eqNullSafe(F.col("__lang")), "left").select("doc_id", "lang", "text", "list")
-    return found.mapInArrow(rows, f"doc_id bigint, lang string, {', '.join(f'{c} bigint' for c in NUMBERS)}, chars array<bigint>, common array<bigint>, marks array<bigint>")
+    return found.mapInArrow(freed(rows), f"doc_id bigint, lang string, {', '.join(f'{c} bigint' for c in NUMBERS)}, chars array<bigint>, common array<bigint>, marks array<bigint>")
 
 
 def _few(by_language: DataFrame) -> DataFrame:
