@@ -82,3 +82,22 @@ def test_small_keys_are_flat_and_few_rows_have_no_index(spark, frames, tmp_path)
     index = ivf.load(spark, path)
     assert index.centers.count() == 1
     assert ranked(ivf.search(index, frames, 2, 1)) == ranked(knn.nearest(frames.filter("phone = 2"), frames.filter("phone = 2"), ["phone"], 2))
+
+
+def test_blocks_meet_in_many_partitions(spark, frames):
+    """Partitions of their own for all blocks, as large tables have them; keys of another whole type on one side."""
+    rows = {r["frame_id"]: (r["phone"], np.array(r["feature"])) for r in frames.filter("phone is not null and feature is not null").collect()}
+    want = {}
+    for i, (phone, x) in rows.items():
+        near = sorted((round(float(np.sqrt(((x - y) ** 2).sum())), 6), j) for j, (other, y) in rows.items() if other == phone and j != i)
+        want[i] = [j for _, j in near[:2]]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for pool in (frames, frames.withColumn("phone", F.col("phone").cast("bigint"))):
+            for block_rows in (2048, 50):
+                found: dict = {}
+                for q, rank, p, _ in ranked(knn.nearest(frames, pool, ["phone"], 2, "l2", exclude_self=True, block_rows=block_rows)):
+                    found.setdefault(q, []).append(p)
+                assert found == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
