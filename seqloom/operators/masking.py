@@ -51,12 +51,13 @@ def masked(
     sizes = rows.groupBy(key).agg(F.count("*").alias("T")).filter(F.col(key).isNotNull())
     sizes = sizes.withColumn("n_token", F.least("T", F.floor(F.col("T") * F.lit(token_ratio))))
     sizes = stored(sizes.withColumn("n_span", F.least(F.col("T") - F.col("n_token"), F.floor(F.col("T") * F.lit(span_ratio)))), "sizes")
-    tokens = stored(least_by_draw(rows.select(key, "pos"), [key], sizes.select(key, F.col("n_token").alias("__keep")), "pos", seed, [key, "pos"]), "tokens")
+    # tables of a row a symbol or a mark: packed on disk they look small enough to broadcast, unpacked they aren't, so their joins are told to sort
+    tokens = stored(least_by_draw(rows.select(key, "pos").hint("merge"), [key], sizes.select(key, F.col("n_token").alias("__keep")), "pos", seed, [key, "pos"]), "tokens")
     factor = 1.5
     while True:
         spans = stored(_spans(sizes, key, span, seed, count, factor), "spans")
         covered = spans.select(key, "i", F.explode(F.sequence("a", F.col("z") - 1)).alias("pos")).groupBy(key, "pos").agg(F.min("i").alias("i"))
-        covered = stored(covered.join(tokens, [key, "pos"], "left_anti"), "covered")
+        covered = stored(covered.join(tokens.hint("merge"), [key, "pos"], "left_anti"), "covered")
         if count != "masked":
             break
         short = covered.groupBy(key).agg(F.count("*").alias("n")).join(sizes.filter("n_span > 0"), key, "right").filter(F.coalesce("n", F.lit(0)) < F.col("n_span"))
@@ -70,7 +71,7 @@ def masked(
         reached = running_sum(spans.withColumn("len", F.col("z") - F.col("a")), key, ["i"], "len").join(sizes.select(key, "n_span"), key)
         last = reached.filter("sum >= n_span").groupBy(key).agg(F.min("i").alias("last"))
     marks = tokens.unionByName(covered.join(last, key).filter("i <= last").select(key, "pos")).withColumn("masked", F.lit(True))
-    return rows.join(marks, [key, "pos"], "left").select(key, "pos", "symbol", F.coalesce("masked", F.lit(False)).alias("masked"))
+    return rows.join(marks.hint("merge"), [key, "pos"], "left").select(key, "pos", "symbol", F.coalesce("masked", F.lit(False)).alias("masked"))
 
 
 def filled(df: DataFrame, key: str, order: list[str], symbol: str, mask: str, matrix: np.ndarray, chunk: int = CHUNK) -> DataFrame:

@@ -148,6 +148,21 @@ def test_masks_against_the_plain_rule(spark, count):
     assert all_of_it.filter("masked").count() >= 200
 
 
+def test_masks_are_joined_without_a_broadcast_of_rows(spark, monkeypatch):
+    """A table of symbols packs so well that its file looks small enough to broadcast."""
+    plain, plans = masking.least_by_draw, []
+
+    def watched(*args, **how):
+        out = plain(*args, **how)
+        plans.append(next(line for line in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line))
+        return out
+
+    monkeypatch.setattr(masking, "least_by_draw", watched)
+    found = masking.masked(rows(spark, [i % 5 for i in range(300)]), "utt", ["t"], "phone")
+    plans.append(next(line for line in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line))
+    assert len(plans) == 2 and all("SortMergeJoin" in p for p in plans)
+
+
 def test_fill_and_smooth(spark):
     m = np.array([[0.1, 0.9], [0.8, 0.2]])
     df = rows(spark, [0, 1, 0, 1]).withColumn("hide", F.col("t") == 2)
