@@ -101,3 +101,26 @@ def test_blocks_meet_in_many_partitions(spark, frames):
                 assert found == want
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_many_copies_meet_few_units(spark):
+    """Points of a plane, each of them twenty times: units are compact, so most pairs are left out, and copies are 0 apart."""
+    rng = np.random.default_rng(3)
+    plane = np.round(rng.uniform(900, 2000, (60, 2)), 2)
+    rows = [(i, [float(v) for v in plane[i % 60]]) for i in range(1200)]
+    points = spark.createDataFrame(rows, "frame_id bigint, feature array<double>")
+    found, report = pruned.search(points, points, [], 4, "l2", exclude_self=True, block_rows=16, cells=4)
+    got: dict = {}
+    for q, _, p, score in ranked(found):
+        got.setdefault(q, []).append((p, score))
+    assert got == {i: [(j, 0.0) for j in range(i % 60, 1200, 60) if j != i][:4] for i in range(1200)}
+    assert report.first()["share"] < 0.1
+
+
+def test_pieces_are_bounded_and_close():
+    x = np.random.default_rng(4).normal(size=(1000, 2))
+    piece = pruned.pieces(x, 50)
+    sizes = np.bincount(piece)
+    assert sizes.max() <= 50 and sizes.sum() == 1000
+    assert np.mean([np.ptp(x[piece == i], axis=0).max() for i in range(len(sizes))]) < np.ptp(x, axis=0).max() / 3
+    assert np.bincount(pruned.pieces(np.zeros((99, 3)), 10)).max() <= 10
