@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators.sampling import draw, least_by_draw
-from seqloom.storage import CHUNK, chunked, positioned, running_sum, stored
+from seqloom.storage import CHUNK, by_chunk, chunked, positioned, running_sum, stored
 
 
 def _spans(sizes: DataFrame, key: str, span: tuple[int, int], seed: int, count: str, factor: float) -> DataFrame:
@@ -134,7 +134,7 @@ def filled(df: DataFrame, key: str, order: list[str], symbol: str, mask: str, ma
         return pd.DataFrame({key: pdf[key], "chunk": pdf["chunk"] + 1, "carry": carry})
 
     several = rows.filter("chunk > 0").select(key).distinct()
-    states_of = rows.join(several, key, "left_semi").groupBy(key, "chunk").applyInPandas(handed, f"`{key}` {kind}, chunk bigint, state array<int>")
+    states_of = by_chunk(rows.join(several, key, "left_semi"), key).groupBy(key, "chunk").applyInPandas(handed, f"`{key}` {kind}, chunk bigint, state array<int>")
     carry = states_of.groupBy(key).applyInPandas(put_together, f"`{key}` {kind}, chunk bigint, carry int")  # a row a chunk
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -147,7 +147,7 @@ def filled(df: DataFrame, key: str, order: list[str], symbol: str, mask: str, ma
                 out[i] = choice(int(out[i - 1]) if i else None, int(plain[i + 1]) if i + 1 < len(plain) else None)
         return pd.DataFrame({key: pdf[key], "pos": pdf["pos"], "halo": pdf["halo"], "symbol": plain.astype("int32"), "masked": hidden, "filled": out.astype("int32")})
 
-    done = rows.join(carry, [key, "chunk"], "left").groupBy(key, "chunk").applyInPandas(fill, f"`{key}` {kind}, pos bigint, halo boolean, symbol int, masked boolean, filled int")
+    done = by_chunk(rows.join(carry, [key, "chunk"], "left"), key).groupBy(key, "chunk").applyInPandas(fill, f"`{key}` {kind}, pos bigint, halo boolean, symbol int, masked boolean, filled int")
     return done.filter("not halo").drop("halo")
 
 
@@ -191,7 +191,9 @@ def smoothed(df: DataFrame, key: str, order: list[str], symbol: str, matrix: np.
         out[lead] = _times(back, first_pos - pos[lead], np.full(int(lead.sum()), first_symbol)) if first_symbol >= 0 else common
         return pd.DataFrame({key: pdf[key], "pos": pos, "symbol": pdf["symbol"], "smooth": out.astype("int32")})
 
-    return rows.join(hints, [key, "chunk"]).groupBy(key, "chunk").applyInPandas(smooth, f"`{key}` {dict(df.dtypes)[key]}, pos bigint, symbol int, smooth int")
+    # each row has its hints; a left join, for rows look small enough to broadcast when packed, but aren't
+    dealt = by_chunk(rows.filter(F.col(key).isNotNull()), key).join(hints, [key, "chunk"], "left")
+    return dealt.groupBy(key, "chunk").applyInPandas(smooth, f"`{key}` {dict(df.dtypes)[key]}, pos bigint, symbol int, smooth int")
 
 
 def predicted_pattern(df: DataFrame, keys: list[str], centroids: np.ndarray, dims: int, vector: str = "feature") -> DataFrame:

@@ -171,6 +171,13 @@ def test_fill_and_smooth(spark):
     assert [r["smooth"] for r in smooth.orderBy("pos").collect()] == [1, 0, 1, 0]
 
 
+def test_smoothing_keeps_its_partitions(spark):
+    """However small its rows are when packed."""
+    df = spark.createDataFrame([(f"u{i % 40}", i, i % 3 - 1) for i in range(400)], "utt string, t int, phone int")
+    smooth = masking.smoothed(df, "utt", ["t"], "phone", np.array([[0.1, 0.9], [0.8, 0.2]]), np.array([0.4, 0.6]))
+    assert smooth.rdd.getNumPartitions() == 4 and smooth.count() == 400
+
+
 def test_fill_and_smooth_do_not_depend_on_chunks(spark):
     rng = np.random.default_rng(14)
     m = rng.dirichlet(np.ones(4), 4)
