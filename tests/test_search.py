@@ -124,3 +124,12 @@ def test_pieces_are_bounded_and_close():
     assert sizes.max() <= 50 and sizes.sum() == 1000
     assert np.mean([np.ptp(x[piece == i], axis=0).max() for i in range(len(sizes))]) < np.ptp(x, axis=0).max() / 3
     assert np.bincount(pruned.pieces(np.zeros((99, 3)), 10)).max() <= 10
+
+
+def test_recall_is_measured_on_every_twentieth_row(spark, monkeypatch):
+    from seqloom.plans import catalog
+
+    seen, plain = [], knn.nearest
+    monkeypatch.setattr(knn, "nearest", lambda queries, *a, **how: seen.append(queries) or plain(queries, *a, **how))
+    assert catalog.knn_cells_recall(spark, "/root/testdata/sf0.01").first()["recall"] >= 0.9
+    assert len(seen) == 2 and all(q.filter("frame_id % 20 <> 0").isEmpty() and q.select("frame_id").distinct().count() == 25 for q in seen)
