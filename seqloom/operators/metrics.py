@@ -97,7 +97,7 @@ def silhouette(df: DataFrame, cluster: str, id: str = "frame_id", vector: str =
         df = least_by_draw(df, [], df.agg(F.lit(sample).cast("bigint").alias("__keep")), id)
     rows = df.select(F.col(id).cast("bigint").alias("id"), F.col(cluster).alias("c"), F.col(vector).alias("v"))
     blocks = max(1, -(-rows.count() // block_rows))
-    own = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    own = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     left = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = own.withColumnRenamed("b", "o").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     left, right = (d.select(*(F.col(c).alias(c) for c in ("id", "c", "v", "b", "o"))) for d in (left, right))  # new columns, for both come from one table

@@ -305,3 +305,19 @@ def test_offline_steps_in_buckets_give_the_same(spark, frames, tmp_path):
         assert set(plan.run(["subspace", "cleaned", "codebook", "symbols"]).values()) == {"done"}
         found.append(sorted(tuple(r) for r in plan.table("symbols").select("frame_id", "utt", "t", "phone", "symbol").collect()))
     assert found[0] == found[1] and len(found[0]) == 240
+
+
+def test_silhouette_meets_all_blocks_in_many_partitions(spark, frames):
+    """Partitions of their own for all blocks, as large tables have them."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        few, many = (metrics.silhouette(frames, "phone", block_rows=n).first()[0] for n in (1000, 40))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    x, phone = matrix(frames), np.repeat(np.arange(4), 60)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    sums = np.stack([d[:, phone == c].sum(1) for c in range(4)], 1)
+    own = sums[np.arange(240), phone] / 59
+    other = np.where(np.arange(4) == phone[:, None], np.inf, sums / 60).min(1)
+    want = np.mean((other - own) / np.maximum(own, other))
+    assert few == pytest.approx(want, abs=1e-9) and many == pytest.approx(want, abs=1e-9)
