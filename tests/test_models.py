@@ -99,6 +99,21 @@ def test_minibatch_codebook(spark, frames, vectors, tmp_path):
     assert minibatch.load(spark, f"{path}-none") is None
 
 
+def test_small_batches_are_learnt_in_runs(spark, frames, vectors, tmp_path, monkeypatch):
+    """The same state as batch by batch, a save a run; a run that stopped goes on behind the last one."""
+    rows = frames.filter("frame_id < 290")
+    want = minibatch.fitted(minibatch.segments(rows, [(0, 290)], 20), 5, f"file://{tmp_path}/single")
+    saved, save = [], minibatch.save
+    monkeypatch.setattr(minibatch, "save", lambda spark, state, path: (saved.append(state.batch), save(spark, state, path)))
+    path = f"file://{tmp_path}/runs"
+    minibatch.fitted_in_runs(rows, 100, 20, 5, path, run_rows=100)
+    state = minibatch.fitted_in_runs(rows.filter("frame_id >= 100"), 290, 20, 5, path, run_rows=100)
+    assert saved == [4, 9, 14] and state.batch == want.batch == 14
+    assert np.allclose(state.centers, want.centers) and (state.rows == want.rows).all()
+    single = minibatch.fitted_in_runs(rows, 290, 100, 5, f"file://{tmp_path}/large", run_rows=100)
+    assert np.allclose(single.centers, minibatch.fitted(minibatch.segments(rows, [(0, 290)], 100), 5, f"file://{tmp_path}/segments").centers)
+
+
 def test_minibatch_codebook_of_a_stream(spark, frames, vectors, tmp_path):
     for i in range(3):
         frames.filter((F.col("frame_id") >= 100 * i) & (F.col("frame_id") < 100 * i + 100)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
