@@ -36,7 +36,7 @@ from seqloom.llm.common import freed, list_array, mixed, utf8
 
 SPACE = "▁"
 NONE = -(2**31)
-KNOWN_NODES = 300_000
+KNOWN_NODES = 600_000
 FACTOR = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -98,14 +98,18 @@ class Pieces:
                 break
         return out
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes that pieces spell, without the space put in front."""
+    def spelt(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes that pieces spell, and where each piece ends in them."""
         sizes = self.text_sizes[ids]
         ends = np.cumsum(sizes)
         if not len(ids):
-            return b""
+            return b"", ends
         at = np.arange(ends[-1]) + np.repeat(self.text_starts[ids] - (ends - sizes), sizes)
-        out = self.text[at].tobytes()
+        return self.text[at].tobytes(), ends
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes that pieces spell, without the space put in front."""
+        out = self.spelt(ids)[0]
         return out[1:] if out[:1] == b" " else out
 
 
@@ -265,14 +269,20 @@ class Lattices:
 
     def expand(self, arcs: np.ndarray) -> np.ndarray:
         """The piece ids of arcs, bytes of characters that no piece spells included."""
+        return self.expanded(arcs)[0]
+
+    def expanded(self, arcs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece ids of arcs, and how many each arc has: one, or the bytes of a character that no piece spells."""
         ids = self.id.a[arcs]
-        if (ids >= 0).all():
-            return ids
-        parts, done = [], 0
-        for i in np.flatnonzero(ids < 0):
-            parts += (ids[done:i], self.pieces.byte_ids[np.frombuffer(chr(-1 - int(ids[i])).encode(), np.uint8)])
-            done = i + 1
-        return np.concatenate([*parts, ids[done:]])
+        many, raw = np.ones(len(ids), np.int64), np.flatnonzero(ids < 0)
+        if not len(raw):
+            return ids, many
+        spelt = np.frombuffer((-1 - ids[raw]).astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
+        first = np.flatnonzero(spelt & 0xC0 != 0x80)
+        many[raw] = np.diff(first, append=len(spelt))
+        out = np.repeat(ids, many)
+        out[out < 0] = self.pieces.byte_ids[spelt]
+        return out, many
 
 
 class Path:
@@ -281,12 +291,28 @@ class Path:
     __slots__ = ("arcs", "chunk", "own", "agenda", "value", "logp", "left")
 
 
-def _agenda(lat: Lattices, logq_before: np.ndarray, arcs: np.ndarray, bound: float, keys: np.ndarray) -> np.ndarray:
-    """The perturbed masses of what each step of a segmentation leaves, truncated at its value."""
-    mass = logq_before + lat.others.a[arcs]
-    e = -np.log(_uniform(keys, np.arange(len(arcs))))
+def _valued(lat: Lattices, paths: list[Path], keys: np.ndarray) -> None:
+    """Gives segmentations their log probabilities and agendas: the perturbed masses of what each of their own steps leaves, truncated at their values."""
+    sizes = np.array([len(q.arcs) for q in paths])
+    ends = np.cumsum(sizes)
+    begins, arcs = ends - sizes, np.concatenate([q.arcs for q in paths])
+    logq = lat.logq.a[arcs].astype(np.float64)
+    sums = np.empty(len(arcs))
+    for q, a, z in zip(paths, begins, ends):
+        np.cumsum(logq[a:z], out=sums[a:z])
+        q.logp = float(sums[z - 1]) if z > a else 0.0
+    own = np.array([q.own for q in paths])
+    place = np.arange(len(arcs)) - np.repeat(begins + own, sizes)
+    at = np.flatnonzero(place >= 0)
+    of = np.repeat(np.arange(len(paths)), sizes)[at]
+    mass = (sums - logq)[at] + lat.others.a[arcs[at]]
+    e = -np.log(_uniform(keys[of], place[at]))
+    bound = np.array([q.value for q in paths])[of]
+    agenda = np.full(len(arcs), -np.inf)
     with np.errstate(over="ignore"):
-        return np.where(np.isfinite(mass), mass - np.log(np.exp(np.minimum(mass - bound, 700)) + e), -np.inf)
+        agenda[at] = np.where(np.isfinite(mass), mass - np.log(np.exp(np.minimum(mass - bound, 700)) + e), -np.inf)
+    for q, a, z in zip(paths, begins, ends):
+        q.agenda = agenda[a:z]
 
 
 def sample_batch(lat: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -324,7 +350,7 @@ def sample_batch(lat: Lattices, texts: list[str], keys: np.ndarray, k: int) -> l
                 break
         # what is left of the document behind each node, as one sample for all of the batch
         with np.errstate(over="ignore"):
-            seeds = {d: mixed(keys[d : d + 1] + np.uint64(turn + 1) * FACTOR)[0] for d in open_texts}
+            seeds = mixed(keys + np.uint64(turn + 1) * FACTOR)
         heads, starts, tos, whos, places = [], [], [], [], []
         for d in open_texts:
             p, j, arc, _ = nodes[d]
@@ -342,12 +368,13 @@ def sample_batch(lat: Lattices, texts: list[str], keys: np.ndarray, k: int) -> l
             whos.append(len(one))
         if not open_texts:
             continue
-        each = np.repeat(np.array([seeds[d] for d in open_texts], dtype=np.uint64), whos)
+        each = np.repeat(seeds[open_texts], whos)
         counts, arcs = lat.follow(np.concatenate(starts), np.concatenate(tos), each, np.concatenate(places))
         chunk_of = np.repeat(np.concatenate(places), counts)
         per_text = np.add.reduceat(counts, np.cumsum([0, *whos[:-1]])) if len(counts) else np.zeros(len(whos), np.int64)
         per_text = np.where(np.array(whos) > 0, per_text, 0)
         upto = np.cumsum(per_text)
+        made = []
         for i, d in enumerate(open_texts):
             p, j, arc, value = nodes[d]
             new = arcs[upto[i] - per_text[i] : upto[i]]
@@ -358,14 +385,10 @@ def sample_batch(lat: Lattices, texts: list[str], keys: np.ndarray, k: int) -> l
             else:
                 q.arcs, q.chunk = np.concatenate([p.arcs[:j], [arc], new]), np.concatenate([p.chunk[: j + 1], of])
                 q.own, q.value = j + 1, value
-            logq = lat.logq.a[q.arcs].astype(np.float64)
-            sums = np.cumsum(logq)
-            q.logp = float(sums[-1]) if len(sums) else 0.0
-            q.agenda = np.full(len(q.arcs), -np.inf)
-            if q.own < len(q.arcs):
-                q.agenda[q.own :] = _agenda(lat, (sums - logq)[q.own :], q.arcs[q.own :], q.value, np.full(len(q.arcs) - q.own, seeds[d] ^ np.uint64(0xA5A5A5A5)))
             q.left = {}
+            made.append(q)
             out[d].append(q)
+        _valued(lat, made, seeds[open_texts] ^ np.uint64(0xA5A5A5A5))
     found = []
     for d, paths in enumerate(out):
         full = len(paths) == k and np.isfinite(kappa[d])
@@ -382,13 +405,14 @@ def _split(lat: Lattices, p: Path, j: int, value: float, key: int, turn: int) ->
     arcs = [x for x in range(a, z) if x not in gone]
     q = np.exp(lat.logq.a[arcs].astype(np.float64))
     keys = np.full(1, (key ^ (turn * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-    u = _uniform(keys, np.array([2 * j + 1]))[0] * q.sum()
+    drawn = _uniform(keys, np.array([2 * j + 1, 2 * j + 2]))
+    u = drawn[0] * q.sum()
     arc = arcs[min(int(np.searchsorted(np.cumsum(q), u, "right")), len(arcs) - 1)]
     gone.add(arc)
     rest = float(q.sum() - np.exp(lat.logq.a[arc]))
     if len(arcs) > 1 and rest > 0:
         mass = float(lat.logq.a[p.arcs[:j]].sum(dtype=np.float64)) + np.log(rest)
-        e = -np.log(_uniform(keys, np.array([2 * j + 2]))[0])
+        e = -np.log(drawn[1])
         p.agenda[j] = mass - np.log(np.exp(min(mass - value, 700)) + e)
     else:
         p.agenda[j] = -np.inf
@@ -423,16 +447,23 @@ def sampled(
                 if lat.arcs.n > KNOWN_NODES:
                     lat.clear()
                 keys = mixed(all_keys[a:z] ^ mixed(np.full(z - a, seed, np.uint64)))
-                told, ids = [], []
-                for i, found in enumerate(sample_batch(lat, [t.decode() for t in raw], keys, k), a):
-                    plain = raw[i - a].replace(SPACE.encode(), b" ")
-                    for s, (arcs, logp, value, inclusion) in enumerate(found):
-                        x = lat.expand(arcs).astype(np.int32)
-                        told.append((i, s, len(x), logp, value, inclusion, zlib.crc32(x.astype("<i4").tobytes()), lat.pieces.decode(x) == plain))
-                        ids.append(x if with_ids else none)
-                cols = list(zip(*told))
+                found = sample_batch(lat, [t.decode() for t in raw], keys, k)
+                segments = [(i, s, *x) for i, of in enumerate(found) for s, x in enumerate(of)]
+                at, number, arcs, logp, value, inclusion = zip(*segments)
+                ids, lengths = lat.expanded(np.concatenate(arcs))
+                ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *map(len, arcs)])]
+                said, upto = lat.pieces.spelt(ids)
+                cuts = np.concatenate([[0], upto])[ends].tolist()
+                plain = [t.replace(SPACE.encode(), b" ") for t in raw]
+                crcs, same, le = [], [], ids.astype("<i4")
+                for i, a0, z0, x, y in zip(at, ends[:-1].tolist(), ends[1:].tolist(), cuts[:-1], cuts[1:]):
+                    crcs.append(zlib.crc32(le[a0:z0]))
+                    same.append(said[x + (said[x : min(x + 1, y)] == b" ") : y] == plain[i])
+                n_ids = np.diff(ends)
                 kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_())
-                out = [b.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], kinds)), list_array(np.concatenate(ids), [len(x) for x in ids], pa.int32())]
+                cols = zip((number, n_ids, logp, value, inclusion, crcs, same), kinds)
+                kept = list_array(ids, n_ids, pa.int32()) if with_ids else list_array(none, np.zeros(len(at), np.int64), pa.int32())
+                out = [b.column(0).take(pa.array(np.array(at) + a, pa.int64())), *(pa.array(c, t) for c, t in cols), kept]
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids_crc32", "round_trip", "ids"])
                 a = z
 

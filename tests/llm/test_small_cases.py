@@ -488,6 +488,23 @@ def test_segmentations_against_enumeration():
         assert all(s[3] == 1.0 for s in found) and [s[2] for s in found] == sorted((s[2] for s in found), reverse=True)
 
 
+def test_pieces_of_a_batch_are_those_of_each_text():
+    """Agendas, pieces and bytes are made for all texts of a batch at once: an empty text, bytes of one to four, a text of one piece."""
+    texts = ["", "plain words here", "\x01é\u0378 \U000e0041x", "a", "two  spaces\nand lines"]
+    keys, pieces = piece_sampling.mixed(np.arange(5, dtype=np.uint64)), piece_sampling.Pieces(PIECE_MODEL)
+    lat = piece_sampling.Lattices(pieces)
+    found = piece_sampling.sample_batch(lat, texts, keys, 2)
+    for i, t in enumerate(texts):
+        alone = piece_sampling.Lattices(pieces)
+        want = piece_sampling.sample_batch(alone, [t], keys[i : i + 1], 2)[0]
+        assert [(lat.expand(a).tolist(), *rest) for a, *rest in found[i]] == [(alone.expand(a).tolist(), *rest) for a, *rest in want]
+    arcs = np.concatenate([a for of in found for a, *_ in of])
+    ids, many = lat.expanded(arcs)
+    assert many.max() == 4 and many.sum() == len(ids) and ids.min() >= 0
+    said, ends = pieces.spelt(ids)
+    assert len(ends) == len(ids) and said.decode() == "".join(" " + t for t, of in zip(texts, found) for _ in of if t)
+
+
 def test_segmentations_are_distinct_and_fair():
     lat = piece_sampling.Lattices(piece_sampling.Pieces(PIECE_MODEL))
     n, text = 4000, "the\nab é\x01"
