@@ -492,6 +492,7 @@ def _links(nodes: DataFrame, percent: int, block_rows: int) -> DataFrame:
         rest = base.filter("component <> main").select("hub", F.col("block").alias("own"), "node", "row", "component").join(counts, "hub")
         probes = rest.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "own", "node", "row", "component").filter("block <> own")
         both = base.select("hub", "block", F.lit(False).alias("probe"), "node", "row", "component").unionByName(probes.select("hub", "block", F.lit(True).alias("probe"), "node", "row", "component"))
+        both = stored(both, "met")  # it is read three times
         found = components(edges.unionByName(_block_links(both, nodes, percent, True, "more-links")), "components-again")
     return found
 

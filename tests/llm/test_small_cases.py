@@ -150,6 +150,31 @@ def test_components(spark):
     assert got == {i: 0 for i in range(31)} | {40: 40, 41: 40, 50: 40}
 
 
+def test_components_take_few_jobs(spark):
+    """Chains whose numbers jump about, a large star and random edges. Jobs are what the driver keeps in memory."""
+    rng = np.random.default_rng(9)
+    chains = [rng.permutation(np.arange(k * 1000, k * 1000 + 300)) for k in range(4)]
+    edges = [(int(x), int(y)) for c in chains for x, y in zip(c[:-1], c[1:])] + [(9000, i) for i in range(9001, 9400)] + [(int(x), int(y)) for x, y in rng.integers(20_000, 20_400, (260, 2))]
+    union = {}
+
+    def top(x):
+        while union.setdefault(x, x) != x:
+            x = union[x]
+        return x
+
+    for x, y in edges:
+        if x != y:
+            x, y = top(x), top(y)
+            union[max(x, y)] = min(x, y)
+    spark.sparkContext.setJobGroup("components", "")
+    try:
+        got = components.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(7)).collect()
+    finally:
+        spark.sparkContext.setJobGroup("other", "")
+    assert sorted(map(tuple, got)) == sorted((x, top(x)) for x in union)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) <= 36
+
+
 def test_quality_rules(docs, empty):
     got = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
     for r in docs.filter("doc_id is not null").collect():
