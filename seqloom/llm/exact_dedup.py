@@ -220,16 +220,22 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kee
     _, hits, whole, apart = _answers(docs, index, text, doc_id)
     bloom = bloom_of(hits.select("digest"))
 
+    def marks(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            shas = [hashlib.sha256(t.lower()).hexdigest() for t in texts]
+            keys = index.key(shas)
+            yield pd.DataFrame({"sha": shas, "digest": keys.view(np.int64), "hit": bloom.has(keys)})
+
     @F.pandas_udf("sha string, digest bigint, hit boolean")
-    def hashed(texts: pd.Series) -> pd.DataFrame:
-        shas = [hashlib.sha256(t.lower()).hexdigest() for t in texts]
-        keys = index.key(shas)
-        return pd.DataFrame({"sha": shas, "digest": keys.view(np.int64), "hit": bloom.has(keys)})
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return freed(marks)(batches)
 
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    marked = docs.select(own.alias("r"), hashed(utf8(f"`{text}`")).alias("h"))
+    once = hashed.asNondeterministic()  # else Spark hashes for the filter and once more behind it, in two workers a task
+    marked = docs.select(own.alias("r"), once(utf8(f"`{text}`")).alias("h"))
     number = F.col(f"r.`{doc_id}`").cast("bigint")
-    some = _judged(marked.filter("h.hit").select("r", "h.sha", "h.digest"), whole, apart, F.xxhash64(number))
+    touched = stored(marked.filter("h.hit").select("r", "h.sha", "h.digest"), "touched")
+    some = _judged(touched, whole, apart, F.xxhash64(number))
     alone = some.filter("n is null").select("r.*")
     kept = some.filter(F.col("n").isNotNull() & number.eqNullSafe(F.col("keep_id"))).groupBy("sha").agg(F.first("r").alias("r"))
     return marked.filter("not h.hit").select("r.*").unionByName(alone).unionByName(kept.select("r.*"))

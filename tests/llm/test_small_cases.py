@@ -82,6 +82,12 @@ def test_exact_dedup_keeps_the_indexs_rows(docs, bits):
     assert sorted(got, key=str) == sorted(((t, max((i for i in ids if i is not None), default=None)) for t, ids in want.items()), key=str)
 
 
+def test_exact_dedup_hashes_a_row_in_one_worker(docs):
+    """Rows are judged by one Python step a task: two on top of each other hold two workers for each core."""
+    plan = exact_dedup.deduplicate(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_exact_dedup_keeps_rows(docs, empty):
     kept = exact_dedup.deduplicate(docs)
     assert kept.columns == docs.columns
