@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import vec
+from seqloom.operators import blocks
+from seqloom.storage import new_path, stored
+
+#: Rows that a silhouette's task holds, the sums by cluster that it holds for them, and the distances that it makes at once.
+TASK_ROWS, TASK_SUMS, HELD_PAIRS = 16_384, 1 << 24, 1 << 20
 
 
 def words(text: Column) -> Column:
@@ -86,41 +94,126 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def silhouette(df: DataFrame, cluster: str, id: str = "frame_id", vector: str = "feature", block_rows: int = 2048, sample: int | None = None) -> DataFrame:
-    """(silhouette,): the mean Euclidean silhouette; rows alone in their cluster count 0. Blocks of rows meet blocks of rows, and only sums by (row,
-    cluster) leave a task.
+    """(silhouette,): the mean Euclidean silhouette; rows alone in their cluster count 0, rows without a cluster or a vector are left out.
 
     sample: over so many rows drawn by id instead of all, as all pairs of rows are compared.
     """
+    return silhouettes(df, [cluster], id, vector, block_rows, sample).select(F.col(f"`{cluster}`").alias("silhouette"))
+
+
+def silhouettes(df: DataFrame, clusters: list[str], id: str = "frame_id", vector: str = "feature", block_rows: int = 2048, sample: int | None = None) -> DataFrame:
+    """A row with the silhouette by each of the clusterings, whose columns have their names; distances are made once for all of them.
+
+    Rows are written to the shared folder once. A task holds some rows and their sums by cluster and reads all rows from there, `block_rows` at a
+    time, so no row is copied for another one: what is shuffled and written grows as the rows do, and only the work and what is read with their square.
+    """
     if sample is not None:
         from seqloom.operators.sampling import least_by_draw
 
         df = least_by_draw(df, [], df.agg(F.lit(sample).cast("bigint").alias("__keep")), id)
-    rows = df.select(F.col(id).cast("bigint").alias("id"), F.col(cluster).alias("c"), F.col(vector).alias("v"))
-    blocks = max(1, -(-rows.count() // block_rows))
-    own = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    left = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = own.withColumnRenamed("b", "o").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    left, right = (d.select(*(F.col(c).alias(c) for c in ("id", "c", "v", "b", "o"))) for d in (left, right))  # new columns, for both come from one table
-    kind = dict(rows.dtypes)["c"]
-
-    def sums(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame({"id": [], "own": [], "other": [], "s": []})
-        a, b = np.stack(x["v"].to_numpy()).astype(float), np.stack(y["v"].to_numpy()).astype(float)
-        d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0))
-        d[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]] = 0
+    rows = df.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(clusters))).filter("v is not null")
+    spark, counts = df.sparkSession, []
+    for i in range(len(clusters)):  # clusters by number, from 0; -1 for none
+        names = stored(rows.groupBy(f"k{i}").agg(F.count("*").alias("n")).filter(f"k{i} is not null").select(f"k{i}", (F.row_number().over(Window.orderBy(f"k{i}")) - 1).alias(f"c{i}")), "clusters")
+        counts.append(names.count())
+        rows = rows.join(names, f"k{i}", "left").withColumn(f"c{i}", F.coalesce(f"c{i}", F.lit(-1)))
+    rows.select("v", *(f"c{i}" for i in range(len(clusters)))).write.parquet(path := new_path(spark, "silhouette"))
+    saved = spark.read.parquet(path)
+    files, width = sorted(saved.inputFiles()), sum(counts)
+    n = saved.count()
+    own = max(1, min(TASK_ROWS, TASK_SUMS // max(1, width), -(-n // (4 * spark.sparkContext.defaultParallelism))))  # rows that a task holds
+
+    def parts(t: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+        return blocks.matrix(t, "v"), [t.column(f"c{i}").to_numpy() for i in range(len(counts))]
+
+    def scores(x: np.ndarray, codes: list[np.ndarray]) -> list[tuple[int, float, int]]:
+        sums, sizes = [np.zeros((len(x), k)) for k in counts], [np.zeros(k, np.int64) for k in counts]
+        for y, others in _read(files, block_rows, parts):
+            for size, code in zip(sizes, others):
+                size += np.bincount(code[code >= 0], minlength=len(size))
+            step = max(1, HELD_PAIRS // len(y))
+            by = [_by_cluster(code, len(size)) for size, code in zip(sizes, others)]
+            for at in range(0, len(x), step):
+                d = _distances(x[at : at + step], y)
+                for total, add in zip(sums, by):
+                    add(d, total[at : at + step])
         out = []
-        for c in sorted(set(y["c"])):
-            out.append(pd.DataFrame({"id": x["id"], "own": x["c"], "other": c, "s": d[:, (y["c"] == c).to_numpy()].sum(1)}))
-        return pd.concat(out)
-
-    parts = left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInPandas(sums, f"id bigint, own {kind}, other {kind}, s double")
-    sizes = rows.groupBy(F.col("c").alias("other")).agg(F.count("*").alias("n"))
-    by = parts.groupBy("id", "own", "other").agg(F.sum("s").alias("s")).join(sizes, "other")
-    mean = F.when(F.col("own") == F.col("other"), F.col("s") / (F.col("n") - 1)).otherwise(F.col("s") / F.col("n"))
-    near = by.groupBy("id").agg(F.max(F.when(F.col("own") == F.col("other"), mean)).alias("a"), F.min(F.when(F.col("own") != F.col("other"), mean)).alias("b"), F.max(F.when(F.col("own") == F.col("other"), F.col("n"))).alias("n"))
-    score = F.when((F.col("n") < 2) | F.col("b").isNull(), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return near.agg(F.avg(score).alias("silhouette"))
+        for i, (total, size, code) in enumerate(zip(sums, sizes, codes)):
+            found = code >= 0
+            total, code, at = total[found], code[found], np.arange(found.sum())
+            a = total[at, code] / np.maximum(size[code] - 1, 1)
+            means = total / np.maximum(size, 1)
+            means[at, code] = np.inf
+            b = means.min(axis=1, initial=np.inf)
+            top = np.maximum(a, b)
+            value = np.divide(b - a, top, out=np.zeros(len(at)), where=(size[code] > 1) & (b < np.inf) & (top != 0))
+            value[np.isnan(a) | np.isnan(means).any(axis=1)] = np.nan
+            out.append((i, float(value.sum()), len(value)))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def result() -> pa.RecordBatch:
+            found = scores(*parts(pa.Table.from_batches(held)))
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*found), (pa.int32(), pa.float64(), pa.int64()))], ["which", "total", "n"])
+
+        for batch in batches:
+            for at in range(0, len(batch), own):
+                held.append(batch.slice(at, own))
+                n += len(held[-1])
+                if n >= own:
+                    yield result()
+                    held, n = [], 0
+        if held:
+            yield result()
+
+    found = saved.repartition(max(1, -(-n // own))).mapInArrow(run, "which int, total double, n bigint")
+    mean = lambda i: F.sum(F.when(F.col("which") == i, F.col("total"))) / F.sum(F.when((F.col("which") == i) & (F.col("n") > 0), F.col("n")))
+    return found.agg(*(mean(i).alias(c) for i, c in enumerate(clusters)))
+
+
+def _read(files: list[str], most: int, parts: Callable[[pa.Table], tuple]) -> Iterator[tuple]:
+    """What parts makes of the rows of Parquet files, so many of them at a time. The folder may be any that pyarrow opens."""
+    import pyarrow.parquet as pq
+
+    from seqloom.sources.npy import opened
+
+    for name in files:
+        store, path = opened(unquote(name) if name.startswith("file:") else name)
+        with store.open_input_file(path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(most):
+                if len(batch):
+                    yield parts(pa.Table.from_batches([batch]))
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of x and y; 0 between equal vectors."""
+    a, b = (x * x).sum(1), (y * y).sum(1)
+    d = np.hstack([x * -2, a[:, None], np.ones((len(x), 1))]) @ np.hstack([y, np.ones((len(y), 1)), b[:, None]]).T
+    close = np.flatnonzero(d <= 1e-8 * (a[:, None] + b.max()))  # what is left of two large numbers is exact to few digits
+    for at in np.array_split(close, -(-len(close) // 65_536) or 1):
+        i, j = np.divmod(at, len(y))
+        d.ravel()[at] = ((x[i] - y[j]) ** 2).sum(1)
+    return np.sqrt(d, out=d)
+
+
+def _by_cluster(code: np.ndarray, clusters: int) -> Callable[[np.ndarray, np.ndarray], None]:
+    """A function that adds to sums by row and cluster what a matrix has in the columns of that cluster."""
+    if clusters <= 64:
+        own = (code[:, None] == np.arange(clusters)).astype(float)
+
+        def add(d: np.ndarray, total: np.ndarray) -> None:
+            total += d @ own
+    else:
+        order = np.argsort(code, kind="stable")[(code < 0).sum() :]
+        which, first = np.unique(code[order], return_index=True)
+
+        def add(d: np.ndarray, total: np.ndarray) -> None:
+            if len(which):
+                total[:, which] += np.add.reduceat(d[:, order], first, axis=1)
+
+    return add
 
 
 def utterance_similarity(a: DataFrame, b: DataFrame, key: str, dims: int, vector: str = "feature") -> DataFrame:

@@ -321,3 +321,21 @@ def test_silhouette_meets_all_blocks_in_many_partitions(spark, frames):
     other = np.where(np.arange(4) == phone[:, None], np.inf, sums / 60).min(1)
     want = np.mean((other - own) / np.maximum(own, other))
     assert few == pytest.approx(want, abs=1e-9) and many == pytest.approx(want, abs=1e-9)
+
+
+def test_silhouettes_copy_no_rows_and_meet_files_in_parts(spark, frames):
+    """Two clusterings at once, one of many clusters and rows of none; equal vectors have a silhouette of 0."""
+    rows = frames.select("frame_id", "feature", "phone", F.when(F.col("frame_id") % 7 > 0, F.concat(F.lit("c"), F.col("frame_id") % 80)).alias("many"))
+    found = metrics.silhouettes(rows, ["phone", "many"], block_rows=50)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    x, ids = matrix(frames), np.array([r[0] for r in rows.select("frame_id").orderBy("frame_id").collect()])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for got, label, some in zip(found.first(), (np.repeat(np.arange(4), 60), ids % 80), (ids >= 0, ids % 7 > 0)):
+        sub, own = d[np.ix_(some, some)], label[some]
+        scores = []
+        for i, c in enumerate(own):
+            means = {k: sub[i, own == k].sum() / ((own == k).sum() - (k == c)) if (own == k).sum() > (k == c) else None for k in set(own)}
+            b = min(v for k, v in means.items() if k != c)
+            scores.append(0 if means[c] is None else (b - means[c]) / max(b, means[c]))
+        assert got == pytest.approx(np.mean(scores), abs=1e-9)
+    assert metrics.silhouette(rows.withColumn("feature", F.array(*[F.lit(0.1)] * DIMS)), "phone").first()[0] == 0
