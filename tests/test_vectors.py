@@ -339,3 +339,12 @@ def test_silhouettes_copy_no_rows_and_meet_files_in_parts(spark, frames):
             scores.append(0 if means[c] is None else (b - means[c]) / max(b, means[c]))
         assert got == pytest.approx(np.mean(scores), abs=1e-9)
     assert metrics.silhouette(rows.withColumn("feature", F.array(*[F.lit(0.1)] * DIMS)), "phone").first()[0] == 0
+
+
+def test_codebook_sweep_copies_no_rows(frames):
+    found = cluster.codebook_sweep(frames, (2, 4), steps=3)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    coded = frames
+    for k, centers in cluster.codebooks(frames, (2, 4), "feature", "frame_id", 3).items():
+        coded = cluster.encode(coded, centers, "feature", f"code{k}")
+    assert [r["silhouette"] for r in found.orderBy("k").collect()] == pytest.approx([metrics.silhouette(coded, f"code{k}").first()[0] for k in (2, 4)])
