@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.operators import ivf, knn, pruned
+from seqloom.storage import stored
 
 DIMS = 6
 
@@ -133,3 +134,36 @@ def test_recall_is_measured_on_every_twentieth_row(spark, monkeypatch):
     monkeypatch.setattr(knn, "nearest", lambda queries, *a, **how: seen.append(queries) or plain(queries, *a, **how))
     assert catalog.knn_cells_recall(spark, "/root/testdata/sf0.01").first()["recall"] >= 0.9
     assert len(seen) == 2 and all(q.filter("frame_id % 20 <> 0").isEmpty() and q.select("frame_id").distinct().count() == 25 for q in seen)
+
+
+def test_index_search_sends_a_query_once_a_group_of_cells(spark, frames, tmp_path, monkeypatch):
+    """Not once a cell; groups and blocks of any size give the same rows, for some cells and for all."""
+    path, sent = f"file://{tmp_path}/index", []
+    ivf.save(frames, path, ["gender"], most=8, flat_below=100)
+    index = ivf.load(spark, path)
+
+    def counted(df, name, *a, **how):
+        out = stored(df, name, *a, **how)
+        sent.extend([out.count()] if name == "probed" else [])
+        return out
+
+    monkeypatch.setattr(ivf, "stored", counted)
+    exact = ranked(knn.nearest(frames, frames, ["gender"], 5, exclude_self=True))
+    assert ranked(ivf.search(index, frames, 5, 8, exclude_self=True)) == exact
+    assert sent == [899]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert ranked(ivf.search(index, frames, 5, 8, exclude_self=True, block_rows=40)) == exact
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    monkeypatch.setattr(ivf, "HELD_PAIRS", 64)
+    monkeypatch.setattr(ivf, "PAIR_COLUMNS", 16)
+    assert ranked(ivf.search(index, frames.withColumn("gender", F.col("gender").cast("string")), 5, 8, exclude_self=True, block_rows=150)) == exact
+    centers = {(r["gender"], r["cell"]): np.array(r["center"]) for r in index.centers.collect()}
+    cells = {r["frame_id"]: r["cell"] for r in index.rows.select("frame_id", "cell").collect()}
+    rows = {r["frame_id"]: (r["gender"], np.array(r["feature"])) for r in frames.filter("feature is not null").collect()}
+    for r in ivf.search(index, frames.filter("frame_id < 30"), 2, 3, metric="l2", exclude_self=True, block_rows=150).filter("rank = 1").collect():
+        g, v = rows[r["query_id"]]
+        near = sorted(range(8), key=lambda c: (round(float(((v / (np.linalg.norm(v) + 1e-8) - centers[g, c]) ** 2).sum()), 9), c))[:3]
+        best = min((round(float(np.linalg.norm(v - w)), 6), i) for i, (h, w) in rows.items() if h == g and i != r["query_id"] and cells[i] in near)
+        assert (r["score"], r["pool_id"]) == best
