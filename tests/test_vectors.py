@@ -348,3 +348,9 @@ def test_codebook_sweep_copies_no_rows(frames):
     for k, centers in cluster.codebooks(frames, (2, 4), "feature", "frame_id", 3).items():
         coded = cluster.encode(coded, centers, "feature", f"code{k}")
     assert [r["silhouette"] for r in found.orderBy("k").collect()] == pytest.approx([metrics.silhouette(coded, f"code{k}").first()[0] for k in (2, 4)])
+
+
+def test_pseudo_retriever_searches_once(frames):
+    found = knn.pseudo_retriever(frames, frames.filter("phone < 3"), DIMS)
+    assert "CoGroup" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 240 and found.filter("found").count() == 240
